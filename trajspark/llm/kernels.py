@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
@@ -40,7 +41,7 @@ ALNUM = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)) | np.isin(np.arange
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices of ``batch`` holding about ``limit`` bytes of text."""
     text = batch.column(column)
-    lengths = np.nan_to_num(pa.compute.binary_length(text).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    lengths = np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     total, start = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > limit:
