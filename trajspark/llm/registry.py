@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import bpe_trie, chat_format, jaccard_join, line_dedup, quality_rules, suffix_decontam, weak_quality
+from trajspark.llm import bpe_trie, chat_format, html_mincut, jaccard_join, line_dedup, quality_rules, suffix_decontam, weak_quality
 from trajspark.workers import with_workers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,11 @@ def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_decode(docs, WORD_BPE).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_mincut.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return weak_quality.classify(docs).drop("text")
@@ -53,7 +58,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.expand(turns))
 
 
-QUERIES = {name: with_workers(q) for name, q in {"op4_weak_quality": op4_weak_quality, "op6_line_dedup": op6_line_dedup, "op5_jaccard_join": op5_jaccard_join, "op7_robust_outliers": op7_robust_outliers, "op8_suffix_decontam": op8_suffix_decontam, "op9_bpe_trie": op9_bpe_trie, "op10_chat_format": op10_chat_format}.items()}
+QUERIES = {name: with_workers(q) for name, q in {"op1_html_mincut": op1_html_mincut, "op4_weak_quality": op4_weak_quality, "op6_line_dedup": op6_line_dedup, "op5_jaccard_join": op5_jaccard_join, "op7_robust_outliers": op7_robust_outliers, "op8_suffix_decontam": op8_suffix_decontam, "op9_bpe_trie": op9_bpe_trie, "op10_chat_format": op10_chat_format}.items()}
 ORACLES: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE_SQL.format(table="documents", min_words=line_dedup.MIN_WORDS) + "SELECT * FROM kept",
     "op10_chat_format": chat_format.ORACLE_SQL}
