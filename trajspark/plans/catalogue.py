@@ -1,4 +1,574 @@
-"""Registered trajectory queries and their oracle SQL."""
+"""Registered trajectory queries and their oracle SQL, side by side."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trajspark.functions import scalars
+from trajspark.operators import bounds, clean, distribution, kinematics, losses, raster, recurrence, scoring, sequence, spectral
+from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
+from trajspark.sources import sessions
+from trajspark.streaming.sessions import gap_sessions
+from trajspark.workers import with_workers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = with_workers(function)
+        if sql:
+            ORACLES[function.__name__] = re.sub(r", (\d+)\) AS (vx|vy|v|a|ax|ay|x|y|signed_log|diff|mean|weighed)\b", r", \1) + 0.0 AS \2", sql).replace("$EV", SQL_EVENTS).replace("$SC", SQL_SCORES).replace("$SIZE", str(SIZE)).replace("$GAP", str(GAP))
+        return function
+
+    return add
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
+
+
+_LAG = "lag({0}) OVER w"
+_DT = "greatest(t - lag(t) OVER w, 1e-5)"
+_W = "WINDOW w AS (PARTITION BY user_id ORDER BY seq)"
+_SPEED = f"sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) / {_DT}"
+
+# ---------------------------------------------------------------- cleaning
+
+
+@query("SELECT user_id, event_id, round(value, 6) AS x, CAST(regexp_extract(props, '-?[0-9]+') AS DOUBLE) AS y FROM events WHERE event_type IN ('click', 'view') AND value < 60 AND value IS NOT NULL")
+def clean_events(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    return r6(t.where(F.col("kind").isin("click", "view") & (F.col("x") < 60)).dropna(subset=["x", "y", "time"]).select("user_id", "event_id", "x", "y"), "x")
+
+
+@query("SELECT user_id, event_type AS kind, k, min(seq) AS seq FROM (SELECT user_id, event_type, CAST(regexp_extract(props, '-?[0-9]+') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events) GROUP BY ALL")
+def dedup_first_occurrence(spark, sf_dir):
+    t = trajectories(spark, sf_dir).select("user_id", "kind", F.col("y").cast("long").alias("k"), "seq")
+    return clean.first_occurrences(t, KEY, ["kind", "k"])
+
+
+@query("SELECT c_name AS name, dense_rank() OVER (ORDER BY CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT)) AS place FROM customer")
+def natural_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    return c.withColumn("place", F.dense_rank().over(Window.orderBy(scalars.natural_key(F.col("name")))).cast("long"))
+
+
+@query("SELECT n_name AS name, n_nationkey % 5 AS idx, [CAST(n_nationkey % 5 = 0 AS INT), CAST(n_nationkey % 5 = 1 AS INT), CAST(n_nationkey % 5 = 2 AS INT), CAST(n_nationkey % 5 = 3 AS INT), CAST(n_nationkey % 5 = 4 AS INT)]::VARCHAR AS one_hot FROM nation")
+def one_hot_labels(spark, sf_dir):
+    idx = F.col("n_nationkey") % 5
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), idx.alias("idx"), F.concat(F.lit("["), F.array_join(scalars.one_hot(idx, 5).cast("array<string>"), ", "), F.lit("]")).alias("one_hot"))
+
+
+@query("SELECT event_id, round(CASE WHEN value = 0 THEN 0 ELSE sign(value) * ln(1 + abs(value)) END, 6) AS signed_log, round(1 / (1 + exp(-value / 100)), 6) AS sigmoid, CAST(least(greatest(trunc(value / 200 * 255), 0), 255) AS INT) AS pixel FROM events")
+def scalar_functions(spark, sf_dir):
+    v = F.col("value")
+    return r6(table(spark, sf_dir, "events").select("event_id", scalars.signed_log(v).alias("signed_log"), scalars.sigmoid(v / 100).alias("sigmoid"), scalars.to_byte(v / 200).alias("pixel")), "signed_log", "sigmoid")
+
+
+# ---------------------------------------------------------------- kinematics
+
+
+@query(f"WITH $EV SELECT user_id, event_id, round(coalesce({_SPEED}, 0), 6) AS v FROM ev {_W}")
+def velocity_zero_first(spark, sf_dir):
+    return r6(kinematics.speed(trajectories(spark, sf_dir), KEY).select("user_id", "event_id", "v"), "v")
+
+
+@query(f"WITH $EV, s AS (SELECT *, {_SPEED} AS v FROM ev {_W}) SELECT user_id, event_id, round(coalesce(v, lead(v) OVER w, 0), 6) AS v FROM s {_W}")
+def velocity_copy_first(spark, sf_dir):
+    return r6(kinematics.speed(trajectories(spark, sf_dir), KEY, "copy").select("user_id", "event_id", "v"), "v")
+
+
+@query(f"WITH $EV SELECT user_id, event_id, round(coalesce((x - lag(x) OVER w) / {_DT}, 0), 6) AS vx, round(coalesce((y - lag(y) OVER w) / {_DT}, 0), 6) AS vy FROM ev {_W}")
+def vxvy_signed(spark, sf_dir):
+    return r6(kinematics.velocity(trajectories(spark, sf_dir), KEY).select("user_id", "event_id", "vx", "vy"), "vx", "vy")
+
+
+@query(f"WITH $EV, s AS (SELECT *, coalesce({_SPEED}, 0) AS v FROM ev {_W}) SELECT user_id, event_id, round(CASE WHEN n >= 3 THEN coalesce((v - lag(v) OVER w) / {_DT}, 0) ELSE 0 END, 9) AS a FROM s {_W}")
+def acceleration(spark, sf_dir):
+    return kinematics.acceleration(trajectories(spark, sf_dir), KEY).select("user_id", "event_id", (F.round("a", 9) + F.lit(0.0)).alias("a"))
+
+
+@query(
+    f"WITH $EV, s AS (SELECT *, (x - lag(x) OVER w) / {_DT} AS p, (y - lag(y) OVER w) / {_DT} AS q FROM ev {_W}), c AS (SELECT *, coalesce(p, lead(p) OVER w, 0) AS vx, coalesce(q, lead(q) OVER w, 0) AS vy FROM s {_W}) "
+    f"SELECT user_id, event_id, round(coalesce((vx - lag(vx) OVER w) / {_DT}, 0), 9) AS ax, round(coalesce((vy - lag(vy) OVER w) / {_DT}, 0), 9) AS ay FROM c {_W}"
+)
+def axay(spark, sf_dir):
+    return kinematics.component_acceleration(trajectories(spark, sf_dir), KEY).select("user_id", "event_id", (F.round("ax", 9) + F.lit(0.0)).alias("ax"), (F.round("ay", 9) + F.lit(0.0)).alias("ay"))
+
+
+@query(
+    f"""WITH $EV, e AS (SELECT user_id, event_id, seq, n, t * 0.001 AS t, x, y FROM ev),
+    p AS (SELECT *, (x - lag(x) OVER w) / greatest(t - lag(t) OVER w, 1e-8) AS px, (y - lag(y) OVER w) / greatest(t - lag(t) OVER w, 1e-8) AS py FROM e {_W}),
+    c AS (SELECT *, 0.5 * (px + lead(px) OVER w) AS vx, 0.5 * (py + lead(py) OVER w) AS vy, (lead(px) OVER w - px) / greatest(lead(t) OVER w - lag(t) OVER w, 1e-8) AS ax, (lead(py) OVER w - py) / greatest(lead(t) OVER w - lag(t) OVER w, 1e-8) AS ay FROM p {_W}),
+    k AS (SELECT *, CASE WHEN vx * vx + vy * vy < 1e-8 THEN 0 WHEN vx IS NOT NULL THEN abs(vx * ay - vy * ax) / (power(vx * vx + vy * vy, 1.5) + 1e-8) END AS kappa FROM c)
+    SELECT user_id, event_id, round(coalesce(kappa, CASE WHEN seq = 0 THEN lead(kappa) OVER w END, CASE WHEN seq = n - 1 THEN lag(kappa) OVER w END, 0), 5) AS kappa FROM k {_W}"""
+)
+def curvature(spark, sf_dir):
+    t = trajectories(spark, sf_dir).withColumn("time", F.col("time") * 0.001)
+    return kinematics.curvature(t, KEY).select("user_id", "event_id", F.round("kappa", 5).alias("kappa"))
+
+
+@query(
+    f"""WITH $EV, v AS (SELECT *, coalesce((x - lag(x) OVER w) / {_DT}, 0) AS vx, coalesce((y - lag(y) OVER w) / {_DT}, 0) AS vy FROM ev {_W}),
+    h AS (SELECT *, vx * vx + vy * vy AS s, CASE WHEN seq > 0 THEN atan2(vy, vx) WHEN lead(vx) OVER w * lead(vx) OVER w + lead(vy) OVER w * lead(vy) OVER w >= 1e-8 THEN atan2(lead(vy) OVER w, lead(vx) OVER w) ELSE 0 END AS h FROM v {_W}),
+    d AS (SELECT *, lead(h) OVER w - h AS dh, greatest(lead(t) OVER w - t, 1e-8) AS dt FROM h {_W}),
+    o AS (SELECT *, abs(dh - 2 * pi() * round(dh / (2 * pi()))) / dt AS o FROM d)
+    SELECT user_id, event_id, round(CASE WHEN s < 1e-8 THEN 0 ELSE coalesce(o, lag(o) OVER w, 0) END, 6) AS omega FROM o {_W}"""
+)
+def angular_velocity(spark, sf_dir):
+    return r6(kinematics.angular_velocity(trajectories(spark, sf_dir), KEY).select("user_id", "event_id", "omega"), "omega")
+
+
+@query(f"WITH $EV, d AS (SELECT *, lead(t) OVER w - t AS d FROM ev {_W}) SELECT user_id, event_id, round(coalesce(d, lag(d) OVER w, 0), 3) AS dt_next FROM d {_W}")
+def timediff_node(spark, sf_dir):
+    return kinematics.node_interval(trajectories(spark, sf_dir), KEY).select("user_id", "event_id", F.round("dt_next", 3).alias("dt_next"))
+
+
+_CHUNK = "c AS (SELECT *, seq // $SIZE AS window_id, seq % $SIZE AS pos FROM ev WHERE (seq // $SIZE + 1) * $SIZE <= n)"
+
+
+def chunks(spark, sf_dir, size: int = SIZE) -> DataFrame:
+    return sequence.tumbling(trajectories(spark, sf_dir), KEY, size)
+
+
+@query(f"WITH $EV, {_CHUNK} SELECT user_id, window_id, count(*) AS pairs, round(avg(abs(b.t - a.t)), 3) AS mean_dt, round(max(abs(b.t - a.t)), 3) AS max_dt FROM c a JOIN c b USING (user_id, window_id) WHERE a.pos < b.pos GROUP BY ALL")
+def timediff_pair(spark, sf_dir):
+    d = kinematics.pair_differences(chunks(spark, sf_dir), KEY, "time")
+    return d.groupBy("user_id", "window_id").agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 3).alias("mean_dt"), F.round(F.max("d"), 3).alias("max_dt"))
+
+
+# ---------------------------------------------------------------- segmentation
+
+_SPLIT = f"g AS (SELECT *, coalesce(sum(CAST(d > $GAP AS INT)) OVER w, 0) AS sid FROM (SELECT *, t - lag(t) OVER w AS d FROM ev {_W}) {_W})"
+_ARC = f"r AS (SELECT *, coalesce(sum(step) OVER w, 0) AS arc FROM (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM g {_W}) {_W})"
+_SPANS = "sp AS (SELECT user_id, sid, min(arc) AS a, max(arc) AS b FROM r GROUP BY ALL), lim AS (SELECT user_id, max(x) AS least FROM ev GROUP BY 1)"
+_MERGE = """m AS (
+    SELECT user_id, sid, 0 AS grp, CASE WHEN b - a >= least THEN NULL ELSE a END AS start FROM sp JOIN lim USING (user_id) WHERE sid = 0
+    UNION ALL
+    SELECT s.user_id, s.sid, CASE WHEN m.start IS NULL THEN m.grp + 1 ELSE m.grp END, CASE WHEN s.b - coalesce(m.start, s.a) >= least THEN NULL ELSE coalesce(m.start, s.a) END
+    FROM m JOIN sp s ON s.user_id = m.user_id AND s.sid = m.sid + 1 JOIN lim ON lim.user_id = s.user_id)"""
+
+
+@query(f"WITH $EV, {_SPLIT} SELECT user_id, event_id, CAST(sid AS BIGINT) AS sequence_id FROM g")
+def gap_split(spark, sf_dir):
+    return sequence.gap_split(trajectories(spark, sf_dir), KEY, GAP).select("user_id", "event_id", "sequence_id")
+
+
+@query(f"WITH $EV, {_SPLIT}, {_ARC} SELECT user_id, CAST(sid AS BIGINT) AS sequence_id, count(*) AS n, round(max(arc) - min(arc), 6) AS length FROM r GROUP BY ALL")
+def arc_length_by_sequence(spark, sf_dir):
+    t = sequence.arc_length(sequence.gap_split(trajectories(spark, sf_dir), KEY, GAP), KEY)
+    return r6(t.groupBy("user_id", "sequence_id").agg(F.count("*").alias("n"), (F.max("arc") - F.min("arc")).alias("length")), "length")
+
+
+def merged(spark, sf_dir) -> DataFrame:
+    return sequence.greedy_merge(sequence.gap_split(trajectories(spark, sf_dir), KEY, GAP), KEY, F.max("x"))
+
+
+@query(f"WITH RECURSIVE $EV, {_SPLIT}, {_ARC}, {_SPANS}, {_MERGE} SELECT g.user_id, g.event_id, CAST(grp AS BIGINT) AS group_id FROM g JOIN m ON m.user_id = g.user_id AND m.sid = g.sid")
+def greedy_merge(spark, sf_dir):
+    return merged(spark, sf_dir).select("user_id", "event_id", "group_id")
+
+
+@query(
+    f"WITH RECURSIVE $EV, {_SPLIT}, {_ARC}, {_SPANS}, {_MERGE}, l AS (SELECT user_id, grp, count(*) AS len FROM g JOIN m USING (user_id, sid) GROUP BY ALL HAVING count(*) >= 2) "
+    "SELECT user_id, count(*) AS n, min(len) AS min, quantile_cont(len, 0.25) AS q1, quantile_cont(len, 0.5) AS median, quantile_cont(len, 0.75) AS q3, max(len) AS max, round(avg(len), 6) AS mean, round(stddev_pop(len), 6) AS std FROM l GROUP BY 1"
+)
+def length_summary(spark, sf_dir):
+    lengths = merged(spark, sf_dir).groupBy("user_id", "group_id").agg(F.count("*").alias("len")).where("len >= 2")
+    return r6(distribution.summary(lengths, "len", KEY), "mean", "std")
+
+
+@query(f"WITH $EV, {_CHUNK} SELECT user_id, event_id, window_id, pos FROM c")
+def tumbling_strict(spark, sf_dir):
+    return chunks(spark, sf_dir).select("user_id", "event_id", "window_id", "pos")
+
+
+@query("WITH $EV SELECT user_id, event_id, seq // $SIZE AS window_id, seq % $SIZE AS pos FROM ev WHERE least($SIZE, n - seq // $SIZE * $SIZE) >= 2")
+def tumbling_ragged(spark, sf_dir):
+    return sequence.tumbling(trajectories(spark, sf_dir), KEY, SIZE, ragged=True).select("user_id", "event_id", "window_id", "pos")
+
+
+@query("WITH $EV, s AS (SELECT user_id, n, unnest(range(0, greatest(n - 16, -1) + 1, 4)) AS start FROM (SELECT DISTINCT user_id, n FROM ev)) SELECT s.user_id, start // 4 AS window_id, count(*) AS n, round(sum(x), 4) AS sum_x FROM s JOIN ev ON ev.user_id = s.user_id AND seq >= start AND seq < start + 16 GROUP BY ALL")
+def sliding_quarter(spark, sf_dir):
+    w = sequence.sliding(trajectories(spark, sf_dir), KEY, 16, 4)
+    return w.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sum_x"))
+
+
+@query("WITH $EV SELECT user_id, event_id, ((seq + 1) * 5 - 1) // n AS fold, least(seq // (n // 4), 3) AS part, CAST(seq >= n // 2 AS BIGINT) AS half FROM ev")
+def contiguous_folds(spark, sf_dir):
+    return sequence.halves(sequence.subsequences(sequence.folds(trajectories(spark, sf_dir), KEY), KEY, 4), KEY).select("user_id", "event_id", "fold", "part", "half")
+
+
+@query("WITH $EV SELECT user_id, CASE WHEN n >= $SIZE THEN (n - $SIZE) // 2 + 1 ELSE 0 END AS windows FROM (SELECT DISTINCT user_id, n FROM ev)")
+def window_counts(spark, sf_dir):
+    return trajectories(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", sequence.window_count(F.col("n"), SIZE, 2).alias("windows"))
+
+
+# ---------------------------------------------------------------- bounds
+
+_BOUNDS = "b AS (SELECT user_id, min(x) AS min_x, min(y) AS min_y, greatest(max(x), 0) AS max_x, greatest(max(y), 0) AS max_y FROM ev GROUP BY 1)"
+
+
+@query(f"WITH $EV, {_BOUNDS} SELECT user_id, round(min_x, 6) AS min_x, min_y, round(max_x, 6) AS max_x, max_y, round(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 6) AS diag FROM b")
+def user_bounds(spark, sf_dir):
+    return r6(bounds.user_bounds(trajectories(spark, sf_dir), KEY), "min_x", "max_x", "diag")
+
+
+@query(f"WITH $EV, {_BOUNDS} SELECT event_id, round(x - coalesce(min_x, 0), 6) AS x, round(y - coalesce(min_y, 0), 6) AS y, round(coalesce(max_x, 1919), 6) AS max_x, coalesce(max_y, 1079) AS max_y FROM ev LEFT JOIN (SELECT * FROM b WHERE user_id % 3 <> 0) b USING (user_id)")
+def bounds_join_default(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    b = bounds.user_bounds(t, KEY).where("user_id % 3 <> 0")
+    return r6(bounds.shifted(bounds.with_bounds(t, b, KEY)).select("event_id", "x", "y", "max_x", "max_y"), "x", "y", "max_x")
+
+
+@query("WITH $EV, e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM ev) SELECT event_id, round((x - lx) / greatest(hx - lx, 1e-8), 6) AS x, round((y - ly) / greatest(hy - ly, 1e-8), 6) AS y FROM ev, e")
+def normalised_coordinates(spark, sf_dir):
+    return r6(bounds.normalised(trajectories(spark, sf_dir)).select("event_id", "x", "y"), "x", "y")
+
+
+@query(
+    """WITH s(w, h) AS (VALUES (3840, 2160), (2560, 1440), (1920, 1200), (1920, 1080), (1680, 1050), (1600, 900), (1440, 900), (1366, 768), (1280, 1024), (1280, 800), (1280, 720), (1024, 768)),
+    p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice % 4500 AS mx, l_quantity * 45 AS my FROM lineitem),
+    f AS (SELECT l_orderkey, l_linenumber, l_partkey, mx, my, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, mx, my ORDER BY NOT (w - 1 >= mx AND h - 1 >= my), CASE WHEN w - 1 >= mx AND h - 1 >= my THEN w * h ELSE power(greatest(mx - w + 1, 0), 2) + power(greatest(my - h + 1, 0), 2) END, w DESC, h DESC) AS k, w, h FROM (SELECT DISTINCT * FROM p), s)
+    SELECT w - 1.0::DOUBLE AS norm_width, h - 1.0::DOUBLE AS norm_height, count(*) AS n FROM f WHERE k = 1 GROUP BY ALL"""
+)
+def standard_resolution(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") % 4500).alias("max_x"), (F.col("l_quantity") * 45).alias("max_y")).distinct()
+    return bounds.standard_resolution(p).groupBy("norm_width", "norm_height").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- distributions
+
+
+@query("SELECT event_type, count(*) AS n, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
+def feature_stats(spark, sf_dir):
+    return r6(distribution.summary(table(spark, sf_dir, "events"), "value", ["event_type"]), "min", "q1", "median", "q3", "max", "mean", "std")
+
+
+@query("WITH p AS (SELECT quantile_cont(value, 0.95) AS u, quantile_cont(value, 0.05) AS l, quantile_cont(value, 0.025) AS cl, quantile_cont(value, 0.975) AS cu FROM events) SELECT 'upper' AS how, count(*) AS n, round(avg(value), 6) AS mean FROM events, p WHERE value <= u UNION ALL SELECT 'central', count(*), round(avg(value), 6) FROM events, p WHERE value BETWEEN cl AND cu UNION ALL SELECT 'signed', count(*), round(avg(value), 6) FROM events, p WHERE value BETWEEN l AND u")
+def percentile_cap(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("value")
+    parts = [distribution.percentile_cap(ev, "value", 95, how).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.lit(how).alias("how"), "n", "mean") for how in ("upper", "central", "signed")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) SELECT event_id, round(value, 6) AS value FROM events, q WHERE q3 <= q1 OR (value >= greatest(q1 - 0.5 * (q3 - q1), 0) AND value <= q3 + 0.5 * (q3 - q1))")
+def iqr_cap(spark, sf_dir):
+    return r6(distribution.iqr_cap(table(spark, sf_dir, "events").select("event_id", "value"), "value", 0.5, non_negative=True), "value")
+
+
+_ECDF = "e AS (SELECT v, count(*) AS n, (rank() OVER (ORDER BY v)) AS dummy FROM (SELECT round(value, 1) AS v FROM events) GROUP BY v), c AS (SELECT v, n, (sum(n) OVER (ORDER BY v) - n + (n + 1) / 2 - 1) / (sum(n) OVER () - 1 + 1e-8) AS cdf FROM e)"
+
+
+@query(f"WITH {_ECDF} SELECT v AS value, CAST(n AS BIGINT) AS n, round(cdf, 9) AS cdf FROM c")
+def ecdf_average_rank(spark, sf_dir):
+    e = distribution.global_ecdf(table(spark, sf_dir, "events").select(F.round("value", 1).alias("v")), "v")
+    return e.withColumn("cdf", F.round("cdf", 9))
+
+
+@query(
+    f"""WITH {_ECDF}, k AS (SELECT v, cdf FROM c WHERE CAST(round(v * 10) AS BIGINT) % 7 = 0), l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 7.3 - 20 AS x FROM lineitem),
+    lo AS (SELECT l.*, k.v AS v0, k.cdf AS c0 FROM l ASOF LEFT JOIN k ON l.x >= k.v), hi AS (SELECT lo.*, k.v AS v1, k.cdf AS c1 FROM lo ASOF LEFT JOIN k ON lo.x <= k.v)
+    SELECT round(x, 4) AS x, count(*) AS n, round(any_value(CASE WHEN v1 IS NULL THEN 1 WHEN v1 = x THEN c1 WHEN v0 IS NULL THEN 0 ELSE c0 + (c1 - c0) * (x - v0) / (v1 - v0) END), 9) AS cdf FROM hi GROUP BY round(x, 4)"""
+)
+def ecdf_lookup_interp(spark, sf_dir):
+    e = distribution.global_ecdf(table(spark, sf_dir, "events").select(F.round("value", 1).alias("v")), "v").where(F.round(F.col("value") * 10).cast("long") % 7 == 0)
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 7.3 - 20).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
+    return distribution.ecdf_lookup(x, "q", e).select(F.round("q", 4).alias("x"), "n", F.round("cdf", 9).alias("cdf"))
+
+
+@query("WITH p AS (SELECT quantile_cont(value, 0.99) AS u FROM events), k AS (SELECT value FROM events, p WHERE value <= u), e AS (SELECT min(value) AS lo, max(value) AS hi FROM k) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin, count(*) AS n FROM k, e GROUP BY 1")
+def histogram_clip(spark, sf_dir):
+    return distribution.histogram(table(spark, sf_dir, "events"), "value", 20, clip_percent=99).select("bin", "n")
+
+
+@query(
+    """WITH s AS (SELECT min(v) AS lo, max(v) AS hi, stddev_samp(v) * power(count(*), -0.2) AS h FROM (SELECT l_quantity AS v FROM lineitem)), g AS (SELECT lo + k * (hi - lo) / 31 AS grid, h FROM s, range(32) r(k)),
+    c AS (SELECT l_quantity AS v, count(*) AS w FROM lineitem GROUP BY 1), d AS (SELECT grid, sum(w * exp(-0.5 * power((grid - v) / h, 2))) AS d FROM g, c GROUP BY 1) SELECT round(grid, 6) AS grid, round(d / (SELECT max(d) FROM d), 6) AS density FROM d"""
+)
+def kde_grid(spark, sf_dir):
+    return r6(distribution.density(table(spark, sf_dir, "lineitem"), "l_quantity", 32), "grid", "density")
+
+
+@query("SELECT round(min(value) - 0.03 * (max(value) - min(value)), 6) AS low, round(max(value) + 0.03 * (max(value) - min(value)), 6) AS high FROM events")
+def plot_limits(spark, sf_dir):
+    return r6(distribution.padded_limits(table(spark, sf_dir, "events"), "value"), "low", "high")
+
+
+# ---------------------------------------------------------------- recurrence
+
+_LOCAL = "n1 AS (SELECT user_id, window_id, pos, (x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS x, (y - min(y) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS y FROM c WINDOW w AS (PARTITION BY user_id, window_id))"
+_AXIS = "n2 AS (SELECT user_id, window_id, pos, (x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, 1e-8) AS x, (y - min(y) OVER w) / greatest(max(y) OVER w - min(y) OVER w, 1e-8) AS y FROM c WINDOW w AS (PARTITION BY user_id, window_id))"
+
+
+def _pairs_sql(source: str, name: str = "p") -> str:
+    return f"{name} AS (SELECT a.user_id, a.window_id, a.pos AS i, b.pos AS j, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM {source} a JOIN {source} b USING (user_id, window_id))"
+
+
+_PER_WINDOW = "SELECT user_id, window_id, count(*) AS n, round(avg({0}), 6) AS mean, round(max({0}), 6) AS max, round(sum({0} * (i * $SIZE + j)), 4) AS weighed FROM {1} GROUP BY ALL"
+
+
+def per_window(p: DataFrame, value: str = "d") -> DataFrame:
+    """A few numbers a window that pin down its matrix."""
+    v = F.col(value)
+    return p.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), (F.round(F.avg(v), 6) + F.lit(0.0)).alias("mean"), F.round(F.max(v), 6).alias("max"), (F.round(F.sum(v * (F.col("i") * SIZE + F.col("j"))), 4) + F.lit(0.0)).alias("weighed"))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')} SELECT user_id, window_id, i, j, round(least(d, 1.0), 6) AS d FROM p WHERE user_id % 10 = 1")
+def pairwise_srp(spark, sf_dir):
+    return r6(recurrence.clipped(chunks(spark, sf_dir).where("user_id % 10 = 1"), KEY).select("user_id", "window_id", "i", "j", "d"), "d")
+
+
+@query(f"WITH $EV, {_CHUNK}, {_pairs_sql('c')}, e AS (SELECT user_id, window_id, quantile_cont(d, 0.95) AS eps FROM p GROUP BY ALL), k AS (SELECT user_id, window_id, i, j, least(d, eps) AS d FROM p JOIN e USING (user_id, window_id)), s AS (SELECT user_id, window_id, i, j, (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) AS d FROM k WINDOW w AS (PARTITION BY user_id, window_id)) " + _PER_WINDOW.format("d", "s"))
+def srp_percentile(spark, sf_dir):
+    return per_window(recurrence.percentile_plot(chunks(spark, sf_dir), KEY))
+
+
+_GATE = "m AS (SELECT *, sum(d) OVER (PARTITION BY user_id, window_id, i) / ($SIZE - 1) AS mi, sum(d) OVER (PARTITION BY user_id, window_id, j) / ($SIZE - 1) AS mj FROM {0}), s AS (SELECT user_id, window_id, i, j, CASE WHEN mi {1} {2} AND mj {1} {2} THEN d ELSE {3} END AS d FROM m)"
+
+
+@query(f"WITH $EV, {_CHUNK}, {_AXIS}, {_pairs_sql('n2')}, {_GATE.format('p', '<', 0.5, 0.5)} " + _PER_WINDOW.format("d", "s"))
+def srp_gated(spark, sf_dir):
+    return per_window(recurrence.gated(chunks(spark, sf_dir), KEY, 0.5))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_AXIS}, {_pairs_sql('n2')}, {_GATE.format('p', '<', 0.5, 0.0)}, t AS (SELECT user_id, window_id, i, j, CASE WHEN i <> j THEN d / 0.5 ELSE 0 END AS d FROM s) " + _PER_WINDOW.format("d", "t"))
+def srp_gated_share(spark, sf_dir):
+    return per_window(recurrence.gated_share(chunks(spark, sf_dir), KEY, 0.5))
+
+
+def _bounded(scope: str) -> str:
+    by = "PARTITION BY user_id" if scope else ""
+    return f"WITH $EV, {_CHUNK}, {_pairs_sql('c')}, z AS (SELECT user_id, window_id, i, j, CASE WHEN i = j THEN 0 ELSE (d - min(d) FILTER (i <> j) OVER ({by})) / (max(d) FILTER (i <> j) OVER ({by}) - min(d) FILTER (i <> j) OVER ({by}) + 1e-8) END AS d FROM p), {_GATE.format('z', '<=', 0.3137, 0.3137)} " + _PER_WINDOW.format("d", "s")
+
+
+@query(_bounded(""))
+def srp_global_two_phase(spark, sf_dir):
+    return per_window(recurrence.bounded_gate(chunks(spark, sf_dir), KEY, 0.3137))
+
+
+@query(_bounded("user_id"))
+def srp_session_two_phase(spark, sf_dir):
+    return per_window(recurrence.bounded_gate(chunks(spark, sf_dir), KEY, 0.3137, KEY))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')}, s AS (SELECT user_id, window_id, i, j, least(d, 1.0) - lag(least(d, 1.0)) OVER (PARTITION BY user_id, i, j ORDER BY window_id) AS diff FROM p) " + _PER_WINDOW.format("diff", "s"))
+def srp_prev_difference(spark, sf_dir):
+    return per_window(recurrence.previous_difference(recurrence.clipped(chunks(spark, sf_dir), KEY), KEY), "diff")
+
+
+@query(
+    f"""WITH $EV, {_CHUNK}, h AS (SELECT user_id, window_id, pos // 4 AS part, pos % 4 AS pos, x, y FROM c), n3 AS (SELECT user_id, window_id, part, pos, (x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS x, (y - min(y) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS y FROM h WINDOW w AS (PARTITION BY user_id, window_id, part)),
+    p AS (SELECT a.user_id, a.window_id, a.pos AS i, b.pos AS j, CASE WHEN a.pos = b.pos THEN 0 ELSE least(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1.0) END AS value, a.part FROM n3 a JOIN n3 b USING (user_id, window_id, part)), s AS (SELECT * FROM p WHERE (part = 0 AND i <= j) OR (part = 1 AND i > j)) """
+    + _PER_WINDOW.format("value", "s")
+)
+def arp_triangle(spark, sf_dir):
+    return per_window(recurrence.half_triangles(chunks(spark, sf_dir), KEY, SIZE), "value")
+
+
+@query(
+    f"""WITH $EV, {_CHUNK}, h AS (SELECT user_id, window_id, pos // 2 AS part, pos % 2 AS pos, x, y FROM c), n3 AS (SELECT user_id, window_id, part, pos, (x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS x, (y - min(y) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS y FROM h WINDOW w AS (PARTITION BY user_id, window_id, part)),
+    p AS (SELECT a.user_id, a.window_id, a.part, a.pos AS i, b.pos AS j, least(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1.0) AS d FROM n3 a JOIN n3 b USING (user_id, window_id, part))
+    SELECT user_id, window_id, count(*) AS n, round(sum(CASE WHEN i < j THEN q.d WHEN i > j THEN p.d ELSE 0 END), 6) AS total FROM p JOIN p q USING (user_id, window_id, i, j) GROUP BY ALL"""
+)
+def ap_grid(spark, sf_dir):
+    g = recurrence.grid_of_pairs(chunks(spark, sf_dir), KEY, SIZE, 4)
+    return g.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(
+    f"WITH $EV, {_BOUNDS}, {_CHUNK}, e AS (SELECT c.user_id, window_id, pos, x, y, (x - min_x) / greatest(max_x - min_x, 1e-8) AS u, (y - min_y) / greatest(max_y - min_y, 1e-8) AS l FROM c JOIN b USING (user_id)), s AS (SELECT a.user_id, a.window_id, a.pos AS i, b.pos AS j, CASE WHEN a.pos <= b.pos THEN b.u ELSE b.l END AS stripe FROM e a JOIN e b USING (user_id, window_id)) "
+    + _PER_WINDOW.format("stripe", "s")
+)
+def xy_triangle_stripes(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    e = sequence.tumbling(bounds.with_bounds(t, bounds.user_bounds(t, KEY), KEY), KEY, SIZE)
+    e = e.withColumns({"u": scalars.min_max(F.col("x"), F.col("min_x"), F.col("max_x")), "l": scalars.min_max(F.col("y"), F.col("min_y"), F.col("max_y"))})
+    return per_window(recurrence.stripes(recurrence.pairs(e, KEY), e, KEY, "u", "l"), "stripe")
+
+
+_DIAG = f"WITH $EV, {_BOUNDS}, {_CHUNK}, e AS (SELECT c.user_id, window_id, pos, x / g AS x, y / g AS y, (sqrt(power(max_x - x, 2) + power(max_y - y, 2)) / g) AS br FROM c JOIN (SELECT *, greatest(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 1e-8) AS g FROM b) USING (user_id)), "
+
+
+def _scaled(spark, sf_dir) -> DataFrame:
+    t = trajectories(spark, sf_dir)
+    return sequence.tumbling(bounds.with_bounds(t, bounds.user_bounds(t, KEY), KEY), KEY, SIZE)
+
+
+@query(_DIAG + f"{_pairs_sql('e')}, s AS (SELECT user_id, window_id, i, j, least(d, 0.4) AS d FROM p) " + _PER_WINDOW.format("d", "s"))
+def diag_srp(spark, sf_dir):
+    return per_window(recurrence.diagonal_scaled(_scaled(spark, sf_dir), KEY, 0.4))
+
+
+@query(_DIAG + f"{_pairs_sql('e')}, al AS (SELECT user_id, window_id, avg(br) AS alpha FROM e GROUP BY ALL), s AS (SELECT user_id, window_id, i, j, 0.7 * least(d, 1.0) + 0.3 * alpha AS d FROM p JOIN al USING (user_id, window_id)) " + _PER_WINDOW.format("d", "s"))
+def location_bias(spark, sf_dir):
+    e = recurrence.corner_distances(_scaled(spark, sf_dir))
+    alpha = e.groupBy("user_id", "window_id").agg(F.avg("d_br").alias("alpha"))
+    p = recurrence.diagonal_scaled(e, KEY).join(alpha, ["user_id", "window_id"])
+    return per_window(recurrence.location_bias(p, F.col("alpha"), 0.3))
+
+
+@query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, q AS (SELECT c.user_id, window_id, pos, CAST(least(greatest(floor((y - min_y) / greatest(max_y - min_y, 1e-8) * 4), 0), 3) * 4 + least(greatest(floor((x - min_x) / greatest(max_x - min_x, 1e-8) * 4), 0), 3) AS BIGINT) AS patch FROM c JOIN b USING (user_id)) SELECT greatest(l.patch, r.patch) * (greatest(l.patch, r.patch) + 1) // 2 + least(l.patch, r.patch) AS comb, count(*) AS n FROM q l JOIN q r USING (user_id, window_id) GROUP BY 1")
+def patch_pairs(spark, sf_dir):
+    e = recurrence.patch_pair(_scaled(spark, sf_dir), 4)
+    p = recurrence.pairs(e, KEY, ["patch"])
+    return p.groupBy(recurrence.unordered_index(F.col("a_patch"), F.col("b_patch")).alias("comb")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')} SELECT count(*) FILTER (d <= 0.5) AS below, count(*) FILTER (d > 0.5) AS above, round(count(*) FILTER (d <= 0.5) / count(*), 6) AS ratio FROM p WHERE i <> j")
+def recurrence_ratio(spark, sf_dir):
+    return r6(recurrence.recurrence_counts(recurrence.pairs(recurrence.local_scale(chunks(spark, sf_dir), KEY), KEY), 0.5), "ratio")
+
+
+@query("WITH $EV SELECT kind, CAST(least(greatest(round_even(x / 200 * 63, 0), 0), 63) AS BIGINT) AS px, CAST(least(greatest(round_even(y / 100 * 63, 0), 0), 63) AS BIGINT) AS py, count(*) AS n FROM ev GROUP BY ALL")
+def pixel_occupancy(spark, sf_dir):
+    return raster.occupancy(trajectories(spark, sf_dir), ["kind"], 200.0, 100.0, 64)
+
+
+# ---------------------------------------------------------------- verification
+
+
+@query("WITH $SC SELECT target, round(greatest(avg(label), 1e-6), 6) AS positive, round(greatest(1 - avg(label), 1e-6), 6) AS negative FROM sc GROUP BY 1")
+def class_priors(spark, sf_dir):
+    return r6(losses.class_priors(scores(spark, sf_dir), ["target"]), "positive", "negative")
+
+
+@query("WITH $SC, p AS (SELECT target, greatest(avg(label), 1e-6) AS f1, greatest(1 - avg(label), 1e-6) AS f2 FROM sc GROUP BY 1), q AS (SELECT target, label, 1 / (1 + exp(-4 * score)) AS s FROM sc) SELECT target, round(avg(-(label / f1 * ln(s + 1e-6) + (1 - label) / f2 * ln(1 - s + 1e-6))), 6) AS loss FROM q JOIN p USING (target) GROUP BY 1")
+def weighted_bce_value(spark, sf_dir):
+    s = scores(spark, sf_dir).withColumn("score", scalars.sigmoid(4 * F.col("score")))
+    return r6(losses.weighted_bce(s, ["target"]), "loss")
+
+
+@query("WITH $SC, q AS (SELECT session, label, round(1 / (1 + exp(-4 * score)), 4) AS s FROM sc), g AS (SELECT *, round(abs(s - label), 4) AS g, -(label * ln(s) + (1 - label) * ln(1 - s)) AS l, count(*) OVER (PARTITION BY session) AS n FROM q), b AS (SELECT *, n / (count(*) OVER (PARTITION BY session ORDER BY g RANGE BETWEEN 0.10005 PRECEDING AND 0.10005 FOLLOWING) / 0.10005 + 1e-12) AS beta FROM g) SELECT session, round(avg(beta * l), 5) AS loss, round(avg(l), 6) AS plain FROM b GROUP BY 1")
+def ghm_density(spark, sf_dir):
+    s = scores(spark, sf_dir).withColumn("score", F.round(scalars.sigmoid(4 * F.col("score")), 4))
+    out = losses.harmonised_bce(s, ["session"], 0.10005)
+    return out.select("session", F.round("loss", 5).alias("loss"), F.round("plain", 6).alias("plain"))
+
+
+_FUSE = "f AS (SELECT {0}, block, CAST(CAST(avg(score) AS FLOAT) AS DOUBLE) AS score, CAST(round_even(avg(label), 0) AS BIGINT) AS label FROM (SELECT *, (row_number() OVER (PARTITION BY {0} ORDER BY event_id) - 1) // {1} AS block FROM sc) GROUP BY ALL HAVING count(*) = {1})"
+
+
+@query(f"WITH $SC, {_FUSE.format('target, session', 5)} SELECT target, session, block, round(score, 6) AS score, label FROM f")
+def score_fusion_session(spark, sf_dir):
+    return r6(scoring.fuse(scores(spark, sf_dir), ["target", "session"], 5, ["event_id"]), "score")
+
+
+@query(f"WITH $SC, {_FUSE.format('target, label', 4).replace(', CAST(round_even(avg(label), 0) AS BIGINT) AS label', '')} SELECT target, label, block, round(score, 6) AS score FROM f")
+def score_fusion_label(spark, sf_dir):
+    s = scores(spark, sf_dir).withColumn("group", F.col("label"))
+    return r6(scoring.fuse(s, ["target", "group"], 4, ["event_id"]).select("target", F.col("group").alias("label"), "block", "score"), "score")
+
+
+_ROC = """k AS (SELECT target, score, sum(label) AS p, count(*) - sum(label) AS q FROM sc GROUP BY ALL), c AS (SELECT target, score, row_number() OVER w AS k, sum(q) OVER w / sum(q) OVER (PARTITION BY target) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY target) AS tpr FROM k WINDOW w AS (PARTITION BY target ORDER BY score DESC))"""
+
+
+@query(f"WITH $SC, {_ROC} SELECT target, k, round(score, 3) AS threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM c")
+def roc_curve(spark, sf_dir):
+    return scoring.roc(scores(spark, sf_dir), ["target"]).where("k > 0").select("target", "k", F.round("threshold", 3).alias("threshold"), F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+_AUC = "a AS (SELECT target, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auc FROM (SELECT *, rank() OVER (PARTITION BY target ORDER BY score) + (count(*) OVER (PARTITION BY target, score) - 1) / 2 AS r FROM sc) GROUP BY 1)"
+
+
+@query(f"WITH $SC, {_AUC} SELECT target, round(auc, 9) AS auc FROM a")
+def auc(spark, sf_dir):
+    return scoring.auc(scores(spark, sf_dir), ["target"]).select("target", F.round("auc", 9).alias("auc"))
+
+
+_EER = f"""{_ROC}, z AS (SELECT target, 0 AS k, 0.0 AS fpr, 0.0 AS tpr FROM k GROUP BY 1 UNION ALL SELECT target, k, fpr, tpr FROM c), l AS (SELECT *, 1 - fpr - tpr AS g, lead(fpr) OVER w AS f2, lead(1 - fpr - tpr) OVER w AS g2 FROM z WINDOW w AS (PARTITION BY target ORDER BY k)),
+  e AS (SELECT target, arg_min(CASE WHEN f2 = fpr THEN fpr ELSE fpr + (f2 - fpr) * g / (g - g2) END, k) AS e FROM l WHERE g >= 0 AND g2 <= 0 AND (g > 0 OR g2 < 0) GROUP BY 1)"""
+
+
+@query(f"WITH $SC, {_EER}, {_AUC} SELECT target, round(least(e, 1 - e), 9) AS eer, round(greatest(auc, 1 - auc), 9) AS auc FROM e JOIN a USING (target)")
+def eer(spark, sf_dir):
+    return scoring.equal_error(scores(spark, sf_dir), ["target"]).select("target", F.round("eer", 9).alias("eer"), F.round("auc", 9).alias("auc"))
+
+
+@query("WITH $SC, m AS (SELECT target, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn FROM sc GROUP BY 1), p AS (SELECT *, tp / (tp + fp + 1e-6) AS p, tp / (tp + fn + 1e-6) AS r FROM m) SELECT target, tp, fp, fn, tn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r + 1e-6), 9) AS f1, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy FROM p")
+def prf_at_threshold(spark, sf_dir):
+    out = scoring.at_threshold(scores(spark, sf_dir), F.lit(0.5), ["target"])
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "accuracy")})
+
+
+def _curve_sql() -> str:
+    parts = []
+    for n in (1, 2, 3):
+        fused = _FUSE.format("target, session", n)
+        body = fused[fused.index("(") + 1 : -1]
+        parts.append(f"SELECT {n} AS n, target, score, label FROM ({body})")
+    every = " UNION ALL ".join(parts)
+    tail = (_EER + ", " + _AUC).replace("target", "tn")
+    return f"WITH $SC0, sc AS (SELECT target * 100 + n AS tn, score, label FROM ({every})), {tail} SELECT CAST(tn % 100 AS BIGINT) AS n, round(avg(least(e, 1 - e)), 6) AS avg_eer, round(avg(greatest(auc, 1 - auc)), 6) AS avg_auc FROM e JOIN a USING (tn) GROUP BY 1".replace("$SC0", SQL_SCORES.replace("sc AS", "sc0 AS")).replace("FROM sc)", "FROM sc0)", 3)
+
+
+@query(_curve_sql())
+def fusion_curve_macro(spark, sf_dir):
+    return r6(scoring.macro(scoring.fusion_curve(scores(spark, sf_dir), ["target"], ["session"], ["event_id"], [1, 2, 3])), "avg_eer", "avg_auc")
+
+
+@query("WITH i AS (SELECT l_suppkey, l_partkey AS l, l_partkey + CAST(l_quantity AS BIGINT) AS r FROM lineitem), m AS (SELECT *, max(r) OVER (PARTITION BY l_suppkey ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i), g AS (SELECT *, sum(CAST(before IS NULL OR l > before + 1 AS INT)) OVER (PARTITION BY l_suppkey ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS covered FROM (SELECT l_suppkey, island, max(r) - min(l) + 1 AS n FROM g GROUP BY ALL) GROUP BY 1")
+def interval_coverage(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("l"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("r"))
+    return scoring.interval_cover(i, ["l_suppkey"], "l", "r")
+
+
+@query("SELECT o_orderkey, o_custkey, CAST(1 AS BIGINT) AS label, false AS is_imposter FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_custkey, CAST(0 AS BIGINT), true FROM orders WHERE o_orderstatus <> 'F'")
+def union_genuine_imposter(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    both = sessions.claimed(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'"))
+    return both.select("o_orderkey", "o_custkey", "label", "is_imposter")
+
+
+@query("WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, (SELECT max(n) FROM c) AS n FROM c")
+def oversampled(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return losses.balance(o, "o_orderpriority").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH $EV, d AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 8 HOUR AS new FROM (SELECT user_id, event_id, ts FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(CAST(coalesce(new, false) AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM d) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 28800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(spark, sf_dir):
+    g = gap_sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "8 hours", "1 hour")
+    return g.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+# ---------------------------------------------------------------- images (rows only)
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    t = kinematics.speed(kinematics.velocity(chunks(spark, sf_dir, 16), ["user_id", "window_id"], "copy"), ["user_id", "window_id"], "copy")
+    return raster.gather(t, ["user_id", "window_id"], ["x", "y", "v", "vx", "vy"])
+
+
+@query()
+def spectrogram_bounds(spark, sf_dir):
+    return spectral.global_bounds(spectral.matrices(_points(spark, sf_dir), spectral.log_spectrogram, "v"))
+
+
+@query()
+def fft_logmag(spark, sf_dir):
+    import numpy as np
+
+    def draw(points):
+        image = spectral.fourier(raster.polyline(raster.centred(points, 32), 32)[:, :, 0])
+        return image / max(float(np.max(image)), 1e-8)
+
+    return raster.render(_points(spark, sf_dir), draw, ["x", "y"])
+
+
+@query()
+def raster_polyline(spark, sf_dir):
+    return raster.render(_points(spark, sf_dir), lambda p: raster.polyline(raster.centred(p, 64), 64, thickness=2), ["x", "y"])
+
+
+@query()
+def heatmap(spark, sf_dir):
+    return raster.render(_points(spark, sf_dir), lambda p: raster.heat(raster.centred(p, 48), 48), ["x", "y"])
