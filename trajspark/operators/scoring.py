@@ -34,8 +34,8 @@ def roc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by,
         F.row_number().over(w).cast("long").alias("k"),
         F.col("score").cast("double").alias("threshold"),
-        (F.sum("q").over(w) / F.sum("q").over(whole)).alias("fpr"),
-        (F.sum("p").over(w) / F.sum("p").over(whole)).alias("tpr"),
+        F.try_divide(F.sum("q").over(w), F.sum("q").over(whole)).alias("fpr"),
+        F.try_divide(F.sum("p").over(w), F.sum("p").over(whole)).alias("tpr"),
     )
     start = counts.select(*by).distinct() if by else counts.limit(1).select()
     return points.union(start.select(*by, F.lit(0).cast("long"), F.lit(float("inf")), F.lit(0.0), F.lit(0.0)))
