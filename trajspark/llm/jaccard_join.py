@@ -8,9 +8,10 @@
    identical sets one class.
 3. Groups post their prefix shingles, packed, to buckets by shingle. Shingles of a
    single group end there.
-4. Each class is verified against one star centre: the group with which it shares
-   most shingles, and the first class of its own group. This joins copies without
-   listing their pairs.
+4. Each class is verified against a star centre, and against the first class of its
+   own group. The centre of a shingle is the holder whose shingles have the most
+   holders in sum, as the text that others were copied from; a class takes the
+   centre of most of its shingles. This joins copies without listing their pairs.
 5. Group pairs that share a shingle and aren't joined yet are filtered by size and
    by the count of shared prefix shingles, then expand to member classes of
    different components and are verified. So every link between components is
@@ -39,7 +40,7 @@ WIDTH, PERCENT = 5, 75
 #: Shingles that are ordered by count, at most (8 bytes each go to the driver and to all executors).
 HOT = 1 << 19
 #: Shingles that are counted together in a task.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Bytes of postings in a bucket, about.
 BUCKET_BYTES = 8 << 20
 #: Classes whose keys are sent to all executors, at most (8 bytes each); beyond, a shuffle picks their texts.
@@ -59,8 +60,10 @@ def sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, counts = kernels.word_spans(raw, offsets, kernels.SPACED)
     hashes, made = kernels.shingle_hashes(kernels.word_hashes(raw, starts, ends), counts, width)
     owner = np.repeat(np.arange(len(made)), made)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
+    edge = np.concatenate([[0], np.cumsum(made)]).tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if b - a > 1:
+            hashes[a:b].sort()
     first = np.ones(len(hashes), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     return hashes[first], np.bincount(owner[first], minlength=len(made))
@@ -128,14 +131,24 @@ def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray
     counted = docs.select("text").mapInArrow(count, "token long, n long, is_total boolean").groupBy("token", "is_total").agg(F.sum("n").alias("n"))
     counted = scratch.write_out(counted, "shingle-counts")
     total = counted.where("is_total").agg(F.sum("n")).first()[0] or 0
-    top = counted.where("not is_total").orderBy(F.desc("n"), "token").limit(HOT).select("token").toPandas()
-    token = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return (token[order], (len(token) - np.arange(len(token)))[order]), int(total)
+    # The least count that at most HOT shingles reach; counts of many shingles are few numbers.
+    sizes = counted.where("not is_total").groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect()
+    least, held = 1 << 62, 0
+    for row in sizes:
+        held += row.m
+        if held > HOT:
+            break
+        least = row.n
+    top = counted.where((~F.col("is_total")) & (F.col("n") >= least)).select("token", "n").toArrow()
+    token, n = (top.column(c).to_numpy() for c in ("token", "n"))
+    order = np.lexsort((token, n))[::-1]
+    token = token[order].view(np.uint64)
+    by_token = np.argsort(token)
+    return (token[by_token], (len(token) - np.arange(len(token)))[by_token]), int(total)
 
 
 def _postings(docs: DataFrame, hot, width: int, percent: int, buckets: int) -> DataFrame:
-    """(token, g, n, centre): prefix shingles that two groups or more have; centre: the least of them."""
+    """(token, g, n, df): prefix shingles that two groups or more have, and how many have them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,12 +192,12 @@ def _postings(docs: DataFrame, hot, width: int, percent: int, buckets: int) -> D
         head = np.ones(len(token), bool)
         head[1:] = token[1:] != token[:-1]
         at = np.cumsum(head) - 1
-        shared = np.bincount(at)[at] > 1
-        centre = own[np.flatnonzero(head)][at]
-        return pa.table({"token": token[shared].view(np.int64), "g": own[shared].view(np.int64), "n": n[shared].astype(np.int64), "centre": centre[shared].view(np.int64)})
+        df = np.bincount(at)[at]
+        shared = df > 1
+        return pa.table({"token": token[shared].view(np.int64), "g": own[shared].view(np.int64), "n": n[shared].astype(np.int64), "df": df[shared]})
 
     packed = docs.select("text").mapInArrow(emit, "bucket int, token binary, owner binary, g binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "token long, g long, n long, centre long")
+    return packed.groupBy("bucket").applyInArrow(meet, "token long, g long, n long, df long")
 
 
 def _members(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
@@ -269,9 +282,14 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int =
     classes = scratch.write_out(members.where("sig is not null").groupBy("g", "sig", "n").agg(F.min("id").alias("id")), "classes")
 
     # Stars: the centre that shares most shingles, and the first class of the own group.
-    first = classes.groupBy("g").agg(F.min("sig").alias("b"), F.count("*").alias("size"))
-    near = posted.where("g <> centre").groupBy("g", "centre").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
-    across = classes.join(near, "g").select(F.col("sig").alias("a"), F.col("centre").alias("g")).join(first.select("g", "b"), "g").select("a", "b")
+    # Only promising stars of three groups or more: step 5 finds the links that they leave out.
+    first = classes.groupBy("g").agg(F.min("sig").alias("b"), F.min("n").alias("m"), F.count("*").alias("size"))
+    common = posted.where("df > 2").select("token", "g", "df")
+    known = common.groupBy("g").agg(F.sum("df").alias("known"))
+    centres = common.join(known, "g").groupBy("token").agg(F.max(F.struct("known", "g"))["g"].alias("centre"))
+    near = common.join(centres, "token").where("g <> centre").groupBy("g", "centre").agg(F.count("*").alias("c")).groupBy("g").agg(F.max("c").alias("c"), F.max_by("centre", F.struct("c", "centre")).alias("centre"))
+    across = classes.join(near, "g").select(F.col("sig").alias("a"), "n", "c", F.col("centre").alias("g")).join(first.select("g", "b", "m"), "g")
+    across = across.where(_may_link(F.col("n"), F.col("m"), 2 * F.col("c"), percent)).select("a", "b")
     within = classes.join(first.where("size > 1"), "g").where("sig <> b").select(F.col("sig").alias("a"), "b")
     stars = scratch.write_out(across.union(within), "star-pairs")
     linked = scratch.write_out(_verified(docs, stars, width, percent), "star-links")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,7 +107,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of the words, ASCII case folded: a polynomial in the bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = max(SLICE_BYTES * 2, 1 << int(len(raw)).bit_length())
+    size = max(SLICE_BYTES, 1 << int(len(raw) - 1).bit_length())
     up, down = _powers(size)
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)

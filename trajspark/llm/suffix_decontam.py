@@ -33,7 +33,7 @@ WINDOW = 13
 #: Benchmark text in one pass.
 BLOCK_BYTES = 8 << 20
 #: Text of one suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _STATE = "hit_spans", "items", "longest", "n_hit"
 
