@@ -222,10 +222,10 @@ def user_bounds(spark, sf_dir):
     return r6(bounds.user_bounds(trajectories(spark, sf_dir), KEY), "min_x", "max_x", "diag")
 
 
-@query(f"WITH $EV, {_BOUNDS} SELECT event_id, round(x - coalesce(min_x, 0), 6) AS x, round(y - coalesce(min_y, 0), 6) AS y, round(coalesce(max_x, 1919), 6) AS max_x, coalesce(max_y, 1079) AS max_y FROM ev LEFT JOIN (SELECT * FROM b WHERE user_id % 3 <> 0) b USING (user_id)")
+@query(f"WITH $EV, {_BOUNDS} SELECT event_id, round(x - coalesce(min_x, 0), 6) AS x, round(y - coalesce(min_y, 0), 6) AS y, round(coalesce(max_x, 1919), 6) AS max_x, coalesce(max_y, 1079) AS max_y FROM ev LEFT JOIN b USING (user_id)".replace("FROM ev GROUP BY 1", "FROM ev WHERE kind = 'signup' AND x > 200 GROUP BY 1"))
 def bounds_join_default(spark, sf_dir):
     t = trajectories(spark, sf_dir)
-    b = bounds.user_bounds(t, KEY).where("user_id % 3 <> 0")
+    b = bounds.user_bounds(t.where("kind = 'signup' and x > 200"), KEY)  # many users have no such row
     return r6(bounds.shifted(bounds.with_bounds(t, b, KEY)).select("event_id", "x", "y", "max_x", "max_y"), "x", "y", "max_x")
 
 
@@ -275,13 +275,13 @@ def ecdf_average_rank(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_ECDF}, k AS (SELECT v, cdf FROM c WHERE CAST(round(v * 10) AS BIGINT) % 7 = 0), l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 7.3 - 20 AS x FROM lineitem),
+    f"""WITH {_ECDF}, k AS (SELECT v, cdf FROM c), l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 7.37 - 20 AS x FROM lineitem),
     lo AS (SELECT l.*, k.v AS v0, k.cdf AS c0 FROM l ASOF LEFT JOIN k ON l.x >= k.v), hi AS (SELECT lo.*, k.v AS v1, k.cdf AS c1 FROM lo ASOF LEFT JOIN k ON lo.x <= k.v)
     SELECT round(x, 4) AS x, count(*) AS n, round(any_value(CASE WHEN v1 IS NULL THEN 1 WHEN v1 = x THEN c1 WHEN v0 IS NULL THEN 0 ELSE c0 + (c1 - c0) * (x - v0) / (v1 - v0) END), 9) AS cdf FROM hi GROUP BY round(x, 4)"""
 )
 def ecdf_lookup_interp(spark, sf_dir):
-    e = distribution.global_ecdf(table(spark, sf_dir, "events").select(F.round("value", 1).alias("v")), "v").where(F.round(F.col("value") * 10).cast("long") % 7 == 0)
-    x = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 7.3 - 20).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
+    e = distribution.global_ecdf(table(spark, sf_dir, "events").select(F.round("value", 1).alias("v")), "v")
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 7.37 - 20).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
     return distribution.ecdf_lookup(x, "q", e).select(F.round("q", 4).alias("x"), "n", F.round("cdf", 9).alias("cdf"))
 
 
@@ -322,9 +322,9 @@ def per_window(p: DataFrame, value: str = "d") -> DataFrame:
     return p.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), (F.round(F.avg(v), 6) + F.lit(0.0)).alias("mean"), F.round(F.max(v), 6).alias("max"), (F.round(F.sum(v * (F.col("i") * SIZE + F.col("j"))), 4) + F.lit(0.0)).alias("weighed"))
 
 
-@query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')} SELECT user_id, window_id, i, j, round(least(d, 1.0), 6) AS d FROM p WHERE user_id % 10 = 1")
+@query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')} SELECT user_id, window_id, i, j, round(least(d, 1.0), 6) AS d FROM p")
 def pairwise_srp(spark, sf_dir):
-    return r6(recurrence.clipped(chunks(spark, sf_dir).where("user_id % 10 = 1"), KEY).select("user_id", "window_id", "i", "j", "d"), "d")
+    return r6(recurrence.clipped(chunks(spark, sf_dir), KEY).select("user_id", "window_id", "i", "j", "d"), "d")
 
 
 @query(f"WITH $EV, {_CHUNK}, {_pairs_sql('c')}, e AS (SELECT user_id, window_id, quantile_cont(d, 0.95) AS eps FROM p GROUP BY ALL), k AS (SELECT user_id, window_id, i, j, least(d, eps) AS d FROM p JOIN e USING (user_id, window_id)), s AS (SELECT user_id, window_id, i, j, (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) AS d FROM k WINDOW w AS (PARTITION BY user_id, window_id)) " + _PER_WINDOW.format("d", "s"))
