@@ -13,7 +13,7 @@
    holders in sum, as the text that others were copied from; a class takes the
    centre of most of its shingles. This joins copies without listing their pairs.
 5. Group pairs that share a shingle and aren't joined yet are filtered by size and
-   by the count of shared prefix shingles, then expand to member classes of
+   by what their prefixes can share and do share, then expand to member classes of
    different components and are verified. So every link between components is
    found, and the components are exact.
 
@@ -298,11 +298,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int =
     # The rest: pairs of groups, or of classes in a group, that aren't of one component yet.
     by_class = scratch.write_out(classes.join(joined, "sig", "left").select("g", "sig", "n", "id", F.coalesce("root", "sig").alias("root")), "joined")
     by_group = by_class.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    placed = scratch.write_out(posted.select("token", "g", "n").join(by_group, "g"), "placed")
+    # No pair shares more prefix shingles than either group has that any other group has.
+    held = posted.groupBy("g").agg(F.count("*").alias("held"))
+    placed = scratch.write_out(posted.select("token", "g", "n").join(by_group.join(held, "g"), "g"), "placed")
     open_ = placed.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
     rest = placed.join(open_, "token", "left_semi")
     x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))) & _may_link(F.col("x.n"), F.col("y.n"), F.least("x.held", "y.held"), percent))
     shared = met.groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
     groups = shared.where(_may_link(F.col("na"), F.col("nb"), F.col("c"), percent)).select("ga", "gb")
     split = by_group.where("low <> high").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
