@@ -3,7 +3,7 @@
 The n-gram count table is partitioned by hash range. Documents are dealt to chunks
 by hash; a chunk lists its distinct n-grams of every order with their counts, cut
 by hash range. A range sums all lists into its part of the table and joins it back
-to them: the answers, in the order of the lists, return to their chunks. There the
+to them: the counts in other chunks, in the order of the lists, return to their chunks. There the
 documents' exploded n-grams look up their counts and the log scores are summed per
 document. An n-gram is sent once a chunk, however frequent it is, so no key is hot.
 
@@ -16,7 +16,7 @@ A history is counted as an n-gram of its own.
 Words are runs of anything but space, tab, LF, VT, FF, CR; A-Z are lower-cased.
 Defined results: null or empty text has no words, log score 0 and a null mean;
 copies are scored from each other, repeated rows too; other columns pass through,
-columns named as outputs are replaced. N-grams are known by 64-bit hashes.
+columns named as outputs are replaced. N-grams are known by 56-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from trajspark.llm import kernels
 ORDER = 3
 ALPHA = 0.4
 #: Text of a chunk and n-grams of a hash range, about; both are what a task holds.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 5 << 20
 RANGE_ROWS = 2_000_000
+#: Bits of an n-gram's hash: of n different ones, each shares its hash with another at odds of n / 2^56.
+KEY_BITS = 56
 #: Stands for the number of all words.
 _TOTAL = np.uint64(0)
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -53,7 +55,7 @@ def ngrams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.n
             else:
                 rolled = words.copy()
             inside = place - start >= k - 1
-            out.append((place[inside], np.maximum(kernels.mix(rolled[inside] + np.uint64(k)), np.uint64(1))))
+            out.append((place[inside], np.maximum(kernels.mix(rolled[inside] + np.uint64(k)) >> np.uint64(64 - KEY_BITS), np.uint64(1))))
     return out
 
 
@@ -88,7 +90,7 @@ def _listed(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
 def log_scores(n: np.ndarray, listed: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, alpha: float) -> np.ndarray:
@@ -139,14 +141,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int
         total = np.add.reduceat(times[by], head)
         found = np.empty(len(every), np.int64)
         found[by] = np.repeat(total, np.diff(np.append(head, len(by))))
+        found -= times  # most n-grams are nowhere else, and zeros compress
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "totals": pa.array([pack(x) for x in np.split(found, cuts)], pa.binary())})
 
     def settle(docs: pa.Table, answers: pa.Table) -> pa.Table:
         body = docs.column(text).combine_chunks() if docs.num_rows else pa.array([], pa.string())
-        n, _, _, listed = _listed(body, order)
+        n, _, times, listed = _listed(body, order)
         parts = sorted(zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        total = np.concatenate([unpack(x, np.int64) for _, x in parts])
+        total = np.concatenate([unpack(x, np.int64) for _, x in parts]) + times
         words = log_scores(n, listed, total, alpha)
         sums = np.concatenate([[0.0], np.cumsum(words)])
         edge = np.concatenate([[0], np.cumsum(n)])
