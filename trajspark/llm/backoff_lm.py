@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,13 +61,14 @@ def ngrams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.n
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers by planes of bytes, so that small ones compress."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Numbers by planes of bytes, entropy-coded: small ones take few bits."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
 def _listed(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
