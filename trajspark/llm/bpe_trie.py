@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from trajspark.llm import kernels
 
-#: Encoded words kept by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 500_000
-CACHE_PAIRS = 500_000
+#: Encoded words and judged token pairs kept in a task; each cache starts anew beyond it.
+CACHE_WORDS = 350_000
+CACHE_PAIRS = 350_000
 END = "</w>"
 
 
@@ -203,6 +203,11 @@ class TrieEncoder:
             self.plain_words[piece] = self.words[level]
         return [b"".join(part if isinstance(part, bytes) else b"".join(map(part[0].__getitem__, part[1])) for part in row) for row in parts]
 
+    def forget(self) -> None:
+        """Free the caches: workers outlive tasks, and the next one may be another operator's."""
+        for cache in (self.words, self.plain_words, self.pairs):
+            cache.clear()
+
     def decode_all(self, ids: list[bytes]) -> list[str]:
         """Token strings joined by a space, as a file without a decoder has it."""
         get = self.names.__getitem__
@@ -229,12 +234,15 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
-            for part in kernels.slices(batch, text):
-                ids = own.encode_all(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(own.decode_all(ids), pa.string())],
-                    [*kept, "ids", "n_tokens", "decoded"],
-                )
+        try:
+            for batch in batches:
+                for part in kernels.slices(batch, text):
+                    ids = own.encode_all(part.column(text).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in kept), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(own.decode_all(ids), pa.string())],
+                        [*kept, "ids", "n_tokens", "decoded"],
+                    )
+        finally:
+            own.forget()
 
     return df.select(*kept).mapInArrow(run, schema) if text in kept else df.mapInArrow(run, schema)
