@@ -44,6 +44,40 @@ def test_longest_match_and_removal(spark):
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2]
 
 
+def test_every_copy_has_its_longest_match(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    part = " ".join(f"w{i}" for i in range(4, 25))
+    docs = [(1, item), (2, f"a b {part} c"), (3, f"x {item}"), (4, f"{part} {part}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("r", item), ("q", item)], "item_id string, text string")
+    got = {r.doc_id: tuple(r.longest) for r in suffix_decontam.mark(df, bench).collect()}
+    assert got == {1: ("q", 0, 30), 2: ("q", 2, 21), 3: ("q", 1, 30), 4: ("q", 0, 21)}
+
+
+def _longest(text, items, window=13):
+    doc, found = brute.words(text, brute.ALNUM), []
+    for item_id, body in items:
+        item = brute.words(body, brute.ALNUM)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k]:
+                    k += 1
+                if k >= min(window, len(item)):
+                    found.append((-k, i, str(item_id)))
+    return min(found, default=None)
+
+
+@pytest.mark.parametrize(("block", "window"), [(suffix_decontam.BLOCK_BYTES, 13), (120, 13), (120, 1)])
+def test_longest_equals_brute_force(spark, monkeypatch, block, window):
+    monkeypatch.setattr(suffix_decontam, "BLOCK_BYTES", block)
+    docs, items = _rows(6, 25)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.longest and (-r.longest.words, r.longest.place, r.longest.item_id)) for r in suffix_decontam.mark(df, bench, window=window).collect()]
+    assert sorted(got, key=str) == sorted(((i, _longest(t, items, window)) for i, t in docs), key=str)
+
+
 def test_suffix_array_sorts_suffixes():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 3, 200)

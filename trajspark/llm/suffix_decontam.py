@@ -1,10 +1,11 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Every slice of documents is a shard: its words become a suffix array, in which
-each suffix of each benchmark item is found by binary search. That gives the
-longest verbatim match and its place, and for each window of an item the range
-of suffixes that start with it, hence every occurrence. Documents are never
-shuffled: shards are searched where they are read.
+each suffix of each benchmark item is found by binary search. That gives for each
+window of an item the range of suffixes that start with it, hence every
+occurrence; those of consecutive windows at consecutive places join to verbatim
+matches, of which each document has its longest. Documents are never shuffled:
+shards are searched where they are read.
 
 Only runs of words that the benchmark knows can match, so a shard's array holds
 those runs alone; this drops no match. Benchmarks are sent to the executors in
@@ -111,7 +112,7 @@ def bisect(text: np.ndarray, order: np.ndarray, words: np.ndarray, query: np.nda
 
 
 def search(known: np.ndarray, doc: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of windows in one shard: word place, window size, item, and the longest matches: place, item, words.
+    """Occurrences of windows in one shard: word place, window size, item, and the verbatim matches they join to: place, item, words.
 
     known: the benchmark's ids of the shard's words, 0 for others; doc: their texts.
     """
@@ -140,17 +141,25 @@ def search(known: np.ndarray, doc: np.ndarray, block: Block) -> tuple[np.ndarray
     before = np.where(low > 0, order[np.maximum(low - 1, 0)], -1)
     behind = np.where(low < len(order), order[np.minimum(low, len(order) - 1)], -1)
     a, b = _common(text, before, block.words, every, rest), _common(text, behind, block.words, every, rest)
-    longest, at = np.maximum(a, b), np.where(a >= b, before, behind)
-
-    live = longest[block.window_at] >= block.window_size
+    live = np.maximum(a, b)[block.window_at] >= block.window_size
     start, size = block.window_at[live], block.window_size[live]
     if not len(start):
         return none
     first = bisect(text, order, block.words, start, size, after=False)
     count = bisect(text, order, block.words, start, size, after=True) - first
     spread = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    best = np.flatnonzero(longest >= least)
-    return where[order[spread]], np.repeat(size, count), np.repeat(block.item[start], count), where[at[best]], block.item[best], longest[best]
+    found, size, window = where[order[spread]], np.repeat(size, count), np.repeat(start, count)
+    item = block.item[window]
+    return found, size, item, *_matches(found, size, item, window, doc)
+
+
+def _matches(place: np.ndarray, size: np.ndarray, item: np.ndarray, window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of occurrences that go on by a word in document and item alike: place, item, words."""
+    by = np.lexsort((place, place - window))
+    p, w, k = place[by], window[by], item[by]
+    new = np.concatenate([[True], (np.diff(p) != 1) | (np.diff(w) != 1) | (np.diff(k) != 0) | (np.diff(doc[p]) != 0)])
+    first = np.flatnonzero(new)
+    return p[first], k[first], size[by[first]] + np.diff(np.append(first, len(p))) - 1
 
 
 def _union(spans: np.ndarray) -> np.ndarray:
@@ -185,7 +194,8 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
     Columns: n_words, hit_spans (word places, first and end in turn, that
     occurrences of windows cover), n_hit (words in them), items (ids of items with
     occurring windows, sorted), n_items, longest (item, word place in the text and
-    words of the longest verbatim match that a suffix search met, null if none),
+    words of the document's longest verbatim match of a window or more, null if none;
+    of equally long ones the first in the text, then of the least item id),
     contaminated (a twentieth of the words or more).
     """
     own = ["n_words", "n_items", "contaminated", *_STATE]
@@ -223,10 +233,13 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
                         at = place[mine] - base[r]
                         spans.setdefault(int(r), []).append(np.stack([at, at + size[mine]], axis=1))
                         names.setdefault(int(r), set()).update(block.names[k] for k in np.unique(item[mine]))
-                    for p, k, w in sorted(zip(best_place.tolist(), best_item.tolist(), best_words.tolist(), strict=True), key=lambda x: (x[2], -x[0])):
-                        r = int(doc[p])
-                        if longest[r] is None or w >= longest[r]["words"]:
-                            longest[r] = {"item_id": block.names[k], "place": p - int(base[r]), "words": w}
+                    owner, top = doc[best_place], np.zeros(n, np.int64)
+                    np.maximum.at(top, owner, best_words)
+                    for j in np.flatnonzero(best_words == top[owner]):
+                        r = int(owner[j])
+                        new = {"item_id": block.names[best_item[j]], "place": int(best_place[j] - base[r]), "words": int(best_words[j])}
+                        if longest[r] is None or (-new["words"], new["place"], new["item_id"]) < (-longest[r]["words"], longest[r]["place"], longest[r]["item_id"]):
+                            longest[r] = new
                     covered = [_union(np.concatenate(spans[r])) if r in spans else np.zeros((0, 2), np.int64) for r in range(n)]
                     yield pa.RecordBatch.from_arrays(
                         [
