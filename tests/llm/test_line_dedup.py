@@ -1,3 +1,5 @@
+import random
+
 from trajspark.llm import line_dedup, registry
 
 LONG = "the quick brown fox jumps over the lazy old dog"
@@ -45,3 +47,45 @@ def test_query(spark, sf):
     got = registry.QUERIES["op6_line_dedup"](spark, sf).collect()
     assert {r.doc_id: (r.text, r.removed_offsets) for r in got} == {i: (t, ",".join(f"{a}-{b}" for a, b in s)) for i, (t, s) in expected.items()}
     assert sum(r.n_removed for r in got) > 0
+
+
+def plain_runs(rows, least=10, run=20):
+    """Rows of (id, text) with distinct ids: places of the lines that go as runs of short lines."""
+    seen, gone = {}, {i: set() for i, _ in rows}
+    for doc, text in sorted(rows):
+        said = [(k, line.lower().split()) for k, line in enumerate(text.split("\n")) if line.split()]
+        for a in range(len(said)):
+            for b in range(a, len(said)):
+                part = said[a : b + 1]
+                if max(len(w) for _, w in part) >= least:
+                    break
+                if sum(len(w) for _, w in part) < run:
+                    continue
+                key = tuple(tuple(w) for _, w in part)
+                other, upto = seen.setdefault(key, (doc, part[-1][0]))
+                if other != doc or part[0][0] > upto:
+                    gone[doc] |= set(range(part[0][0], part[-1][0] + 1))
+    return gone
+
+
+def test_runs_of_short_lines(spark):
+    verse = [f"verse {k} of a song" for k in range(12)]
+    rows = [(1, "\n".join(verse)), (2, "\n".join(["other", *verse, "end here"])), (3, "\n\n".join([*verse[1:8], LONG, *verse[8:]])), (4, "\n".join(["la la"] * 30)), (5, "\n".join(verse[:3]))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), run_words=20).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("other\nend here", 12) and got[5] == (rows[4][1], 0)
+    assert got[3] == (f"\n{LONG}\n", 20) and got[4] == ("\n".join(["la la"] * 10), 20)
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 3, 6, 9])))
+    pool = [line() for _ in range(14)]
+    rows = []
+    for i in range(30):
+        lines = [rng.choice(pool) if rng.random() < 0.3 else line() for _ in range(rng.randrange(12))]
+        at = rng.randrange(6)
+        rows.append((i, "\n".join(lines[:4] + pool[at : at + rng.randrange(2, 10)] + [f"{LONG} {i}"] * rng.randrange(2) + lines[4:])))
+    want = plain_runs(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), run_words=20).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
+    assert sum(map(len, want.values())) > 20

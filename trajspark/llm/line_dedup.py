@@ -7,8 +7,14 @@ grouped by 128-bit digest over all documents. The occurrence that ranks first, b
 text kept. Minima combine before the shuffle and only digests met twice are
 joined back, so a line may be in any share of the documents.
 
+With ``run_words``, runs of shorter lines are units too: from each such line, and
+up to each, the fewest following or preceding ones that have ``run_words`` words
+together, longer lines excluded, lines without words skipped. Every line of a
+repeated run of so many words is in one of these that is repeated itself. One goes
+whole, blank lines inside it too, unless it overlaps the occurrence that stays.
+
 Defined results: null text stays null and an id of null ranks last; shorter lines
-always stay; a document may lose all lines and then has an empty text; rows that
+stay unless ``run_words`` is given; a document may lose all lines and then has an empty text; rows that
 are alike in id and text are one document repeated and fare alike; other columns
 pass through, except that columns named as outputs are replaced.
 """
@@ -17,31 +23,73 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 10
+#: Words of a run of shorter lines, where such runs are to go.
+RUN_WORDS = 50
 _SPACE = r"[ \t\r\x0b\x0c]+"
 
 
+def _normal(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(raw, string.ascii_uppercase, string.ascii_lowercase), _SPACE, " "))
+
+
+def _n_words(unit: Column) -> Column:
+    return F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
+
+
 def units(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
     """(digest, rank): the units of all documents; rank: struct of no_id, id, hash, line."""
     lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.posexplode(F.split(text, "\n", -1)).alias("line", "raw"))
-    normal = F.trim(F.regexp_replace(F.translate("raw", string.ascii_uppercase, string.ascii_lowercase), _SPACE, " "))
-    spoken = lines.select("id", "hash", "line", normal.alias("unit")).where((F.col("unit") != "") & (F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) + 1 >= min_words))
+    spoken = lines.select("id", "hash", "line", _normal(F.col("raw")).alias("unit")).where((F.col("unit") != "") & (_n_words(F.col("unit")) >= min_words))
     return spoken.select(F.unhex(F.md5("unit")).alias("digest"), F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "line").alias("rank"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with repeated lines taken from its text, and with
+def runs(df: DataFrame, id_col: str, text: str, min_words: int, run_words: int) -> DataFrame:
+    """(digest, rank): the runs of lines of under min_words; rank: struct of no_id, id, hash, line, upto (last line)."""
+    spoken = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), _normal(x).alias("unit"))), lambda x: x["unit"] != "")
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.transform(spoken, lambda x: F.struct(x["line"], x["unit"], _n_words(x["unit"]).alias("n"))).alias("_s"))
+    docs = docs.where(F.aggregate("_s", F.lit(0), lambda n, x: n + F.when(x["n"] < min_words, x["n"]).otherwise(0)) >= run_words)
+
+    def lines_of(part: Column) -> Column:
+        """How many of the first lines have run_words words; 0 if a longer line or the end comes first."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")),
+            lambda s, x: F.when((s["n"] >= run_words) | (s["n"] < 0), s).when(x["n"] >= min_words, F.struct(F.lit(-1).alias("n"), s["k"].alias("k"))).otherwise(F.struct((s["n"] + x["n"]).alias("n"), (s["k"] + 1).alias("k"))),
+            lambda s: F.when(s["n"] >= run_words, s["k"]).otherwise(0),
+        )
+
+    places, size = F.sequence(F.lit(1), F.size("_s")), F.lit(run_words)
+    on = F.transform(places, lambda i: F.struct(i.alias("a"), lines_of(F.slice("_s", i, size)).alias("k")))
+    back = F.transform(places, lambda i: F.struct(i.alias("b"), lines_of(F.reverse(F.slice("_s", F.greatest(i - size + 1, F.lit(1)), F.least(i, size)))).alias("k")))
+    both = F.concat(on, F.transform(back, lambda x: F.struct((x["b"] - x["k"] + 1).alias("a"), x["k"])))
+    found = docs.select("id", "hash", "_s", F.explode(F.array_distinct(F.filter(both, lambda x: x["k"] > 0))).alias("r")).select("id", "hash", F.slice("_s", F.col("r.a"), F.col("r.k")).alias("_s"))
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", F.element_at("_s", 1)["line"].alias("line"), F.element_at("_s", -1)["line"].alias("upto"))
+    return found.select(F.unhex(F.md5(F.array_join(F.transform("_s", lambda x: x["unit"]), "\n"))).alias("digest"), rank.alias("rank"))
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """(rank, first) of all units met twice or more."""
+    first = found.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    return found.join(first, "digest").where("rank <> first")
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
+    """``df`` with repeated lines, and runs of shorter lines if run_words is given, taken from its text, and with
 
     n_removed (lines) and removed_spans (start and end of each in the original
     text, in code points, the line feed not included).
     """
     base = df.drop("n_removed", "removed_spans")
-    found = units(base, id_col, text, min_words)
-    first = found.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    gone = found.join(first, "digest").where("rank <> first").groupBy(F.col("rank.id").alias("_id"), F.col("rank.hash").alias("_hash")).agg(F.collect_set("rank.line").alias("_gone"))
+    lines = _repeated(units(base, id_col, text, min_words)).select("rank.id", "rank.hash", "rank.line")
+    if run_words is not None:
+        apart = "rank.no_id <> first.no_id or not rank.id <=> first.id or rank.hash <> first.hash or rank.line > first.upto"
+        short = _repeated(runs(base, id_col, text, min_words, run_words)).where(apart)
+        lines = lines.unionByName(short.select("rank.id", "rank.hash", F.explode(F.sequence("rank.line", "rank.upto")).alias("line")))
+    gone = lines.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"))
     whole = base.withColumn("_own", F.xxhash64(text))
     both = whole.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left").withColumn("_lines", F.split(text, "\n", -1))
     kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
