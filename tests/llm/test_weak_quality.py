@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trajspark.llm import registry, weak_quality
 
@@ -37,6 +38,23 @@ def test_odd_rows(spark):
     assert weak_quality.classify(got.limit(0)).count() == 0
 
 
+def test_copies_of_one_text_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(weak_quality, "TRAIN_ROWS", 60)
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    clean = [" ".join(word() for _ in range(80)) + "." for _ in range(200)]
+    junk = [" ".join(rng.choice(["$$$", "***", "###", "<|>"]) + word()[:1] for _ in range(90)) for _ in range(100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(clean + junk)], "doc_id long, text string")
+    first = df.where("doc_id < 200").orderBy(F.xxhash64("text")).first().text
+    rows = df.unionByName(spark.range(1000, 1300).select(F.col("id").alias("doc_id"), F.lit(first).alias("text")))
+    kept = {r.doc_id: r.kept for r in weak_quality.classify(rows).collect()}
+    assert len(kept) == 600 and all(k == (i < 200 or i >= 1000) for i, k in kept.items())
+    votes = df.unionByName(rows).select(F.xxhash64("text").alias("hash"), F.lit(0).alias("pattern"), F.array(F.lit(1)).alias("i"), F.array(F.lit(1.0)).alias("v"))
+    want = sorted({r.hash for r in votes.collect()})
+    for n in (1, 60, 299, 300, 400):
+        assert [r.hash for r in weak_quality._sample(votes, n)] == want[:n]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

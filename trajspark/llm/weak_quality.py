@@ -4,8 +4,8 @@ Eight overlapping heuristic labellers vote good, bad or abstain on every whole
 text. Votes are counted by pattern (at most 3^8 rows reach the driver, for any
 corpus) and expectation-maximisation on the counts estimates each labeller's vote
 rates among good and bad texts, hence a posterior for every pattern. Posteriors
-of ``TRAIN_ROWS`` texts, those of the smallest text hashes, train a linear scorer
-on hashed word shapes; it then scores every text.
+of ``TRAIN_ROWS`` different texts, those of the smallest text hashes, train a linear
+scorer on hashed word shapes; it then scores every text. Copies count once in that.
 
 Defined results: a text without words, or null, has no features and is rejected;
 repeated rows are judged alike; an empty table gives no rows; all columns pass
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,6 +149,18 @@ def _described(part: pa.RecordBatch, text: str) -> list[tuple[int, list[int], li
     return [describe(s, t) for s, t in zip(shapes(part.column(text)), part.column(text).to_pylist(), strict=True)]
 
 
+def _sample(votes: DataFrame, rows: int) -> list[Row]:
+    """hash, pattern, i, v of the different texts with words of the ``rows`` smallest hashes, in their order."""
+    spoken = votes.where("size(i) > 0")
+    share = 1.25 * rows / max(1, spoken.agg(F.approx_count_distinct("hash")).first()[0])
+    while True:
+        some = spoken if share >= 1 else spoken.where(F.col("hash") < int(share * 2**64) - 2**63)
+        found = some.dropDuplicates(["hash", "pattern"]).collect()
+        if share >= 1 or len(found) >= rows:
+            return sorted(found, key=lambda r: (r.hash, r.pattern))[:rows]
+        share *= 2
+
+
 def classify(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add posterior (of good, from the votes), score (the scorer's probability of good) and kept."""
     own = ["posterior", "score", "kept"]
@@ -166,7 +178,7 @@ def classify(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     votes = scratch.write_out(votes, "votes")
     table = votes.groupBy("pattern").count().toPandas()
     posterior = estimate(table["pattern"].to_numpy(np.int64), table["count"].to_numpy(np.float64)) if len(table) else {}
-    sample = votes.where("size(i) > 0").orderBy("hash", "pattern").limit(TRAIN_ROWS).select("pattern", "i", "v").collect()
+    sample = _sample(votes, TRAIN_ROWS)
     weights, bias = fit([(np.array(r.i, np.int64), np.array(r.v, np.float32)) for r in sample], np.array([posterior[r.pattern] for r in sample]))
     weights = weights.astype(np.float64)
 
