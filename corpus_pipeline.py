@@ -19,10 +19,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document of the least id stays; documents without words stay."""
-    linked = jaccard_join.link(docs)
-    first = linked.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+    """Of each component of near copies, one row stays: the first by id (null last), text hash and columns.
+
+    All rows without words stay.
+    """
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    linked = jaccard_join.link(keyed, "_key").where("_key <=> component_id")
+    first = scratch.write_out(linked.groupBy("_key").agg(F.min(F.when(F.col("n_shingles") > 0, F.lit(1)).otherwise(0)).alias("worded"), F.count("*").alias("n")).select("_key.*", (F.col("worded") * F.col("n") > 1).alias("repeated")), "kept")
+    same = F.col("_key.id").eqNullSafe(F.col("id")) & (F.col("_key.hash") == F.col("hash"))
+    once = keyed.join(first.where("not repeated"), same, "left_semi").select(docs.columns)
+    again = keyed.join(first.where("repeated"), same, "left_semi")
+    return once.union(again.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

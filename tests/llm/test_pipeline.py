@@ -30,3 +30,13 @@ def test_stages_keep_the_columns(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES][:2] == ["quality_classifier", "ngram_jaccard_join"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_one_row_of_a_component_stays(spark, sf):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    near = a.replace("a39", "z")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "w"), (2, a, "x"), (1, b, "x"), (0, b, "x"), (None, near, "x"), (None, c, "x"), (None, c, "y"), (None, d, "x"), (7, None, "x"), (7, None, "x"), (None, "", "x"), (None, "", "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    got = sorted(((r.doc_id, r.text, r.source) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf).collect()), key=str)
+    want = [(1, a, "w"), (0, b, "x"), (None, c, "x"), (None, d, "x"), (7, None, "x"), (7, None, "x"), (None, "", "x"), (None, "", "x")]
+    assert got == sorted(want, key=str)
