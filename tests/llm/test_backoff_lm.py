@@ -53,3 +53,11 @@ def test_empty_table(spark):
 def test_pack():
     x = np.array([0, 1, 2**63, 12345], np.uint64)
     assert backoff_lm.unpack(backoff_lm.pack(x), np.uint64).tolist() == x.tolist()
+
+
+def test_keys_have_64_bits():
+    words = np.random.default_rng(0).integers(0, 2**63, 4000, dtype=np.uint64)
+    keys = np.concatenate([h for _, h in backoff_lm.ngrams(words, np.array([4000]), 3)])
+    assert keys.max() >= 2**63 and backoff_lm.unpack(backoff_lm.pack(keys), np.uint64).tolist() == keys.tolist()
+    ranges = backoff_lm._range_of(np.sort(keys), 7)
+    assert (np.diff(ranges.astype(int)) >= 0).all() and set(ranges.tolist()) == set(range(7))

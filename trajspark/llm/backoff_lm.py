@@ -16,7 +16,7 @@ A history is counted as an n-gram of its own.
 Words are runs of anything but space, tab, LF, VT, FF, CR; A-Z are lower-cased.
 Defined results: null or empty text has no words, log score 0 and a null mean;
 copies are scored from each other, repeated rows too; other columns pass through,
-columns named as outputs are replaced. N-grams are known by 56-bit hashes.
+columns named as outputs are replaced. N-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ ALPHA = 0.4
 #: Text of a chunk and n-grams of a hash range, about; both are what a task holds.
 CHUNK_BYTES = 5 << 20
 RANGE_ROWS = 2_000_000
-#: Bits of an n-gram's hash: of n different ones, each shares its hash with another at odds of n / 2^56.
-KEY_BITS = 56
+#: Bits of an n-gram's hash: of n different ones, each shares its hash with another at odds of n / 2^64.
+KEY_BITS = 64
 #: Stands for the number of all words.
 _TOTAL = np.uint64(0)
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
