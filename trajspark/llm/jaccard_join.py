@@ -12,10 +12,13 @@
    own group. The centre of a shingle is the holder whose shingles have the most
    holders in sum, as the text that others were copied from; a class takes the
    centre of most of its shingles. This joins copies without listing their pairs.
-5. Group pairs that share a shingle and aren't joined yet are filtered by size and
-   by what their prefixes can share and do share, then expand to member classes of
-   different components and are verified. So every link between components is
-   found, and the components are exact.
+5. Group pairs that aren't joined yet meet where they share a shingle among the
+   first n - overlap + 1 of either, the overlap being what sets of these two sizes
+   need: the smaller one's share of that is a seventh of its set, not a quarter, so
+   edited copies that are unlike each other don't meet by the text they come from.
+   Pairs are filtered by what their places leave to share, then expand to member
+   classes of different components and are verified. So every link between
+   components is found, and the components are exact.
 
 Words are runs of anything but space, tab, LF, VT, FF, CR; A-Z are lower-cased.
 Defined results: a text without words, or null, has an empty set and is linked with
@@ -148,7 +151,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray
 
 
 def _postings(docs: DataFrame, hot, width: int, percent: int, buckets: int) -> DataFrame:
-    """(token, g, n, df): prefix shingles that two groups or more have, and how many have them."""
+    """(token, g, n, at, df): prefix shingles that two groups or more have, their places, and how many have them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,6 +164,7 @@ def _postings(docs: DataFrame, hot, width: int, percent: int, buckets: int) -> D
                 keep &= counts > 0
                 take = np.repeat(keep, size)
                 token, owner = prefix[take], np.repeat(np.cumsum(keep) - 1, size)[take].astype(np.uint32)
+                place = (np.arange(len(prefix)) - np.repeat(np.cumsum(size) - size, size))[take].astype(np.uint32)
                 bucket = (kernels.mix(token) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -169,35 +173,36 @@ def _postings(docs: DataFrame, hot, width: int, percent: int, buckets: int) -> D
                 for b in np.flatnonzero(np.diff(edge)):
                     mine = order[edge[b] : edge[b + 1]]
                     used, at = np.unique(owner[mine], return_inverse=True)
-                    rows.append((int(b), token[mine].tobytes(), at.astype(np.uint32).tobytes(), g[used].tobytes(), n[used].tobytes()))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "token", "owner", "g", "n"])
+                    rows.append((int(b), token[mine].tobytes(), at.astype(np.uint32).tobytes(), place[mine].tobytes(), g[used].tobytes(), n[used].tobytes()))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "token", "owner", "place", "g", "n"])
 
     def meet(table: pa.Table) -> pa.Table:
-        token, owner, g, n = [], [], [], []
+        token, owner, place, g, n = [], [], [], [], []
         base = 0
-        for t, o, k, m in zip(*(table.column(c).to_pylist() for c in ("token", "owner", "g", "n")), strict=True):
+        for t, o, p, k, m in zip(*(table.column(c).to_pylist() for c in ("token", "owner", "place", "g", "n")), strict=True):
             token.append(np.frombuffer(t, np.uint64))
             owner.append(np.frombuffer(o, np.uint32).astype(np.int64) + base)
+            place.append(np.frombuffer(p, np.uint32))
             g.append(np.frombuffer(k, np.uint64))
             n.append(np.frombuffer(m, np.uint32))
             base += len(g[-1])
-        token, owner, g, n = (np.concatenate(x) for x in (token, owner, g, n))
+        token, owner, place, g, n = (np.concatenate(x) for x in (token, owner, place, g, n))
         own = g[owner]
         order = np.lexsort((own, token))
-        token, own, n = token[order], own[order], n[owner][order]
+        token, own, place, n = token[order], own[order], place[order], n[owner][order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
-        token, own, n = token[new], own[new], n[new]
+        token, own, place, n = token[new], own[new], place[new], n[new]
         head = np.ones(len(token), bool)
         head[1:] = token[1:] != token[:-1]
         at = np.cumsum(head) - 1
         df = np.bincount(at)[at]
         shared = df > 1
-        return pa.table({"token": token[shared].view(np.int64), "g": own[shared].view(np.int64), "n": n[shared].astype(np.int64), "df": df[shared]})
+        return pa.table({"token": token[shared].view(np.int64), "g": own[shared].view(np.int64), "n": n[shared].astype(np.int64), "at": place[shared].astype(np.int64), "df": df[shared]})
 
-    packed = docs.select("text").mapInArrow(emit, "bucket int, token binary, owner binary, g binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "token long, g long, n long, df long")
+    packed = docs.select("text").mapInArrow(emit, "bucket int, token binary, owner binary, place binary, g binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "token long, g long, n long, at long, df long")
 
 
 def _members(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
@@ -262,10 +267,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     return left.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
 
+def _overlap(x: Column, y: Column, percent: int) -> Column:
+    """Shingles that linked sets of x and y shingles share at least."""
+    return F.floor((percent * (x + y) + (99 + percent)) / (100 + percent))
+
+
 def _may_link(x: Column, y: Column, shared: Column, percent: int) -> Column:
     """Whether sets of x and y shingles can be linked if their prefixes share ``shared``."""
     small, large = F.least(x, y), F.greatest(x, y)
-    overlap = F.ceil(percent * (x + y) / (100 + percent))
+    overlap = _overlap(x, y, percent)
     return (100 * small >= percent * large) & (shared >= overlap - F.floor((percent * large + 99) / 100) + 1)
 
 
@@ -276,7 +286,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int =
     frequent, total = _frequent(docs, width)
     hot = spark.sparkContext.broadcast(frequent)
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(floor, int(total * (100 - percent) / 100 * 12 / BUCKET_BYTES))
+    buckets = max(floor, int(total * (100 - percent) / 100 * 16 / BUCKET_BYTES))
     posted = scratch.write_out(_postings(docs, hot, width, percent, buckets), "postings")
     members = scratch.write_out(_members(docs, hot, width, percent), "members")
     classes = scratch.write_out(members.where("sig is not null").groupBy("g", "sig", "n").agg(F.min("id").alias("id")), "classes")
@@ -298,15 +308,19 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int =
     # The rest: pairs of groups, or of classes in a group, that aren't of one component yet.
     by_class = scratch.write_out(classes.join(joined, "sig", "left").select("g", "sig", "n", "id", F.coalesce("root", "sig").alias("root")), "joined")
     by_group = by_class.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    # No pair shares more prefix shingles than either group has that any other group has.
-    held = posted.groupBy("g").agg(F.count("*").alias("held"))
-    placed = scratch.write_out(posted.select("token", "g", "n").join(by_group.join(held, "g"), "g"), "placed")
+    placed = scratch.write_out(posted.select("token", "g", "n", "at").join(by_group, "g"), "placed")
     open_ = placed.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
     rest = placed.join(open_, "token", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))) & _may_link(F.col("x.n"), F.col("y.n"), F.least("x.held", "y.held"), percent))
-    shared = met.groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
-    groups = shared.where(_may_link(F.col("na"), F.col("nb"), F.col("c"), percent)).select("ga", "gb")
+    # The smaller set (or of equal ones that of the smaller key) is the left one; it needs no partner beyond this part of its prefix.
+    x, y = rest.where(F.col("at") <= F.col("n") - _overlap(F.col("n"), F.col("n"), percent)).alias("x"), rest.alias("y")
+    overlap = _overlap(F.col("x.n"), F.col("y.n"), percent)
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.g") < F.col("y.g")))
+    apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
+    near = (100 * F.col("x.n") >= percent * F.col("y.n")) & (F.col("x.at") <= F.col("x.n") - overlap) & (F.col("y.at") <= F.col("y.n") - overlap)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & ordered & apart & near)
+    shared = met.groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j"))
+    left = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
+    groups = shared.where(F.col("c") + left >= _overlap(F.col("na"), F.col("nb"), percent)).select("ga", "gb")
     split = by_group.where("low <> high").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
     one = by_class.select(F.col("g").alias("ga"), F.col("sig").alias("a"), F.col("root").alias("ra"))
     two = by_class.select(F.col("g").alias("gb"), F.col("sig").alias("b"), F.col("root").alias("rb"))
