@@ -10,11 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Large buffers go back to the system when freed, so a worker that is used again holds no more than its task does.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def share_path(spark: SparkSession) -> None:
-    """Put the folder of this package on the workers' PYTHONPATH (a no-op where it is installed)."""
+    """Put the folder of this package on the workers' PYTHONPATH (a no-op where it is installed), and set their allocator."""
     env = spark.sparkContext.environment
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
     held = env.get("PYTHONPATH", "")
     if ROOT not in held.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, held]))
