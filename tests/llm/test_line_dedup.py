@@ -1,91 +1,96 @@
 import random
 
+import duckdb
+import pytest
+
+from tests.llm import brute
 from trajspark.llm import line_dedup, registry
 
-LONG = "the quick brown fox jumps over the lazy old dog"
-
-
-def plain(rows, least=10):
-    """Rows of (id, text) without null ids or repeats: (id, text, removed spans)."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        kept, spans, at = [], [], 0
-        for line in text.split("\n"):
-            unit = " ".join("".join(c.lower() if "A" <= c <= "Z" else c for c in line).replace("\t", " ").split(" ")).split()
-            key = tuple(unit)
-            if len(unit) >= least and key in seen:
-                spans.append((at, at + len(line)))
-            else:
-                kept.append(line)
-                seen |= {key} if len(unit) >= least else set()
-            at += len(line) + 1
-        out[i] = ("\n".join(kept), spans)
+
+def plain(rows, size=line_dedup.PASSAGE_WORDS):
+    """Rows of (id, text) without null ids or repeats: {id: (text, removed spans, removed words)}, place by place."""
+    first, out = {}, {}
+    said = {i: list(brute.SPACED.finditer(t or "")) for i, t in rows}
+    word = {i: [m.group().translate(brute.FOLD) for m in ms] for i, ms in said.items()}
+    for i, _ in sorted(rows):
+        for at in range(len(word[i]) - size + 1):
+            first.setdefault(tuple(word[i][at : at + size]), (i, at))
+    for i, text in rows:
+        gone = set()
+        for at in range(len(word[i]) - size + 1):
+            doc, place = first[tuple(word[i][at : at + size])]
+            if doc != i or at >= place + size:
+                gone |= set(range(at, at + size))
+        spans, kept, upto = [], "", 0
+        for k, m in enumerate(said[i]):
+            if k in gone:
+                kept += text[upto : m.start()] if k - 1 not in gone else ""
+                upto = said[i][k + 1].start() if k + 1 < len(said[i]) else len(text)
+                if k - 1 in gone:
+                    spans[-1] = (spans[-1][0], m.end())
+                else:
+                    spans.append(m.span())
+        out[i] = (None if text is None else kept + text[upto:], spans, len(gone))
     return out
 
 
-def test_equals_brute_force(spark):
-    rows = [(3, f"{LONG}\nshort line\n{LONG.upper()} é"), (1, f"intro é😀\n {LONG}\t\nshort line"), (2, f"{LONG}\n{LONG.title()}"), (4, ""), (5, f"\n\n{LONG} é\n{LONG.replace(' ', '  ')}\n"), (6, "short line\nshort line")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as n_removed", "'k' as id", "1 as line")
-    got = line_dedup.dedup(df)
-    assert got.columns == ["doc_id", "text", "id", "line", "n_removed", "removed_spans"]
-    assert {r.doc_id: (r.text, [tuple(s) for s in r.removed_spans]) for r in got.collect()} == plain(rows)
+def got(df, **options):
+    return {r.doc_id: (r.text, [tuple(s) for s in r.removed_spans], r.n_removed) for r in line_dedup.dedup(df, **options).collect()}
+
+
+def corpus(seed, size):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdé") + str(rng.randrange(90))
+    passages = [[word() for _ in range(n)] for n in (size - 1, size, size + 1, size + 8, 3 * size)]
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(rng.choice([0, 3, size, 40, 150]))]
+        for _ in range(rng.choice([0, 1, 2])):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = [w.upper() if rng.random() < 0.2 else w for w in rng.choice(passages)]
+        if rng.random() < 0.2:
+            words = [rng.choice(["la", "lo"])] * rng.choice([size, 2 * size, 3 * size + 5])
+        rows.append((i, "".join(rng.choice(["", " ", "\n"]) if not k else rng.choice([" ", " ", "\n", "\t ", "😀 "]) + w for k, w in enumerate(["", *words]))))
+    rows += [(100 + i, rows[rng.randrange(60)][1]) for i in range(15)] + [(200, None), (201, ""), (202, " \n ")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "size"), [(1, 16), (2, 20), (3, 51)])
+def test_equals_brute_force(spark, seed, size):
+    rows = corpus(seed, size)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "doc_id as n_removed", "'k' as id", "1 as at", "2 as `a.b`")
+    out = line_dedup.dedup(df, passage_words=size)
+    assert out.columns == ["doc_id", "text", "id", "at", "a.b", "n_removed", "removed_spans"]
+    assert got(df, passage_words=size) == plain(rows, size)
+    assert sum(n for *_, n in plain(rows, size).values()) > 20 * size
 
 
 def test_nulls_ties_and_empty(spark):
-    rows = [(None, LONG), (7, LONG), (7, LONG), (7, f"{LONG}\nmore"), (8, None)]
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(None, a), (7, f"x {a}"), (7, f"x {a}"), (7, f"y\n{a}\nz"), (8, None), (None, b), (9, f"{b} {b}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup(df).collect()), key=str)
-    sevens = [t for i, t in got if i == 7]
-    assert (None, "") in got and (8, None) in got
-    assert sorted(sevens) in (["", "", f"{LONG}\nmore"], [LONG, LONG, "more"])
+    found = sorted(((r.doc_id, r.text) for r in line_dedup.dedup(df).collect()), key=str)
+    sevens = sorted(t for i, t in found if i == 7)
+    assert sevens in (["x ", "x ", f"y\n{a}\nz"], [f"x {a}", f"x {a}", "y\nz"])
+    assert sorted(str(t) for i, t in found if i is None) == ["", ""] and (8, None) in found and (9, f"{b} ") in found
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_query(spark, sf):
+def test_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    part = long.split(" ")[1000:90_000]
+    rows = [(1, long), (2, " ".join(["start", *part, "end"])), (3, " ".join(["la"] * 200_000))]
+    out = got(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out[1] == (long, [], 0) and out[2] == ("start end", [(6, len(rows[1][1]) - 4)], 89_000)
+    assert out[3][0].split() == ["la"] * 51 and out[3][2] == 199_949
+
+
+def test_query_equals_sql_and_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    expected = plain(rows)
-    got = registry.QUERIES["op6_line_dedup"](spark, sf).collect()
-    assert {r.doc_id: (r.text, r.removed_offsets) for r in got} == {i: (t, ",".join(f"{a}-{b}" for a, b in s)) for i, (t, s) in expected.items()}
-    assert sum(r.n_removed for r in got) > 0
-
-
-def plain_runs(rows, least=10, run=20):
-    """Rows of (id, text) with distinct ids: places of the lines that go as runs of short lines."""
-    seen, gone = {}, {i: set() for i, _ in rows}
-    for doc, text in sorted(rows):
-        said = [(k, line.lower().split()) for k, line in enumerate(text.split("\n")) if line.split()]
-        for a in range(len(said)):
-            for b in range(a, len(said)):
-                part = said[a : b + 1]
-                if max(len(w) for _, w in part) >= least:
-                    break
-                if sum(len(w) for _, w in part) < run:
-                    continue
-                key = tuple(tuple(w) for _, w in part)
-                other, upto = seen.setdefault(key, (doc, part[-1][0]))
-                if other != doc or part[0][0] > upto:
-                    gone[doc] |= set(range(part[0][0], part[-1][0] + 1))
-    return gone
-
-
-def test_runs_of_short_lines(spark):
-    verse = [f"verse {k} of a song" for k in range(12)]
-    rows = [(1, "\n".join(verse)), (2, "\n".join(["other", *verse, "end here"])), (3, "\n\n".join([*verse[1:8], LONG, *verse[8:]])), (4, "\n".join(["la la"] * 30)), (5, "\n".join(verse[:3]))]
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), run_words=20).collect()}
-    assert got[1] == (rows[0][1], 0) and got[2] == ("other\nend here", 12) and got[5] == (rows[4][1], 0)
-    assert got[3] == (f"\n{LONG}\n", 20) and got[4] == ("\n".join(["la la"] * 10), 20)
-
-
-def test_runs_equal_brute_force(spark):
-    rng = random.Random(3)
-    line = lambda: " ".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 3, 6, 9])))
-    pool = [line() for _ in range(14)]
-    rows = []
-    for i in range(30):
-        lines = [rng.choice(pool) if rng.random() < 0.3 else line() for _ in range(rng.randrange(12))]
-        at = rng.randrange(6)
-        rows.append((i, "\n".join(lines[:4] + pool[at : at + rng.randrange(2, 10)] + [f"{LONG} {i}"] * rng.randrange(2) + lines[4:])))
-    want = plain_runs(rows)
-    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), run_words=20).collect()}
-    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
-    assert sum(map(len, want.values())) > 20
+    found = {r.doc_id: (r.text, r.removed_offsets, r.n_removed) for r in registry.QUERIES["op6_line_dedup"](spark, sf).collect()}
+    assert found == {i: (t, ",".join(f"{a}-{b}" for a, b in s), n) for i, (t, s, n) in plain(rows).items()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert {i: (t, s, n) for i, t, n, s in con.execute(f"select doc_id, text, n_removed, removed_offsets from ({registry.ORACLES['op6_line_dedup']})").fetchall()} == found
+    assert sum(n for *_, n in found.values()) > 0

@@ -10,7 +10,7 @@ def test_run_equals_plain_stages(spark, sf):
     ids = sorted(docs)
     roots = brute.components([brute.shingles(docs[i]) for i in ids])
     docs = {i: docs[i] for k, i in enumerate(ids) if roots[k] == k}
-    docs = {i: t for i, (t, _) in plain(docs.items()).items()}
+    docs = {i: t for i, (t, *_) in plain(docs.items()).items()}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bad = set()
     for i, text in docs.items():

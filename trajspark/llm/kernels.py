@@ -116,6 +116,15 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix(found + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the word hashes from ``starts`` up to ``ends``: a polynomial in them."""
+    up, down = _powers(max(SLICE_BYTES, 1 << int(len(words)).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=total[1:])
+        return mix((total[ends] - total[starts]) * down[starts])
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width``-word windows, text after text, and windows per text.
 

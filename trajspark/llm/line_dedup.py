@@ -1,131 +1,237 @@
-"""Substring deduplication by line hashing, in DataFrame functions.
-
-Texts are cut at line feeds; a line of ``min_words`` words or more is a unit. Units
-are normalised (A-Z in lower case, runs of white space as one space, trimmed) and
-grouped by 128-bit digest over all documents. The occurrence that ranks first, by
-(id, text hash, line), stays; all others go, with their places in the original
-text kept. Minima combine before the shuffle and only digests met twice are
-joined back, so a line may be in any share of the documents.
-
-With ``run_words``, runs of shorter lines are units too: from each such line, and
-up to each, the fewest following or preceding ones that have ``run_words`` words
-together, longer lines excluded, lines without words skipped. Every line of a
-repeated run of so many words is in one of these that is repeated itself. One goes
-whole, blank lines inside it too, unless it overlaps the occurrence that stays.
-
-Defined results: null text stays null and an id of null ranks last; shorter lines
-stay unless ``run_words`` is given; a document may lose all lines and then has an empty text; rows that
-are alike in id and text are one document repeated and fare alike; other columns
-pass through, except that columns named as outputs are replaced.
+"""Substring deduplication by hashing paragraphs of ``passage_words`` words at every word.
+
+Words are runs of anything but space, tab, LF, VT, FF, CR; A-Z are lower-cased. Every
+paragraph (so many words on end, whatever lines they stand in) is a unit. Digests are
+grouped over all documents; the occurrence that ranks first, by (id, text hash, place),
+stays and every word of any other occurrence goes, with its place in the original text
+kept. An occurrence in the document of the first one goes only if it doesn't overlap it.
+
+Not every paragraph travels:
+
+1. Texts of the same words are one class. Its first text stands for it; in the others
+   all paragraphs are repeated.
+2. Of the ``SAMPLE``-word hashes in a paragraph the least is its sample, so equal
+   paragraphs have equal samples: some five samples for a hundred words, grouped by hash.
+3. Only paragraphs that hold a sample met at two places are hashed, grouped and joined
+   with the first occurrence. Both joins are of written tables, so that adaptive
+   execution splits a hot digest.
+
+Defined results: null text stays null and an id of null ranks last; a text of fewer
+words than a passage is left alone; a document may lose all words; white space behind a
+removed passage goes with it; rows that are alike in id and text are one document
+repeated and fare alike; other columns pass through, except that columns named as
+outputs are replaced. Very long texts are a slice of their own. Paragraphs are known by
+64-bit hashes, texts of a class by 128 bits.
 """
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-MIN_WORDS = 10
-#: Words of a run of shorter lines, where such runs are to go.
-RUN_WORDS = 50
-_SPACE = r"[ \t\r\x0b\x0c]+"
-
-
-def _normal(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(raw, string.ascii_uppercase, string.ascii_lowercase), _SPACE, " "))
-
-
-def _n_words(unit: Column) -> Column:
-    return F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
-
-
-def units(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """(digest, rank): the units of all documents; rank: struct of no_id, id, hash, line."""
-    lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.posexplode(F.split(text, "\n", -1)).alias("line", "raw"))
-    spoken = lines.select("id", "hash", "line", _normal(F.col("raw")).alias("unit")).where((F.col("unit") != "") & (_n_words(F.col("unit")) >= min_words))
-    return spoken.select(F.unhex(F.md5("unit")).alias("digest"), F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "line").alias("rank"))
-
-
-def runs(df: DataFrame, id_col: str, text: str, min_words: int, run_words: int) -> DataFrame:
-    """(digest, rank): the runs of lines of under min_words; rank: struct of no_id, id, hash, line, upto (last line)."""
-    spoken = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), _normal(x).alias("unit"))), lambda x: x["unit"] != "")
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.transform(spoken, lambda x: F.struct(x["line"], x["unit"], _n_words(x["unit"]).alias("n"))).alias("_s"))
-    docs = docs.where(F.aggregate("_s", F.lit(0), lambda n, x: n + F.when(x["n"] < min_words, x["n"]).otherwise(0)) >= run_words)
-
-    def lines_of(part: Column) -> Column:
-        """How many of the first lines have run_words words; 0 if a longer line or the end comes first."""
-        return F.aggregate(
-            part,
-            F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")),
-            lambda s, x: F.when((s["n"] >= run_words) | (s["n"] < 0), s).when(x["n"] >= min_words, F.struct(F.lit(-1).alias("n"), s["k"].alias("k"))).otherwise(F.struct((s["n"] + x["n"]).alias("n"), (s["k"] + 1).alias("k"))),
-            lambda s: F.when(s["n"] >= run_words, s["k"]).otherwise(0),
-        )
-
-    places, size = F.sequence(F.lit(1), F.size("_s")), F.lit(run_words)
-    on = F.transform(places, lambda i: F.struct(i.alias("a"), lines_of(F.slice("_s", i, size)).alias("k")))
-    back = F.transform(places, lambda i: F.struct(i.alias("b"), lines_of(F.reverse(F.slice("_s", F.greatest(i - size + 1, F.lit(1)), F.least(i, size)))).alias("k")))
-    both = F.concat(on, F.transform(back, lambda x: F.struct((x["b"] - x["k"] + 1).alias("a"), x["k"])))
-    found = docs.select("id", "hash", "_s", F.explode(F.array_distinct(F.filter(both, lambda x: x["k"] > 0))).alias("r")).select("id", "hash", F.slice("_s", F.col("r.a"), F.col("r.k")).alias("_s"))
-    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", F.element_at("_s", 1)["line"].alias("line"), F.element_at("_s", -1)["line"].alias("upto"))
-    return found.select(F.unhex(F.md5(F.array_join(F.transform("_s", lambda x: x["unit"]), "\n"))).alias("digest"), rank.alias("rank"))
-
-
-def _repeated(found: DataFrame) -> DataFrame:
-    """(rank, first) of all units met twice or more."""
-    first = found.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return found.join(first, "digest").where("rank <> first")
-
-
-def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
-    """``df`` with repeated lines, and runs of shorter lines if run_words is given, taken from its text, and with
-
-    n_removed (lines) and removed_spans (start and end of each in the original
-    text, in code points, the line feed not included).
+from pyspark.sql import types as T
+
+from trajspark.llm import kernels, scratch
+
+#: Passages of over 50 words.
+PASSAGE_WORDS = 51
+#: Words of a sample.
+SAMPLE = 12
+
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def _least(values: np.ndarray, width: int, use) -> np.ndarray:
+    """``use`` (np.minimum or np.maximum) over each ``width`` values on end; shorter by width - 1."""
+    span, out = 1, values
+    while 2 * span <= width:
+        out = use(out[:-span], out[span:])
+        span *= 2
+    rest = width - span
+    return use(out[:-rest], out[rest:]) if rest else out
+
+
+def samples(words: np.ndarray, counts: np.ndarray, passage: int) -> np.ndarray:
+    """Places (in ``words``) of the samples of all passages within a text."""
+    grams = passage - SAMPLE + 1
+    if len(words) < passage:
+        return np.zeros(0, np.int64)
+    place = np.arange(len(words) - SAMPLE + 1)
+    hashed = np.maximum(kernels.run_hashes(words, place, place + SAMPLE), np.uint64(1))
+    least = _least(hashed, grams, np.minimum)
+    room = np.repeat(np.cumsum(counts), counts)[: len(least)] - np.arange(len(least))
+    least = np.where(room >= passage, least, np.uint64(0))
+    edge = np.zeros(grams - 1, np.uint64)
+    return np.flatnonzero(_least(np.concatenate([edge, least, edge]), grams, np.maximum) == hashed)
+
+
+def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, text offsets, word hashes, words per text, word starts, word ends) of a slice."""
+    raw, offsets = kernels.buffers(text)
+    starts, ends, counts = kernels.word_spans(raw, offsets, kernels.SPACED)
+    return raw, offsets, kernels.word_hashes(raw, starts, ends), counts, starts, ends
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
+
+
+def _index(docs: DataFrame, passage: int) -> DataFrame:
+    """(id, hash, class, n, digest, at) of texts of a passage's words or more; samples only where the task first meets the class."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in kernels.slices(batch):
+                _, _, words, counts, _, _ = _words(part.column("text"))
+                edge = np.cumsum(counts)
+                with np.errstate(over="ignore"):
+                    sides = [kernels.run_hashes(words ^ salt, edge - counts, edge) + counts.astype(np.uint64) for salt in (np.uint64(0), _SALT)]
+                packed = np.stack([s.astype(">u8") for s in sides], axis=1).tobytes()
+                classes = [packed[i : i + 16] for i in range(0, len(packed), 16)]
+                long = counts >= passage
+                new = np.array([ok and not (k in seen or seen.add(k)) for ok, k in zip(long, classes, strict=True)], bool)
+                at = samples(words, counts, passage)
+                owner = np.searchsorted(edge, at, side="right")
+                at, owner = at[new[owner]], owner[new[owner]]
+                digest = kernels.run_hashes(words, at, at + SAMPLE).view(np.int64)
+                made = np.bincount(owner, minlength=len(counts))
+                rows = pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("hash"), pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), _lists(digest, made, pa.int64()), _lists((at - (edge - counts)[owner]), made, pa.int32())],
+                    ["id", "hash", "class", "n", "digest", "at"],
+                )
+                yield rows.filter(pa.array(long))
+
+    kinds = T.StructType([docs.schema["id"], T.StructField("hash", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("digest", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(emit, kinds)
+
+
+def _paragraphs(docs: DataFrame, passage: int) -> DataFrame:
+    """(id, hash, digest, at): the paragraphs that hold a sample at one of the places in the column ``at``."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernels.slices(batch):
+                _, _, words, counts, _, _ = _words(part.column("text"))
+                edge = np.cumsum(counts)
+                held = part.column("at")
+                owner = np.repeat(np.arange(len(counts)), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                at = held.flatten().to_numpy().astype(np.int64) + (edge - counts)[owner]
+                # A sample at p is in the paragraphs that begin at p - (passage - SAMPLE) to p.
+                delta = np.zeros(len(words) + 1, np.int64)
+                np.add.at(delta, np.maximum(at - (passage - SAMPLE), (edge - counts)[owner]), 1)
+                np.add.at(delta, np.maximum(np.minimum(at + 1, edge[owner] - passage + 1), (edge - counts)[owner]), -1)
+                begin = np.flatnonzero(np.cumsum(delta[:-1]) > 0)
+                made = np.bincount(np.searchsorted(edge, begin, side="right"), minlength=len(counts))
+                place = begin - np.repeat(edge - counts, made)
+                digest = kernels.run_hashes(words, begin, begin + passage).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), _lists(digest, made, pa.int64()), _lists(place, made, pa.int32())], ["id", "hash", "digest", "at"])
+
+    kinds = T.StructType([docs.schema["id"], T.StructField("hash", T.LongType()), T.StructField("digest", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(emit, kinds)
+
+
+def _met_again(placed: DataFrame, *place: str) -> DataFrame:
+    """(digest, first): digests met at two places or more, and the first place."""
+    where = F.struct(*place)
+    return placed.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("digest", "first")
+
+
+def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, hash, whole, at): documents with repeated passages; whole: all of it; else the words at which such passages begin."""
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"), F.col(f"`{text}`").alias("text"))
+    index = scratch.write_out(_index(docs, passage_words), "passage-samples")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")
+    classes = scratch.write_out(index.groupBy("class").agg(F.min(rank).alias("first"), F.max(rank).alias("last")), "passage-classes")
+    copies = index.join(classes.where("first <> last").select("class", "first"), "class").where(rank != F.col("first")).select("id", "hash").distinct()
+    sampled = index.select("class", F.explode(F.arrays_zip("digest", "at")).alias("s")).select("class", "s.digest", "s.at")
+    flagged = scratch.write_out(_met_again(sampled, "class", "at").select("digest"), "passage-flagged")
+    places = sampled.join(flagged, "digest").groupBy("class").agg(F.collect_set("at").alias("at"))
+    asked = places.join(classes, "class").select(F.col("first.id").alias("_i"), F.col("first.hash").alias("_h"), "at")
+    wanted = docs.join(asked, F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h"))).select("id", "hash", "text", "at")
+    found = scratch.write_out(_paragraphs(wanted, passage_words), "passage-paragraphs")
+    placed = found.select(F.col("id").isNull().alias("no_id"), "id", "hash", F.explode(F.arrays_zip("digest", "at")).alias("s")).select("no_id", "id", "hash", "s.digest", "s.at")
+    first = scratch.write_out(_met_again(placed, "no_id", "id", "hash", "at"), "passage-first")
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
+    again = placed.join(first, "digest").where(~same | (F.col("at") >= F.col("first.at") + passage_words))
+    starts = again.groupBy("id", "hash").agg(F.collect_set("at").alias("at"))
+    none = F.array().cast("array<int>")
+    return starts.select("id", "hash", F.lit(False).alias("whole"), "at").union(copies.select("id", "hash", F.lit(True), none))
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``df`` with repeated passages taken from its text, n_removed (words) and removed_spans
+
+    (start and end of each run of removed words in the original text, in code points,
+    the white space behind it not included).
     """
-    base = df.drop("n_removed", "removed_spans")
-    lines = _repeated(units(base, id_col, text, min_words)).select("rank.id", "rank.hash", "rank.line")
-    if run_words is not None:
-        apart = "rank.no_id <> first.no_id or not rank.id <=> first.id or rank.hash <> first.hash or rank.line > first.upto"
-        short = _repeated(runs(base, id_col, text, min_words, run_words)).where(apart)
-        lines = lines.unionByName(short.select("rank.id", "rank.hash", F.explode(F.sequence("rank.line", "rank.upto")).alias("line")))
-    gone = lines.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"))
-    whole = base.withColumn("_own", F.xxhash64(text))
-    both = whole.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left").withColumn("_lines", F.split(text, "\n", -1))
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    spans = F.aggregate(
-        "_lines",
-        zero,
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x) + 1).alias("at"),
-            (s["i"] + 1).alias("i"),
-            F.when(F.array_contains("_gone", s["i"]), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(x)).alias("end"))))).otherwise(s["out"]).alias("out"),
-        ),
-    )["out"]
-    some = F.col("_gone").isNotNull()
-    return both.select(
-        *(F.when(some, kept).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in base.columns),
-        F.when(some, F.size("_gone")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(some, spans).otherwise(zero["out"]).alias("removed_spans"),
-    )
-
-
-#: Over ``table``, whose doc_id has no null and no repeats.
+    own = ["n_removed", "removed_spans"]
+    base = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in own))
+    gone = repeated(base, id_col, text, passage_words)
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    kept = base.columns
+    packed = base.select(F.struct(*(F.col(f"`{c}`") for c in kept if c != text)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"), F.col(f"`{text}`").alias("text"))
+    found = packed.join(gone.select(F.col("id").alias("_i"), F.col("hash").alias("_h"), "whole", "at"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h")), "left").select("row", "text", "whole", "at")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernels.slices(batch):
+                raw, offsets, _, counts, starts, ends = _words(part.column("text"))
+                edge = np.cumsum(counts)
+                whole, at, body = part.column("whole").to_pylist(), part.column("at"), part.column("text")
+                texts, number, places = [], [], []
+                for r in range(part.num_rows):
+                    if whole[r] is None:
+                        texts.append(body[r].as_py())
+                        number.append(0)
+                        places.append([])
+                        continue
+                    low, high = edge[r] - counts[r], edge[r]
+                    delta = np.zeros(counts[r] + 1, np.int64)
+                    begin = np.zeros(1, np.int64) if whole[r] else at[r].values.to_numpy().astype(np.int64)
+                    delta[begin] += 1
+                    delta[counts[r] if whole[r] else begin + passage_words] -= 1
+                    out = np.concatenate([[False], np.cumsum(delta[:-1]) > 0, [False]]).astype(np.int8)
+                    a, b = np.flatnonzero(np.diff(out) == 1), np.flatnonzero(np.diff(out) == -1)
+                    lead = np.concatenate([[0], np.cumsum((raw[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80)])
+                    places.append([{"start": int(x), "end": int(y)} for x, y in zip(lead[starts[low + a] - offsets[r]], lead[ends[low + b - 1] - offsets[r]], strict=True)])
+                    number.append(int((b - a).sum()))
+                    following = np.append(starts[low:high], offsets[r + 1])
+                    edges = np.concatenate([[offsets[r]], np.stack([following[a], following[b]], 1).ravel(), [offsets[r + 1]]])
+                    texts.append(b"".join(raw[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)).decode())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(number, pa.int64()), pa.array(places, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["row", "text", *own])
+
+    kinds = T.StructType([found.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", spans)])
+    return found.mapInArrow(cut, kinds).select(*(F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in kept), *own)
+
+
+#: Over documents, whose doc_id has no null and no repeats.
 ORACLE_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {table}
-), units AS (
-  SELECT *, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\x0b\x0c]+', ' ', 'g'), ' ') AS unit FROM lines
-), ranked AS (
-  SELECT *, unit <> '' AND length(unit) - length(replace(unit, ' ', '')) + 1 >= {min_words}
-    AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, line) > 1 AS gone,
-    coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-  FROM units
-), kept AS (
-  SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text,
-    CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
-    coalesce(string_agg(CAST(place AS BIGINT) || '-' || CAST(place + length(raw) AS BIGINT), ',' ORDER BY line) FILTER (gone), '') AS removed_offsets
-  FROM ranked GROUP BY doc_id
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS parts, regexp_extract(text, '^[\x20\x09-\x0D]*') AS head FROM documents
+), w AS (
+  SELECT doc_id, head, parts, list_transform(parts, lambda x: translate(regexp_replace(x, '[\x20\x09-\x0D]+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM d
+), p AS (
+  SELECT doc_id, beg, array_to_string(ws[beg:beg + {words} - 1], ' ') AS unit FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {words} + 2)) AS beg FROM w WHERE len(ws) >= {words})
+), f AS (
+  SELECT doc_id, beg, first_value(doc_id) OVER o AS d0, first_value(beg) OVER o AS a0 FROM p WINDOW o AS (PARTITION BY unit ORDER BY doc_id, beg)
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(beg, beg + {words})) AS i FROM f WHERE doc_id <> d0 OR beg >= a0 + {words}
+), e AS (
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM w
+), k AS (
+  SELECT e.*, g.i IS NOT NULL AS gone, length(head) + coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY e.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+    coalesce(lag(g.i IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY e.i), false) AS before, coalesce(lead(g.i IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY e.i), false) AS behind
+  FROM e JOIN w USING (doc_id) LEFT JOIN g ON g.doc_id = e.doc_id AND g.i = e.i
+), t AS (
+  SELECT doc_id, string_agg(part, '' ORDER BY i) FILTER (NOT gone) AS rest, count(*) FILTER (gone) AS n,
+    string_agg(CASE WHEN gone AND NOT before THEN CAST(place AS BIGINT) || '-' ELSE '' END
+      || CASE WHEN gone AND NOT behind THEN CAST(place + length(regexp_replace(part, '[\x20\x09-\x0D]+$', '')) AS BIGINT) || ',' ELSE '' END, '' ORDER BY i) AS spans
+  FROM k GROUP BY doc_id
 )
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN head || coalesce(rest, '') END AS text, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(rtrim(spans, ','), '') AS removed_offsets
+FROM d LEFT JOIN t USING (doc_id)
 """

@@ -75,5 +75,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: with_workers(q) for name, q in {"op3_backoff_lm": op3_backoff_lm, "op2_training_order": op2_training_order, "op1_html_mincut": op1_html_mincut, "op4_weak_quality": op4_weak_quality, "op6_line_dedup": op6_line_dedup, "op5_jaccard_join": op5_jaccard_join, "op7_robust_outliers": op7_robust_outliers, "op8_suffix_decontam": op8_suffix_decontam, "op9_bpe_trie": op9_bpe_trie, "op10_chat_format": op10_chat_format}.items()}
 ORACLES: dict[str, str] = {
     "op3_backoff_lm": backoff_lm.ORACLE_SQL,
-    "op6_line_dedup": line_dedup.ORACLE_SQL.format(table="documents", min_words=line_dedup.MIN_WORDS) + "SELECT * FROM kept",
+    "op6_line_dedup": line_dedup.ORACLE_SQL.replace("{words}", str(line_dedup.PASSAGE_WORDS)),
     "op10_chat_format": chat_format.ORACLE_SQL}
