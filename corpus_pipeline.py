@@ -32,9 +32,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.union(again.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines, and runs of short lines, that an earlier document or line has are taken out of the texts; no document goes."""
-    return line_dedup.dedup(docs, run_words=line_dedup.RUN_WORDS).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of over 50 words that an earlier place has are taken out of the texts; no document goes."""
+    return line_dedup.dedup(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def _stage(function):
 STAGES = [
     ("quality_classifier", _stage(classify)),
     ("ngram_jaccard_join", _stage(deduplicate)),
-    ("substring_dedup", _stage(drop_repeated_lines)),
+    ("substring_dedup", _stage(drop_repeated_passages)),
     ("benchmark_decontamination", _stage(decontaminate)),
     ("bpe_encoding", _stage(encode)),
 ]
