@@ -16,9 +16,9 @@
    first n - overlap + 1 of either, the overlap being what sets of these two sizes
    need: the smaller one's share of that is a seventh of its set, not a quarter, so
    edited copies that are unlike each other don't meet by the text they come from.
-   Pairs are filtered by what their places leave to share, then expand to member
-   classes of different components and are verified. So every link between
-   components is found, and the components are exact.
+   Pairs are filtered by what their places leave to share and by what their whole
+   prefixes share, then expand to member classes of different components and are
+   verified. So every link between components is found, and the components are exact.
 
 Words are runs of anything but space, tab, LF, VT, FF, CR; A-Z are lower-cased.
 Defined results: a text without words, or null, has an empty set and is linked with
@@ -320,7 +320,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int =
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & ordered & apart & near)
     shared = met.groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j"))
     left = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
-    groups = shared.where(F.col("c") + left >= _overlap(F.col("na"), F.col("nb"), percent)).select("ga", "gb")
+    met = scratch.write_out(shared.where(F.col("c") + left >= _overlap(F.col("na"), F.col("nb"), percent)).select("ga", "gb", "na", "nb"), "met")
+    # What whole prefixes share tells more; the tokens that only one group has can be left out.
+    asked = met.select(F.col("ga").alias("g")).union(met.select("gb")).distinct()
+    held = scratch.write_out(posted.join(asked, "g", "left_semi").groupBy("g").agg(F.collect_list("token").alias("tokens")), "held")
+    both = met.join(held.select(F.col("g").alias("ga"), F.col("tokens").alias("x")), "ga").join(held.select(F.col("g").alias("gb"), F.col("tokens").alias("y")), "gb")
+    groups = both.where(_may_link(F.col("na"), F.col("nb"), F.size(F.array_intersect("x", "y")), percent)).select("ga", "gb")
     split = by_group.where("low <> high").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
     one = by_class.select(F.col("g").alias("ga"), F.col("sig").alias("a"), F.col("root").alias("ra"))
     two = by_class.select(F.col("g").alias("gb"), F.col("sig").alias("b"), F.col("root").alias("rb"))
