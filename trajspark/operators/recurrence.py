@@ -48,19 +48,32 @@ def stretched(p: DataFrame, by: Sequence[str], value: str = "d") -> DataFrame:
     return p.withColumn(value, min_max(F.col(value), low, high)).withColumn("pixel", to_byte(F.col(value)))
 
 
+def cut_and_stretched(p: DataFrame, by: Sequence[str], value: str, percent: float) -> DataFrame:
+    """``value`` cut at a percentile of the window and stretched; constant windows keep their value."""
+    keys = [*by, "window_id"]
+    cut = p.groupBy(*keys).agg(F.percentile(value, F.lit(percent / 100)).alias("_eps"))
+    w = _w(by)
+    out = p.join(cut, keys).withColumn(value, F.least(value, "_eps")).drop("_eps")
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return out.withColumn(value, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.col(value)))
+
+
 def percentile_plot(df: DataFrame, by: Sequence[str], percent: float = 95.0) -> DataFrame:
-    """Raw distances cut at a percentile of the window and stretched; constant windows keep their value."""
-    p = pairs(df, by)
-    cut = p.groupBy(*by, "window_id").agg(F.percentile("d", F.lit(percent / 100)).alias("eps"))
-    p = p.join(cut, [*by, "window_id"]).withColumn("d", F.least("d", "eps")).drop("eps")
+    """Raw distances cut at a percentile of the window and stretched."""
+    return cut_and_stretched(pairs(df, by), by, "d", percent)
+
+
+def mean_cut(df: DataFrame, by: Sequence[str], other: float = 0.3) -> DataFrame:
+    """Distances over the window's largest; ``other`` where they exceed their mean."""
     w = _w(by)
-    low, high = F.min("d").over(w), F.max("d").over(w)
-    return p.withColumn("d", F.when(high > low, (F.col("d") - low) / (high - low)).otherwise(F.col("d")))
+    p = pairs(df, by).withColumn("_m", F.max("d").over(w)).withColumn("d", F.col("d") / (F.col("_m") + EPS))
+    return p.withColumn("_m", F.avg("d").over(w)).withColumn("d", F.when(F.col("d") > F.col("_m"), F.lit(other)).otherwise(F.col("d"))).drop("_m")
 
 
 def mean_gate(p: DataFrame, by: Sequence[str], epsilon: float, *, strict: bool = True, other: float | None = None) -> DataFrame:
     """Keep d where both points' mean distance to the others is under epsilon; else epsilon (or ``other``). Adds recurrent."""
-    mean = lambda k: F.sum("d").over(Window.partitionBy(*by, "window_id", k)) / (F.count("*").over(Window.partitionBy(*by, "window_id", k)) - 1)
+    others = lambda k: Window.partitionBy(*by, "window_id", k)
+    mean = lambda k: F.sum(F.when(F.col("i") != F.col("j"), F.col("d"))).over(others(k)) / (F.count("*").over(others(k)) - 1)
     near = lambda m: (m < epsilon) if strict else (m <= epsilon)
     both = near(mean("i")) & near(mean("j"))
     return p.withColumn("recurrent", both).withColumn("d", F.when(F.col("recurrent"), F.col("d")).otherwise(F.lit(epsilon if other is None else other)))
@@ -77,13 +90,30 @@ def gated_share(df: DataFrame, by: Sequence[str], epsilon: float) -> DataFrame:
     return p.withColumn("d", F.when(F.col("i") != F.col("j"), F.col("d") / epsilon).otherwise(0.0))
 
 
-def bounded_gate(df: DataFrame, by: Sequence[str], epsilon: float, scope: Sequence[str] = ()) -> DataFrame:
-    """Two phases: extreme off-diagonal distances of ``scope`` (all, or a session) normalise d, then the gate (up to epsilon) applies."""
+def unit_gated(df: DataFrame, by: Sequence[str], epsilon: float) -> DataFrame:
+    """Distances under one scale over the root of two, gated by mean distance, up to epsilon."""
+    p = pairs(local_scale(df, by), by).withColumn("d", F.col("d") / F.sqrt(F.lit(2.0)))
+    return mean_gate(p, by, epsilon).withColumn("d", F.least("d", F.lit(epsilon)))
+
+
+def global_gated(df: DataFrame, by: Sequence[str], epsilon: float, *, clip: bool = True) -> DataFrame:
+    """As ``gated`` with coordinates between the extremes of all events; ``clip``: up to epsilon."""
+    ends = df.agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    scaled = df.crossJoin(F.broadcast(ends)).withColumns({c: (F.col(c) - F.col(f"_lo{c}")) / F.greatest(F.col(f"_hi{c}") - F.col(f"_lo{c}"), F.lit(EPS)) for c in "xy"})
+    p = mean_gate(pairs(scaled, by), by, epsilon)
+    return p.withColumn("d", F.least("d", F.lit(epsilon))) if clip else p
+
+
+def bounded_gate(df: DataFrame, by: Sequence[str], epsilon: float, scope: Sequence[str] = (), *, strict: bool = False) -> DataFrame:
+    """Two phases: extreme off-diagonal distances of ``scope`` (all, or a session) normalise d, the diagonal too; kept ones go up to epsilon.
+
+    A point recurs if its mean distance to the others is at most (``strict``: under) epsilon.
+    """
     p = pairs(df, by)
     ends = p.where("i <> j").groupBy(*scope).agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
     joined = p.join(ends, list(scope)) if scope else p.crossJoin(F.broadcast(ends))
-    scaled = joined.withColumn("d", F.when(F.col("i") == F.col("j"), 0.0).otherwise((F.col("d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + EPS))).drop("_lo", "_hi")
-    return mean_gate(scaled, by, epsilon, strict=False)
+    scaled = joined.withColumn("d", (F.col("d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + EPS)).drop("_lo", "_hi")
+    return mean_gate(scaled, by, epsilon, strict=strict).withColumn("d", F.least("d", F.lit(epsilon)))
 
 
 def previous_difference(p: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -97,29 +127,32 @@ def triangle(p: DataFrame, upper: Column, lower: Column, diagonal: Column) -> Da
     return p.withColumn("value", F.when(F.col("i") < F.col("j"), upper).when(F.col("i") > F.col("j"), lower).otherwise(diagonal))
 
 
-def half_triangles(df: DataFrame, by: Sequence[str], size: int, epsilon: float = 1.0) -> DataFrame:
-    """The first half's clipped distances above the diagonal, the second's below, 0 on it; windows of even size."""
+def half_triangles(df: DataFrame, by: Sequence[str], size: int, other: float = 0.3) -> DataFrame:
+    """One mean-cut matrix of the window: the first half's part above the diagonal, the second's below, 0 on it; an odd last event is left out."""
     half = size // 2
-    parts = df.where(F.col("pos") < 2 * half).withColumns({"part": (F.col("pos") >= half).cast("long"), "pos": F.col("pos") % half})
-    p = clipped(parts, [*by, "part"], epsilon)
-    first, second = (p.where(F.col("part") == k).select(*by, "window_id", "i", "j", F.col("d").alias(f"d{k}")) for k in (0, 1))
-    return triangle(first.join(second, [*by, "window_id", "i", "j"]), F.col("d0"), F.col("d1"), F.lit(0.0)).drop("d0", "d1")
+    p = mean_cut(df.where(F.col("pos") < 2 * half), by, other).withColumns({"part": (F.col("i") >= half).cast("long"), "i": F.col("i") % half, "j": F.when(F.floor(F.col("i") / half) == F.floor(F.col("j") / half), F.col("j") % half)})
+    p = p.where(F.col("j").isNotNull() & F.when(F.col("part") == 0, F.col("i") <= F.col("j")).otherwise(F.col("i") > F.col("j")))
+    return p.select(*by, "window_id", "i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("d")).alias("value"))
 
 
 def grid_of_pairs(df: DataFrame, by: Sequence[str], size: int, k: int, epsilon: float = 1.0) -> DataFrame:
-    """k by k cells of sub-sequences: cell (a, b) has a's distances below the diagonal and b's above."""
+    """k by k cells of sub-sequences as bytes: cell (a, b) has a's part of the matrix below the diagonal and b's above.
+
+    Scale and stretch are the whole window's. The diagonal is a's where a = b, else 0.
+    Without images' resizing; events after k equal parts are left out of the cells.
+    """
     part = size // k
-    parts = df.where(F.col("pos") < part * k).withColumns({"part": F.floor(F.col("pos") / part).cast("long"), "pos": F.col("pos") % part})
-    p = clipped(parts, [*by, "part"], epsilon).withColumnRenamed("d", "_d")
+    p = stretched(clipped(df, by, epsilon), by).where((F.col("i") < part * k) & (F.floor(F.col("i") / part) == F.floor(F.col("j") / part)))
+    p = p.select(*by, "window_id", F.floor(F.col("i") / part).cast("long").alias("part"), (F.col("i") % part).alias("i"), (F.col("j") % part).alias("j"), F.col("pixel").alias("_d"))
     keys = [*by, "window_id", "i", "j"]
     a, b = p.withColumnRenamed("part", "a").withColumnRenamed("_d", "da"), p.withColumnRenamed("part", "b").withColumnRenamed("_d", "db")
-    return triangle(a.join(b, keys), F.col("db"), F.col("da"), F.lit(0.0)).drop("da", "db")
+    return triangle(a.join(b, keys), F.col("db"), F.col("da"), F.when(F.col("a") == F.col("b"), F.col("da")).otherwise(0)).drop("da", "db")
 
 
-def stripes(p: DataFrame, df: DataFrame, by: Sequence[str], upper: str, lower: str) -> DataFrame:
-    """Add stripe: the column event's ``upper`` where i <= j, its ``lower`` elsewhere."""
-    of_j = df.select(*by, "window_id", F.col("pos").alias("j"), F.col(upper).alias("_u"), F.col(lower).alias("_l"))
-    return p.join(of_j, [*by, "window_id", "j"]).withColumn("stripe", F.when(F.col("i") <= F.col("j"), F.col("_u")).otherwise(F.col("_l"))).drop("_u", "_l")
+def stripes(p: DataFrame, df: DataFrame, by: Sequence[str], lower: str, upper: str) -> DataFrame:
+    """Add stripe: the column event's ``lower`` where i > j, its ``upper`` where i < j, half their sum on the diagonal."""
+    of_j = df.select(*by, "window_id", F.col("pos").alias("j"), F.col(lower).alias("_l"), F.col(upper).alias("_u"))
+    return triangle(p.join(of_j, [*by, "window_id", "j"]), F.col("_u"), F.col("_l"), (F.col("_u") + F.col("_l")) / 2).withColumnRenamed("value", "stripe").drop("_u", "_l")
 
 
 def diagonal_scaled(df: DataFrame, by: Sequence[str], epsilon: float = 1.0) -> DataFrame:
@@ -136,7 +169,7 @@ def corner_distances(df: DataFrame) -> DataFrame:
 
 
 def location_bias(p: DataFrame, alpha: Column, gamma: float, how: str = "mix") -> DataFrame:
-    """d pulled by a location term: mixed, added and clipped, or added and rescaled."""
+    """A finished matrix (d in [0, 1]) pulled by a location term: mixed, added and clipped, or added and rescaled."""
     made = {"mix": (1 - gamma) * F.col("d") + gamma * alpha, "clip": F.least(F.greatest(F.col("d") + gamma * alpha, F.lit(0.0)), F.lit(1.0)), "scale": (F.col("d") + gamma * alpha) / (1 + gamma)}
     return p.withColumn("d", made[how])
 

@@ -60,6 +60,12 @@ def greedy_merge(df: DataFrame, by: Sequence[str], min_length: Column) -> DataFr
     return df.join(mapped, [*by, "sequence_id"])
 
 
+def renumbered(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """``column`` as window_id, with pos counting its events from 0 on and _n their number."""
+    w = Window.partitionBy(*by, column)
+    return df.withColumns({"pos": (F.row_number().over(w.orderBy("seq")) - 1).cast("long"), "_n": F.count("*").over(w)}).withColumnRenamed(column, "window_id")
+
+
 def tumbling(df: DataFrame, by: Sequence[str], size: int, *, ragged: bool = False, least: int = 2) -> DataFrame:
     """Add window_id and pos for consecutive windows of ``size`` events.
 

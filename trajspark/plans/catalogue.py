@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.functions import scalars
-from trajspark.operators import bounds, clean, distribution, kinematics, losses, raster, recurrence, scoring, sequence, spectral
+from trajspark.operators import bounds, clean, distribution, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral
 from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
 from trajspark.sources import sessions
 from trajspark.streaming.sessions import gap_sessions
@@ -332,7 +332,8 @@ def srp_percentile(spark, sf_dir):
     return per_window(recurrence.percentile_plot(chunks(spark, sf_dir), KEY))
 
 
-_GATE = "m AS (SELECT *, sum(d) OVER (PARTITION BY user_id, window_id, i) / ($SIZE - 1) AS mi, sum(d) OVER (PARTITION BY user_id, window_id, j) / ($SIZE - 1) AS mj FROM {0}), s AS (SELECT user_id, window_id, i, j, CASE WHEN mi {1} {2} AND mj {1} {2} THEN d ELSE {3} END AS d FROM m)"
+_GATE = "m AS (SELECT *, sum(d) FILTER (i <> j) OVER (PARTITION BY user_id, window_id, i) / ($SIZE - 1) AS mi, sum(d) FILTER (i <> j) OVER (PARTITION BY user_id, window_id, j) / ($SIZE - 1) AS mj FROM {0}), s AS (SELECT user_id, window_id, i, j, CASE WHEN mi {1} {2} AND mj {1} {2} THEN d ELSE {3} END AS d FROM m)"
+_GATE_CLIPPED = _GATE.replace("THEN d ELSE", "THEN least(d, {2}) ELSE")
 
 
 @query(f"WITH $EV, {_CHUNK}, {_AXIS}, {_pairs_sql('n2')}, {_GATE.format('p', '<', 0.5, 0.5)} " + _PER_WINDOW.format("d", "s"))
@@ -345,17 +346,17 @@ def srp_gated_share(spark, sf_dir):
     return per_window(recurrence.gated_share(chunks(spark, sf_dir), KEY, 0.5))
 
 
-def _bounded(scope: str) -> str:
+def _bounded(scope: str, test: str = "<=") -> str:
     by = "PARTITION BY user_id" if scope else ""
-    return f"WITH $EV, {_CHUNK}, {_pairs_sql('c')}, z AS (SELECT user_id, window_id, i, j, CASE WHEN i = j THEN 0 ELSE (d - min(d) FILTER (i <> j) OVER ({by})) / (max(d) FILTER (i <> j) OVER ({by}) - min(d) FILTER (i <> j) OVER ({by}) + 1e-8) END AS d FROM p), {_GATE.format('z', '<=', 0.3137, 0.3137)} " + _PER_WINDOW.format("d", "s")
+    return f"{_pairs_sql('c')}, z AS (SELECT user_id, window_id, i, j, (d - min(d) FILTER (i <> j) OVER ({by})) / (max(d) FILTER (i <> j) OVER ({by}) - min(d) FILTER (i <> j) OVER ({by}) + 1e-8) AS d FROM p), {_GATE_CLIPPED.format('z', test, 0.3137, 0.3137)}"
 
 
-@query(_bounded(""))
+@query(f"WITH $EV, {_CHUNK}, {_bounded('')} " + _PER_WINDOW.format("d", "s"))
 def srp_global_two_phase(spark, sf_dir):
     return per_window(recurrence.bounded_gate(chunks(spark, sf_dir), KEY, 0.3137))
 
 
-@query(_bounded("user_id"))
+@query(f"WITH $EV, {_CHUNK}, {_bounded('user_id')} " + _PER_WINDOW.format("d", "s"))
 def srp_session_two_phase(spark, sf_dir):
     return per_window(recurrence.bounded_gate(chunks(spark, sf_dir), KEY, 0.3137, KEY))
 
@@ -365,34 +366,35 @@ def srp_prev_difference(spark, sf_dir):
     return per_window(recurrence.previous_difference(recurrence.clipped(chunks(spark, sf_dir), KEY), KEY), "diff")
 
 
-@query(
-    f"""WITH $EV, {_CHUNK}, h AS (SELECT user_id, window_id, pos // 4 AS part, pos % 4 AS pos, x, y FROM c), n3 AS (SELECT user_id, window_id, part, pos, (x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS x, (y - min(y) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS y FROM h WINDOW w AS (PARTITION BY user_id, window_id, part)),
-    p AS (SELECT a.user_id, a.window_id, a.pos AS i, b.pos AS j, CASE WHEN a.pos = b.pos THEN 0 ELSE least(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1.0) END AS value, a.part FROM n3 a JOIN n3 b USING (user_id, window_id, part)), s AS (SELECT * FROM p WHERE (part = 0 AND i <= j) OR (part = 1 AND i > j)) """
-    + _PER_WINDOW.format("value", "s")
-)
+_MEAN_CUT = "me AS (SELECT user_id, window_id, i, j, d / (max(d) OVER (PARTITION BY user_id, window_id) + 1e-8) AS d FROM {0}), mc AS (SELECT user_id, window_id, i, j, CASE WHEN d > avg(d) OVER (PARTITION BY user_id, window_id) THEN 0.3 ELSE d END AS d FROM me)"
+_STRETCHED = "st AS (SELECT user_id, window_id, i, j, (least(d, 1.0) - min(least(d, 1.0)) OVER w) / greatest(max(least(d, 1.0)) OVER w - min(least(d, 1.0)) OVER w, 1e-8) AS d FROM p WINDOW w AS (PARTITION BY user_id, window_id))"
+
+
+@query(f"WITH $EV, {_CHUNK}, {_pairs_sql('c')}, {_MEAN_CUT.format('p')}, s AS (SELECT user_id, window_id, i % 4 AS i, j % 4 AS j, CASE WHEN i = j THEN 0 ELSE d END AS value FROM mc WHERE i // 4 = j // 4 AND CASE WHEN i < 4 THEN i <= j ELSE i > j END) " + _PER_WINDOW.format("value", "s"))
 def arp_triangle(spark, sf_dir):
     return per_window(recurrence.half_triangles(chunks(spark, sf_dir), KEY, SIZE), "value")
 
 
 @query(
-    f"""WITH $EV, {_CHUNK}, h AS (SELECT user_id, window_id, pos // 2 AS part, pos % 2 AS pos, x, y FROM c), n3 AS (SELECT user_id, window_id, part, pos, (x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS x, (y - min(y) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS y FROM h WINDOW w AS (PARTITION BY user_id, window_id, part)),
-    p AS (SELECT a.user_id, a.window_id, a.part, a.pos AS i, b.pos AS j, least(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1.0) AS d FROM n3 a JOIN n3 b USING (user_id, window_id, part))
-    SELECT user_id, window_id, count(*) AS n, round(sum(CASE WHEN i < j THEN q.d WHEN i > j THEN p.d ELSE 0 END), 6) AS total FROM p JOIN p q USING (user_id, window_id, i, j) GROUP BY ALL"""
+    f"""WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')}, {_STRETCHED}, q AS (SELECT user_id, window_id, i // 2 AS part, i % 2 AS i, j % 2 AS j, CAST(trunc(d * 255) AS INT) AS d FROM st WHERE i // 2 = j // 2)
+    SELECT user_id, window_id, count(*) AS n, CAST(sum((a.part * 7 + b.part * 3 + i * 2 + j) * CASE WHEN i < j THEN b.d WHEN i > j OR a.part = b.part THEN a.d ELSE 0 END) AS BIGINT) AS total FROM q a JOIN q b USING (user_id, window_id, i, j) GROUP BY ALL"""
 )
 def ap_grid(spark, sf_dir):
     g = recurrence.grid_of_pairs(chunks(spark, sf_dir), KEY, SIZE, 4)
-    return g.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return g.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.sum((F.col("a") * 7 + F.col("b") * 3 + F.col("i") * 2 + F.col("j")) * F.col("value")).cast("long").alias("total"))
 
 
-@query(
-    f"WITH $EV, {_BOUNDS}, {_CHUNK}, e AS (SELECT c.user_id, window_id, pos, x, y, (x - min_x) / greatest(max_x - min_x, 1e-8) AS u, (y - min_y) / greatest(max_y - min_y, 1e-8) AS l FROM c JOIN b USING (user_id)), s AS (SELECT a.user_id, a.window_id, a.pos AS i, b.pos AS j, CASE WHEN a.pos <= b.pos THEN b.u ELSE b.l END AS stripe FROM e a JOIN e b USING (user_id, window_id)) "
-    + _PER_WINDOW.format("stripe", "s")
-)
+_SHARES = "xs AS (SELECT c.user_id, window_id, pos, (x - min_x) / greatest(max_x - min_x, 1e-8) AS x_share, (y - min_y) / greatest(max_y - min_y, 1e-8) AS y_share FROM c JOIN b USING (user_id))"
+
+
+def _split_sql(low: str, high: str) -> str:
+    return f"CASE WHEN i > j THEN {low} WHEN i < j THEN {high} ELSE ({low} + {high}) / 2 END"
+
+
+@query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, {_SHARES}, s AS (SELECT user_id, window_id, i, j, {_split_sql('x_share', 'y_share')} AS stripe FROM (SELECT b.user_id, b.window_id, a.pos AS i, b.pos AS j, b.x_share, b.y_share FROM xs a JOIN xs b USING (user_id, window_id))) " + _PER_WINDOW.format("stripe", "s"))
 def xy_triangle_stripes(spark, sf_dir):
-    t = trajectories(spark, sf_dir)
-    e = sequence.tumbling(bounds.with_bounds(t, bounds.user_bounds(t, KEY), KEY), KEY, SIZE)
-    e = e.withColumns({"u": scalars.min_max(F.col("x"), F.col("min_x"), F.col("max_x")), "l": scalars.min_max(F.col("y"), F.col("min_y"), F.col("max_y"))})
-    return per_window(recurrence.stripes(recurrence.pairs(e, KEY), e, KEY, "u", "l"), "stripe")
+    e = encodings.shares(_scaled(spark, sf_dir))
+    return per_window(recurrence.stripes(recurrence.pairs(e, KEY), e, KEY, "x_share", "y_share"), "stripe")
 
 
 _DIAG = f"WITH $EV, {_BOUNDS}, {_CHUNK}, e AS (SELECT c.user_id, window_id, pos, x / g AS x, y / g AS y, (sqrt(power(max_x - x, 2) + power(max_y - y, 2)) / g) AS br FROM c JOIN (SELECT *, greatest(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 1e-8) AS g FROM b) USING (user_id)), "
@@ -408,14 +410,6 @@ def diag_srp(spark, sf_dir):
     return per_window(recurrence.diagonal_scaled(_scaled(spark, sf_dir), KEY, 0.4))
 
 
-@query(_DIAG + f"{_pairs_sql('e')}, al AS (SELECT user_id, window_id, avg(br) AS alpha FROM e GROUP BY ALL), s AS (SELECT user_id, window_id, i, j, 0.7 * least(d, 1.0) + 0.3 * alpha AS d FROM p JOIN al USING (user_id, window_id)) " + _PER_WINDOW.format("d", "s"))
-def location_bias(spark, sf_dir):
-    e = recurrence.corner_distances(_scaled(spark, sf_dir))
-    alpha = e.groupBy("user_id", "window_id").agg(F.avg("d_br").alias("alpha"))
-    p = recurrence.diagonal_scaled(e, KEY).join(alpha, ["user_id", "window_id"])
-    return per_window(recurrence.location_bias(p, F.col("alpha"), 0.3))
-
-
 @query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, q AS (SELECT c.user_id, window_id, pos, CAST(least(greatest(floor((y - min_y) / greatest(max_y - min_y, 1e-8) * 4), 0), 3) * 4 + least(greatest(floor((x - min_x) / greatest(max_x - min_x, 1e-8) * 4), 0), 3) AS BIGINT) AS patch FROM c JOIN b USING (user_id)) SELECT greatest(l.patch, r.patch) * (greatest(l.patch, r.patch) + 1) // 2 + least(l.patch, r.patch) AS comb, count(*) AS n FROM q l JOIN q r USING (user_id, window_id) GROUP BY 1")
 def patch_pairs(spark, sf_dir):
     e = recurrence.patch_pair(_scaled(spark, sf_dir), 4)
@@ -423,6 +417,266 @@ def patch_pairs(spark, sf_dir):
     return p.groupBy(recurrence.unordered_index(F.col("a_patch"), F.col("b_patch")).alias("comb")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')}, u AS (SELECT user_id, window_id, i, j, d / sqrt(2) AS d FROM p), {_GATE_CLIPPED.format('u', '<', 0.29, 0.29)} " + _PER_WINDOW.format("d", "s"))
+def srp_unit_gated(spark, sf_dir):
+    return per_window(recurrence.unit_gated(chunks(spark, sf_dir), KEY, 0.29))
+
+
+_GLOBAL_XY = "gx AS (SELECT user_id, window_id, pos, (x - min(x) OVER ()) / greatest(max(x) OVER () - min(x) OVER (), 1e-8) AS x, (y - min(y) OVER ()) / greatest(max(y) OVER () - min(y) OVER (), 1e-8) AS y FROM c)"
+
+
+@query(f"WITH $EV, {_CHUNK}, {_GLOBAL_XY}, {_pairs_sql('gx')}, {_GATE_CLIPPED.format('p', '<', 0.4, 0.4)} " + _PER_WINDOW.format("d", "s"))
+def srp_global_coordinates(spark, sf_dir):
+    return per_window(recurrence.global_gated(chunks(spark, sf_dir), KEY, 0.4))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_GLOBAL_XY}, {_pairs_sql('gx')}, {_GATE.format('p', '<', 0.4, 0.4)} " + _PER_WINDOW.format("d", "s"))
+def srp_global_coordinates_unclipped(spark, sf_dir):
+    return per_window(recurrence.global_gated(chunks(spark, sf_dir), KEY, 0.4, clip=False))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_bounded('user_id', '<')} " + _PER_WINDOW.format("d", "s"))
+def srp_session_strict(spark, sf_dir):
+    return per_window(recurrence.bounded_gate(chunks(spark, sf_dir), KEY, 0.3137, KEY, strict=True))
+
+
+def _merged_sql(least: str) -> str:
+    spans = _SPANS.replace("SELECT user_id, max(x) AS least FROM ev GROUP BY 1", least)
+    return f"""WITH RECURSIVE $EV, {_SPLIT}, {_ARC}, {spans}, {_MERGE}, l AS (SELECT g.user_id, grp AS window_id, row_number() OVER (PARTITION BY g.user_id, grp ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY g.user_id, grp) AS len, x, y FROM g JOIN m ON m.user_id = g.user_id AND m.sid = g.sid),
+    c AS (SELECT * FROM l WHERE len >= 2), {_LOCAL}, {_pairs_sql('n1')}, {_STRETCHED} SELECT user_id, CAST(window_id AS BIGINT) AS window_id, count(*) AS n, round(avg(d), 6) AS mean, round(sum(d * (i + 2 * j)), 3) AS weighed FROM st GROUP BY ALL"""
+
+
+def _srp_merged(spark, sf_dir, least, scope) -> DataFrame:
+    """SRP over sequences split by time and merged up to a length: the largest x of the session, of its user group, or of all."""
+    t = sequence.gap_split(trajectories(spark, sf_dir), KEY, GAP)
+    if scope is not None:
+        ends = t.groupBy(*scope).agg(F.max("x").alias("_bound")) if scope else t.agg(F.max("x").alias("_bound"))
+        t = t.join(ends, scope) if scope else t.crossJoin(F.broadcast(ends))
+    m = sequence.renumbered(sequence.greedy_merge(t, KEY, least), KEY, "group_id").where("_n >= 2").drop("_n")
+    st = encodings.local(m, KEY)
+    return st.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.sum(F.col("d") * (F.col("i") + 2 * F.col("j"))), 3).alias("weighed"))
+
+
+@query(_merged_sql("SELECT user_id, max(x) AS least FROM ev GROUP BY 1"))
+def srp_merged_session(spark, sf_dir):
+    return _srp_merged(spark, sf_dir, F.max("x"), None)
+
+
+@query(_merged_sql("SELECT user_id, (SELECT max(x) FROM ev) AS least FROM ev GROUP BY 1"))
+def srp_merged_global(spark, sf_dir):
+    return _srp_merged(spark, sf_dir, F.max("_bound"), [])
+
+
+# ---------------------------------------------------------------- colour and temporal encodings
+
+_FT_COLUMNS = ("v", "vx", "vy", "a", "ax", "ay", "dt_next")
+_CDF = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2 - 1) / (count(*) OVER () - 1 + 1e-8) AS c_{0}"
+_FEATURES = (
+    """fa AS (SELECT user_id, window_id, pos, t, greatest(t - lag(t) OVER w, 1e-5) AS h, lead(t) OVER w - t AS nx, (x - lag(x) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS p, (y - lag(y) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS q, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) / greatest(t - lag(t) OVER w, 1e-5) AS s FROM c WINDOW w AS (PARTITION BY user_id, window_id ORDER BY pos)),
+    fb AS (SELECT *, coalesce(s, lead(s) OVER w, 0) AS v, coalesce(p, lead(p) OVER w, 0) AS vx, coalesce(q, lead(q) OVER w, 0) AS vy, coalesce(nx, lag(nx) OVER w, 0) AS dt_next FROM fa WINDOW w AS (PARTITION BY user_id, window_id ORDER BY pos)),
+    fc AS (SELECT user_id, window_id, pos, t, round(v, 6) + 0.0 AS v, round(vx, 6) + 0.0 AS vx, round(vy, 6) + 0.0 AS vy, round(dt_next, 6) AS dt_next, round(coalesce((v - lag(v) OVER w) / h, 0), 6) + 0.0 AS a, round(coalesce((vx - lag(vx) OVER w) / h, 0), 6) + 0.0 AS ax, round(coalesce((vy - lag(vy) OVER w) / h, 0), 6) + 0.0 AS ay FROM fb WINDOW w AS (PARTITION BY user_id, window_id ORDER BY pos)),
+    ft AS (SELECT user_id, window_id, pos, t, """
+    + ", ".join(_CDF.format(c) for c in _FT_COLUMNS)
+    + " FROM fc)"
+)
+_RGB = " SELECT user_id, window_id, count(*) AS n, round(sum(r * (i * $SIZE + j + 1)), 4) AS r, round(sum(g * (i * $SIZE + j + 1)), 4) AS g, round(sum(b * (i * $SIZE + j + 1)), 4) AS b FROM o GROUP BY ALL"
+
+
+def _features(spark, sf_dir, *names: str) -> DataFrame:
+    """Windows with c_<name>: the ECDF values of the named features."""
+    w = [*KEY, "window_id"]
+    t = kinematics.node_interval(kinematics.component_acceleration(kinematics.acceleration(chunks(spark, sf_dir), w, "copy"), w), w)
+    t = out = r6(t, *_FT_COLUMNS)
+    for name in names:
+        out = distribution.ecdf_lookup(out, name, distribution.global_ecdf(t, name)).withColumnRenamed("cdf", f"c_{name}")
+    return out
+
+
+def per_window_rgb(p: DataFrame) -> DataFrame:
+    at = F.col("i") * SIZE + F.col("j") + 1
+    return p.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(c) * at), 4).alias(c) for c in "rgb"))
+
+
+_PERCENT = "pe AS (SELECT user_id, window_id, quantile_cont(d, 0.95) AS eps FROM p GROUP BY ALL), pk AS (SELECT user_id, window_id, i, j, least(d, eps) AS d FROM p JOIN pe USING (user_id, window_id))"
+#: Base matrices: SQL that ends in base (user_id, window_id, i, j, d), and the same of events.
+_BASES = {
+    "local": (f"{_LOCAL}, {_pairs_sql('n1')}, {_STRETCHED}, base AS (SELECT * FROM st)", lambda e, by: encodings.local(e, by)),
+    "rp": (f"{_pairs_sql('c')}, {_PERCENT}, base AS (SELECT user_id, window_id, i, j, 1 - (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) AS d FROM pk WINDOW w AS (PARTITION BY user_id, window_id))", lambda e, by: encodings.inverted_percentile(e, by)),
+    "mean": (f"{_pairs_sql('c')}, {_MEAN_CUT.format('p')}, base AS (SELECT user_id, window_id, i, j, 1 - d AS d FROM mc)", lambda e, by: encodings.inverted_mean_cut(e, by)),
+    "unit": (f"{_LOCAL}, {_pairs_sql('n1')}, u AS (SELECT user_id, window_id, i, j, d / sqrt(2) AS d FROM p), {_GATE_CLIPPED.format('u', '<', 0.3, 0.3)}, base AS (SELECT user_id, window_id, i, j, d / 0.3 AS d FROM s)", lambda e, by: recurrence.unit_gated(e, by, 0.3).withColumn("d", F.col("d") / 0.3)),
+    "session": (f"{_bounded('user_id', '<')}, base AS (SELECT user_id, window_id, i, j, greatest(d / 0.3137, 0) AS d FROM s)", lambda e, by: recurrence.bounded_gate(e, by, 0.3137, KEY, strict=True).withColumn("d", F.col("d") / 0.3137)),
+}
+
+
+def _striped(name: str, base: str, g: str, b: str) -> None:
+    """Register base matrix with stripes of the ECDF values of g and b."""
+    sql, matrix = _BASES[base]
+
+    def run(spark, sf_dir):
+        e = _features(spark, sf_dir, *dict.fromkeys([g, b]))
+        return per_window_rgb(encodings.striped(matrix(e, KEY), e, KEY, f"c_{g}", f"c_{b}"))
+
+    run.__name__ = name
+    query(f"WITH $EV, {_CHUNK}, {_FEATURES}, {sql}, o AS (SELECT base.user_id, base.window_id, i, j, base.d AS r, c_{g} AS g, c_{b} AS b FROM base JOIN ft ON ft.user_id = base.user_id AND ft.window_id = base.window_id AND ft.pos = base.j)" + _RGB)(run)
+
+
+for _name, _base, _g, _b in (
+    ("enc_speed", "local", "v", "v"),
+    ("enc_velocity", "local", "vx", "vy"),
+    ("enc_interval", "local", "dt_next", "dt_next"),
+    ("enc_rp_speed", "rp", "v", "v"),
+    ("enc_rp_velocity", "rp", "vx", "vy"),
+    ("enc_rp_acceleration", "rp", "a", "a"),
+    ("enc_rp_axay", "rp", "ax", "ay"),
+    ("enc_rp_interval", "rp", "dt_next", "dt_next"),
+    ("enc_mean_speed", "mean", "v", "v"),
+    ("enc_mean_velocity", "mean", "vx", "vy"),
+    ("enc_unit_speed", "unit", "v", "v"),
+    ("enc_unit_velocity", "unit", "vx", "vy"),
+    ("enc_session_velocity", "session", "vx", "vy"),
+):
+    _striped(_name, _base, _g, _b)
+
+_GAPS = "gp AS (SELECT user_id, window_id, a.pos AS i, b.pos AS j, round(abs(a.t - b.t), 6) AS gap FROM c a JOIN c b USING (user_id, window_id)), gr AS (SELECT gap, (rank() OVER (ORDER BY gap) + (count(*) OVER (PARTITION BY gap) - 1) / 2 - 1) / (count(*) OVER () - 1 + 1e-8) AS cdf FROM gp WHERE i < j), gc AS (SELECT user_id, window_id, i, j, coalesce(cdf, 0) AS c_gap FROM gp LEFT JOIN (SELECT gap, min(cdf) AS cdf FROM gr GROUP BY 1) USING (gap))"
+
+
+def _rp_gaps(e: DataFrame) -> DataFrame:
+    """Inverted percentile plot with c_gap, the ECDF value of the time between its events."""
+    p = r6(encodings.time_pairs(encodings.inverted_percentile(e, KEY), e, KEY), "gap")
+    known = r6(kinematics.pair_differences(e, KEY, "time"), "d")
+    return distribution.ecdf_lookup(p, "gap", distribution.global_ecdf(known, "d")).withColumnRenamed("cdf", "c_gap")
+
+
+@query(f"WITH $EV, {_CHUNK}, {_BASES['rp'][0]}, {_GAPS}, o AS (SELECT user_id, window_id, i, j, d AS r, c_gap AS g, c_gap AS b FROM base JOIN gc USING (user_id, window_id, i, j))" + _RGB)
+def enc_rp_time(spark, sf_dir):
+    gap = F.col("c_gap")
+    return per_window_rgb(encodings.channels(_rp_gaps(chunks(spark, sf_dir)), KEY, F.col("d"), gap, gap))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_FEATURES}, {_BASES['rp'][0]}, {_GAPS}, o AS (SELECT base.user_id, base.window_id, i, j, d AS r, c_v AS g, c_gap AS b FROM base JOIN gc USING (user_id, window_id, i, j) JOIN ft ON ft.user_id = base.user_id AND ft.window_id = base.window_id AND ft.pos = j)" + _RGB)
+def enc_dvt(spark, sf_dir):
+    e = _features(spark, sf_dir, "v")
+    p = encodings.with_events(_rp_gaps(e), e, KEY, ["c_v"])
+    return per_window_rgb(encodings.channels(p, KEY, F.col("d"), F.col("j_c_v"), F.col("c_gap")))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_FEATURES}, {_BASES['rp'][0]}, {_GAPS}, o AS (SELECT base.user_id, base.window_id, i, j, CASE WHEN i < j THEN d WHEN i > j THEN 1 - c_gap ELSE 0 END AS r, c_vx AS g, c_vy AS b FROM base JOIN gc USING (user_id, window_id, i, j) JOIN ft ON ft.user_id = base.user_id AND ft.window_id = base.window_id AND ft.pos = j)" + _RGB)
+def arp_hybrid(spark, sf_dir):
+    e = _features(spark, sf_dir, "vx", "vy")
+    p = recurrence.triangle(_rp_gaps(e), F.col("d"), 1 - F.col("c_gap"), F.lit(0.0))
+    return per_window_rgb(encodings.striped(p, e, KEY, "c_vx", "c_vy", F.col("value")))
+
+
+@query(
+    f"WITH $EV, {_CHUNK}, {_FEATURES}, {_BASES['rp'][0]}, vd AS (SELECT user_id, window_id, a.pos AS i, b.pos AS j, abs(a.c_v - b.c_v) AS d FROM ft a JOIN ft b USING (user_id, window_id)), vq AS (SELECT user_id, window_id, quantile_cont(d, 0.95) AS eps FROM vd GROUP BY ALL), vk AS (SELECT user_id, window_id, i, j, least(d, eps) AS d FROM vd JOIN vq USING (user_id, window_id)), "
+    f"vs AS (SELECT user_id, window_id, i, j, (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) AS g FROM vk WINDOW w AS (PARTITION BY user_id, window_id)), o AS (SELECT user_id, window_id, i, j, d AS r, g, g AS b FROM base JOIN vs USING (user_id, window_id, i, j))" + _RGB
+)
+def enc_rp_speed_difference(spark, sf_dir):
+    e = _features(spark, sf_dir, "v")
+    p = encodings.value_differences(encodings.inverted_percentile(e, KEY), e, KEY, "c_v")
+    return per_window_rgb(encodings.channels(p, KEY, F.col("d"), F.col("diff"), F.col("diff")))
+
+
+def _halved(name: str, base: str, g: str, b: str) -> None:
+    """Register the split-triangle form: the base matrix of each half, stripes of g and b."""
+    sql, matrix = _BASES[base]
+    sql = re.sub(r"\bc\b(?= a JOIN| b USING)", "hc", sql).replace("user_id, window_id", "user_id, window_id, part").replace("a.user_id, a.window_id", "a.user_id, a.window_id, a.part")
+
+    def run(spark, sf_dir):
+        e = _features(spark, sf_dir, *dict.fromkeys([g, b]))
+        return per_window_rgb(encodings.halves(e, KEY, SIZE, matrix, f"c_{g}", f"c_{b}"))
+
+    run.__name__ = name
+    query(
+        f"WITH $EV, {_CHUNK}, {_FEATURES}, hc AS (SELECT user_id, window_id, pos // 4 AS part, pos % 4 AS pos, x, y FROM c), {sql}, hf AS (SELECT *, pos // 4 AS part, pos % 4 AS k FROM ft), "
+        f"ho AS (SELECT base.*, c_{g} AS g, c_{b} AS b FROM base JOIN hf ON hf.user_id = base.user_id AND hf.window_id = base.window_id AND hf.part = base.part AND hf.k = base.j), "
+        "o AS (SELECT user_id, window_id, i, j, least(greatest(sum(d), 0), 1) AS r, max(g) FILTER (part = 0 OR i < j) AS g, max(b) FILTER (part = 0 OR i < j) AS b FROM ho WHERE CASE WHEN part = 0 THEN i >= j ELSE i <= j END GROUP BY ALL)" + _RGB
+    )(run)
+
+
+for _name, _base, _g, _b in (
+    ("arp_speed", "rp", "v", "v"),
+    ("arp_velocity", "rp", "vx", "vy"),
+    ("arp_acceleration", "rp", "a", "a"),
+    ("arp_axay", "rp", "ax", "ay"),
+    ("arp_mean_velocity", "mean", "vx", "vy"),
+):
+    _halved(_name, _base, _g, _b)
+
+
+@query(f"WITH $EV, {_CHUNK}, {_FEATURES} SELECT user_id, window_id, pos, " + ", ".join(f"round(c_{c}, 6) AS c_{c}" for c in ("v", "vx", "a")) + " FROM ft")
+def event_stripes(spark, sf_dir):
+    names = ["v", "vx", "a"]
+    return r6(_features(spark, sf_dir, *names).select("user_id", "window_id", "pos", *(f"c_{c}" for c in names)), *(f"c_{c}" for c in names))
+
+
+# ---------------------------------------------------------------- places within the user's bounds
+
+_CORNERS = "co AS (SELECT c.user_id, window_id, pos, sqrt(power(max_x - x, 2) + power(max_y - y, 2)) / g AS br, sqrt(power(max_x - x, 2) + power(y - min_y, 2)) / g AS tr FROM c JOIN (SELECT *, greatest(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 1e-8) AS g FROM b) USING (user_id))"
+_BIAS = {"mix": "0.7 * d + 0.3 * loc", "clip": "least(greatest(d + 0.3 * loc, 0), 1)", "scale": "(d + 0.3 * loc) / 1.3"}
+_LOC = {
+    "bias": "lo AS (SELECT user_id, window_id, avg(br) AS loc FROM co GROUP BY ALL), lp AS (SELECT * FROM st JOIN lo USING (user_id, window_id))",
+    "bias_ab": "lo AS (SELECT user_id, window_id, avg(br) + avg(tr) AS loc FROM co GROUP BY ALL), lp AS (SELECT * FROM st JOIN lo USING (user_id, window_id))",
+    "bias_pixel": "lo AS (SELECT user_id, window_id, a.pos AS i, b.pos AS j, (a.br + b.br) / 2 + (a.tr + b.tr) / 2 AS loc FROM co a JOIN co b USING (user_id, window_id)), lp AS (SELECT * FROM st JOIN lo USING (user_id, window_id, i, j))",
+}
+_PLACED = f"WITH $EV, {_BOUNDS}, {_CHUNK}, {_CORNERS}, {_LOCAL}, {_pairs_sql('n1')}, {_STRETCHED}"
+
+
+def _biased(name: str, kind: str, how: str) -> None:
+    """Register the stretched matrix pulled by a location term."""
+
+    def run(spark, sf_dir):
+        e = recurrence.corner_distances(_scaled(spark, sf_dir))
+        p = encodings.local(e, KEY)
+        if kind == "bias_pixel":
+            p = encodings.pixel_location(p, e, KEY)
+        else:
+            p = p.join(encodings.location(e, KEY, ["d_br"] if kind == "bias" else ["d_br", "d_tr"]), [*KEY, "window_id"])
+        return per_window(recurrence.location_bias(p, F.col("loc"), 0.3, how))
+
+    run.__name__ = name
+    query(f"{_PLACED}, {_LOC[kind]}, s AS (SELECT user_id, window_id, i, j, {_BIAS[how]} AS d FROM lp) " + _PER_WINDOW.format("d", "s"))(run)
+
+
+for _kind in _LOC:
+    for _how in _BIAS:
+        _biased(f"location_{_kind}_{_how}", _kind, _how)
+
+
+@query(f"{_PLACED}, s AS (SELECT st.user_id, st.window_id, i, j, CASE WHEN i > j THEN (br - tr + 1) / 2 ELSE d END AS value FROM st JOIN co ON co.user_id = st.user_id AND co.window_id = st.window_id AND co.pos = j) " + _PER_WINDOW.format("value", "s"))
+def corner_triangle(spark, sf_dir):
+    e = recurrence.corner_distances(_scaled(spark, sf_dir))
+    return per_window(encodings.corner_triangle(encodings.local(e, KEY), e, KEY), "value")
+
+
+@query(f"{_PLACED}, s AS (SELECT st.user_id, st.window_id, i, j, least({_split_sql('br', 'tr')}, 1) AS value FROM st JOIN co ON co.user_id = st.user_id AND co.window_id = st.window_id AND co.pos = j) " + _PER_WINDOW.format("value", "s"))
+def corner_stripes(spark, sf_dir):
+    e = recurrence.corner_distances(_scaled(spark, sf_dir))
+    return per_window(encodings.corner_stripes(recurrence.pairs(e, KEY), e, KEY), "value")
+
+
+def _positioned(name: str, base: str, low: str, high: str) -> None:
+    """Register matrix, position stripes and stripes of two features (K48, K49 and their diagonal-scaled forms)."""
+    cap = "SELECT user_id, window_id, i, j, least(d, 1.0) AS d FROM p"
+    made = f"{_LOCAL}, {_pairs_sql('n1')}, {_STRETCHED}" if base == "local" else f"dg AS (SELECT c.user_id, window_id, pos, x / g AS x, y / g AS y FROM c JOIN (SELECT *, greatest(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 1e-8) AS g FROM b) USING (user_id)), {_pairs_sql('dg')}, st AS ({cap})"
+
+    def run(spark, sf_dir):
+        e = _features(spark, sf_dir, *dict.fromkeys([low, high]))
+        e = encodings.shares(bounds.with_bounds(e, bounds.user_bounds(trajectories(spark, sf_dir), KEY), KEY))
+        p = encodings.local(e, KEY) if base == "local" else recurrence.diagonal_scaled(e, KEY)
+        return per_window_rgb(encodings.position_and(p, e, KEY, f"c_{low}", f"c_{high}"))
+
+    run.__name__ = name
+    query(
+        f"WITH $EV, {_BOUNDS}, {_CHUNK}, {_SHARES}, {_FEATURES}, {made}, o AS (SELECT st.user_id, st.window_id, i, j, d AS r, {_split_sql('x_share', 'y_share')} AS g, {_split_sql(f'c_{low}', f'c_{high}')} AS b FROM st JOIN xs ON xs.user_id = st.user_id AND xs.window_id = st.window_id AND xs.pos = j JOIN ft ON ft.user_id = st.user_id AND ft.window_id = st.window_id AND ft.pos = j)" + _RGB
+    )(run)
+
+
+for _base in ("local", "diagonal"):
+    _positioned(f"enc_position_speed_{_base}", _base, "v", "v")
+    _positioned(f"enc_position_velocity_{_base}", _base, "vx", "vy")
+
+
 @query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')} SELECT count(*) FILTER (d <= 0.5) AS below, count(*) FILTER (d > 0.5) AS above, round(count(*) FILTER (d <= 0.5) / count(*), 6) AS ratio FROM p WHERE i <> j")
 def recurrence_ratio(spark, sf_dir):
     return r6(recurrence.recurrence_counts(recurrence.pairs(recurrence.local_scale(chunks(spark, sf_dir), KEY), KEY), 0.5), "ratio")
