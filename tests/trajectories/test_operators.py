@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.functions import scalars
-from trajspark.operators import bounds, clean, distribution, kinematics, losses, raster, recurrence, scoring, sequence, spectral
+from trajspark.operators import bounds, clean, distribution, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral
 
 
 def path(spark, points, session="s"):
@@ -158,8 +158,10 @@ def test_losses(spark):
     want = np.mean(-(y / 0.5 * np.log(p + 1e-6) + (1 - y) / 0.5 * np.log(1 - p + 1e-6)))
     assert losses.weighted_bce(df).first().loss == pytest.approx(want)
     g, ce = np.abs(p - y), -(y * np.log(p) + (1 - y) * np.log(1 - p))
-    density = (np.abs(g[:, None] - g[None]) <= 0.15).sum(1) / 0.15
-    assert losses.harmonised_bce(df, ["u"], 0.15).first().loss == pytest.approx(np.mean(4 / (density + 1e-12) * ce))
+    logits = df.withColumn("logit", F.log(F.col("score") / (1 - F.col("score"))))
+    assert losses.harmonised_bce(logits, ["u"], 0.1501).first().loss == pytest.approx(np.mean(4 / ((np.abs(g[:, None] - g[None]) <= 0.1501).sum(1) / 0.1501 + 1e-12) * ce))
+    certain = spark.createDataFrame([("u", 800.0, 0), ("u", -800.0, 1), ("u", 0.0, 1)], "u string, logit double, label long")
+    assert losses.harmonised_bce(certain, ["u"], 0.1).first().plain == pytest.approx((1600 + np.log(2)) / 3)
     many = spark.range(50).withColumn("label", (F.col("id") % 10 == 0).cast("long"))
     assert {r.label: r["count"] for r in losses.balance(many).groupBy("label").count().collect()} == {0: 45, 1: 45}
     assert 20 < losses.split(many, ["id"]).where("is_train").count() < 50
@@ -181,3 +183,43 @@ def test_images_and_spectra(spark):
     assert (r.h, r.w, r.channels, len(r.pixels)) == (16, 16, 1, 256)
     b = spectral.global_bounds(spectral.matrices(w, spectral.log_spectrogram, "x")).first()
     assert b.global_min < b.global_max and b.n == 6 * 3
+
+
+def _matrices(df, value="d"):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.window_id, {})[r.i, r.j] = r[value]
+    size = {w: max(i for i, _ in m) + 1 for w, m in out.items()}
+    return {w: np.array([[m[i, j] for j in range(size[w])] for i in range(size[w])]) for w, m in out.items()}
+
+
+def test_kernels_by_hand(spark):
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 40, (2, 8, 2)).astype(float)
+    df = spark.createDataFrame([("u", w, i, float(i), *map(float, points[w, i])) for w in (0, 1) for i in range(8)], "u string, window_id long, pos long, time double, x double, y double")
+    dist = np.sqrt(((points[:, :, None] - points[:, None]) ** 2).sum(-1))
+    off = ~np.eye(8, dtype=bool)
+    low, high = dist[:, off].min(), dist[:, off].max()
+    got = _matrices(recurrence.bounded_gate(df, ["u"], 0.4))
+    for w in (0, 1):
+        d = (dist[w] - low) / (high - low + 1e-8)
+        near = (d.sum(1) - np.diag(d)) / 7 <= 0.4
+        assert np.allclose(got[w], np.where(near[:, None] & near, np.minimum(d, 0.4), 0.4))
+    got = _matrices(recurrence.half_triangles(df, ["u"], 8), "value")
+    for w in (0, 1):
+        d = dist[w] / (dist[w].max() + 1e-8)
+        d = np.where(d > d.mean(), 0.3, d)
+        assert np.allclose(got[w], np.triu(d[:4, :4], 1) + np.tril(d[4:, 4:], -1))
+    spread = (points - points.min(1, keepdims=True)) / np.maximum((points.max(1) - points.min(1)).max(1), 1e-8)[:, None, None]
+    near = np.minimum(np.sqrt(((spread[:, :, None] - spread[:, None]) ** 2).sum(-1)), 1)
+    cells = {(r.window_id, r.a, r.b, r.i, r.j): r.value for r in recurrence.grid_of_pairs(df, ["u"], 8, 4).collect()}
+    for (w, a, b, i, j), value in cells.items():
+        byte = lambda k, m=near[w]: int((m[2 * k + i, 2 * k + j] - m.min()) / (m.max() - m.min()) * 255)  # noqa: B023, E731
+        assert value == (byte(b) if i < j else byte(a) if i > j or a == b else 0)
+    e = df.withColumns({"f": F.col("x") / 40, "h": F.col("y") / 40})
+    got = encodings.halves(e, ["u"], 8, lambda x, by: recurrence.pairs(x, by).withColumn("d", F.col("d") / 100), "f", "h")
+    r, g = _matrices(got, "r"), _matrices(got, "g")
+    for w in (0, 1):
+        assert np.allclose(r[w], np.minimum(np.triu(dist[w][4:, 4:] / 100) + np.tril(dist[w][:4, :4] / 100), 1))
+        f = points[w, :, 0] / 40
+        assert np.allclose(g[w], np.where(np.arange(4)[:, None] < np.arange(4), f[4:], f[:4]))

@@ -43,11 +43,12 @@ def first_occurrences(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
     return df.groupBy(*(f"`{c}`" for c in [*keys, *columns])).agg(F.min(seq).alias(seq))
 
 
-def clean(df: DataFrame, dataset: str, keys: Sequence[str], *, max_coord: float | None = 65535, dedup: bool = True, kind_filter: bool = True, dedup_first: bool = False) -> DataFrame:
+def clean(df: DataFrame, dataset: str, keys: Sequence[str], *, max_coord: float | None = 65535, dedup: bool = True, kind_filter: bool = True, dedup_first: bool = False, milliseconds: bool = False) -> DataFrame:
     """(keys, seq, time, x, y, kind) of the moves, numeric and inside the bound.
 
     df has keys, seq and the columns of the log; all of the latter decide what is
-    a duplicate. Rows whose time or coordinates aren't numbers are dropped.
+    a duplicate. Rows whose time or coordinates aren't numbers are dropped. Times keep
+    the log's unit; ``milliseconds`` brings those in seconds to milliseconds.
     """
     p = profile(dataset)
     raw = [c for c in df.columns if c not in (*keys, "seq")]
@@ -68,7 +69,7 @@ def clean(df: DataFrame, dataset: str, keys: Sequence[str], *, max_coord: float
     if dedup and not dedup_first:
         df = first_occurrences(df, keys, raw)
     kind = F.col(f"`{p.kind}`") if p.kind in raw else F.lit(None).cast("string")
-    return df.select(*keys, "seq", number(time).alias("time"), number(p.x).alias("x"), number(p.y).alias("y"), kind.alias("kind")).dropna(subset=["time", "x", "y"])
+    return df.select(*keys, "seq", (number(time) * (1000.0 / p.per_second if milliseconds else 1.0)).alias("time"), number(p.x).alias("x"), number(p.y).alias("y"), kind.alias("kind")).dropna(subset=["time", "x", "y"])
 
 
 def single_precision_time(df: DataFrame) -> DataFrame:

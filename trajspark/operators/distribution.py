@@ -66,13 +66,13 @@ def global_ecdf(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
     return ranked.select("value", "n", ((F.col("rank") - 1) / (F.col("total") - 1 + 1e-8)).alias("cdf"))
 
 
-def ecdf_lookup(df: DataFrame, value: str, ecdf: DataFrame, *, points: int | None = None) -> DataFrame:
+def ecdf_lookup(df: DataFrame, value: str, ecdf: DataFrame, *, points: int = 1 << 16) -> DataFrame:
     """Add ``cdf``: linear interpolation in (value, cdf) pairs, 0 below and 1 above them.
 
-    Pairs are sent to the executors as two sorted arrays, so ``ecdf`` has to be
-    thinned to a bounded number of points first (``thin``) if it is large.
+    Pairs are sent to the executors as a sorted array of at most ``points`` + 1: beyond
+    so many different values an ECDF is thinned, which moves results by under 1 / points.
     """
-    table = (thin(ecdf, points) if points else ecdf).agg(F.sort_array(F.collect_list(F.struct(F.col("value").cast("double").alias("v"), "cdf"))).alias("e"))
+    table = thin(ecdf, points).agg(F.sort_array(F.collect_list(F.struct(F.col("value").cast("double").alias("v"), "cdf"))).alias("e"))
     x = F.col(value).cast("double")
 
     def search(e: Column) -> Column:

@@ -54,6 +54,33 @@ def component_acceleration(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumns({"ax": F.coalesce(_diff("vx", w) / _dt(w), F.lit(0.0)), "ay": F.coalesce(_diff("vy", w) / _dt(w), F.lit(0.0))})
 
 
+def segments(df: DataFrame, by: Sequence[str], guard: float = MIN_DT) -> DataFrame:
+    """(by, seq, dt, vx, vy, v): one row per step between two events, none for the first; v from vx and vy."""
+    w = ordered(by)
+    dt = F.greatest(_diff("time", w), F.lit(guard))
+    out = df.withColumns({"dt": dt, "vx": _diff("x", w) / dt, "vy": _diff("y", w) / dt}).where(F.col("dt").isNotNull())
+    return out.select(*by, "seq", "dt", "vx", "vy", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("v"))
+
+
+def segment_acceleration(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, seq, a, ax, ay) per step: change of v, vx and vy since the step before over its time; 0 at the first step and where not finite."""
+    w = ordered(by)
+    s = segments(df, by)
+    change = lambda c: (F.col(c) - F.lag(c).over(w)) / F.col("dt")
+    clean = lambda c: F.when(finite(c), c).otherwise(0.0)
+    return s.select(*by, "seq", *(clean(change(c)).alias(n) for c, n in (("v", "a"), ("vx", "ax"), ("vy", "ay"))))
+
+
+def positive_intervals(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, seq, dt): times between events that are above zero."""
+    return df.withColumn("dt", _diff("time", ordered(by))).where("dt > 0").select(*by, "seq", "dt")
+
+
+def beyond_zero(df: DataFrame, column: str, guard: float = EPS) -> DataFrame:
+    """Rows whose value is off zero by more than ``guard``."""
+    return df.where(F.abs(column) > guard)
+
+
 def _ends(df: DataFrame, name: str, w) -> DataFrame:
     """First and last value copied from their neighbours."""
     c = F.col(name)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.functions.scalars import sigmoid
+
 TINY = 1e-6
 
 
@@ -26,16 +28,17 @@ def weighted_bce(df: DataFrame, by: Sequence[str] = (), c_pos: float = 1.0, c_ne
 
 
 def harmonised_bce(df: DataFrame, by: Sequence[str], delta: float = 0.1) -> DataFrame:
-    """(by, loss, plain): cross-entropy weighed by the inverse density of gradient sizes |score - label|.
+    """(by, loss, plain): cross-entropy of logits, weighed by the inverse density of gradient sizes |sigmoid(logit) - label|.
 
     The density of a row is the number of rows of its group within delta, over
-    delta: a range frame, so no pairs are made.
+    delta: a range frame, so no pairs are made. Losses come from the logits, so
+    certain ones have finite losses. A group is one window's frame: groups are batches.
     """
-    y, p = F.col("label").cast("double"), F.col("score")
+    y, z = F.col("label").cast("double"), F.col("logit")
     keys = ", ".join(f"`{k}`" for k in by)
     near = F.expr(f"count(*) OVER (PARTITION BY {keys} ORDER BY _g RANGE BETWEEN {delta}D PRECEDING AND {delta}D FOLLOWING)")
     n = F.count("*").over(Window.partitionBy(*by))
-    rows = df.withColumns({"_g": F.abs(p - y), "_l": -(y * F.log(p) + (1 - y) * F.log(1 - p))})
+    rows = df.withColumns({"_g": F.abs(sigmoid(z) - y), "_l": F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z)))})
     rows = rows.withColumn("_b", n / (near / delta + 1e-12))
     return rows.groupBy(*by).agg(F.avg(F.col("_b") * F.col("_l")).alias("loss"), F.avg("_l").alias("plain"))
 

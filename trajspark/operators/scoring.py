@@ -86,12 +86,11 @@ def at_threshold(df: DataFrame, threshold: Column, by: Sequence[str] = ()) -> Da
 
 
 def fusion_curve(df: DataFrame, by: Sequence[str], session: Sequence[str], order: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """(by, n, eer, auc, threshold) for every fusion size, in one plan."""
-    parts = [fuse(df, [*by, *session], n, order).withColumn("n", F.lit(n).cast("long")) for n in sizes]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return equal_error(every, [*by, "n"])
+    """(by, n, eer, auc, threshold) for every fusion size: rows are numbered once and dealt to all sizes."""
+    w = Window.partitionBy(*by, *session).orderBy(*order)
+    rows = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("n", F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))))
+    fused = rows.groupBy(*by, *session, "n", F.expr("_k div n").alias("block")).agg(F.avg("score").cast("float").cast("double").alias("score"), F.rint(F.avg("label")).cast("long").alias("label"), F.count("*").alias("_m"))
+    return equal_error(fused.where(F.col("_m") == F.col("n")), [*by, "n"])
 
 
 def macro(curve: DataFrame, by: Sequence[str] = ("n",)) -> DataFrame:

@@ -21,18 +21,14 @@ def tapered_cosine(n: int, share: float = 0.25) -> np.ndarray:
 
 
 def spectrogram(series: np.ndarray, rate: float = 1.0, segment: int = 10, overlap: int = 5, scaling: str = "spectrum") -> np.ndarray:
-    """(frequencies, segments) of |FFT| of mean-free tapered segments, scaled as magnitudes ('spectrum') or densities."""
+    """(frequencies, segments) of |FFT| of mean-free tapered segments: magnitudes over the taper's sum ('spectrum') or the root of its power ('density')."""
     n = min(segment, len(series))
     step = n - min(overlap, n - 1)
     taper = tapered_cosine(n)
     starts = range(0, len(series) - n + 1, step)
     parts = np.stack([series[s : s + n] for s in starts])
     spectrum = np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * taper, axis=1))
-    if scaling == "spectrum":
-        return (spectrum / taper.sum()).T
-    power = spectrum**2 / (rate * (taper**2).sum())
-    power[:, 1 : -1 if n % 2 == 0 else None] *= 2
-    return power.T
+    return (spectrum / (taper.sum() if scaling == "spectrum" else np.sqrt(rate * (taper**2).sum()))).T
 
 
 def log_spectrogram(series: np.ndarray, **options) -> np.ndarray:
@@ -57,7 +53,9 @@ def matrices(windows: DataFrame, transform: Callable[[np.ndarray], np.ndarray],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [transform(np.array([p[column] for p in points], float)) for points in batch.column("points").to_pylist()]
+            points = batch.column("points")
+            series = points.flatten().field(column).to_numpy(zero_copy_only=False).astype(float)
+            made = [transform(x) for x in np.split(series, np.cumsum(points.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([m.shape[0] for m in made], pa.int32()), pa.array([m.shape[1] for m in made], pa.int32()), pa.array([m.ravel() for m in made], pa.list_(pa.float64()))], schema.names)
 
     return windows.where(F.size("points") >= least).mapInArrow(run, schema)

@@ -41,10 +41,11 @@ _SPEED = f"sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) / {_D
 # ---------------------------------------------------------------- cleaning
 
 
-@query("SELECT user_id, event_id, round(value, 6) AS x, CAST(regexp_extract(props, '-?[0-9]+') AS DOUBLE) AS y FROM events WHERE event_type IN ('click', 'view') AND value < 60 AND value IS NOT NULL")
+@query("WITH $EV, m AS (SELECT user_id, t, x, y, min(seq) AS seq FROM ev WHERE kind = 'click' AND x < 60 AND y < 60 GROUP BY ALL) SELECT user_id, seq, round(x, 6) AS x, y, round(t * 1000, 3) AS time FROM m WHERE x IS NOT NULL AND y IS NOT NULL")
 def clean_events(spark, sf_dir):
-    t = trajectories(spark, sf_dir)
-    return r6(t.where(F.col("kind").isin("click", "view") & (F.col("x") < 60)).dropna(subset=["x", "y", "time"]).select("user_id", "event_id", "x", "y"), "x")
+    kind = F.when(F.col("kind") == "click", "Move").otherwise(F.col("kind"))
+    log = trajectories(spark, sf_dir).select("user_id", "seq", F.col("time").alias("client timestamp"), "x", "y", kind.alias("state"))
+    return r6(clean.clean(log, "balabit", KEY, max_coord=60, milliseconds=True).select("user_id", "seq", "x", "y", F.round("time", 3).alias("time")), "x")
 
 
 @query("SELECT user_id, event_type AS kind, k, min(seq) AS seq FROM (SELECT user_id, event_type, CAST(regexp_extract(props, '-?[0-9]+') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events) GROUP BY ALL")
@@ -145,6 +146,28 @@ def timediff_pair(spark, sf_dir):
     return d.groupBy("user_id", "window_id").agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 3).alias("mean_dt"), F.round(F.max("d"), 3).alias("max_dt"))
 
 
+_STEP = "sg AS (SELECT user_id, event_id, seq, t - lag(t) OVER w AS raw, greatest(t - lag(t) OVER w, 1e-5) AS h, (x - lag(x) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS vx, (y - lag(y) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS vy FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY seq)), ss AS (SELECT *, sqrt(vx * vx + vy * vy) AS v FROM sg WHERE h IS NOT NULL)"
+
+
+@query(f"WITH $EV, {_STEP} SELECT user_id, seq, round(vx, 6) AS vx, round(vy, 6) AS vy, round(v, 6) AS v FROM ss")
+def velocity_segments(spark, sf_dir):
+    return r6(kinematics.segments(trajectories(spark, sf_dir), KEY).select("user_id", "seq", "vx", "vy", "v"), "vx", "vy", "v")
+
+
+@query(f"WITH $EV, {_STEP} SELECT user_id, seq, round(coalesce((v - lag(v) OVER w) / h, 0), 9) AS a, round(coalesce((vx - lag(vx) OVER w) / h, 0), 9) AS ax, round(coalesce((vy - lag(vy) OVER w) / h, 0), 9) AS ay FROM ss WINDOW w AS (PARTITION BY user_id ORDER BY seq)")
+def acceleration_segments(spark, sf_dir):
+    s = kinematics.segment_acceleration(trajectories(spark, sf_dir), KEY)
+    return s.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("a", "ax", "ay")})
+
+
+@query(f"WITH $EV, {_STEP}, d AS (SELECT count(*) AS n_dt, round(sum(raw), 1) AS sum_dt FROM ss WHERE raw > 0), e AS (SELECT (v - lag(v) OVER w) / h AS a FROM ss WINDOW w AS (PARTITION BY user_id ORDER BY seq)) SELECT n_dt, sum_dt, (SELECT count(*) FROM e WHERE abs(a) > 1e-8) AS n_a FROM d")
+def filtered_features(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    dt = kinematics.positive_intervals(t, KEY).agg(F.count("*").alias("n_dt"), F.round(F.sum("dt"), 1).alias("sum_dt"))
+    a = kinematics.beyond_zero(kinematics.segment_acceleration(t, KEY), "a").agg(F.count("*").alias("n_a"))
+    return dt.crossJoin(F.broadcast(a))
+
+
 # ---------------------------------------------------------------- segmentation
 
 _SPLIT = f"g AS (SELECT *, coalesce(sum(CAST(d > $GAP AS INT)) OVER w, 0) AS sid FROM (SELECT *, t - lag(t) OVER w AS d FROM ev {_W}) {_W})"
@@ -701,9 +724,9 @@ def weighted_bce_value(spark, sf_dir):
     return r6(losses.weighted_bce(s, ["target"]), "loss")
 
 
-@query("WITH $SC, q AS (SELECT session, label, round(1 / (1 + exp(-4 * score)), 4) AS s FROM sc), g AS (SELECT *, round(abs(s - label), 4) AS g, -(label * ln(s) + (1 - label) * ln(1 - s)) AS l, count(*) OVER (PARTITION BY session) AS n FROM q), b AS (SELECT *, n / (count(*) OVER (PARTITION BY session ORDER BY g RANGE BETWEEN 0.10005 PRECEDING AND 0.10005 FOLLOWING) / 0.10005 + 1e-12) AS beta FROM g) SELECT session, round(avg(beta * l), 5) AS loss, round(avg(l), 6) AS plain FROM b GROUP BY 1")
+@query("WITH $SC, q AS (SELECT session, label, 60 * score AS z FROM sc), g AS (SELECT *, abs(1 / (1 + exp(-z)) - label) AS g, greatest(z, 0) - z * label + ln(1 + exp(-abs(z))) AS l, count(*) OVER (PARTITION BY session) AS n FROM q), b AS (SELECT *, n / (count(*) OVER (PARTITION BY session ORDER BY g RANGE BETWEEN 0.10005 PRECEDING AND 0.10005 FOLLOWING) / 0.10005 + 1e-12) AS beta FROM g) SELECT session, round(avg(beta * l), 5) AS loss, round(avg(l), 6) AS plain FROM b GROUP BY 1")
 def ghm_density(spark, sf_dir):
-    s = scores(spark, sf_dir).withColumn("score", F.round(scalars.sigmoid(4 * F.col("score")), 4))
+    s = scores(spark, sf_dir).withColumn("logit", 60 * F.col("score"))
     out = losses.harmonised_bce(s, ["session"], 0.10005)
     return out.select("session", F.round("loss", 5).alias("loss"), F.round("plain", 6).alias("plain"))
 
@@ -742,9 +765,13 @@ _EER = f"""{_ROC}, z AS (SELECT target, 0 AS k, 0.0 AS fpr, 0.0 AS tpr FROM k GR
   e AS (SELECT target, arg_min(CASE WHEN f2 = fpr THEN fpr ELSE fpr + (f2 - fpr) * g / (g - g2) END, k) AS e FROM l WHERE g >= 0 AND g2 <= 0 AND (g > 0 OR g2 < 0) GROUP BY 1)"""
 
 
-@query(f"WITH $SC, {_EER}, {_AUC} SELECT target, round(least(e, 1 - e), 9) AS eer, round(greatest(auc, 1 - auc), 9) AS auc FROM e JOIN a USING (target)")
+_THRESHOLD = """z2 AS (SELECT target, 0 AS k, NULL AS score, 0.0 AS fpr, 0.0 AS tpr FROM k GROUP BY 1 UNION ALL SELECT target, k, score, fpr, tpr FROM c), bd AS (SELECT *, (lead(fpr) OVER w - fpr) * (tpr - lag(tpr) OVER w) <> (lead(tpr) OVER w - tpr) * (fpr - lag(fpr) OVER w) AS bend FROM z2 WINDOW w AS (PARTITION BY target ORDER BY k)),
+  th AS (SELECT target, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(abs(1 - fpr - tpr), 12), k) AS r FROM bd WHERE k > 0 AND coalesce(bend, true)) WHERE r = 1)"""
+
+
+@query(f"WITH $SC, {_EER}, {_AUC}, {_THRESHOLD} SELECT target, round(least(e, 1 - e), 9) AS eer, round(greatest(auc, 1 - auc), 9) AS auc, round(threshold, 3) AS threshold FROM e JOIN a USING (target) JOIN th USING (target)")
 def eer(spark, sf_dir):
-    return scoring.equal_error(scores(spark, sf_dir), ["target"]).select("target", F.round("eer", 9).alias("eer"), F.round("auc", 9).alias("auc"))
+    return scoring.equal_error(scores(spark, sf_dir), ["target"]).select("target", F.round("eer", 9).alias("eer"), F.round("auc", 9).alias("auc"), F.round("threshold", 3).alias("threshold"))
 
 
 @query("WITH $SC, m AS (SELECT target, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn FROM sc GROUP BY 1), p AS (SELECT *, tp / (tp + fp + 1e-6) AS p, tp / (tp + fn + 1e-6) AS r FROM m) SELECT target, tp, fp, fn, tn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r + 1e-6), 9) AS f1, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy FROM p")
@@ -755,18 +782,18 @@ def prf_at_threshold(spark, sf_dir):
 
 def _curve_sql() -> str:
     parts = []
-    for n in (1, 2, 3):
+    for n in range(1, 16):
         fused = _FUSE.format("target, session", n)
         body = fused[fused.index("(") + 1 : -1]
         parts.append(f"SELECT {n} AS n, target, score, label FROM ({body})")
     every = " UNION ALL ".join(parts)
     tail = (_EER + ", " + _AUC).replace("target", "tn")
-    return f"WITH $SC0, sc AS (SELECT target * 100 + n AS tn, score, label FROM ({every})), {tail} SELECT CAST(tn % 100 AS BIGINT) AS n, round(avg(least(e, 1 - e)), 6) AS avg_eer, round(avg(greatest(auc, 1 - auc)), 6) AS avg_auc FROM e JOIN a USING (tn) GROUP BY 1".replace("$SC0", SQL_SCORES.replace("sc AS", "sc0 AS")).replace("FROM sc)", "FROM sc0)", 3)
+    return f"WITH $SC0, sc AS (SELECT target * 100 + n AS tn, score, label FROM ({every})), {tail} SELECT CAST(tn % 100 AS BIGINT) AS n, round(avg(CASE WHEN p > 0 AND p < m THEN least(coalesce(e, 0.5), 1 - coalesce(e, 0.5)) ELSE 0 END), 6) AS avg_eer, round(avg(CASE WHEN p > 0 AND p < m THEN greatest(auc, 1 - auc) ELSE 1 END), 6) AS avg_auc FROM (SELECT tn, sum(label) AS p, count(*) AS m FROM sc GROUP BY 1) LEFT JOIN e USING (tn) LEFT JOIN a USING (tn) GROUP BY 1".replace("$SC0", SQL_SCORES.replace("sc AS", "sc0 AS")).replace("FROM sc)", "FROM sc0)", 15)
 
 
 @query(_curve_sql())
 def fusion_curve_macro(spark, sf_dir):
-    return r6(scoring.macro(scoring.fusion_curve(scores(spark, sf_dir), ["target"], ["session"], ["event_id"], [1, 2, 3])), "avg_eer", "avg_auc")
+    return r6(scoring.macro(scoring.fusion_curve(scores(spark, sf_dir), ["target"], ["session"], ["event_id"], range(1, 16))), "avg_eer", "avg_auc")
 
 
 @query("WITH i AS (SELECT l_suppkey, l_partkey AS l, l_partkey + CAST(l_quantity AS BIGINT) AS r FROM lineitem), m AS (SELECT *, max(r) OVER (PARTITION BY l_suppkey ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i), g AS (SELECT *, sum(CAST(before IS NULL OR l > before + 1 AS INT)) OVER (PARTITION BY l_suppkey ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS covered FROM (SELECT l_suppkey, island, max(r) - min(l) + 1 AS n FROM g GROUP BY ALL) GROUP BY 1")
@@ -782,10 +809,11 @@ def union_genuine_imposter(spark, sf_dir):
     return both.select("o_orderkey", "o_custkey", "label", "is_imposter")
 
 
-@query("WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, (SELECT max(n) FROM c) AS n FROM c")
+@query("WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT max(n) AS most FROM c) SELECT o_orderpriority, most AS n, n AS n_keys, most // n AS fewest, CAST(ceil(most / n) AS BIGINT) AS mostly FROM c, m")
 def oversampled(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return losses.balance(o, "o_orderpriority").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    copies = losses.balance(o, "o_orderpriority").groupBy("o_orderpriority", "o_orderkey").agg(F.count("*").alias("m"))
+    return copies.groupBy("o_orderpriority").agg(F.sum("m").alias("n"), F.count("*").alias("n_keys"), F.min("m").alias("fewest"), F.max("m").alias("mostly"))
 
 
 @query(f"WITH $EV, d AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 8 HOUR AS new FROM (SELECT user_id, event_id, ts FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(CAST(coalesce(new, false) AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM d) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 28800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k")
