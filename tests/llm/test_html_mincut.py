@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -22,6 +23,11 @@ WRAP = "<html><head><title>t</title><style>p{{}}</style></head><body>{}</body></
         (WRAP.format("<form action='/all'><article><p>In a form's page.</p></article></form>"), "In a form's page."),
         (WRAP.format("<article><script>var t='</p><p>no</p>';</script><!-- <p>no</p> --><p title='a > b'>a &lt; b &#x263A; &am &amp</p><table><tr><td>x<td>y</table></article>"), "a < b ☺ &am &\nx\ny"),
         (WRAP.format("<p>A first paragraph of a page that has no landmarks at all, long enough to be read.</p><p>Short one.</p><p>And a last one with more words than the others have, so it's content.</p><div><a href=x>Link</a> <a href=y>Other link</a></div>"), "A first paragraph of a page that has no landmarks at all, long enough to be read.\nShort one.\nAnd a last one with more words than the others have, so it's content."),
+        (WRAP.format('<div class="layout with-sidebar"><article><p>Whole article.</p></article><div class="sidebar"><p>Aside.</p></div></div>'), "Whole article."),
+        (WRAP.format('<div class="page-header-wrapper"><article><p>Whole article.</p></article></div><div class="comments"><article><p>Nice.</p></article></div>'), "Whole article."),
+        (WRAP.format("<article><p data-x=it's>Body para one.</p><p class='social-history'>Of a movement.</p><h2 class=\"story-header\">Part two</h2><p class=ad>Buy</p></article>"), "Body para one.\nOf a movement.\nPart two"),
+        (WRAP.format("<p>An introduction of this page without any landmark.</p><ul><li>Milk</li><li>Bread</li></ul><table><tr><td>x</td><td>12</td></tr></table><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul>"), "An introduction of this page without any landmark.\nMilk\nBread\nx\n12"),
+        (WRAP.format("<article><p>If a <b and c</p> then <3 </ > <p>More.<button>Click<p>Rest</article>"), "If a then <3\nMore.Click\nRest"),
     ],
 )
 def test_pages(page, text):
@@ -46,6 +52,13 @@ def test_long_page():
     assert html_mincut.main_text(page).count("\n") == 3999
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a b='", "<p x=\"", "<!--", "<b <", "<script ", "<button>", "< ", "</", "<svg><a>"])
+def test_broken_markup_in_linear_time(unit):
+    began = time.process_time()
+    html_mincut.main_text(f"<article><p>text</p>{unit * 60_000}")
+    assert time.process_time() - began < 5
+
+
 def test_query(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = registry.QUERIES["op1_html_mincut"](spark, sf).collect()
