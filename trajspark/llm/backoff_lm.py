@@ -1,11 +1,13 @@
 """Stupid-backoff scores of texts under an n-gram model of the whole corpus.
 
 The n-gram count table is partitioned by hash range. Documents are dealt to chunks
-by hash; a chunk lists its distinct n-grams of every order with their counts, cut
-by hash range. A range sums all lists into its part of the table and joins it back
-to them: the counts in other chunks, in the order of the lists, return to their chunks. There the
-documents' exploded n-grams look up their counts and the log scores are summed per
-document. An n-gram is sent once a chunk, however frequent it is, so no key is hot.
+by hash; a chunk lists its distinct words and pairs with their counts, cut by hash
+range. A range sums all lists into its part of the table and joins it back to them:
+the counts in other chunks, in the order of the lists, return to their chunks. A second
+round does the same for longer n-grams, but lists only those whose pairs all occur in
+other chunks: the rest can't occur there. Then the documents' exploded n-grams look up
+their counts and the log scores are summed per document. An n-gram is sent once a
+chunk, however frequent it is, so no key is hot.
 
 A document is left out of the counts it is scored by. Word i has, for the longest
 history of up to order - 1 words in the text, the score count(history, word) /
@@ -15,8 +17,10 @@ A history is counted as an n-gram of its own.
 
 Words are runs of anything but space, tab, LF, VT, FF, CR; A-Z are lower-cased.
 Defined results: null or empty text has no words, log score 0 and a null mean;
-copies are scored from each other, repeated rows too; other columns pass through,
-columns named as outputs are replaced. N-grams are known by 64-bit hashes.
+copies are scored from each other, repeated rows too; a very long text is a chunk's
+bulk or more, never cut; other columns pass through, whatever their names, columns named
+as outputs are replaced. N-grams are known by 64-bit hashes. A list of c chunks and r
+ranges has c * r pieces: beyond some terabytes these get small, down to an n-gram each.
 """
 
 from __future__ import annotations
@@ -71,24 +75,45 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
-def _listed(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Words per text; distinct n-gram hashes of all orders, sorted, from _TOTAL on; their counts; places and indices by order."""
-    word_parts, counts = [], []
+def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, and words per text."""
+    parts, counts = [], []
     at, edges = 0, kernels.buffers(text)[1]
     while at < len(text):
         upto = max(at + 1, int(np.searchsorted(edges, edges[at] + kernels.SLICE_BYTES, side="right")) - 1)
         raw, offsets = kernels.buffers(text[at:upto])
         starts, ends, n = kernels.word_spans(raw, offsets, kernels.SPACED)
-        word_parts.append(kernels.word_hashes(raw, starts, ends))
+        parts.append(kernels.word_hashes(raw, starts, ends))
         counts.append(n)
         at = upto
-    words = np.concatenate(word_parts) if word_parts else np.zeros(0, np.uint64)
-    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    grams = ngrams(words, n, order)
-    keys, index, times = np.unique(np.concatenate([np.full(1, _TOTAL), *(h for _, h in grams)]), return_inverse=True, return_counts=True)
-    times[0] = len(words)
-    cuts = np.cumsum([1] + [len(h) for _, h in grams])
-    return n, keys, times, [(p, index[a:b]) for (p, _), a, b in zip(grams, cuts[:-1], cuts[1:], strict=True)]
+    return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+Listed = tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]
+
+
+def _listed(grams: list[tuple[np.ndarray, np.ndarray]], total: int | None = None) -> Listed:
+    """Distinct hashes of all given orders, sorted; their counts; places and indices by order. With total: _TOTAL comes first."""
+    first = [np.full(1, _TOTAL)] if total is not None else [np.zeros(0, np.uint64)]
+    keys, index, times = np.unique(np.concatenate(first + [h for _, h in grams]), return_inverse=True, return_counts=True)
+    if total is not None:
+        times[0] = total
+    cuts = np.cumsum([len(first[0])] + [len(h) for _, h in grams])
+    return keys, times, [(p, index[a:b]) for (p, _), a, b in zip(grams, cuts[:-1], cuts[1:], strict=True)]
+
+
+def _asked(words: int, short: Listed, others: np.ndarray, long: Listed) -> np.ndarray:
+    """Which of the long n-grams' keys may occur in other chunks: all of their pairs do."""
+    place, index = short[2][1]
+    pair = np.zeros(words, bool)
+    pair[place] = others[index] > 0
+    run = pair.copy()
+    asked = np.zeros(len(long[0]), bool)
+    for place, index in long[2]:
+        run = run & np.concatenate([[False], pair[:-1]])
+        pair = np.concatenate([[False], pair[:-1]])
+        asked[index[run[place]]] = True
+    return asked
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -118,21 +143,42 @@ def log_scores(n: np.ndarray, listed: list[tuple[np.ndarray, np.ndarray]], total
 def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """Add n_words, log_score (natural log, summed over words) and mean_log_score to every row."""
     own = ["n_words", "log_score", "mean_log_score"]
-    base = df.drop(*own)
     spark = df.sparkSession
-    columns = base.columns
-    size = base.agg(F.sum(F.octet_length(text))).first()[0]
-    chunks = max(1, -(-(size or 0) // CHUNK_BYTES))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // 6 * order // RANGE_ROWS)
-    dealt = base.withColumn("_chunk", F.pmod(F.xxhash64(id_col, text), F.lit(int(chunks))).cast("int"))
-
-    def ask(key, table):
-        _, keys, times, _ = _listed(table.column(text).combine_chunks() if table.num_rows else pa.array([], pa.string()), order)
+    columns = [c for c in df.columns if c not in own]
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 * order // RANGE_ROWS)
+    chunk = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"), F.spark_partition_id()), F.lit(int(chunks))).cast("int")
+    dealt = df.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != text)).alias("row"), F.col(f"`{text}`").alias("text"), chunk.alias("chunk"))
+    lists, counts = "chunk int, range int, keys binary, counts binary", "chunk int, range int, totals binary"
+
+    def body(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, Listed, list]:
+        words, n = _words(docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string()))
+        grams = ngrams(words, n, order)
+        return words, n, _listed(grams[:2], len(words)), grams[2:]
+
+    def pieces(chunk: int, keys: np.ndarray, times: np.ndarray) -> pa.Table:
         edge = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
         filled = np.flatnonzero(np.diff(edge))
         part = [slice(edge[r], edge[r + 1]) for r in filled]
         gaps = [np.diff(keys[p], prepend=np.uint64(0)) for p in part]
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(part), pa.int32()), "range": pa.array(filled, pa.int32()), "keys": pa.array([pack(g) for g in gaps], pa.binary()), "counts": pa.array([pack(times[p].astype(np.uint32)) for p in part], pa.binary())})
+        return pa.table({"chunk": pa.array([chunk] * len(part), pa.int32()), "range": pa.array(filled, pa.int32()), "keys": pa.array([pack(g) for g in gaps], pa.binary()), "counts": pa.array([pack(times[p].astype(np.uint32)) for p in part], pa.binary())})
+
+    def joined(answers: pa.Table, long: bool) -> np.ndarray:
+        """Counts in other chunks, in the order of the list."""
+        rows = zip(*(answers.column(c).to_pylist() for c in ("long", "range", "totals")), strict=True)
+        parts = sorted((r, x) for of, r, x in rows if of == long)
+        return np.concatenate([unpack(x, np.int64) for _, x in parts]) if parts else np.zeros(0, np.int64)
+
+    def ask(key, docs):
+        _, _, short, _ = body(docs)
+        return pieces(key[0].as_py(), *short[:2])
+
+    def ask_long(key, docs, answers):
+        words, _, short, grams = body(docs)
+        long = _listed(grams)
+        asked = _asked(len(words), short, joined(answers, False), long)
+        return pieces(key[0].as_py(), long[0][asked], long[1][asked])
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
@@ -148,24 +194,31 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int
         return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "totals": pa.array([pack(x) for x in np.split(found, cuts)], pa.binary())})
 
     def settle(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        body = docs.column(text).combine_chunks() if docs.num_rows else pa.array([], pa.string())
-        n, _, times, listed = _listed(body, order)
-        parts = sorted(zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        total = np.concatenate([unpack(x, np.int64) for _, x in parts]) + times
-        words = log_scores(n, listed, total, alpha)
-        sums = np.concatenate([[0.0], np.cumsum(words)])
+        words, n, short, grams = body(docs)
+        others = joined(answers, False)
+        total, listed = others + short[1], list(short[2])
+        if grams:
+            long = _listed(grams)
+            asked = _asked(len(words), short, others, long)
+            more = long[1].astype(np.int64)
+            more[asked] += joined(answers, True)
+            listed += [(place, index + len(total)) for place, index in long[2]]
+            total = np.concatenate([total, more])
+        scored = log_scores(n, listed, total, alpha)
         edge = np.concatenate([[0], np.cumsum(n)])
-        summed = np.array([words[a:b].sum() for a, b in zip(edge[:-1], edge[1:], strict=True)]) if len(n) else sums[:0]
+        summed = np.array([scored[a:b].sum() for a, b in zip(edge[:-1], edge[1:], strict=True)], float)
         mean = np.divide(summed, n, out=np.zeros(len(n)), where=n > 0)
-        out = docs.select(columns)
-        for name, column in zip(own, (pa.array(n, pa.int64()), pa.array(summed, pa.float64()), pa.array(mean, pa.float64(), mask=n == 0)), strict=True):
-            out = out.append_column(name, column)
-        return out
-
-    asked = dealt.groupBy("_chunk").applyInArrow(ask, "chunk int, range int, keys binary, counts binary")
-    answers = asked.groupBy("range").applyInArrow(answer, "chunk int, range int, totals binary")
-    schema = T.StructType([*base.schema, T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
-    return dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, schema)
+        return pa.table({"row": docs.column("row"), "text": docs.column("text"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(summed, pa.float64()), "mean_log_score": pa.array(mean, pa.float64(), mask=n == 0)})
+
+    def table_of(asked: DataFrame, long: bool) -> DataFrame:
+        return asked.groupBy("range").applyInArrow(answer, counts).withColumn("long", F.lit(long))
+
+    answers = table_of(dealt.groupBy("chunk").applyInArrow(ask, lists), False)
+    if order > 2:
+        answers = answers.union(table_of(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_long, lists), True))
+    schema = T.StructType([dealt.schema["row"], dealt.schema["text"], T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, schema)
+    return out.select(*(F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in columns), *own)
 
 
 ORACLE_SQL = r"""
