@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -40,6 +42,34 @@ def test_outliers_of_each_group_go(spark):
     assert all(not got[i] for i, *_, bad in rows if bad) and sum(got[i] for i, *_, bad in rows if not bad) >= 545
 
 
+def test_least_determinant_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    mix = rng.normal(size=(5, 5)) * 0.6
+    x = np.concatenate([rng.normal(size=(400, 5)) @ mix, rng.normal(size=(60, 5)) * 0.3 + 9, rng.normal(size=(30, 5)) * 4])
+    rows = spark.createDataFrame([("p", *map(float, r)) for r in x], "pool string, " + ", ".join(f"x_{i} double" for i in range(5)))
+    fit = quality_rules.least_determinant(rows, True).collect()
+    assert len(fit) == 1
+    floor = np.diag(np.array(quality_rules.FLOORS) ** 2)
+
+    def refit(part):
+        return part.mean(0), quality_rules.CONSISTENCY * np.cov(part.T, bias=True) + floor
+
+    def square(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    best = None
+    for _ in range(200):
+        m, c = refit(x[rng.choice(len(x), 12, replace=False)])
+        for _ in range(30):
+            m, c = refit(x[np.argsort(square(m, c))[: int(np.ceil(quality_rules.SUPPORT * len(x)))]])
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    assert fit[0].logdet == pytest.approx(best[0], abs=0.15)
+    got = quality_rules._distances(rows, spark.createDataFrame(fit), True).toPandas().sort_values("x_0")["distance"].to_numpy()
+    want = np.sqrt(square(*best[1:]))[np.argsort(x[:, 0])]
+    assert ((got > quality_rules.CUTOFF) == (want > quality_rules.CUTOFF)).mean() > 0.99 and np.allclose(got, want, rtol=0.15)
+
+
 def test_empty_and_null(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality_rules.rate(df).count() == 0
@@ -57,4 +87,5 @@ def test_query(spark, sf):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeats)
         assert r.base_failed == (n < 50 or 100 * repeats > 50 * n) and not (r.base_failed and r.kept)
     good = [r.kept for r in got if labels.get(r.doc_id) == 1 and not r.base_failed]
-    assert sum(good) >= 0.97 * len(good)
+    bad = [r.kept for r in got if labels.get(r.doc_id) == 0 and not r.base_failed]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)

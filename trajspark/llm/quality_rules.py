@@ -2,12 +2,17 @@
 
 Base statistics are taken from every whole text. Their transformed vectors are
 then judged per language and source by a minimum-covariance-determinant
-estimate: from coordinate medians and absolute deviations, concentration steps
-refit location and covariance on the nearest ``SUPPORT`` share of rows; rows
-whose Mahalanobis distance is beyond ``CUTOFF`` are rejected.
+estimate. It has four deterministic starts: coordinate medians and absolute
+deviations alone, and with the covariance of the coordinates so standardised, of
+their hyperbolic tangents, and of their directions. From each, concentration steps
+refit location and covariance on the nearest ``SUPPORT`` share of rows until no
+start's determinant falls by more than ``TOLERANCE`` (its logarithm; ``STEPS`` at most).
+The fit of least determinant counts; rows whose Mahalanobis distance is beyond
+``CUTOFF`` are rejected.
 
 The nearest share is found from a histogram of log distances, so every step is a
-sum that combines before the shuffle: a group may hold any share of all rows.
+sum that combines before the shuffle: a group may hold any share of all rows. The
+starts of a step share its aggregations.
 Groups of under ``LEAST_GROUP`` judged rows are pooled by language, then overall.
 
 Defined results: null text has no words and fails; a null language or source is a
@@ -26,9 +31,10 @@ from pyspark.sql import functions as F
 from trajspark.llm import scratch
 
 SUPPORT = 0.75
-STEPS = 3
-#: Square root of the 0.999999 quantile of chi-square with five degrees of freedom.
-CUTOFF = 5.99
+#: Concentration steps at most, and the fall of the log determinant that calls for another.
+STEPS, TOLERANCE = 12, 0.01
+#: Square root of the 0.9999 quantile of chi-square with five degrees of freedom.
+CUTOFF = 5.07
 #: Makes the covariance of the nearest three quarters of five normal variables that of all.
 CONSISTENCY = 1.41
 #: Standard deviations that a coordinate is given at least: differences below don't matter.
@@ -91,9 +97,9 @@ def _vector() -> list[Column]:
     return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.log1p(10 * F.col("n_symbols") / n), F.log1p(100 * F.col("n_dup_lines") / n), F.asin(F.sqrt(F.least(F.col("n_repeat_words") / n, F.lit(1.0))))]
 
 
-def _attach(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join with a written table of a row a group; broadcast if it is proven small."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small, keys, "left")
+def _attach(rows: DataFrame, small: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Left join with a table of some rows a group; broadcast if groups are ``few``, which has been counted."""
+    return rows.join(F.broadcast(small) if few else small, keys, "left")
 
 
 def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -119,44 +125,75 @@ def _cholesky(cov: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
 
 
 def _factored(df: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
+    """(pool, start, m_i, l_i_j, logdet) from locations m_i and covariances."""
     for name, step in _cholesky(cov):
         df = df.withColumn(name, step)
-    return df.select("pool", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS))
+    logdet = sum((2 * F.log(f"l_{i}_{i}") for i in range(P)), F.lit(0.0))
+    return df.select("pool", "start", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS), logdet.alias("logdet"))
 
 
-def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    out, squares = _attach(rows, fit, ["pool"]), F.lit(0.0)
+def _distances(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
+    """Rows with every fit of their pool: start and distance."""
+    out, squares = _attach(rows, fit, ["pool"], few), F.lit(0.0)
     for i in range(P):
         rest = F.col(f"x_{i}") - F.col(f"m_{i}")
         for k in range(i):
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
         out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
         squares = squares + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return out.withColumn("distance", F.sqrt(squares)).drop(*fit.columns[1:], *(f"y_{i}" for i in range(P)))
+    return out.withColumn("distance", F.sqrt(squares)).drop(*(c for c in fit.columns if c not in ("pool", "start")), *(f"y_{i}" for i in range(P)))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and scaled absolute deviations of the coordinates, per pool."""
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """The fits that concentration begins with, four a pool."""
     long = rows.select("pool", F.posexplode(F.array(*(F.col(f"x_{i}") for i in range(P)))).alias("i", "x"))
     middle = scratch.write_out(_quantile(long.groupBy("pool", "i", F.floor(F.col("x") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")), ["pool", "i"], 0.5), "mcd-median")
-    near = _attach(long, middle, ["pool", "i"]).select("pool", "i", F.floor(F.abs(F.col("x") * BINS - 0.5 - F.col("bin"))).cast("int").alias("off"))
+    near = _attach(long, middle, ["pool", "i"], few).select("pool", "i", F.floor(F.abs(F.col("x") * BINS - 0.5 - F.col("bin"))).cast("int").alias("off"))
     spread = _quantile(near.groupBy("pool", "i", F.col("off").alias("bin")).agg(F.count("*").alias("n")), ["pool", "i"], 0.5)
     both = middle.join(spread.withColumnRenamed("bin", "off"), ["pool", "i"]).groupBy("pool")
     at = lambda i, c: F.max(F.when(F.col("i") == i, (F.col(c) + 0.5) / BINS))
-    out = both.agg(*(at(i, "bin").alias(f"m_{i}") for i in range(P)), *((1.4826 * at(i, "off")).alias(f"s_{i}") for i in range(P)))
-    return scratch.write_out(_factored(out, {(i, j): F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else F.lit(0.0) for i, j in _PAIRS}), "mcd-start")
-
-
-def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """A concentration step: refit on the nearest rows."""
-    scored = _distances(rows, fit).withColumn("bin", F.floor(F.log(F.greatest("distance", F.lit(1e-6))) * BINS).cast("int"))
-    limit = scratch.write_out(_quantile(scored.groupBy("pool", "bin").agg(F.count("*").alias("n")), ["pool"], SUPPORT).withColumnRenamed("bin", "upto"), "mcd-limit")
-    near = _attach(scored, limit, ["pool"]).where("bin <= upto")
+    scales = both.agg(*(at(i, "bin").alias(f"c_{i}") for i in range(P)), *(F.sqrt(F.pow(1.4826 * at(i, "off"), F.lit(2.0)) + FLOORS[i] ** 2).alias(f"s_{i}") for i in range(P)))
+    scales = scratch.write_out(scales, "mcd-scale")
+    z = _attach(rows, scales, ["pool"], few).select("pool", *((F.col(f"x_{i}") - F.col(f"c_{i}")) / F.col(f"s_{i}") for i in range(P))).toDF("pool", *(f"z_{i}" for i in range(P)))
+    size = F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(P)), F.lit(0.0)))
+    forms = {"plain": lambda c: F.col(c), "tanh": lambda c: F.tanh(c), "sign": lambda c: F.col(c) / F.greatest("_size", F.lit(1e-9))}
+    sums = z.withColumn("_size", size).groupBy("pool").agg(*(F.covar_pop(f(f"z_{i}"), f(f"z_{j}")).alias(f"{n}_{i}_{j}") for n, f in forms.items() for i, j in _PAIRS))
+
+    def scatter(name: str) -> Column:
+        """Of the standardised coordinates; correlations only, as the shapes have other sizes."""
+        one = lambda i: F.greatest(F.col(f"{name}_{i}_{i}"), F.lit(1e-9))
+        return F.struct(F.lit(name).alias("start"), *((F.col(f"{name}_{i}_{j}") / F.sqrt(one(i) * one(j)) if i != j else F.lit(1.0)).alias(f"r_{i}_{j}") for i, j in _PAIRS))
+
+    alone = F.struct(F.lit("alone").alias("start"), *((F.lit(1.0) if i == j else F.lit(0.0)).alias(f"r_{i}_{j}") for i, j in _PAIRS))
+    fits = sums.select("pool", F.explode(F.array(alone, *(scatter(n) for n in forms))).alias("f")).select("pool", "f.*").join(scales, "pool").withColumnsRenamed({f"c_{i}": f"m_{i}" for i in range(P)})
+    return scratch.write_out(_factored(fits, {(i, j): F.col(f"r_{i}_{j}") * F.col(f"s_{i}") * F.col(f"s_{j}") for i, j in _PAIRS}), "mcd-start")
+
+
+def _step(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
+    """A concentration step of all starts: refit on the nearest rows."""
+    keys = ["pool", "start"]
+    scored = _distances(rows, fit, few).withColumn("bin", F.floor(F.log(F.greatest("distance", F.lit(1e-6))) * BINS).cast("int"))
+    limit = _quantile(scored.groupBy(*keys, "bin").agg(F.count("*").alias("n")), keys, SUPPORT).withColumnRenamed("bin", "upto")
+    near = _attach(scored, limit, keys, few).where("bin <= upto")
     x = [F.col(f"x_{i}") for i in range(P)]
-    sums = near.groupBy("pool").agg(*(F.avg(x[i]).alias(f"m_{i}") for i in range(P)), *(F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS))
+    sums = near.groupBy(*keys).agg(*(F.avg(x[i]).alias(f"m_{i}") for i in range(P)), *(F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS))
     return scratch.write_out(_factored(sums, {p: CONSISTENCY * F.col(f"c_{p[0]}_{p[1]}") for p in _PAIRS}), "mcd-fit")
 
 
+def least_determinant(rows: DataFrame, few: bool) -> DataFrame:
+    """(pool, start, m_i, l_i_j, logdet): of each pool the converged fit whose determinant is least."""
+    fit, before = _starts(rows, few), None
+    for _ in range(STEPS):
+        fit = _step(rows, fit, few)
+        if before is not None:
+            fell = before.select("pool", "start", F.col("logdet").alias("was")).join(fit, ["pool", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+            if fell is None or fell <= TOLERANCE:
+                break
+        before = fit
+    best = fit.groupBy("pool").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    return fit.join(best, ["pool", "start"])
+
+
 def rate(df: DataFrame, text: str = "text", by: tuple[str, str] = ("lang", "source"), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep``, ``by``, the statistics, base_failed, distance (null if base_failed) and kept of every row."""
     own = [*dict.fromkeys([*keep, *by])]
@@ -169,10 +206,8 @@ def rate(df: DataFrame, text: str = "text", by: tuple[str, str] = ("lang", "sour
     rest = sizes.where(small).groupBy("_coarse").agg(F.sum("n").alias("m"))
     pools = scratch.write_out(sizes.join(rest, "_coarse", "left").select("_fine", F.when(~small, F.col("_fine")).when(F.col("m") >= LEAST_GROUP, F.col("_coarse")).otherwise("*").alias("pool")), "quality-pools")
     vectors = [v.alias(f"x_{i}") for i, v in enumerate(_vector())]
-    rows = _attach(named, pools, ["_fine"]).select(*table.columns, F.when(~F.col("base_failed"), F.col("pool")).alias("pool"), *vectors)
-    judged = rows.where("not base_failed")
-    fit = _start(judged)
-    for _ in range(STEPS):
-        fit = _step(judged, fit)
-    out = _distances(rows, fit).select(*table.columns, F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
+    few = pools.count() <= BROADCAST_GROUPS
+    rows = _attach(named, pools, ["_fine"], few).select(*table.columns, F.when(~F.col("base_failed"), F.col("pool")).alias("pool"), *vectors)
+    best = scratch.write_out(least_determinant(rows.where("not base_failed"), few), "mcd-best")
+    out = _distances(rows, best, few).select(*table.columns, F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
