@@ -281,6 +281,17 @@ def _may_link(x: Column, y: Column, shared: Column, percent: int) -> Column:
 
 def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row; component_id: the least id that links reach."""
+    with scratch.temporary(df.sparkSession) as kept:
+        members, named = _named(df, id_col, text, width, percent)
+        named = scratch.write_out(named, "named")
+        kept += [members, named]
+    out = members.where("sig is not null").join(named, "sig").select("id", "n", "component_id")
+    alone = members.where("sig is null").select("id", "n", F.col("id").alias("component_id"))
+    return out.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _named(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, sig, g) of every row, and (sig, component_id) of every class."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     frequent, total = _frequent(docs, width)
@@ -337,7 +348,4 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int =
             joined = cc.components(linked.union(more)).withColumnsRenamed({"node": "sig"})
             by_class = classes.join(joined, "sig", "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
     least = by_class.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = by_class.join(least, "root").select("sig", "component_id")
-    out = members.where("sig is not null").join(named, "sig").select("id", "n", "component_id")
-    alone = members.where("sig is null").select("id", "n", F.col("id").alias("component_id"))
-    return out.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return members, by_class.join(least, "root").select("sig", "component_id")

@@ -142,6 +142,13 @@ def _met_again(placed: DataFrame, *place: str) -> DataFrame:
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """(id, hash, whole, at): documents with repeated passages; whole: all of it; else the words at which such passages begin."""
+    with scratch.temporary(df.sparkSession) as kept:
+        found = scratch.write_out(_repeated(df, id_col, text, passage_words), "passage-repeated")
+        kept.append(found)
+    return found
+
+
+def _repeated(df: DataFrame, id_col: str, text: str, passage_words: int) -> DataFrame:
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"), F.col(f"`{text}`").alias("text"))
     index = scratch.write_out(_index(docs, passage_words), "passage-samples")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")

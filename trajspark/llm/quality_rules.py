@@ -208,6 +208,8 @@ def rate(df: DataFrame, text: str = "text", by: tuple[str, str] = ("lang", "sour
     vectors = [v.alias(f"x_{i}") for i, v in enumerate(_vector())]
     few = pools.count() <= BROADCAST_GROUPS
     rows = _attach(named, pools, ["_fine"], few).select(*table.columns, F.when(~F.col("base_failed"), F.col("pool")).alias("pool"), *vectors)
-    best = scratch.write_out(least_determinant(rows.where("not base_failed"), few), "mcd-best")
+    with scratch.temporary(df.sparkSession) as kept:
+        best = scratch.write_out(least_determinant(rows.where("not base_failed"), few), "mcd-best")
+        kept.append(best)
     out = _distances(rows, best, few).select(*table.columns, F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))

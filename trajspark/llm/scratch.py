@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
+_open: list[list[tuple[DataFrame, str]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir."""
+    """The folder that the cluster names in spark.checkpoint.dir; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        spark.conf.set("spark.checkpoint.dir", LOCAL_FALLBACK)
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = LOCAL_FALLBACK
     return found.rstrip("/")
 
@@ -29,10 +35,31 @@ def write_out(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append((out, path))
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, except those put into the list that this gives.
+
+    What leaves the block must depend on kept tables (and inputs) alone.
+    """
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        written = _open.pop()
+        for df, path in written:
+            if not any(df is k for k in kept):
+                delete(spark, path)
+            elif _open:
+                _open[-1].append((df, path))
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
