@@ -70,8 +70,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.write_out(docs, name)
-    return docs
+    with scratch.temporary(spark) as kept:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.write_out(stage(spark, docs, sf_dir), name)
+        kept.append(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
