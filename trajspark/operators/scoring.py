@@ -98,6 +98,34 @@ def macro(curve: DataFrame, by: Sequence[str] = ("n",)) -> DataFrame:
     return curve.groupBy(*by).agg(F.avg("eer").alias("avg_eer"), F.avg("auc").alias("avg_auc"))
 
 
+def one_vs_rest(df: DataFrame, user: str, targets: Sequence[int], claimed: str | None = None) -> DataFrame:
+    """Every row once for each target, label 1 where ``user`` is the target. claimed: only rows that claim to be the target."""
+    out = df.withColumn("target", F.explode(F.array(*(F.lit(t).cast("long") for t in targets))))
+    out = out if claimed is None else out.where(F.col(claimed) == F.col("target"))
+    return out.withColumn("label", (F.col(user) == F.col("target")).cast("long"))
+
+
+def fold_means(df: DataFrame, by: Sequence[str], session: Sequence[str], order: Sequence[str], sizes: Sequence[int], fold: str = "fold") -> DataFrame:
+    """(n, avg_eer, avg_auc): means over the folds of each fold's means over the targets."""
+    per_fold = macro(fusion_curve(df, [fold, *by], session, order, sizes), [fold, "n"])
+    return per_fold.groupBy("n").agg(F.avg("avg_eer").alias("avg_eer"), F.avg("avg_auc").alias("avg_auc"))
+
+
+def at_own_threshold(df: DataFrame, thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``at_threshold`` with each group's threshold from (by, threshold), as estimated elsewhere."""
+    return at_threshold(df.join(thresholds.select(*by, "threshold"), list(by)), F.col("threshold"), by)
+
+
+def zipped(scores: DataFrame, labels: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Scores with their labels and sessions by sample key, where arrays would be zipped by place."""
+    return scores.join(labels, list(key))
+
+
+def cover_summary(covered: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mean, median) of covered numbers."""
+    return covered.groupBy(*by).agg(F.avg("covered").alias("mean"), F.median("covered").alias("median"))
+
+
 def interval_cover(df: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
     """(by, covered): whole numbers inside the union of closed intervals; touching ones merge."""
     w = Window.partitionBy(*by).orderBy(left, right)

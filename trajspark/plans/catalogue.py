@@ -802,6 +802,56 @@ def interval_coverage(spark, sf_dir):
     return scoring.interval_cover(i, ["l_suppkey"], "l", "r")
 
 
+@query("WITH i AS (SELECT l_suppkey, l_partkey AS l, l_partkey + CAST(l_quantity AS BIGINT) AS r FROM lineitem), m AS (SELECT *, max(r) OVER (PARTITION BY l_suppkey ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i), g AS (SELECT *, sum(CAST(before IS NULL OR l > before + 1 AS INT)) OVER (PARTITION BY l_suppkey ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS island FROM m), c AS (SELECT l_suppkey, sum(n) AS covered FROM (SELECT l_suppkey, island, max(r) - min(l) + 1 AS n FROM g GROUP BY ALL) GROUP BY 1) SELECT round(avg(covered), 6) AS mean, median(covered) AS median FROM c")
+def covered_summary(spark, sf_dir):
+    return r6(scoring.cover_summary(interval_coverage(spark, sf_dir)), "mean")
+
+
+_FOUR = "sc0 AS (SELECT u AS target, user_id, user_id AS session, event_id, event_id % 5 AS fold, round(value / (abs(value) + 50) - 0.1 * ((user_id + u) % 4), 3) AS score, CAST(user_id % 4 = u AS BIGINT) AS label FROM events, (SELECT unnest(range(0, 4)) AS u) {0})"
+
+
+def _protocol_sql(source: str, fold: str, sizes) -> str:
+    parts = " UNION ALL ".join(f"SELECT {n} AS n, target, fold, score, label FROM ({_FUSE.format(f'target, {fold} AS fold, session', n).split('(', 1)[1].rsplit(')', 1)[0].replace(f'PARTITION BY target, {fold} AS fold, session', f'PARTITION BY target, {fold}, session').replace('FROM sc)', 'FROM sc0)')})" for n in sizes)
+    tail = (_EER + ", " + _AUC).replace("target", "tn")
+    return f"WITH {source}, sc AS (SELECT (fold * 10 + target) * 100 + n AS tn, score, label FROM ({parts})), {tail}, each AS (SELECT tn % 100 AS n, tn // 1000 AS fold, CASE WHEN p > 0 AND p < m THEN least(coalesce(e, 0.5), 1 - coalesce(e, 0.5)) ELSE 0 END AS x, CASE WHEN p > 0 AND p < m THEN greatest(auc, 1 - auc) ELSE 1 END AS y FROM (SELECT tn, sum(label) AS p, count(*) AS m FROM sc GROUP BY 1) LEFT JOIN e USING (tn) LEFT JOIN a USING (tn)) SELECT CAST(n AS BIGINT) AS n, round(avg(x), 6) AS avg_eer, round(avg(y), 6) AS avg_auc FROM (SELECT n, fold, avg(x) AS x, avg(y) AS y FROM each GROUP BY ALL) GROUP BY 1"
+
+
+def _four(spark, sf_dir, claimed: bool = False) -> DataFrame:
+    """Scores of every event for four targets; or only for the target that it claims."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("user_id") % 4).alias("user"), (F.col("event_id") % 4).alias("claim"), (F.col("event_id") % 5).alias("fold"))
+    rows = scoring.one_vs_rest(e, "user", range(4), "claim" if claimed else None)
+    return rows.withColumn("score", F.round(F.col("value") / (F.abs("value") + 50) - 0.1 * ((F.col("user_id") + F.col("target")) % 4), 3)).withColumn("session", F.col("user_id"))
+
+
+@query(_protocol_sql(_FOUR.format(""), "0", range(1, 16)))
+def protocol_multi_user(spark, sf_dir):
+    return r6(scoring.macro(scoring.fusion_curve(_four(spark, sf_dir), ["target"], ["session"], ["event_id"], range(1, 16))), "avg_eer", "avg_auc")
+
+
+@query(_protocol_sql(_FOUR.format("WHERE event_id % 4 = u"), "0", range(1, 16)))
+def protocol_claimed_user(spark, sf_dir):
+    return r6(scoring.macro(scoring.fusion_curve(_four(spark, sf_dir, claimed=True), ["target"], ["session"], ["event_id"], range(1, 16))), "avg_eer", "avg_auc")
+
+
+@query(_protocol_sql(_FOUR.format(""), "fold", range(1, 6)))
+def protocol_five_folds(spark, sf_dir):
+    return r6(scoring.fold_means(_four(spark, sf_dir), ["target"], ["session"], ["event_id"], range(1, 6)), "avg_eer", "avg_auc")
+
+
+@query(f"WITH {_FOUR.format('')}, sc AS (SELECT * FROM sc0 WHERE fold > 0), {_ROC}, {_THRESHOLD}, m AS (SELECT sc0.target, count(*) FILTER (sc0.score >= threshold AND label = 1) AS tp, count(*) FILTER (sc0.score >= threshold AND label = 0) AS fp, count(*) FILTER (sc0.score < threshold AND label = 1) AS fn, count(*) FILTER (sc0.score < threshold AND label = 0) AS tn FROM sc0 JOIN th USING (target) WHERE fold = 0 GROUP BY 1) SELECT target, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy FROM m")
+def protocol_held_out_threshold(spark, sf_dir):
+    s = _four(spark, sf_dir)
+    known = scoring.equal_error(s.where("fold > 0"), ["target"])
+    return scoring.at_own_threshold(s.where("fold = 0"), known, ["target"]).select("target", "tp", "fp", "fn", "tn", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("SELECT l.event_id, l.user_id AS session, l.event_type AS label, round(value, 6) AS score FROM events s JOIN events l USING (event_id) WHERE s.user_id % 2 = 0".replace("round(value", "round(s.value"))
+def scores_with_labels(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    s = e.where("user_id % 2 = 0").select("event_id", F.col("value").alias("score"))
+    return r6(scoring.zipped(s, e.select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("label")), ["event_id"]), "score").select("event_id", "session", "label", "score")
+
+
 @query("SELECT o_orderkey, o_custkey, CAST(1 AS BIGINT) AS label, false AS is_imposter FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_custkey, CAST(0 AS BIGINT), true FROM orders WHERE o_orderstatus <> 'F'")
 def union_genuine_imposter(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
