@@ -1,6 +1,7 @@
 """Worked values of the operators, on hand-made rows."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -185,6 +186,16 @@ def test_images_and_spectra(spark):
     assert b.global_min < b.global_max and b.n == 6 * 3
 
 
+def test_png():
+    pixels = bytes(range(24))
+    file = raster.png(pixels, 2, 4, 3)
+    assert file[:8] == b"\x89PNG\r\n\x1a\n" and file[16:26] == bytes([0, 0, 0, 4, 0, 0, 0, 2, 8, 2])
+    start = file.index(b"IDAT")
+    size = int.from_bytes(file[start - 4 : start], "big")
+    rows = zlib.decompress(file[start + 4 : start + 4 + size])
+    assert rows[1:13] + rows[14:] == pixels and rows[0] == rows[13] == 0
+
+
 def _matrices(df, value="d"):
     out = {}
     for r in df.collect():

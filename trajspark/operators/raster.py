@@ -6,11 +6,13 @@ array, so nothing is shuffled and memory follows the batch.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +45,35 @@ def on_screen(xy: np.ndarray, side: int, width: float, height: float) -> np.ndar
     return xy * scale + (side - np.array([width, height]) * scale) / 2
 
 
+def screen_place(df: DataFrame, width: Column | float, height: Column | float, side: int, *, how: str = "fit") -> DataFrame:
+    """Add px and py: places on a square of ``side`` pixels.
+
+    'fit': the screen's longer axis fills the square, bars on the shorter; 'width': its
+    width does, no margin. Screens may be a user's (extents from its bounds, x and y
+    shifted by their least values before) or one for all.
+    """
+    w, h = (c if isinstance(c, Column) else F.lit(float(c)) for c in (width, height))
+    scale = side / (F.greatest(w, h) if how == "fit" else w)
+    bar = lambda extent: (side - extent * scale) / 2 if how == "fit" else F.lit(0.0)
+    return df.withColumns({"px": F.col("x") * scale + bar(w), "py": F.col("y") * scale + bar(h)})
+
+
+def boxed_place(df: DataFrame, by: Sequence[str], side: int, pad: float = 0.05) -> DataFrame:
+    """Add px and py: the window's box in the middle of the square, scaled alike on both axes, with a margin."""
+    w = Window.partitionBy(*by)
+    low, high = ({c: f(c).over(w) for c in "xy"} for f in (F.min, F.max))
+    scale = side * (1 - 2 * pad) / F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(1e-8))
+    return df.withColumns({f"p{c}": (F.col(c) - (low[c] + high[c]) / 2) * scale + side / 2 for c in "xy"})
+
+
+def recentred_place(df: DataFrame, by: Sequence[str], width: Column | float, height: Column | float, side: int) -> DataFrame:
+    """Add px and py: the window's box moved to the middle of its screen, the screen's scale kept."""
+    w = Window.partitionBy(*by)
+    extents = {"x": width, "y": height}
+    moved = df.withColumns({f"_{c}": F.col(c) for c in "xy"}).withColumns({c: F.col(c) - (F.min(c).over(w) + F.max(c).over(w)) / 2 + extents[c] / 2 for c in "xy"})
+    return screen_place(moved, width, height, side).drop("x", "y").withColumnsRenamed({"_x": "x", "_y": "y"})
+
+
 def polyline(xy: np.ndarray, side: int, values: np.ndarray | None = None, thickness: float = 1.0) -> np.ndarray:
     """Image (side, side, channels) of the path; segments carry ``values``; later ones cover earlier ones.
 
@@ -98,6 +129,27 @@ def to_bytes(image: np.ndarray) -> bytes:
     return np.clip(image * 255, 0, 255).astype(np.uint8).tobytes()
 
 
+def png(pixels: bytes, h: int, w: int, channels: int) -> bytes:
+    """A PNG file of grey (one channel) or RGB bytes (three)."""
+    rows = np.frombuffer(pixels, np.uint8).reshape(h, w * channels)
+    body = zlib.compress(np.concatenate([np.zeros((h, 1), np.uint8), rows], 1).tobytes())
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[channels], 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def with_png(images: DataFrame) -> DataFrame:
+    """Rendered images with a column png in place of pixels."""
+    kept = [c for c in images.columns if c != "pixels"]
+    schema = T.StructType([*(images.schema[c] for c in kept), T.StructField("png", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [png(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("pixels", "h", "w", "channels")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(files, pa.binary())], schema.names)
+
+    return images.mapInArrow(run, schema)
+
+
 def render(windows: DataFrame, draw: Callable[[np.ndarray], np.ndarray], columns: Sequence[str]) -> DataFrame:
     """Add h, w, channels and pixels: draw(matrix of the columns) for the row's points."""
     kept = [c for c in windows.columns if c != "points"]
@@ -105,7 +157,10 @@ def render(windows: DataFrame, draw: Callable[[np.ndarray], np.ndarray], columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            images = [draw(np.array([[p[c] for c in columns] for p in points], float)) for points in batch.column("points").to_pylist()]
+            points = batch.column("points")
+            flat = points.flatten()
+            matrix = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
+            images = [draw(m) for m in np.split(matrix, np.cumsum(points.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
             images = [i if i.ndim == 3 else i[:, :, None] for i in images]
             shape = [pa.array([i.shape[k] for i in images], pa.int32()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *shape, pa.array([to_bytes(i) for i in images], pa.binary())], schema.names)

@@ -901,6 +901,47 @@ def raster_polyline(spark, sf_dir):
     return raster.render(_points(spark, sf_dir), lambda p: raster.polyline(raster.centred(p, 64), 64, thickness=2), ["x", "y"])
 
 
+@query()
+def raster_velocity(spark, sf_dir):
+    """Strokes coloured (0, vx, vy), shares of the largest sizes in the window."""
+    import numpy as np
+
+    def draw(m):
+        shares = np.abs(m[1:, 2:]) / np.maximum(np.abs(m[:, 2:]).max(0), 1e-8)
+        return raster.polyline(raster.centred(m[:, :2], 64), 64, np.concatenate([np.zeros((len(shares), 1)), shares], 1), 2)
+
+    return raster.with_png(raster.render(_points(spark, sf_dir), draw, ["x", "y", "vx", "vy"]))
+
+
+_PLACES = {
+    "raster_screen": ("x * (64 / greatest(200.0, 100.0)) + (64 - 200.0 * (64 / greatest(200.0, 100.0))) / 2", "y * (64 / greatest(200.0, 100.0)) + (64 - 100.0 * (64 / greatest(200.0, 100.0))) / 2", lambda t: raster.screen_place(t, 200.0, 100.0, 64)),
+    "raster_width": ("x * (64 / 200.0)", "y * (64 / 200.0)", lambda t: raster.screen_place(t, 200.0, 100.0, 64, how="width")),
+    "raster_boxed": ("(x - (min(x) OVER k + max(x) OVER k) / 2) * (64 * 0.9 / greatest(max(x) OVER k - min(x) OVER k, max(y) OVER k - min(y) OVER k, 1e-8)) + 32", "(y - (min(y) OVER k + max(y) OVER k) / 2) * (64 * 0.9 / greatest(max(x) OVER k - min(x) OVER k, max(y) OVER k - min(y) OVER k, 1e-8)) + 32", lambda t: raster.boxed_place(t, [*KEY, "window_id"], 64)),
+    "raster_recentred": ("(x - (min(x) OVER k + max(x) OVER k) / 2 + 100) * (64 / 200.0)", "(y - (min(y) OVER k + max(y) OVER k) / 2 + 50) * (64 / 200.0) + 16", lambda t: raster.recentred_place(t, [*KEY, "window_id"], 200.0, 100.0, 64)),
+}
+
+
+def _placed_query(name: str) -> None:
+    x, y, place = _PLACES[name]
+
+    def run(spark, sf_dir):
+        return r6(place(chunks(spark, sf_dir)).select("user_id", "event_id", "px", "py"), "px", "py")
+
+    run.__name__ = name
+    query(f"WITH $EV, {_CHUNK} SELECT user_id, event_id, round({x}, 6) + 0.0 AS px, round({y}, 6) + 0.0 AS py FROM c WINDOW k AS (PARTITION BY user_id, window_id)")(run)
+
+
+for _name in _PLACES:
+    _placed_query(_name)
+
+
+@query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, u AS (SELECT c.user_id, event_id, x - min_x AS x, y - min_y AS y, max_x - min_x AS w, max_y - min_y AS h FROM c JOIN b USING (user_id)) SELECT user_id, event_id, round(x * (64 / greatest(w, h)) + (64 - w * (64 / greatest(w, h))) / 2, 6) + 0.0 AS px, round(y * (64 / greatest(w, h)) + (64 - h * (64 / greatest(w, h))) / 2, 6) + 0.0 AS py FROM u")
+def raster_user_screen(spark, sf_dir):
+    t = _scaled(spark, sf_dir)
+    moved = t.withColumns({"w": F.col("max_x") - F.col("min_x"), "h": F.col("max_y") - F.col("min_y"), "x": F.col("x") - F.col("min_x"), "y": F.col("y") - F.col("min_y")})
+    return r6(raster.screen_place(moved, F.col("w"), F.col("h"), 64).select("user_id", "event_id", "px", "py"), "px", "py")
+
+
 @query()
 def heatmap(spark, sf_dir):
     return raster.render(_points(spark, sf_dir), lambda p: raster.heat(raster.centred(p, 48), 48), ["x", "y"])
