@@ -23,7 +23,8 @@
 Words are runs of anything but space, tab, LF, VT, FF, CR; A-Z are lower-cased.
 Defined results: a text without words, or null, has an empty set and is linked with
 nothing: its component is its own id; a text of fewer words than ``width`` has its
-sequence as only shingle; repeated rows and ids are rows of their own; a null id
+sequence as only shingle; a very long text is a slice of its own; shingles are known
+by 64-bit hashes and sets by 128 bits, words aren't compared again; repeated rows and ids are rows of their own; a null id
 never names a component unless no other id is in it. Other columns are ignored.
 """
 

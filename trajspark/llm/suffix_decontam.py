@@ -14,7 +14,8 @@ blocks of at most ``BLOCK_BYTES`` of text; further blocks take further passes.
 Words are runs of ASCII letters, digits and non-ASCII bytes, with A-Z in lower
 case. Defined results: null or empty text has no words and no hits; a null
 item_id or item text gives no item; items of equal id count once; repeated rows
-and ids are judged row by row; columns named as outputs are replaced.
+and ids are judged row by row; a very long text is a shard of its own; words are known
+by 64-bit hashes; columns named as outputs are replaced.
 """
 
 from __future__ import annotations

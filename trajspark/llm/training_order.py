@@ -15,8 +15,9 @@ Files are written by Spark's committer into the shared folder, so lost executors
 and retries leave no partial shard. Between the steps ids travel compressed.
 
 Defined results: null text counts as empty and gives an end token only; rows are
-packed in the order of the input, so equal input files give equal shards; repeated
-rows are packed again; other columns are ignored. An empty table gives no shards.
+packed in the order of the input, so equal input files and splits give equal shards;
+a very long text fills as many sequences as it takes; ids that aren't whole numbers
+are null in the manifest; vocabularies beyond 65,536 ids are refused; repeated rows are packed again; other columns are ignored. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -85,6 +86,9 @@ def tokenizer(path: str, pattern: str):
 def sequences(df: DataFrame, path: str, pattern: str, end: int, length: int, id_col: str, text: str) -> DataFrame:
     """(part, k, ids, doc_ids): packed sequences, the k-th of an input partition, with the ids of their documents."""
 
+    if end > 0xFFFF:
+        raise ValueError("shards hold 16-bit ids")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokenizer(path, pattern), TaskContext.get().partitionId()
         held = np.zeros(0, np.uint16)
@@ -123,7 +127,7 @@ def sequences(df: DataFrame, path: str, pattern: str, end: int, length: int, id_
             owners = np.append(owners, np.full(rest, owners[-1]))
             yield cut(length)
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text).mapInArrow(run, "part int, k long, ids binary, doc_ids array<long>")
+    return df.select(F.col(id_col).try_cast("long").alias(id_col), text).mapInArrow(run, "part int, k long, ids binary, doc_ids array<long>")
 
 
 def materialise(
