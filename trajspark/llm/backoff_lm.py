@@ -37,7 +37,7 @@ from trajspark.llm import kernels
 ORDER = 3
 ALPHA = 0.4
 #: Text of a chunk and n-grams of a hash range, about; both are what a task holds.
-CHUNK_BYTES = 5 << 20
+CHUNK_BYTES = 7 << 20
 RANGE_ROWS = 2_000_000
 #: Bits of an n-gram's hash: of n different ones, each shares its hash with another at odds of n / 2^64.
 KEY_BITS = 64
