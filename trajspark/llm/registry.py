@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import backoff_lm, bpe_trie, chat_format, html_mincut, jaccard_join, line_dedup, quality_rules, suffix_decontam, training_order, weak_quality
+from trajspark.llm import backoff_lm, best_fit, bpe_trie, chat_format, html_mincut, jaccard_join, line_dedup, quality_rules, suffix_decontam, training_order, weak_quality
 from trajspark.workers import with_workers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,7 +72,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.expand(turns))
 
 
-QUERIES = {name: with_workers(q) for name, q in {"op3_backoff_lm": op3_backoff_lm, "op2_training_order": op2_training_order, "op1_html_mincut": op1_html_mincut, "op4_weak_quality": op4_weak_quality, "op6_line_dedup": op6_line_dedup, "op5_jaccard_join": op5_jaccard_join, "op7_robust_outliers": op7_robust_outliers, "op8_suffix_decontam": op8_suffix_decontam, "op9_bpe_trie": op9_bpe_trie, "op10_chat_format": op10_chat_format}.items()}
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), WORD_BPE)
+
+
+QUERIES = {name: with_workers(q) for name, q in {"op3_backoff_lm": op3_backoff_lm, "op2_training_order": op2_training_order, "op1_html_mincut": op1_html_mincut, "op4_weak_quality": op4_weak_quality, "op6_line_dedup": op6_line_dedup, "op5_jaccard_join": op5_jaccard_join, "op7_robust_outliers": op7_robust_outliers, "op8_suffix_decontam": op8_suffix_decontam, "op9_bpe_trie": op9_bpe_trie, "op10_chat_format": op10_chat_format, "op12_best_fit": op12_best_fit}.items()}
 ORACLES: dict[str, str] = {
     "op3_backoff_lm": backoff_lm.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL.replace("{words}", str(line_dedup.PASSAGE_WORDS)),
