@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import backoff_lm, best_fit, bpe_trie, chat_format, filter_audit, html_mincut, jaccard_join, line_dedup, quality_rules, suffix_decontam, training_order, weak_quality
+from trajspark.llm import backoff_lm, best_fit, bpe_trie, chat_format, filter_audit, html_mincut, impact_index, jaccard_join, line_dedup, quality_rules, suffix_decontam, training_order, weak_quality
 from trajspark.workers import with_workers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.expand(turns))
 
 
+def op11_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return impact_index.search(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), WORD_BPE)
 
@@ -81,9 +86,10 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"))
 
 
-QUERIES = {name: with_workers(q) for name, q in {"op3_backoff_lm": op3_backoff_lm, "op2_training_order": op2_training_order, "op1_html_mincut": op1_html_mincut, "op4_weak_quality": op4_weak_quality, "op6_line_dedup": op6_line_dedup, "op5_jaccard_join": op5_jaccard_join, "op7_robust_outliers": op7_robust_outliers, "op8_suffix_decontam": op8_suffix_decontam, "op9_bpe_trie": op9_bpe_trie, "op10_chat_format": op10_chat_format, "op12_best_fit": op12_best_fit, "op13_filter_audit": op13_filter_audit}.items()}
+QUERIES = {name: with_workers(q) for name, q in {"op3_backoff_lm": op3_backoff_lm, "op2_training_order": op2_training_order, "op1_html_mincut": op1_html_mincut, "op4_weak_quality": op4_weak_quality, "op6_line_dedup": op6_line_dedup, "op5_jaccard_join": op5_jaccard_join, "op7_robust_outliers": op7_robust_outliers, "op8_suffix_decontam": op8_suffix_decontam, "op9_bpe_trie": op9_bpe_trie, "op10_chat_format": op10_chat_format, "op11_impact_index": op11_impact_index, "op12_best_fit": op12_best_fit, "op13_filter_audit": op13_filter_audit}.items()}
 ORACLES: dict[str, str] = {
     "op3_backoff_lm": backoff_lm.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL.replace("{words}", str(line_dedup.PASSAGE_WORDS)),
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "op11_impact_index": impact_index.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL}
