@@ -39,8 +39,8 @@ FILTERS = "ABCDE"
 LEAST_WORDS = 50
 #: Texts held by a reading task to find copies among them.
 BUFFER_BYTES = 8 << 20
-#: Routed partitions for each input partition at least: texts of one are a part of an input split.
-SPREAD = 4
+#: Text of a routed partition, if no text were a copy; their number follows from all texts' bytes.
+ROUTED_BYTES = 32 << 20
 
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"#$%&*|"
@@ -136,7 +136,8 @@ def masks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: str =
     """(doc_id, part, mask, salt): of every row the filters that it fails; salt spreads null ids, others have 0."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(F.col(f"`{doc_id}`").cast("long"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")), body, F.xxhash64(body)).rdd
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD * rows.getNumPartitions())
+    held = df.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // ROUTED_BYTES))
     routed = rows.mapPartitions(_read).repartitionAndSortWithinPartitions(n, partitionFunc=lambda key: key)
     slim = routed.mapPartitions(_met).flatMap(lambda r: (r[:3] + r[4:] for _ in range(r[3])))
     return df.sparkSession.createDataFrame(slim, _SLIM, verifySchema=False)
