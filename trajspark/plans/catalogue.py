@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import scalars
 from trajspark.operators import bounds, clean, distribution, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral
+from trajspark.plans import streams
 from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
 from trajspark.sources import sessions
 from trajspark.streaming.sessions import gap_sessions
@@ -872,6 +873,24 @@ def session_windows(spark, sf_dir):
     return g.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+# ---------------------------------------------------------------- streams
+
+
+@query(f"WITH RECURSIVE $EV, {_SPLIT}, {_ARC}, {_SPANS.replace('max(x) AS least', f'{streams.LEAST} AS least')}, {_MERGE} SELECT r.user_id, CAST(grp AS BIGINT) AS group_id, count(*) AS n, epoch_us(make_timestamp(CAST(min(t) * 1e6 AS BIGINT))) AS start_us, round(max(arc) - min(arc), 6) AS length, max(arc) - min(arc) >= {streams.LEAST} AS whole FROM r JOIN m ON m.user_id = r.user_id AND m.sid = r.sid GROUP BY ALL")
+def stream_merge(spark, sf_dir):
+    return r6(streams.merged(spark, sf_dir), "length").select("user_id", "group_id", "n", F.unix_micros("start").alias("start_us"), "length", "whole")
+
+
+@query("WITH $EV, w AS (SELECT user_id, seq, n, avg(x) OVER k AS mean, max(t) OVER k AS last FROM ev WINDOW k AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) SELECT user_id, seq // 2 AS window_id, round(mean, 6) AS mean, round(last, 3) AS last FROM w WHERE seq % 2 = 0 AND seq + 8 <= n")
+def stream_sliding(spark, sf_dir):
+    return r6(streams.windows(spark, sf_dir, 8, 2), "mean").select("user_id", "window_id", "mean", F.round(F.unix_micros("end") / 1e6, 3).alias("last"))
+
+
+@query("SELECT event_id, user_id, round(value, 6) AS x FROM events")
+def stream_once(spark, sf_dir):
+    return r6(streams.once(spark, sf_dir), "x").select("event_id", "user_id", "x")
+
+
 # ---------------------------------------------------------------- images (rows only)
 
 

@@ -1,4 +1,4 @@
-"""Streaming forms of segmentation: session windows and running per-user statistics."""
+"""Session windows on streams and tables; count windows and merging are in ``ordered``."""
 
 from __future__ import annotations
 
@@ -14,25 +14,3 @@ def gap_sessions(events: DataFrame, gap: str, lateness: str, key: str = "user_id
     kept = events.withWatermark(ts, lateness) if events.isStreaming else events
     return kept.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
-
-def count_windows(events: DataFrame, size: int, key: str = "user_id", ts: str = "ts", value: str = "value") -> DataFrame:
-    """(key, window_id, n, mean) of every ``size`` consecutive events of a key, by arrival, on a stream.
-
-    State is one open window a key; whole windows are emitted as they fill.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def fill(keys, batches, state):
-        window_id, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        for pdf in batches:
-            held += pdf.sort_values(ts)[value].astype(float).tolist()
-        out = []
-        while len(held) >= size:
-            out.append((keys[0], window_id, size, sum(held[:size]) / size))
-            held, window_id = held[size:], window_id + 1
-        state.update((window_id, held))
-        yield pd.DataFrame(out, columns=[key, "window_id", "n", "mean"])
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.select(key, ts, value).groupBy(key).applyInPandasWithState(fill, f"{key} {kind}, window_id long, n long, mean double", "window_id long, held array<double>", "append", GroupStateTimeout.NoTimeout)
