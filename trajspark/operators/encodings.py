@@ -22,11 +22,13 @@ def _unit(c: Column) -> Column:
 
 
 def with_events(p: DataFrame, events: DataFrame, by: Sequence[str], columns: Sequence[str], *, of_i: bool = False) -> DataFrame:
-    """Add j_<column> (and i_<column>) of the events at j (and i)."""
+    """Add j_<column> (and i_<column>) of the events at j (and i), where the pairs don't have them already."""
     out = p
     for side in ("j", "i") if of_i else ("j",):
-        own = events.select(*by, "window_id", F.col("pos").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
-        out = out.join(own, [*by, "window_id", side])
+        lacking = [c for c in columns if f"{side}_{c}" not in p.columns]
+        if lacking:
+            own = events.select(*by, "window_id", F.col("pos").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in lacking))
+            out = out.join(own, [*by, "window_id", side])
     return out
 
 

@@ -1,8 +1,9 @@
 """Pairwise recurrence of the events in a window, in long form (keys, window_id, i, j, value).
 
 Windows have a fixed number of events, so pairs grow with the events, not with
-sessions. All variants share one shuffle by window: pairs come from an equi-join
-on the window, statistics of a window from window functions over its keys.
+sessions. A window's columns are gathered in one row and its pairs exploded from it, so
+neither pairs nor the events' columns at i and j need a join; statistics of a window
+come from window functions over its keys. All of it runs on the events' partitioning.
 """
 
 from __future__ import annotations
@@ -28,12 +29,20 @@ def local_scale(df: DataFrame, by: Sequence[str], how: str = "one") -> DataFrame
     return df.withColumns({f"_{c}": (F.col(c) - F.min(c).over(w)) / r for c, r in ranges.items()}).drop("x", "y").withColumnsRenamed({"_x": "x", "_y": "y"})
 
 
-def pairs(df: DataFrame, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """(by, window_id, i, j, d): Euclidean distances of all pairs, i = j included; ``extra`` columns as a_*, b_*."""
+def pairs(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, window_id, i, j, d): Euclidean distances of all pairs, i = j included.
+
+    Every further column c of the events comes along as i_c and j_c; those that
+    nothing uses are never gathered.
+    """
     keys = [*by, "window_id"]
-    side = lambda p, n: df.select(*keys, F.col("pos").alias(n), *(F.col(c).alias(f"{p}_{c}") for c in ("x", "y", *extra)))
-    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    return side("a", "i").join(side("b", "j"), keys).withColumn("d", F.sqrt(dx * dx + dy * dy)).drop("a_x", "a_y", "b_x", "b_y")
+    others = [c for c in df.columns if c not in (*keys, "pos", "x", "y")]
+    held = df.groupBy(*keys).agg(*(F.collect_list(F.struct(F.col(c).alias("v"))).alias(f"_{c}") for c in ("pos", "x", "y", *others)))
+    places = F.sequence(F.lit(0), F.size("_pos") - 1)
+    out = held.withColumn("__i", F.explode(places)).withColumn("__j", F.explode(places))
+    at = lambda c, k: F.get(F.col(f"_{c}"), F.col(k))["v"]
+    dx, dy = (at(c, "__i") - at(c, "__j") for c in "xy")
+    return out.select(*keys, at("pos", "__i").alias("i"), at("pos", "__j").alias("j"), *(at(c, k).alias(f"{n}_{c}") for c in others for n, k in (("i", "__i"), ("j", "__j"))), F.sqrt(dx * dx + dy * dy).alias("d"))
 
 
 def clipped(df: DataFrame, by: Sequence[str], epsilon: float = 1.0) -> DataFrame:
@@ -50,10 +59,8 @@ def stretched(p: DataFrame, by: Sequence[str], value: str = "d") -> DataFrame:
 
 def cut_and_stretched(p: DataFrame, by: Sequence[str], value: str, percent: float) -> DataFrame:
     """``value`` cut at a percentile of the window and stretched; constant windows keep their value."""
-    keys = [*by, "window_id"]
-    cut = p.groupBy(*keys).agg(F.percentile(value, F.lit(percent / 100)).alias("_eps"))
     w = _w(by)
-    out = p.join(cut, keys).withColumn(value, F.least(value, "_eps")).drop("_eps")
+    out = p.withColumn(value, F.least(value, F.percentile(value, F.lit(percent / 100)).over(w)))
     low, high = F.min(value).over(w), F.max(value).over(w)
     return out.withColumn(value, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.col(value)))
 
@@ -149,10 +156,10 @@ def grid_of_pairs(df: DataFrame, by: Sequence[str], size: int, k: int, epsilon:
     return triangle(a.join(b, keys), F.col("db"), F.col("da"), F.when(F.col("a") == F.col("b"), F.col("da")).otherwise(0)).drop("da", "db")
 
 
-def stripes(p: DataFrame, df: DataFrame, by: Sequence[str], lower: str, upper: str) -> DataFrame:
+def stripes(p: DataFrame, lower: str, upper: str) -> DataFrame:
     """Add stripe: the column event's ``lower`` where i > j, its ``upper`` where i < j, half their sum on the diagonal."""
-    of_j = df.select(*by, "window_id", F.col("pos").alias("j"), F.col(lower).alias("_l"), F.col(upper).alias("_u"))
-    return triangle(p.join(of_j, [*by, "window_id", "j"]), F.col("_u"), F.col("_l"), (F.col("_u") + F.col("_l")) / 2).withColumnRenamed("value", "stripe").drop("_u", "_l")
+    low, high = F.col(f"j_{lower}"), F.col(f"j_{upper}")
+    return triangle(p, high, low, (high + low) / 2).withColumnRenamed("value", "stripe")
 
 
 def diagonal_scaled(df: DataFrame, by: Sequence[str], epsilon: float = 1.0) -> DataFrame:

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajspark import shared
 from trajspark.functions import scalars
-from trajspark.operators import bounds, clean, distribution, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral
+from trajspark.operators import bounds, clean, distribution, ecdf, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral
 from trajspark.plans import streams
 from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
 from trajspark.sources import sessions
@@ -418,7 +419,7 @@ def _split_sql(low: str, high: str) -> str:
 @query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, {_SHARES}, s AS (SELECT user_id, window_id, i, j, {_split_sql('x_share', 'y_share')} AS stripe FROM (SELECT b.user_id, b.window_id, a.pos AS i, b.pos AS j, b.x_share, b.y_share FROM xs a JOIN xs b USING (user_id, window_id))) " + _PER_WINDOW.format("stripe", "s"))
 def xy_triangle_stripes(spark, sf_dir):
     e = encodings.shares(_scaled(spark, sf_dir))
-    return per_window(recurrence.stripes(recurrence.pairs(e, KEY), e, KEY, "x_share", "y_share"), "stripe")
+    return per_window(recurrence.stripes(recurrence.pairs(e, KEY), "x_share", "y_share"), "stripe")
 
 
 _DIAG = f"WITH $EV, {_BOUNDS}, {_CHUNK}, e AS (SELECT c.user_id, window_id, pos, x / g AS x, y / g AS y, (sqrt(power(max_x - x, 2) + power(max_y - y, 2)) / g) AS br FROM c JOIN (SELECT *, greatest(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 1e-8) AS g FROM b) USING (user_id)), "
@@ -437,8 +438,8 @@ def diag_srp(spark, sf_dir):
 @query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, q AS (SELECT c.user_id, window_id, pos, CAST(least(greatest(floor((y - min_y) / greatest(max_y - min_y, 1e-8) * 4), 0), 3) * 4 + least(greatest(floor((x - min_x) / greatest(max_x - min_x, 1e-8) * 4), 0), 3) AS BIGINT) AS patch FROM c JOIN b USING (user_id)) SELECT greatest(l.patch, r.patch) * (greatest(l.patch, r.patch) + 1) // 2 + least(l.patch, r.patch) AS comb, count(*) AS n FROM q l JOIN q r USING (user_id, window_id) GROUP BY 1")
 def patch_pairs(spark, sf_dir):
     e = recurrence.patch_pair(_scaled(spark, sf_dir), 4)
-    p = recurrence.pairs(e, KEY, ["patch"])
-    return p.groupBy(recurrence.unordered_index(F.col("a_patch"), F.col("b_patch")).alias("comb")).agg(F.count("*").alias("n"))
+    p = recurrence.pairs(e, KEY)
+    return p.groupBy(recurrence.unordered_index(F.col("i_patch"), F.col("j_patch")).alias("comb")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')}, u AS (SELECT user_id, window_id, i, j, d / sqrt(2) AS d FROM p), {_GATE_CLIPPED.format('u', '<', 0.29, 0.29)} " + _PER_WINDOW.format("d", "s"))
@@ -506,14 +507,28 @@ _FEATURES = (
 _RGB = " SELECT user_id, window_id, count(*) AS n, round(sum(r * (i * $SIZE + j + 1)), 4) AS r, round(sum(g * (i * $SIZE + j + 1)), 4) AS g, round(sum(b * (i * $SIZE + j + 1)), 4) AS b FROM o GROUP BY ALL"
 
 
-def _features(spark, sf_dir, *names: str) -> DataFrame:
-    """Windows with c_<name>: the ECDF values of the named features."""
+def _kinematics(spark, sf_dir, size: int = SIZE) -> DataFrame:
+    """Windows with the features that stripes are made of."""
     w = [*KEY, "window_id"]
-    t = kinematics.node_interval(kinematics.component_acceleration(kinematics.acceleration(chunks(spark, sf_dir), w, "copy"), w), w)
-    t = out = r6(t, *_FT_COLUMNS)
-    for name in names:
-        out = distribution.ecdf_lookup(out, name, distribution.global_ecdf(t, name)).withColumnRenamed("cdf", f"c_{name}")
-    return out
+    t = kinematics.node_interval(kinematics.component_acceleration(kinematics.acceleration(chunks(spark, sf_dir, size), w, "copy"), w), w)
+    return r6(t, *_FT_COLUMNS)
+
+
+def _features(spark, sf_dir, *names: str) -> DataFrame:
+    """Windows with c_<name>: the ECDF values of the named features, all counted in one pass and looked up in one."""
+    t = _kinematics(spark, sf_dir)
+    return ecdf.looked_up(t, ecdf.counted(t, names), {n: n for n in names})
+
+
+def _stored(spark, t: DataFrame, names, accuracy: float | None = None, use=lambda store: store):
+    """What ``use`` makes of the counts of t, written as three splits and read back; gone afterwards."""
+    base = shared.new_path(spark, "distribution")
+    parts = shared.written(ecdf.counted(t.withColumn("split", F.col("user_id") % 3), names, accuracy=accuracy, by=["split"]), f"{base}/all")
+    for k in range(3):
+        ecdf.write_split(parts.where(F.col("split") == k), f"{base}/store", f"part{k}")
+    made = use(ecdf.read_splits(spark, f"{base}/store"))
+    shared.delete(spark, base)
+    return made
 
 
 def per_window_rgb(p: DataFrame) -> DataFrame:
@@ -561,33 +576,71 @@ for _name, _base, _g, _b in (
 ):
     _striped(_name, _base, _g, _b)
 
+_CAP = 95.0
+#: ECDF values of a distribution cut at its percentile, of signed features at the opposite one too.
+_CUT = "CASE WHEN {0} > (SELECT quantile_cont({0}, 0.95) FROM fc) THEN 1.0 WHEN {0} < (SELECT {1} FROM fc) THEN 0.0 ELSE (rank() OVER (ORDER BY {0}) - (SELECT count(*) FROM fc WHERE {0} < (SELECT {1} FROM fc)) + (count(*) OVER (PARTITION BY {0}) - 1) / 2 - 1) / ((SELECT count(*) FROM fc WHERE {0} BETWEEN (SELECT {1} FROM fc) AND (SELECT quantile_cont({0}, 0.95) FROM fc)) - 1 + 1e-8) END AS c_{0}"
+_SIGNED = ("vx", "vy", "ax", "ay")
+_FEATURES_CUT = _FEATURES[: _FEATURES.rindex("ft AS (")] + "ft AS (SELECT user_id, window_id, pos, t, " + ", ".join(_CUT.format(c, f"quantile_cont({c}, 0.05)" if c in _SIGNED else f"min({c})") for c in _FT_COLUMNS) + " FROM fc)"
+
+
+def _capped(name: str, base: str, g: str, b: str) -> None:
+    """As ``_striped``, the ECDFs read from a stored distribution that is cut at a percentile."""
+    sql, matrix = _BASES[base]
+
+    def run(spark, sf_dir):
+        t, names = _kinematics(spark, sf_dir), dict.fromkeys([g, b])
+        e = _stored(spark, t, names, use=lambda store: ecdf.looked_up(t, ecdf.capped(store, _CAP, _SIGNED), {n: n for n in names}))
+        return per_window_rgb(encodings.striped(matrix(e, KEY), e, KEY, f"c_{g}", f"c_{b}"))
+
+    run.__name__ = name
+    query(f"WITH $EV, {_CHUNK}, {_FEATURES_CUT}, {sql}, o AS (SELECT base.user_id, base.window_id, i, j, base.d AS r, c_{g} AS g, c_{b} AS b FROM base JOIN ft ON ft.user_id = base.user_id AND ft.window_id = base.window_id AND ft.pos = base.j)" + _RGB)(run)
+
+
+for _name, _base, _g, _b in (
+    ("enc_speed_capped", "local", "v", "v"),
+    ("enc_velocity_capped", "local", "vx", "vy"),
+    ("enc_rp_velocity_capped", "rp", "vx", "vy"),
+    ("enc_rp_acceleration_capped", "rp", "a", "a"),
+    ("enc_rp_axay_capped", "rp", "ax", "ay"),
+    ("enc_rp_interval_capped", "rp", "dt_next", "dt_next"),
+):
+    _capped(_name, _base, _g, _b)
+
+
+@query(f"WITH $EV, {_CHUNK}, {_FEATURES}, l AS (SELECT 'v' AS feature, v AS x FROM fc UNION ALL SELECT 'vx', vx FROM fc) SELECT feature, CASE WHEN abs(x) <= 1e-12 THEN 0.0 ELSE sign(x) * floor(ln(abs(x)) / ln(1.02) + 1000000.37) END AS bucket, count(*) AS n, min(x) AS low, max(x) AS high FROM l GROUP BY ALL")
+def distribution_store(spark, sf_dir):
+    kept = _stored(spark, _kinematics(spark, sf_dir), ["v", "vx"], 0.02, lambda store: shared.written(store, shared.new_path(spark, "buckets")))
+    return kept.select("feature", "bucket", "n", "low", "high")
+
+
 _GAPS = "gp AS (SELECT user_id, window_id, a.pos AS i, b.pos AS j, round(abs(a.t - b.t), 6) AS gap FROM c a JOIN c b USING (user_id, window_id)), gr AS (SELECT gap, (rank() OVER (ORDER BY gap) + (count(*) OVER (PARTITION BY gap) - 1) / 2 - 1) / (count(*) OVER () - 1 + 1e-8) AS cdf FROM gp WHERE i < j), gc AS (SELECT user_id, window_id, i, j, coalesce(cdf, 0) AS c_gap FROM gp LEFT JOIN (SELECT gap, min(cdf) AS cdf FROM gr GROUP BY 1) USING (gap))"
 
 
-def _rp_gaps(e: DataFrame) -> DataFrame:
-    """Inverted percentile plot with c_gap, the ECDF value of the time between its events."""
+def _rp_gaps(e: DataFrame, log: DataFrame) -> DataFrame:
+    """Inverted percentile plot with c_gap, the ECDF value of the time between its events; ``log`` has the events that the distribution is of."""
     p = r6(encodings.time_pairs(encodings.inverted_percentile(e, KEY), e, KEY), "gap")
-    known = r6(kinematics.pair_differences(e, KEY, "time"), "d")
-    return distribution.ecdf_lookup(p, "gap", distribution.global_ecdf(known, "d")).withColumnRenamed("cdf", "c_gap")
+    gap = F.round(F.abs(F.col("i_time") - F.col("j_time")), 6)
+    known = ecdf.counted(recurrence.pairs(log, KEY).where("i < j").select(gap.alias("gap")), ["gap"])
+    return ecdf.looked_up(p, known, {"gap": "gap"})
 
 
 @query(f"WITH $EV, {_CHUNK}, {_BASES['rp'][0]}, {_GAPS}, o AS (SELECT user_id, window_id, i, j, d AS r, c_gap AS g, c_gap AS b FROM base JOIN gc USING (user_id, window_id, i, j))" + _RGB)
 def enc_rp_time(spark, sf_dir):
     gap = F.col("c_gap")
-    return per_window_rgb(encodings.channels(_rp_gaps(chunks(spark, sf_dir)), KEY, F.col("d"), gap, gap))
+    return per_window_rgb(encodings.channels(_rp_gaps(chunks(spark, sf_dir), chunks(spark, sf_dir)), KEY, F.col("d"), gap, gap))
 
 
 @query(f"WITH $EV, {_CHUNK}, {_FEATURES}, {_BASES['rp'][0]}, {_GAPS}, o AS (SELECT base.user_id, base.window_id, i, j, d AS r, c_v AS g, c_gap AS b FROM base JOIN gc USING (user_id, window_id, i, j) JOIN ft ON ft.user_id = base.user_id AND ft.window_id = base.window_id AND ft.pos = j)" + _RGB)
 def enc_dvt(spark, sf_dir):
     e = _features(spark, sf_dir, "v")
-    p = encodings.with_events(_rp_gaps(e), e, KEY, ["c_v"])
+    p = encodings.with_events(_rp_gaps(e, chunks(spark, sf_dir)), e, KEY, ["c_v"])
     return per_window_rgb(encodings.channels(p, KEY, F.col("d"), F.col("j_c_v"), F.col("c_gap")))
 
 
 @query(f"WITH $EV, {_CHUNK}, {_FEATURES}, {_BASES['rp'][0]}, {_GAPS}, o AS (SELECT base.user_id, base.window_id, i, j, CASE WHEN i < j THEN d WHEN i > j THEN 1 - c_gap ELSE 0 END AS r, c_vx AS g, c_vy AS b FROM base JOIN gc USING (user_id, window_id, i, j) JOIN ft ON ft.user_id = base.user_id AND ft.window_id = base.window_id AND ft.pos = j)" + _RGB)
 def arp_hybrid(spark, sf_dir):
     e = _features(spark, sf_dir, "vx", "vy")
-    p = recurrence.triangle(_rp_gaps(e), F.col("d"), 1 - F.col("c_gap"), F.lit(0.0))
+    p = recurrence.triangle(_rp_gaps(e, chunks(spark, sf_dir)), F.col("d"), 1 - F.col("c_gap"), F.lit(0.0))
     return per_window_rgb(encodings.striped(p, e, KEY, "c_vx", "c_vy", F.col("value")))
 
 
