@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trajspark import shared
 from trajspark.functions import scalars
-from trajspark.operators import bounds, clean, distribution, ecdf, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral
+from trajspark.operators import bounds, clean, distribution, ecdf, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral, strokes
 from trajspark.plans import streams
 from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
 from trajspark.sources import sessions
@@ -975,14 +975,15 @@ def raster_polyline(spark, sf_dir):
 
 @query()
 def raster_velocity(spark, sf_dir):
-    """Strokes coloured (0, vx, vy), shares of the largest sizes in the window."""
+    """PNG files of strokes coloured (0, vx, vy) by their ECDF values."""
     import numpy as np
 
     def draw(m):
-        shares = np.abs(m[1:, 2:]) / np.maximum(np.abs(m[:, 2:]).max(0), 1e-8)
-        return raster.polyline(raster.centred(m[:, :2], 64), 64, np.concatenate([np.zeros((len(shares), 1)), shares], 1), 2)
+        own = m[1:, 2:]
+        return raster.polyline(raster.centred(m[:, :2], 64), 64, np.concatenate([np.zeros((len(own), 1)), own], 1), 2)
 
-    return raster.with_png(raster.render(_points(spark, sf_dir), draw, ["x", "y", "vx", "vy"]))
+    points = raster.gather(_features(spark, sf_dir, "vx", "vy"), ["user_id", "window_id"], ["x", "y", "c_vx", "c_vy"])
+    return raster.with_png(raster.render(points, draw, ["x", "y", "c_vx", "c_vy"]))
 
 
 _PLACES = {
@@ -1017,3 +1018,117 @@ def raster_user_screen(spark, sf_dir):
 @query()
 def heatmap(spark, sf_dir):
     return raster.render(_points(spark, sf_dir), lambda p: raster.heat(raster.centred(p, 48), 48), ["x", "y"])
+
+
+# ---------------------------------------------------------------- strokes as pixel rows
+
+_DRAWN = """sg AS (SELECT *, lag(px) OVER w AS ax, lag(py) OVER w AS ay FROM pt WINDOW w AS (PARTITION BY user_id, window_id ORDER BY seq)),
+    ln AS (SELECT *, unnest(range(0, CAST(greatest(abs(px - ax), abs(py - ay)) AS BIGINT) + 1)) AS k, greatest(abs(px - ax), abs(py - ay), 1) AS len FROM sg WHERE ax IS NOT NULL),
+    pl AS (SELECT *, CAST(round_even(ax + (px - ax) * k / len, 0) AS BIGINT) AS qx, CAST(round_even(ay + (py - ay) * k / len, 0) AS BIGINT) AS qy FROM ln),
+    o AS (SELECT user_id, window_id, qx, qy, arg_max(r, seq) AS r, arg_max(g, seq) AS g, arg_max(b, seq) AS b FROM pl WHERE qx BETWEEN 0 AND 63 AND qy BETWEEN 0 AND 63 GROUP BY ALL)
+    SELECT user_id, CAST(window_id AS BIGINT) AS window_id, count(*) AS n, CAST(sum(qx + 64 * qy) AS BIGINT) AS places, """ + ", ".join(f"CAST(sum({c} * (qx + 64 * qy + 1)) AS BIGINT) AS {c}" for c in "rgb") + " FROM o GROUP BY ALL"
+
+
+def per_window_pixels(p: DataFrame) -> DataFrame:
+    at = F.col("qx") + 64 * F.col("qy")
+    return p.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.sum(at).alias("places"), *(F.sum(F.col(c) * (at + 1)).alias(c) for c in "rgb"))
+
+
+def _dt_prev(t: DataFrame, by) -> DataFrame:
+    return t.withColumn("dt", F.round(F.greatest(F.col("time") - F.lag("time").over(sequence.ordered(by)), F.lit(1e-5)), 6))
+
+
+_NEAR = "CAST(least(greatest(round_even({0} * 255, 0), 0), 255) AS BIGINT)"
+_CUT_BYTE = "CAST(least(greatest(trunc({0} * 255), 0), 255) AS BIGINT)"
+
+
+def _plasma_sql(k: int) -> str:
+    table = "[" + ", ".join(f"{c[k]}.0" for c in strokes.PLASMA) + "]"
+    at, i = f"(least(greatest(c_v, 0.0), 1.0) * {len(strokes.PLASMA) - 1})", f"CAST(least(floor(least(greatest(c_v, 0.0), 1.0) * {len(strokes.PLASMA) - 1}), {len(strokes.PLASMA) - 2}) AS BIGINT)"
+    return f"CAST(trunc({table}[{i} + 1] + ({table}[{i} + 2] - {table}[{i} + 1]) * ({at} - {i})) AS BIGINT)"
+
+
+_COLOURS = {
+    "plain": ("0", "0", "0"),
+    "speed": ("0", _NEAR.format("c_v"), _NEAR.format("c_v")),
+    "velocity": ("0", _NEAR.format("c_vx"), _NEAR.format("c_vy")),
+    "plasma": tuple(_plasma_sql(k) for k in range(3)),
+    "grey": (_CUT_BYTE.format("(0.8 * c_v)"),) * 3,
+    "interval": (_CUT_BYTE.format("(0.8 * c_dt)"),) * 3,
+    "two": (_CUT_BYTE.format("c_vx"), _CUT_BYTE.format("c_vy"), "0"),
+    "three": (_CUT_BYTE.format("c_vx"), _CUT_BYTE.format("c_vy"), _CUT_BYTE.format("c_dt")),
+}
+_NEEDED = {"plain": (), "speed": ("v",), "velocity": ("vx", "vy"), "plasma": ("v",), "grey": ("v",), "interval": ("dt",), "two": ("vx", "vy"), "three": ("vx", "vy", "dt")}
+_RGB_OF = lambda kind: ", ".join(f"{e} AS {c}" for e, c in zip(_COLOURS[kind], "rgb", strict=True))
+
+#: Sequences that strokes are drawn over: SQL up to e0 (user_id, window_id, seq, t, x, y), and the same of the events.
+_OVER = {
+    "chunk": (f"WITH $EV, {_CHUNK}, e0 AS (SELECT * FROM c)", lambda spark, sf_dir: chunks(spark, sf_dir)),
+    "merged": (
+        f"WITH RECURSIVE $EV, {_SPLIT}, {_ARC}, {_SPANS}, {_MERGE}, e0 AS (SELECT * FROM (SELECT g.user_id, grp AS window_id, g.seq, g.t, g.x, g.y, count(*) OVER (PARTITION BY g.user_id, grp) AS len FROM g JOIN m ON m.user_id = g.user_id AND m.sid = g.sid) WHERE len >= 2)",
+        lambda spark, sf_dir: sequence.renumbered(merged(spark, sf_dir), KEY, "group_id").where("_n >= 2").drop("_n"),
+    ),
+}
+_EACH = "(PARTITION BY user_id, window_id ORDER BY seq)"
+_STROKE_FEATURES = (
+    f"""f1 AS (SELECT *, greatest(t - lag(t) OVER w, 1e-5) AS h, (x - lag(x) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS p, (y - lag(y) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS q, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) / greatest(t - lag(t) OVER w, 1e-5) AS s FROM e0 WINDOW w AS {_EACH}),
+    fc AS (SELECT user_id, window_id, seq, x, y, round(coalesce(s, lead(s) OVER w, 0), 6) + 0.0 AS v, round(coalesce(p, lead(p) OVER w, 0), 6) + 0.0 AS vx, round(coalesce(q, lead(q) OVER w, 0), 6) + 0.0 AS vy, round(h, 6) AS dt FROM f1 WINDOW w AS {_EACH}),
+    cd AS (SELECT dt, min(cdf) AS c_dt FROM (SELECT dt, (rank() OVER (ORDER BY dt) + (count(*) OVER (PARTITION BY dt) - 1) / 2 - 1) / (count(*) OVER () - 1 + 1e-8) AS cdf FROM fc WHERE dt IS NOT NULL) GROUP BY 1),
+    ft AS (SELECT user_id, window_id, seq, x, y, c_dt, """
+    + ", ".join(_CDF.format(c) for c in ("v", "vx", "vy"))
+    + " FROM fc LEFT JOIN cd USING (dt))"
+)
+_BOX = """bx AS (SELECT *, min(x) OVER k AS lx, min(y) OVER k AS ly, greatest(max(x) OVER k - min(x) OVER k, 1.0) AS sx, greatest(max(y) OVER k - min(y) OVER k, 1.0) AS sy, max(x) OVER k - min(x) OVER k AS rx, max(y) OVER k - min(y) OVER k AS ry FROM ft WINDOW k AS (PARTITION BY user_id, window_id)),
+    sc AS (SELECT *, rx + 0.1 * sx AS wx, ry + 0.1 * sy AS wy, least(64 / (rx + 0.1 * sx), 64 / (ry + 0.1 * sy)) AS scale FROM bx)"""
+#: Where they are drawn: SQL of px and py over ft, and the same of the events.
+_AT = {
+    "screen": ("", "round_even(x * (64 / 200.0), 0)", "round_even(y * (64 / 200.0) + 16, 0)", "ft", lambda t, own: raster.screen_place(t, 200.0, 100.0, 64), False),
+    "user": (
+        f", {_BOUNDS}, us AS (SELECT ft.*, min_x, min_y, max_x - min_x AS w, max_y - min_y AS h FROM ft JOIN b USING (user_id))",
+        "round_even((x - min_x) * (64 / greatest(w, h)) + (64 - w * (64 / greatest(w, h))) / 2, 0)",
+        "round_even((y - min_y) * (64 / greatest(w, h)) + (64 - h * (64 / greatest(w, h))) / 2, 0)",
+        "us",
+        lambda t, own: _user_place(t, own),
+        False,
+    ),
+    "boxed": (f", {_BOX}", "trunc((x - lx + 0.05 * sx) * scale + (64 - wx * scale) / 2)", "trunc((y - ly + 0.05 * sy) * scale + (64 - wy * scale) / 2)", "sc", lambda t, own: strokes.padded_place(t, [*KEY, "window_id"], 64), True),
+}
+
+
+def _user_place(t: DataFrame, own: DataFrame) -> DataFrame:
+    t = bounds.with_bounds(t, own, KEY)
+    moved = t.withColumns({"w": F.col("max_x") - F.col("min_x"), "h": F.col("max_y") - F.col("min_y"), "x": F.col("x") - F.col("min_x"), "y": F.col("y") - F.col("min_y")})
+    return raster.screen_place(moved, F.col("w"), F.col("h"), 64)
+
+
+def _stroked(name: str, over: str, where: str, kind: str) -> None:
+    """Register the pixels of strokes over ``over``, placed as ``where``, coloured by ``kind``."""
+    by = [*KEY, "window_id"]
+    head, of = _OVER[over]
+    more, x, y, source, place, cut = _AT[where]
+
+    def run(spark, sf_dir):
+        t = _dt_prev(of(spark, sf_dir), by)
+        t = r6(kinematics.velocity(kinematics.speed(t, by, "copy"), by, "copy"), "v", "vx", "vy") if _NEEDED[kind] else t
+        names = _NEEDED[kind]
+        t = ecdf.looked_up(t, ecdf.counted(t, names), {n: n for n in names}) if names else t
+        t = place(t, bounds.user_bounds(trajectories(spark, sf_dir), KEY)).withColumns(strokes.colours(kind))
+        return per_window_pixels(strokes.pixels(t, by, 64, "rgb", cut=cut))
+
+    run.__name__ = name
+    query(f"{head}, {_STROKE_FEATURES}{more}, pt AS (SELECT user_id, window_id, seq, {x} AS px, {y} AS py, {_RGB_OF(kind)} FROM {source}), {_DRAWN}")(run)
+
+
+for _over, _where, _kind in (
+    ("chunk", "user", "speed"),
+    ("chunk", "user", "velocity"),
+    *(("chunk", "boxed", k) for k in ("plain", "plasma", "grey", "interval", "two", "three")),
+    ("merged", "user", "plain"),
+    ("merged", "screen", "plain"),
+    ("merged", "boxed", "plain"),
+    ("merged", "user", "speed"),
+    ("merged", "user", "velocity"),
+    ("merged", "boxed", "speed"),
+    ("merged", "boxed", "velocity"),
+):
+    _stroked(f"strokes_{_over}_{_where}_{_kind}", _over, _where, _kind)
