@@ -63,3 +63,39 @@ def test_palette_and_bytes(spark):
     middle = tuple(int((a + b) / 2) for a, b in zip(strokes.PLASMA[4], strokes.PLASMA[5], strict=True))
     assert got == [strokes.PLASMA[0], strokes.PLASMA[-1], middle, strokes.PLASMA[0], strokes.PLASMA[-1], strokes.PLASMA[1]]
     assert [tuple(r) for r in shares.select(strokes.nearest_byte(F.col("c")), strokes.cut_byte(F.col("c"))).collect()] == [(0, 0), (255, 255), (128, 127), (0, 0), (255, 255), (28, 28)]
+
+
+def test_bounds_of_spectra_over_a_split(spark):
+    import numpy as np
+
+    from trajspark.operators import spectral
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], [(int(x), int(y)) for x, y in rng.integers(0, 12, (5 + i % 7, 2))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, split string, pixels array<struct<qx:int,qy:int>>").repartition(5)
+
+    def magnitudes(batch):
+        return map(spectral.fourier, spectral.pixel_images(12)(batch))
+
+    got = {r.split: (r.global_min, r.global_max, r.n) for r in spectral.image_bounds(df, magnitudes, ["split"]).collect()}
+    want = {}
+    for _, split, points in rows:
+        image = np.zeros((12, 12))
+        for x, y in points:
+            image[y, x] = 1
+        want.setdefault(split, []).append(np.log1p(np.abs(np.fft.fft2(image - image.mean()))))
+    for split, own in want.items():
+        assert np.allclose(got[split], (np.min(own), np.max(own), len(own)))
+    whole = spectral.image_bounds(df, magnitudes).first()
+    assert whole.n == 60 and np.allclose(whole.global_max, max(np.max(o) for o in want.values()))
+    assert spectral.image_bounds(df.where("k < 0"), magnitudes, ["split"]).count() == 0
+
+
+def test_short_series_overlap_by_half_their_length():
+    import numpy as np
+
+    from trajspark.operators import spectral
+
+    # 8 points: one segment of 8; 9 points: one of 9 (steps of 5, as half of 9 is 4); 20 points: segments of 10, steps of 5
+    assert [spectral.spectrogram(np.arange(float(n))).shape for n in (8, 9, 20)] == [(5, 1), (5, 1), (6, 3)]
+    assert spectral.spectrogram(np.arange(12.0), segment=8, overlap=7).shape == (5, 3)

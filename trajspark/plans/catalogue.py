@@ -957,17 +957,6 @@ def spectrogram_bounds(spark, sf_dir):
     return spectral.global_bounds(spectral.matrices(_points(spark, sf_dir), spectral.log_spectrogram, "v"))
 
 
-@query()
-def fft_logmag(spark, sf_dir):
-    import numpy as np
-
-    def draw(points):
-        image = spectral.fourier(raster.polyline(raster.centred(points, 32), 32)[:, :, 0])
-        return image / max(float(np.max(image)), 1e-8)
-
-    return raster.render(_points(spark, sf_dir), draw, ["x", "y"])
-
-
 @query()
 def raster_polyline(spark, sf_dir):
     return raster.render(_points(spark, sf_dir), lambda p: raster.polyline(raster.centred(p, 64), 64, thickness=2), ["x", "y"])
@@ -1132,3 +1121,80 @@ for _over, _where, _kind in (
     ("merged", "boxed", "velocity"),
 ):
     _stroked(f"strokes_{_over}_{_where}_{_kind}", _over, _where, _kind)
+
+
+# ---------------------------------------------------------------- spectra
+
+
+def _spectra(spark, sf_dir, columns, scaling: str) -> DataFrame:
+    w = [*KEY, "window_id"]
+    t = kinematics.component_acceleration(kinematics.acceleration(chunks(spark, sf_dir, 16), w, "copy"), w)
+    made = spectral.stacked(raster.gather(t, w, columns), lambda x: spectral.log_spectrogram(x, scaling=scaling), columns)
+    cells = F.arrays_zip(*(f"cells_{c}" for c in columns))
+    out = made.select(*w, "cols", F.posexplode(cells).alias("at", "z"))
+    return r6(out.select(*w, F.expr("at div cols").alias("k"), (F.col("at") % F.col("cols")).cast("long").alias("part"), *(F.col(f"z.cells_{c}").alias(c) for c in columns)), *columns)
+
+
+#: Tapers of segments of ten points, their norms, and the transform: SQL from fe (user_id, window_id, pos, columns).
+_TAPER = "tp AS (SELECT i, CASE WHEN least(i / 10, 1 - i / 10) * 8 < 1 THEN 0.5 * (1 - cos(pi() * least(i / 10, 1 - i / 10) * 8)) ELSE 1.0 END AS w FROM (SELECT unnest(range(0, 10)) AS i)), tn AS (SELECT sum(w) AS spectrum, sqrt(sum(w * w)) AS density FROM tp)"
+
+
+def _spectra_sql(columns, scaling: str) -> str:
+    wide = _FEATURES[: _FEATURES.index("fc AS (")].replace("FROM c WINDOW", "FROM c16 WINDOW")
+    acc = "fe AS (SELECT user_id, window_id, pos, v, vx, vy, coalesce((v - lag(v) OVER w) / h, 0) AS a, coalesce((vx - lag(vx) OVER w) / h, 0) AS ax, coalesce((vy - lag(vy) OVER w) / h, 0) AS ay FROM fb WINDOW w AS (PARTITION BY user_id, window_id ORDER BY pos))"
+    one = lambda c: f"CASE WHEN {c} = 0 THEN 0 ELSE sign({c}) * ln(1 + abs({c})) END AS {c}"
+    parts = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY user_id, window_id, part) AS {c}" for c in columns)
+    sums = ", ".join(f"round(ln(1 + sqrt(power(sum({c} * w * cos(2 * pi() * k * i / 10)), 2) + power(sum({c} * w * sin(2 * pi() * k * i / 10)), 2)) / max({scaling})), 6) + 0.0 AS {c}" for c in columns)
+    return f"""WITH $EV, c16 AS (SELECT *, seq // 16 AS window_id, seq % 16 AS pos FROM ev WHERE (seq // 16 + 1) * 16 <= n), {wide} {acc}, {_TAPER},
+    lg AS (SELECT user_id, window_id, pos, {', '.join(map(one, columns))} FROM fe),
+    sg AS (SELECT *, pos - 5 * part AS i FROM lg, (SELECT unnest([0, 1]) AS part) WHERE pos - 5 * part BETWEEN 0 AND 9),
+    mf AS (SELECT user_id, window_id, part, i, {parts} FROM sg)
+    SELECT user_id, window_id, CAST(k AS BIGINT) AS k, CAST(part AS BIGINT) AS part, {sums} FROM mf JOIN tp USING (i), tn, (SELECT unnest(range(0, 6)) AS k) GROUP BY ALL"""
+
+
+def _spectrogram(name: str, columns, scaling: str) -> None:
+    def run(spark, sf_dir):
+        return _spectra(spark, sf_dir, columns, scaling)
+
+    run.__name__ = name
+    query(_spectra_sql(columns, scaling))(run)
+
+
+_spectrogram("spectrogram_speed", ["v"], "spectrum")
+_spectrogram("spectrogram_velocity", ["v", "vx", "vy"], "density")
+_spectrogram("spectrogram_acceleration", ["a", "ax", "ay"], "spectrum")
+
+_SIDE = 16
+
+
+def _traces(spark, sf_dir) -> DataFrame:
+    """Windows with their pixels on a square of _SIDE, and the split that they are of."""
+    by = [*KEY, "window_id"]
+    t = strokes.padded_place(chunks(spark, sf_dir), by, _SIDE).withColumn("ink", F.lit(1))
+    p = strokes.pixels(t, by, _SIDE, ["ink"], cut=True)
+    return p.groupBy(*by).agg(F.collect_list(F.struct("qx", "qy")).alias("pixels")).withColumn("split", F.col("user_id") % 2)
+
+
+def _log_fourier(batch):
+    return map(spectral.fourier, spectral.pixel_images(_SIDE)(batch))
+
+
+_TRACE_SQL = (
+    f"WITH $EV, {_CHUNK}, ft AS (SELECT * FROM c), {_BOX}, pt AS (SELECT user_id, window_id, seq, {_AT['boxed'][1]} AS px, {_AT['boxed'][2]} AS py, 0 AS r, 0 AS g, 0 AS b FROM sc), {_DRAWN[: _DRAWN.index('SELECT user_id, CAST(window_id')]}".replace("64", str(_SIDE)).replace("BETWEEN 0 AND 63", f"BETWEEN 0 AND {_SIDE - 1}")
+    + f""", fq AS (SELECT i, j FROM (SELECT unnest(range(0, {_SIDE})) AS i), (SELECT unnest(range(0, {_SIDE})) AS j)),
+    dm AS (SELECT user_id, window_id, i, j, CASE WHEN i = 0 AND j = 0 THEN 0 ELSE ln(1 + sqrt(power(sum(cos(2 * pi() * (i * qy + j * qx) / {_SIDE})), 2) + power(sum(sin(2 * pi() * (i * qy + j * qx) / {_SIDE})), 2))) END AS m FROM o, fq GROUP BY user_id, window_id, i, j),
+    gb AS (SELECT user_id % 2 AS split, min(m) AS lo, max(m) AS hi, count(DISTINCT (user_id, window_id)) AS n FROM dm GROUP BY 1)"""
+)
+
+
+@query(_TRACE_SQL + " SELECT split, round(lo, 6) AS global_min, round(hi, 6) AS global_max, n FROM gb")
+def fft_bounds(spark, sf_dir):
+    return r6(spectral.image_bounds(_traces(spark, sf_dir), _log_fourier, ["split"]), "global_min", "global_max")
+
+
+@query(_TRACE_SQL + f", pl2 AS (SELECT user_id, window_id, (i + {_SIDE // 2}) % {_SIDE} AS y, (j + {_SIDE // 2}) % {_SIDE} AS x, least(greatest((m - lo) / greatest(hi - lo, 1e-8), 0), 1) AS z FROM dm JOIN gb ON gb.split = user_id % 2) SELECT user_id, window_id, count(*) AS n, round(sum(z * (({_SIDE} - 1 - y) * {_SIDE} + x + 1)), 3) AS weighed FROM pl2 GROUP BY ALL")
+def fft_logmag(spark, sf_dir):
+    t = _traces(spark, sf_dir)
+    made = spectral.scaled_images(t.join(F.broadcast(spectral.image_bounds(t, _log_fourier, ["split"]).drop("n")), "split"), _log_fourier)
+    cells = made.select("user_id", "window_id", F.posexplode("cells").alias("at", "z"))
+    return cells.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("z") * (F.col("at") + 1)), 3).alias("weighed"))
