@@ -124,3 +124,26 @@ def corner_triangle(p: DataFrame, events: DataFrame, by: Sequence[str]) -> DataF
     both = with_events(p, events, by, ["d_br", "d_tr"])
     stripe = (F.col("j_d_br") - F.col("j_d_tr") + 1) / 2
     return both.select(*by, "window_id", "i", "j", F.when(F.col("i") > F.col("j"), stripe).otherwise(F.col("d")).alias("value"))
+
+
+def colour_grid(df: DataFrame, by: Sequence[str], size: int, k: int, g: str, b: str, epsilon: float = 1.0) -> DataFrame:
+    """(by, window_id, row, col, i, j, r, g, b): k by k cells of sub-sequences as bytes.
+
+    Cell (row, col) has the row's part below the diagonal and the column's above; the
+    diagonal is the row's where both are the same, else 0. r: distances under the
+    sub-sequence's own scale, stretched between the extremes of the whole window's matrix;
+    g and b: stripes of the column event's values. Without images' resizing; events
+    after k equal parts are left out of the cells.
+    """
+    part = size // k
+    ends = rec.clipped(df, by, epsilon).groupBy(*by, "window_id").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    parts = df.where(F.col("pos") < part * k).withColumns({"part": F.floor(F.col("pos") / part).cast("long"), "pos": F.col("pos") % part})
+    p = rec.clipped(parts, [*by, "part"], epsilon).join(ends, [*by, "window_id"])
+    cut = lambda c: (_unit(c) * 255).cast("long")
+    made = F.struct(cut((F.col("d") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(EPS))).alias("r"), cut(F.col(f"j_{g}")).alias("g"), cut(F.col(f"j_{b}")).alias("b"))
+    own = p.select(*by, "window_id", "part", "i", "j", made.alias("c"))
+    keys = [*by, "window_id", "i", "j"]
+    both = own.withColumnsRenamed({"part": "row", "c": "_a"}).join(own.withColumnsRenamed({"part": "col", "c": "_b"}), keys)
+    zero = F.lit(0).cast("long")
+    channel = lambda c: F.when(F.col("i") < F.col("j"), F.col("_b")[c]).when((F.col("i") > F.col("j")) | (F.col("row") == F.col("col")), F.col("_a")[c]).otherwise(zero)
+    return both.select(*by, "window_id", "row", "col", "i", "j", *(channel(c).alias(c) for c in "rgb"))

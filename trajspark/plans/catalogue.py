@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trajspark import shared
 from trajspark.functions import scalars
-from trajspark.operators import bounds, clean, distribution, ecdf, encodings, kinematics, losses, raster, recurrence, scoring, sequence, spectral, strokes
+from trajspark.operators import bounds, clean, distribution, ecdf, encodings, kinematics, losses, raster, recurrence, sampling, scoring, sequence, spectral, strokes
 from trajspark.plans import streams
 from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
 from trajspark.sources import sessions
@@ -687,6 +687,32 @@ def event_stripes(spark, sf_dir):
     return r6(_features(spark, sf_dir, *names).select("user_id", "window_id", "pos", *(f"c_{c}" for c in names)), *(f"c_{c}" for c in names))
 
 
+_LOCAL_OF = "(x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS x, (y - min(y) OVER w) / greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w, 1e-8) AS y"
+_BYTE_OF = "CAST(trunc(least(greatest({0}, 0), 1) * 255) AS BIGINT)"
+_CELL = ", ".join(f"CASE WHEN i < j THEN z.{c} WHEN i > j OR a.part = z.part THEN a.{c} ELSE 0 END AS {c}" for c in "rgb")
+
+
+@query(
+    f"""WITH $EV, c AS (SELECT *, seq // 16 AS window_id, seq % 16 AS pos FROM ev WHERE (seq // 16 + 1) * 16 <= n),
+    wl AS (SELECT user_id, window_id, {_LOCAL_OF} FROM c WINDOW w AS (PARTITION BY user_id, window_id)),
+    we AS (SELECT user_id, window_id, min(d) AS lo, max(d) AS hi FROM (SELECT user_id, window_id, least(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1) AS d FROM wl a JOIN wl b USING (user_id, window_id)) GROUP BY ALL),
+    pl AS (SELECT user_id, window_id, pos // 4 AS part, pos % 4 AS k, {_LOCAL_OF} FROM c WINDOW w AS (PARTITION BY user_id, window_id, pos // 4)),
+    pa AS (SELECT user_id, window_id, pos // 4 AS part, pos % 4 AS k, (x - lag(x) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS p, (y - lag(y) OVER w) / greatest(t - lag(t) OVER w, 1e-5) AS q FROM c WINDOW w AS (PARTITION BY user_id, window_id, pos // 4 ORDER BY pos)),
+    fc AS (SELECT user_id, window_id, part, k, round(coalesce(p, lead(p) OVER w, 0), 6) + 0.0 AS vx, round(coalesce(q, lead(q) OVER w, 0), 6) + 0.0 AS vy FROM pa WINDOW w AS (PARTITION BY user_id, window_id, part ORDER BY k)),
+    ft AS (SELECT user_id, window_id, part, k, {_CDF.format('vx')}, {_CDF.format('vy')} FROM fc),
+    pp AS (SELECT a.user_id, a.window_id, a.part, a.k AS i, b.k AS j, {_BYTE_OF.format('(least(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1) - lo) / greatest(hi - lo, 1e-8)')} AS r, {_BYTE_OF.format('c_vx')} AS g, {_BYTE_OF.format('c_vy')} AS b
+        FROM pl a JOIN pl b ON a.user_id = b.user_id AND a.window_id = b.window_id AND a.part = b.part JOIN we ON we.user_id = a.user_id AND we.window_id = a.window_id JOIN ft ON ft.user_id = b.user_id AND ft.window_id = b.window_id AND ft.part = b.part AND ft.k = b.k),
+    ce AS (SELECT user_id, window_id, a.part AS "row", z.part AS col, i, j, {_CELL} FROM pp a JOIN pp z USING (user_id, window_id, i, j))
+    SELECT user_id, window_id, "row", col, count(*) AS n, {', '.join(f'CAST(sum({c} * (4 * i + j + 1)) AS BIGINT) AS {c}' for c in 'rgb')} FROM ce GROUP BY ALL"""
+)
+def ap_colour(spark, sf_dir):
+    part = [*KEY, "window_id", "_part"]
+    t = r6(kinematics.velocity(chunks(spark, sf_dir, 16).withColumn("_part", F.expr("pos div 4")), part, "copy"), "vx", "vy")
+    e = ecdf.looked_up(t, ecdf.counted(t, ["vx", "vy"]), {"vx": "vx", "vy": "vy"})
+    cells = encodings.colour_grid(e, KEY, 16, 4, "c_vx", "c_vy")
+    return cells.groupBy("user_id", "window_id", "row", "col").agg(F.count("*").alias("n"), *(F.sum(F.col(c) * (4 * F.col("i") + F.col("j") + 1)).alias(c) for c in "rgb"))
+
+
 # ---------------------------------------------------------------- places within the user's bounds
 
 _CORNERS = "co AS (SELECT c.user_id, window_id, pos, sqrt(power(max_x - x, 2) + power(max_y - y, 2)) / g AS br, sqrt(power(max_x - x, 2) + power(y - min_y, 2)) / g AS tr FROM c JOIN (SELECT *, greatest(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 1e-8) AS g FROM b) USING (user_id))"
@@ -802,9 +828,9 @@ def score_fusion_label(spark, sf_dir):
 _ROC = """k AS (SELECT target, score, sum(label) AS p, count(*) - sum(label) AS q FROM sc GROUP BY ALL), c AS (SELECT target, score, row_number() OVER w AS k, sum(q) OVER w / sum(q) OVER (PARTITION BY target) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY target) AS tpr FROM k WINDOW w AS (PARTITION BY target ORDER BY score DESC))"""
 
 
-@query(f"WITH $SC, {_ROC} SELECT target, k, round(score, 3) AS threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM c")
+@query(f"WITH $SC, {_ROC} SELECT target, k, round(score, 3) AS threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM c UNION ALL SELECT DISTINCT target, 0, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM c")
 def roc_curve(spark, sf_dir):
-    return scoring.roc(scores(spark, sf_dir), ["target"]).where("k > 0").select("target", "k", F.round("threshold", 3).alias("threshold"), F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+    return scoring.roc(scores(spark, sf_dir), ["target"]).select("target", "k", F.round("threshold", 3).alias("threshold"), F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
 _AUC = "a AS (SELECT target, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auc FROM (SELECT *, rank() OVER (PARTITION BY target ORDER BY score) + (count(*) OVER (PARTITION BY target, score) - 1) / 2 AS r FROM sc) GROUP BY 1)"
@@ -887,9 +913,51 @@ def protocol_claimed_user(spark, sf_dir):
     return r6(scoring.macro(scoring.fusion_curve(_four(spark, sf_dir, claimed=True), ["target"], ["session"], ["event_id"], range(1, 16))), "avg_eer", "avg_auc")
 
 
-@query(_protocol_sql(_FOUR.format(""), "fold", range(1, 6)))
+_CONTIGUOUS = "(row_number() OVER (PARTITION BY u, user_id ORDER BY event_id) * 5 - 1) // count(*) OVER (PARTITION BY u, user_id) AS fold"
+
+
+@query(_protocol_sql(_FOUR.format("").replace("event_id % 5 AS fold", _CONTIGUOUS), "fold", range(1, 16)))
 def protocol_five_folds(spark, sf_dir):
-    return r6(scoring.fold_means(_four(spark, sf_dir), ["target"], ["session"], ["event_id"], range(1, 6)), "avg_eer", "avg_auc")
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    own = sequence.folds(e, KEY, 5).select("event_id", "fold")
+    rows = _four(spark, sf_dir).drop("fold").join(own, "event_id")
+    return r6(scoring.fold_means(rows, ["target"], ["session"], ["event_id"], range(1, 16)), "avg_eer", "avg_auc")
+
+
+_HASH = "CAST('0x' || substr(md5('42|' || CAST({0} AS VARCHAR)), 1, 15) AS BIGINT)"
+_SPLIT_SQL = f"al AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format('event_id')}, event_id) <= floor(0.8 * count(*) OVER (PARTITION BY label)) AS is_train FROM sc1)"
+_SC1 = SQL_SCORES.replace("sc AS", "sc1 AS")
+
+
+def _split_scores(spark, sf_dir) -> DataFrame:
+    """Scores of all users as one binary task, four fifths of each class for training."""
+    return sampling.stratified(scores(spark, sf_dir), ["event_id"])
+
+
+@query(_protocol_sql(f"{_SC1}, {_SPLIT_SQL}, sc0 AS (SELECT 0 AS target, 0 AS fold, label AS session, event_id, score, label FROM al WHERE NOT is_train)", "0", range(1, 50)))
+def protocol_all_users(spark, sf_dir):
+    test = _split_scores(spark, sf_dir).where("not is_train").withColumns({"target": F.lit(0).cast("long"), "group": F.col("label")})
+    return r6(scoring.macro(scoring.fusion_curve(test, ["target"], ["group"], ["event_id"], range(1, 50))), "avg_eer", "avg_auc")
+
+
+@query(f"WITH {_SC1}, {_SPLIT_SQL}, c AS (SELECT label, count(*) AS n FROM al WHERE is_train GROUP BY 1), m AS (SELECT max(n) AS most FROM c) SELECT label, most AS n, n AS n_keys, most // n AS fewest, CAST(ceil(most / n) AS BIGINT) AS mostly FROM c, m")
+def balanced_training_rows(spark, sf_dir):
+    train = _split_scores(spark, sf_dir).where("is_train").select("event_id", "label")
+    copies = losses.balance(train, "label").groupBy("label", "event_id").agg(F.count("*").alias("m"))
+    return copies.groupBy("label").agg(F.sum("m").alias("n"), F.count("*").alias("n_keys"), F.min("m").alias("fewest"), F.max("m").alias("mostly"))
+
+
+@query(f"SELECT o_orderkey, o_orderpriority FROM orders ORDER BY {_HASH.format('o_orderkey')} LIMIT 500")
+def exact_subsample(spark, sf_dir):
+    return sampling.subsample(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), 500, ["o_orderkey"])
+
+
+@query("WITH $SC, m AS (SELECT count(*) AS n, count(*) FILTER ((score >= 0.5) = (label = 1)) AS good FROM sc) SELECT n, good, round(good / n, 9) AS accuracy FROM m")
+def pooled_accuracy(spark, sf_dir):
+    out = scoring.at_threshold(scores(spark, sf_dir), F.lit(0.5))
+    return out.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), (F.col("tp") + F.col("tn")).alias("good"), F.round("accuracy", 9).alias("accuracy"))
 
 
 @query(f"WITH {_FOUR.format('')}, sc AS (SELECT * FROM sc0 WHERE fold > 0), {_ROC}, {_THRESHOLD}, m AS (SELECT sc0.target, count(*) FILTER (sc0.score >= threshold AND label = 1) AS tp, count(*) FILTER (sc0.score >= threshold AND label = 0) AS fp, count(*) FILTER (sc0.score < threshold AND label = 1) AS fn, count(*) FILTER (sc0.score < threshold AND label = 0) AS tn FROM sc0 JOIN th USING (target) WHERE fold = 0 GROUP BY 1) SELECT target, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy FROM m")
