@@ -13,7 +13,7 @@ from trajspark.functions import scalars
 from trajspark.operators import bounds, clean, distribution, ecdf, encodings, kinematics, losses, raster, recurrence, sampling, scoring, sequence, spectral, strokes
 from trajspark.plans import streams
 from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
-from trajspark.sources import sessions
+from trajspark.sources import sessions, tensors
 from trajspark.streaming.sessions import gap_sessions
 from trajspark.workers import with_workers
 
@@ -994,6 +994,18 @@ def session_windows(spark, sf_dir):
     return g.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+@query(f"WITH $EV, {_CHUNK}, v AS (SELECT user_id, window_id, CAST(sum(CAST(least(greatest(round_even(x / 200 * 63, 0), 0), 63) AS BIGINT) * (pos + 1)) AS BIGINT) AS weighed FROM c GROUP BY ALL) SELECT row_number() OVER (ORDER BY user_id, window_id) - 1 AS row, 'user' || user_id AS user, dense_rank() OVER (ORDER BY user_id) - 1 AS user_idx, weighed FROM v")
+def tensor_store(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("v", raster.pixel(F.col("x"), 200.0, 64))
+    own = raster.gather(c, [*KEY, "window_id"], ["v"])
+    samples = own.select(F.concat(F.lit("user"), "user_id").alias("user"), F.concat(F.lit("session_"), F.expr("window_id div 4")).alias("session"), F.col("window_id").alias("idx"), F.col("points.v").alias("values"))
+    path = shared.new_path(spark, "tensors")
+    tensors.write_tensors(shared.written(samples, f"{path}-samples"), path, [SIZE])
+    shared.delete(spark, f"{path}-samples")
+    weighed = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+    return tensors.read_tensors(spark, path).select("row", "user", "user_idx", weighed.alias("weighed"))
+
+
 # ---------------------------------------------------------------- streams
 
 
