@@ -74,3 +74,15 @@ def test_clashing_names_and_empty(spark):
     got = html_mincut.extract(df)
     assert got.columns == ["page_id", "html", "text"] and [r.text for r in got.orderBy("page_id").collect()] == ["", "Hi there."]
     assert html_mincut.extract(df.limit(0)).count() == 0
+
+
+def test_unmatched_end_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        assert html_mincut.main_text("<b>" * n + "</i>" * n + "<p>text</p>") == "text"
+        return time.process_time() - began
+
+    took(1_000)
+    assert took(64_000) < 20 * took(8_000) + 1  # 64 times, if it were quadratic

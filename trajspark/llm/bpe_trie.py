@@ -224,6 +224,7 @@ def encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
+@kernels.any_names
 def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary, unsigned 32-bit), ``n_tokens`` and ``decoded`` to every row.
 

@@ -68,10 +68,11 @@ LINKED = -5.0
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "place", "soft")
+    __slots__ = ("tag", "parent", "place", "soft", "depth")
 
     def __init__(self, tag: str, parent: _Element | None, place: float | None, soft: bool = False):
         self.tag, self.parent, self.place, self.soft = tag, parent, place, soft
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def tags(page: str) -> Iterator[tuple[str, int, int, bool, dict[str, str] | None]]:
@@ -186,6 +187,7 @@ def blocks(page: str, trust: bool = False) -> list[Block]:
     found: list[Block] = []
     root = _Element("", None, None)
     top, links, parts, linked, at = root, 0, [], 0, 0
+    by_tag: dict[str, list[_Element]] = {}  # open elements, so that no end tag walks the chain of all of them
 
     def flush() -> None:
         nonlocal linked
@@ -198,19 +200,19 @@ def blocks(page: str, trust: bool = False) -> list[Block]:
 
     def close(element: _Element) -> None:
         nonlocal top, links
-        while top is not element:
+        last = False
+        while not last:
+            last = top is element
             links -= top.tag == "a"
+            by_tag[top.tag].pop()
             top = top.parent
-        links -= top.tag == "a"
-        top = top.parent
 
     def opened(tags: set[str] | frozenset[str], bounds: set[str]) -> _Element | None:
-        x = top
-        while x is not root and x.tag not in bounds:
-            if x.tag in tags:
-                return x
-            x = x.parent
-        return None
+        """The innermost open element of ``tags`` that no open one of ``bounds`` holds off."""
+        inner = lambda names: max((own[-1] for t in names if (own := by_tag.get(t))), key=lambda e: e.depth, default=None)
+        x = inner(tags)
+        bound = inner(bounds) if x is not None else None
+        return x if x is not None and (bound is None or bound.depth < x.depth) else None
 
     for tag, start, end, closing, attributes in tags(page):
         if start > at:
@@ -238,6 +240,7 @@ def blocks(page: str, trust: bool = False) -> list[Block]:
                 close(x)
         if tag not in _VOID and not page.startswith("/>", end - 2):
             top = _Element(tag, top, *_place(tag, attributes, top, trust))
+            by_tag.setdefault(tag, []).append(top)
             links += tag == "a"
     if at < len(page):
         parts.append(page[at:])
@@ -352,6 +355,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(b.text for b, content in zip(found, side, strict=False) if content)
 
 
+@kernels.any_names
 def extract(df: DataFrame, column: str = "html") -> DataFrame:
     """Add ``text``, the main text of every page."""
     kept = [c for c in df.columns if c != "text"]

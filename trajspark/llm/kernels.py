@@ -7,11 +7,12 @@ text is a slice of its own), so memory follows the largest text, not the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
 
@@ -38,6 +39,22 @@ SPACED = byte_class((0x20, 0x20), (0x09, 0x0D))
 ALNUM = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)) | np.isin(np.arange(256), np.arange(65, 91))
 
 
+def any_names(function):
+    """For functions of a DataFrame that go through Arrow by column name: names with dots or backticks are put aside and given back."""
+
+    @wraps(function)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        odd = {c: f"_odd_{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+        if not odd:
+            return function(df, *args, **options)
+        named = {new: c for c, new in odd.items()}
+        put = lambda x: odd.get(x, x) if isinstance(x, str) else x
+        out = function(df.toDF(*map(put, df.columns)), *map(put, args), **{k: put(v) for k, v in options.items()})
+        return out.toDF(*(named.get(c, c) for c in out.columns))
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices of ``batch`` holding about ``limit`` bytes of text."""
     text = batch.column(column)

@@ -1,32 +1,21 @@
-"""Tables shared by all executors: cut lineage by writing and rereading Parquet."""
+"""Tables shared by all executors: cut lineage by writing and rereading Parquet.
+
+Blocks are kept per context, so queries that are built in several threads don't delete each other's tables.
+"""
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where a local session names no shared folder, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
-_open: list[list[tuple[DataFrame, str]]] = []
-
+from trajspark.shared import delete, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = LOCAL_FALLBACK
-    return found.rstrip("/")
+__all__ = ["delete", "new_path", "shared_dir", "temporary", "write_out"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trajspark/{name}-{uuid.uuid4().hex}"
+_open: ContextVar[tuple[list[tuple[DataFrame, str]], ...]] = ContextVar("tables written inside blocks", default=())
 
 
 def write_out(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -36,8 +25,8 @@ def write_out(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    if _open:
-        _open[-1].append((out, path))
+    if _open.get():
+        _open.get()[-1].append((out, path))
     return out
 
 
@@ -48,18 +37,16 @@ def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
     What leaves the block must depend on kept tables (and inputs) alone.
     """
     kept: list[DataFrame] = []
-    _open.append([])
+    written: list[tuple[DataFrame, str]] = []
+    outer = _open.get()
+    _open.set((*outer, written))
     try:
         yield kept
     finally:
-        written = _open.pop()
+        _open.set(outer)
         for df, path in written:
             if not any(df is k for k in kept):
                 delete(spark, path)
-            elif _open:
-                _open[-1].append((df, path))
-
+            elif outer:
+                outer[-1].append((df, path))
 
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

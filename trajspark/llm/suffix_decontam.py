@@ -189,6 +189,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int) -> Itera
     yield Block.of(names, texts, window)
 
 
+@kernels.any_names
 def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Add what the benchmark and each document share.
 

@@ -163,6 +163,7 @@ def _sample(votes: DataFrame, rows: int) -> list[Row]:
         share *= 2
 
 
+@kernels.any_names
 def classify(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add posterior (of good, from the votes), score (the scorer's probability of good) and kept."""
     own = ["posterior", "score", "kept"]
