@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajspark.operators import ecdf
+from trajspark.operators import distribution, ecdf
 
 
 def sample(seed=1, n=600):
@@ -90,6 +90,17 @@ def test_caps(spark, percent):
     assert abs(rough[0] - len(kept["v"])) <= 3 and abs(rough[1] - kept["v"].max()) <= 0.01 * abs(kept["v"].max()) + 0.2
 
 
+def test_quantiles_by_group(spark):
+    x = sample(6)
+    df = frame(spark, x).withColumn("g", F.when(F.col("k") % 3 > 0, F.col("k") % 3))
+    got = {r.g: r for r in distribution.summary(df, "v", ["g"]).collect()}
+    for g in (None, 1, 2):
+        own = x[[k for k in range(len(x)) if k % 3 == (g or 0)]]
+        assert np.allclose([got[g].min, got[g].q1, got[g].median, got[g].q3, got[g].max], np.percentile(own, [0, 25, 50, 75, 100])) and got[g].n == len(own)
+    assert np.allclose(distribution.summary(df, "v").first().median, np.median(x))
+    assert distribution.summary(df.where("k < 0"), "v").first().n == 0 and distribution.percentiles(df.where("k < 0"), "v", [0.5]).count() == 0
+
+
 def test_empty(spark):
     df = frame(spark, [1.0]).where("k < 0")
     assert ecdf.curves(ecdf.counted(df, ["v"])) == {} and ecdf.looked_up(df, ecdf.counted(df, ["v"]), {"v": "v"}).count() == 0

@@ -11,18 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.operators import ecdf
+
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, min, q1, median, q3, max, mean and population deviation, exact percentiles."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    return out.select(*by, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max", "mean", "std")
+    """n, min, q1, median, q3, max, mean and population deviation; percentiles are exact, and no group's values meet in one task."""
+    whole = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    q = ecdf.quantiles(ecdf.counted(df, [value], by=by), (0.25, 0.5, 0.75), by).drop("feature").withColumnsRenamed({k: f"_key_{k}" for k in by})
+    out = whole.join(q, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by] or F.lit(True), "left")
+    return out.select(*by, "n", "min", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), "max", "mean", "std")
 
 
 def percentiles(df: DataFrame, value: str, shares: Sequence[float], *, accuracy: int | None = None) -> DataFrame:
-    """One row with array ``p``; exact, or approximate with the given accuracy (bounded memory)."""
-    wanted = F.array(*map(F.lit, shares))
-    return df.agg((F.percentile(value, wanted) if accuracy is None else F.percentile_approx(value, wanted, accuracy)).alias("p"))
+    """One row with array ``p`` (none, if there are no values); exact from counts by range, or approximate with the given accuracy."""
+    if accuracy is None:
+        return ecdf.quantiles(ecdf.counted(df, [value]), shares).select("p")
+    return df.agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), accuracy).alias("p"))
 
 
 def _with(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -66,23 +66,27 @@ def read_splits(spark: SparkSession, path: str, splits: Sequence[str] | None = N
     return merged(spark.read.parquet(*(f"{path}/split={s}" for s in wanted)))
 
 
-def _running(store: DataFrame) -> DataFrame:
-    """Add upto (events up to the bucket's end) and total, of the feature.
+def _running(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add upto (events up to the bucket's end) and total, of the feature (and ``by``).
 
     Running counts are taken inside ranges of like values, whose totals are few; so no
     window holds a feature's whole store.
     """
+    keys = ["feature", *by]
     dealt = store.withColumn("_r", bucket_of(F.col("high"), _COARSE))
-    whole = Window.partitionBy("feature")
-    ranges = dealt.groupBy("feature", "_r").agg(F.sum("n").alias("_m"))
-    before = ranges.select("feature", "_r", (F.sum("_m").over(whole.orderBy("_r")) - F.col("_m")).alias("_before"), F.sum("_m").over(whole).alias("total"))
-    upto = F.sum("n").over(Window.partitionBy("feature", "_r").orderBy("bucket")) + F.col("_before")
-    return dealt.join(before, ["feature", "_r"]).withColumn("upto", upto).drop("_r", "_before")
+    whole = Window.partitionBy(*keys)
+    ranges = dealt.groupBy(*keys, "_r").agg(F.sum("n").alias("_m"))
+    before = ranges.select(*(F.col(k).alias(f"_key_{k}") for k in (*keys, "_r")), (F.sum("_m").over(whole.orderBy("_r")) - F.col("_m")).alias("_before"), F.sum("_m").over(whole).alias("total"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in (*keys, "_r")]
+    upto = F.sum("n").over(Window.partitionBy(*keys, "_r").orderBy("bucket")) + F.col("_before")
+    return dealt.join(before, same).withColumn("upto", upto).drop("_r", "_before", *(f"_key_{k}" for k in (*keys, "_r")))
 
 
-def _percentile(run: DataFrame, percent: float) -> DataFrame:
-    """(feature, cut): the percentile, interpolated between neighbouring values; inside a bucket values count as evenly spaced."""
-    at = percent / 100 * (F.col("total") - 1)
+def quantiles(store: DataFrame, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, p): an array of the quantiles, interpolated between neighbouring values; inside a bucket values count as evenly spaced.
+
+    Found from counts by range, so neither a feature's values nor a group's meet in one task.
+    """
 
     def ranked(k: Column) -> Column:
         """The k-th value from 0 on, null if it isn't in the bucket."""
@@ -90,17 +94,21 @@ def _percentile(run: DataFrame, percent: float) -> DataFrame:
         place = F.when(F.col("n") > 1, (k - F.col("upto") + F.col("n")) / (F.col("n") - 1)).otherwise(0.0)
         return F.when(inside, F.col("low") + place * (F.col("high") - F.col("low")))
 
-    below, above = F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)
-    ends = run.groupBy("feature").agg(F.max(ranked(below)).alias("a"), F.max(ranked(above)).alias("b"), F.max(at - below).alias("s"))
-    return ends.select("feature", (F.col("a") + (F.col("b") - F.col("a")) * F.col("s")).alias("cut"))
+    found = []
+    for i, share in enumerate(shares):
+        at = share * (F.col("total") - 1)
+        below = F.floor(at)
+        found += [F.max(ranked(below)).alias(f"_a{i}"), F.max(ranked(F.least(below + 1, F.col("total") - 1))).alias(f"_b{i}"), F.max(at - below).alias(f"_s{i}")]
+    between = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_s{i}") for i in range(len(shares))]
+    return _running(store, by).groupBy(*by, "feature").agg(*found).select(*by, "feature", F.array(*between).alias("p"))
 
 
 def capped(store: DataFrame, percent: float, signed: Sequence[str] = ()) -> DataFrame:
     """The store without values above their feature's percentile; of ``signed`` features, without those under the opposite one too."""
-    run = _running(store)
-    high = _percentile(run, percent).withColumnRenamed("cut", "_hi")
-    low = _percentile(run, 100 - percent).select("feature", F.when(F.col("feature").isin(list(signed)), F.col("cut")).otherwise(float("-inf")).alias("_lo"))
-    own = store.join(F.broadcast(high.join(low, "feature")), "feature").where("low <= _hi AND high >= _lo")
+    ends = quantiles(store, [1 - percent / 100, percent / 100])
+    low = F.when(F.col("feature").isin(list(signed)), F.col("p")[0]).otherwise(float("-inf"))
+    ends = ends.select("feature", F.col("p")[1].alias("_hi"), low.alias("_lo"))
+    own = store.join(F.broadcast(ends), "feature").where("low <= _hi AND high >= _lo")
     top, bottom = F.least("high", "_hi"), F.greatest("low", "_lo")
     share = F.when(F.col("high") > F.col("low"), (top - bottom) / (F.col("high") - F.col("low"))).otherwise(1.0)
     return own.select("feature", "bucket", F.greatest(F.lit(1), F.floor(share * F.col("n"))).cast("long").alias("n"), bottom.alias("low"), top.alias("high"))
