@@ -147,3 +147,14 @@ def colour_grid(df: DataFrame, by: Sequence[str], size: int, k: int, g: str, b:
     zero = F.lit(0).cast("long")
     channel = lambda c: F.when(F.col("i") < F.col("j"), F.col("_b")[c]).when((F.col("i") > F.col("j")) | (F.col("row") == F.col("col")), F.col("_a")[c]).otherwise(zero)
     return both.select(*by, "window_id", "row", "col", "i", "j", *(channel(c).alias(c) for c in "rgb"))
+
+
+def pair_share(k: int) -> Column:
+    """The index of the pair's unordered patches (i_patch, j_patch of a k-by-k grid) as a share of the last index."""
+    patches = k * k
+    return rec.unordered_index(F.col("i_patch"), F.col("j_patch")) / (patches * (patches - 1) // 2 + patches - 1)
+
+
+def patch_triangle(df: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """value: the stretched matrix above and on the diagonal, the pair's patches as a share below; events have patch (see ``recurrence.patch_pair``)."""
+    return rec.triangle(local(df, by), F.col("d"), pair_share(k), F.col("d"))

@@ -129,6 +129,11 @@ def previous_difference(p: DataFrame, by: Sequence[str]) -> DataFrame:
     return p.withColumn("diff", F.when(F.lag("window_id").over(w) == F.col("window_id") - 1, F.col("d") - F.lag("d").over(w)))
 
 
+def difference_bytes(p: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add diff as ``previous_difference``, stretched over the window, and as bytes (pixel); first windows are left out."""
+    return stretched(previous_difference(p, by).where("diff IS NOT NULL"), by, "diff")
+
+
 def triangle(p: DataFrame, upper: Column, lower: Column, diagonal: Column) -> DataFrame:
     """value: upper where i < j, lower where i > j, else diagonal."""
     return p.withColumn("value", F.when(F.col("i") < F.col("j"), upper).when(F.col("i") > F.col("j"), lower).otherwise(diagonal))

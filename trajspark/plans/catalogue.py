@@ -780,6 +780,40 @@ for _base in ("local", "diagonal"):
     _positioned(f"enc_position_velocity_{_base}", _base, "vx", "vy")
 
 
+_PATCHES = "q AS (SELECT c.user_id, window_id, pos, CAST(least(greatest(floor((y - min_y) / greatest(max_y - min_y, 1e-8) * 4), 0), 3) * 4 + least(greatest(floor((x - min_x) / greatest(max_x - min_x, 1e-8) * 4), 0), 3) AS BIGINT) AS patch FROM c JOIN b USING (user_id))"
+_OF_PATCHES = "(greatest(l.patch, r.patch) * (greatest(l.patch, r.patch) + 1) // 2 + least(l.patch, r.patch)) / 135"
+
+
+@query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')}, {_STRETCHED}, {_PATCHES}, s AS (SELECT st.user_id, st.window_id, i, j, CASE WHEN i > j THEN {_OF_PATCHES} ELSE d END AS value FROM st JOIN q l ON l.user_id = st.user_id AND l.window_id = st.window_id AND l.pos = i JOIN q r ON r.user_id = st.user_id AND r.window_id = st.window_id AND r.pos = j) " + _PER_WINDOW.format("value", "s"))
+def patch_triangle(spark, sf_dir):
+    return per_window(encodings.patch_triangle(recurrence.patch_pair(_scaled(spark, sf_dir), 4), KEY, 4), "value")
+
+
+@query(f"WITH $EV, {_BOUNDS}, {_CHUNK}, {_PATCHES}, s AS (SELECT user_id, window_id, l.pos AS i, r.pos AS j, {_OF_PATCHES} AS value FROM q l JOIN q r USING (user_id, window_id)) " + _PER_WINDOW.format("value", "s"))
+def patch_matrix(spark, sf_dir):
+    p = recurrence.pairs(recurrence.patch_pair(_scaled(spark, sf_dir), 4), KEY)
+    return per_window(p.withColumn("value", encodings.pair_share(4)), "value")
+
+
+@query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')}, s AS (SELECT user_id, window_id, i, j, least(d, 1.0) - lag(least(d, 1.0)) OVER (PARTITION BY user_id, i, j ORDER BY window_id) AS diff FROM p), z AS (SELECT user_id, window_id, i, j, CAST(trunc((diff - min(diff) OVER w) / greatest(max(diff) OVER w - min(diff) OVER w, 1e-8) * 255) AS BIGINT) AS pixel FROM s WHERE diff IS NOT NULL WINDOW w AS (PARTITION BY user_id, window_id)) SELECT user_id, window_id, count(*) AS n, CAST(sum(pixel * (i * $SIZE + j + 1)) AS BIGINT) AS weighed FROM z GROUP BY ALL")
+def srp_difference_bytes(spark, sf_dir):
+    p = recurrence.difference_bytes(recurrence.clipped(chunks(spark, sf_dir), KEY), KEY)
+    return p.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.sum(F.col("pixel").cast("long") * (F.col("i") * SIZE + F.col("j") + 1)).alias("weighed"))
+
+
+@query(f"WITH $EV, {_CHUNK}, {_AXIS}, {_pairs_sql('n2')}, mi AS (SELECT user_id, window_id, i, sum(d) FILTER (i <> j) / (count(*) - 1) < 0.45 AS near FROM p GROUP BY ALL), w AS (SELECT user_id, window_id, count(*) FILTER (near) AS points FROM mi GROUP BY ALL) SELECT user_id, window_id, points, points * points AS recurrent, $SIZE * $SIZE AS n FROM w")
+def srp_recurrent_points(spark, sf_dir):
+    p = recurrence.gated(chunks(spark, sf_dir), KEY, 0.45)
+    return p.groupBy("user_id", "window_id").agg(F.count_if(F.col("recurrent") & (F.col("i") == F.col("j"))).alias("points"), F.count_if("recurrent").alias("recurrent"), F.count("*").alias("n"))
+
+
+@query(f"WITH k AS ({ORACLES['curvature']}), o AS ({ORACLES['angular_velocity']}), f AS (SELECT user_id, event_id, kappa, omega FROM k JOIN o USING (user_id, event_id)), z AS (SELECT user_id, event_id, {_CDF.format('kappa')}, {_CDF.format('omega')} FROM f) SELECT user_id, event_id, round(c_kappa, 6) AS c_kappa, round(c_omega, 6) AS c_omega FROM z")
+def turning_stripes(spark, sf_dir):
+    t = kinematics.angular_velocity(trajectories(spark, sf_dir), KEY)
+    t = kinematics.curvature(t.withColumn("time", F.col("time") * 0.001), KEY).select("user_id", "event_id", F.round("kappa", 5).alias("kappa"), F.round("omega", 6).alias("omega"))
+    return r6(ecdf.looked_up(t, ecdf.counted(t, ["kappa", "omega"]), {"kappa": "kappa", "omega": "omega"}), "c_kappa", "c_omega").select("user_id", "event_id", "c_kappa", "c_omega")
+
+
 @query(f"WITH $EV, {_CHUNK}, {_LOCAL}, {_pairs_sql('n1')} SELECT count(*) FILTER (d <= 0.5) AS below, count(*) FILTER (d > 0.5) AS above, round(count(*) FILTER (d <= 0.5) / count(*), 6) AS ratio FROM p WHERE i <> j")
 def recurrence_ratio(spark, sf_dir):
     return r6(recurrence.recurrence_counts(recurrence.pairs(recurrence.local_scale(chunks(spark, sf_dir), KEY), KEY), 0.5), "ratio")
