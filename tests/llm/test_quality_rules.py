@@ -77,6 +77,22 @@ def test_empty_and_null(spark):
     assert sorted((r.n_words, r.base_failed, r.kept) for r in quality_rules.rate(one).collect()) == [(0, True, False), (1, True, False), (60, False, True)]
 
 
+def test_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    names = ["_t", "pool", "_kept", "_fine", "a.b", "x_0", "bin", "start"]
+    df = spark.createDataFrame([(1, text, "en", "s", *range(8)), (2, text, "en", "s", *range(8))], ["doc_id", "text", "lang", "source", *names])
+    got = quality_rules.rate(df.withColumn("n_words", F.lit(-1)), keep=["doc_id", *names, "n_words"])
+    assert got.columns == ["doc_id", *names, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
+    assert [tuple(r)[1:9] + (r.n_words,) for r in got.collect()] == [(*range(8), 60)] * 2
+    assert quality_rules.statistics(df, keep=names).select(*(f"`{n}`" for n in names)).first() == tuple(range(8))
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "ab cd# " * 200_000, "en", "s")], "doc_id long, text string, lang string, source string")
+    r = quality_rules.rate(df).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words, r.base_failed) == (400_000, 1_000_000, 200_000, 400_000, True)
+
+
 def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

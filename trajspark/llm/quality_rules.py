@@ -17,8 +17,9 @@ Groups of under ``LEAST_GROUP`` judged rows are pooled by language, then overall
 
 Defined results: null text has no words and fails; a null language or source is a
 group of its own; repeated rows and ids are judged row by row; columns other than
-``keep``, ``by`` and the text are dropped, so no name can clash. An empty table
-gives no rows. Windows of three words are compared by 64-bit hashes.
+``keep``, ``by`` and the text are dropped, those may have any name, and names of outputs
+are replaced. An empty table gives no rows; a very long text is described whole, in the
+memory of its row. Windows of three words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ BINS = 64
 
 P = len(FLOORS)
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+_STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _WHITE = " \t\n\u000b\f\r"
 
 
@@ -77,19 +79,28 @@ def repeat_words(grams: Column) -> Column:
 
 def statistics(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) of every whole text."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = df.select(*keep, body.alias("_t"))
-    out = out.select(*keep, "_t", F.array_remove(F.split("_t", r"[\x20\x09-\x0D]+", -1), "").alias("_w"), F.filter(F.split("_t", "\n", -1), lambda x: F.translate(x, _WHITE, "") != "").alias("_l"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    out = df.select(_packed(keep), body.alias("_t"))
+    out = out.select("_kept", "_t", F.array_remove(F.split("_t", r"[\x20\x09-\x0D]+", -1), "").alias("_w"), F.filter(F.split("_t", "\n", -1), lambda x: F.translate(x, _WHITE, "") != "").alias("_l"))
     grams = F.when(F.size("_w") > 2, F.slice(F.transform("_w", lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))), 1, F.size("_w") - 2)).otherwise(F.array().cast("array<bigint>"))
     out = out.select(
-        *keep,
+        "_kept",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", _WHITE, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         grams.alias("_g"),
     )
-    return out.withColumn("n_repeat_words", repeat_words(F.col("_g")).cast("long")).drop("_g")
+    return out.select(*_unpacked(keep), *_STATISTICS[:-1], repeat_words(F.col("_g")).cast("long").alias("n_repeat_words"))
+
+
+def _packed(columns: Sequence[str]) -> Column:
+    """Columns of any name as one struct, so that none clashes with those made here."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_kept")
+
+
+def _unpacked(columns: Sequence[str]) -> list[Column]:
+    return [F.col("_kept")[c].alias(c) for c in columns]
 
 
 def _vector() -> list[Column]:
@@ -124,16 +135,16 @@ def _cholesky(cov: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
     return steps
 
 
-def _factored(df: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
-    """(pool, start, m_i, l_i_j, logdet) from locations m_i and covariances."""
+def _factored(df: DataFrame, cov: dict[tuple[int, int], Column], *more: str) -> DataFrame:
+    """(pool, start, m_i, l_i_j, logdet, more) from locations m_i and covariances."""
     for name, step in _cholesky(cov):
         df = df.withColumn(name, step)
     logdet = sum((2 * F.log(f"l_{i}_{i}") for i in range(P)), F.lit(0.0))
-    return df.select("pool", "start", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS), logdet.alias("logdet"))
+    return df.select("pool", "start", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS), logdet.alias("logdet"), *more)
 
 
-def _distances(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
-    """Rows with every fit of their pool: start and distance."""
+def _distances(rows: DataFrame, fit: DataFrame, few: bool, keep: Sequence[str] = ("pool", "start")) -> DataFrame:
+    """Rows with every fit of their pool: start and distance, or what else of the fit to ``keep``."""
     out, squares = _attach(rows, fit, ["pool"], few), F.lit(0.0)
     for i in range(P):
         rest = F.col(f"x_{i}") - F.col(f"m_{i}")
@@ -141,7 +152,7 @@ def _distances(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
         out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
         squares = squares + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return out.withColumn("distance", F.sqrt(squares)).drop(*(c for c in fit.columns if c not in ("pool", "start")), *(f"y_{i}" for i in range(P)))
+    return out.withColumn("distance", F.sqrt(squares)).drop(*(c for c in fit.columns if c not in keep), *(f"y_{i}" for i in range(P)))
 
 
 def _starts(rows: DataFrame, few: bool) -> DataFrame:
@@ -170,46 +181,47 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
 
 
 def _step(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
-    """A concentration step of all starts: refit on the nearest rows."""
+    """A concentration step of all starts: refit on the nearest rows. was: the log determinant before."""
     keys = ["pool", "start"]
-    scored = _distances(rows, fit, few).withColumn("bin", F.floor(F.log(F.greatest("distance", F.lit(1e-6))) * BINS).cast("int"))
+    scored = _distances(rows, fit, few, (*keys, "logdet")).withColumn("bin", F.floor(F.log(F.greatest("distance", F.lit(1e-6))) * BINS).cast("int"))
     limit = _quantile(scored.groupBy(*keys, "bin").agg(F.count("*").alias("n")), keys, SUPPORT).withColumnRenamed("bin", "upto")
     near = _attach(scored, limit, keys, few).where("bin <= upto")
     x = [F.col(f"x_{i}") for i in range(P)]
-    sums = near.groupBy(*keys).agg(*(F.avg(x[i]).alias(f"m_{i}") for i in range(P)), *(F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS))
-    return scratch.write_out(_factored(sums, {p: CONSISTENCY * F.col(f"c_{p[0]}_{p[1]}") for p in _PAIRS}), "mcd-fit")
+    sums = near.groupBy(*keys).agg(F.max("logdet").alias("was"), *(F.avg(x[i]).alias(f"m_{i}") for i in range(P)), *(F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS))
+    return scratch.write_out(_factored(sums, {p: CONSISTENCY * F.col(f"c_{p[0]}_{p[1]}") for p in _PAIRS}, "was"), "mcd-fit")
 
 
 def least_determinant(rows: DataFrame, few: bool) -> DataFrame:
     """(pool, start, m_i, l_i_j, logdet): of each pool the converged fit whose determinant is least."""
-    fit, before = _starts(rows, few), None
-    for _ in range(STEPS):
+    fit = _starts(rows, few)
+    for step in range(STEPS):
         fit = _step(rows, fit, few)
-        if before is not None:
-            fell = before.select("pool", "start", F.col("logdet").alias("was")).join(fit, ["pool", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        if step:
+            fell = fit.agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
             if fell is None or fell <= TOLERANCE:
                 break
-        before = fit
     best = fit.groupBy("pool").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    return fit.join(best, ["pool", "start"])
+    return fit.drop("was").join(best, ["pool", "start"])
 
 
 def rate(df: DataFrame, text: str = "text", by: tuple[str, str] = ("lang", "source"), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep``, ``by``, the statistics, base_failed, distance (null if base_failed) and kept of every row."""
-    own = [*dict.fromkeys([*keep, *by])]
+    made = ("base_failed", "distance", "kept", *_STATISTICS)
+    own = [c for c in dict.fromkeys([*keep, *by]) if c not in made]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    table = scratch.write_out(statistics(df, text, own).withColumn("base_failed", failed), "quality-stats")
-    lang, source = by
-    named = table.select("*", F.to_json(F.struct(F.col(lang).alias("a"), F.col(source).alias("b"))).alias("_fine"), F.to_json(F.struct(F.col(lang).alias("a"))).alias("_coarse"))
-    sizes = named.where("not base_failed").groupBy("_fine", "_coarse").agg(F.count("*").alias("n"))
+    lang, source = (F.col(f"`{c}`") for c in by)
+    fine, coarse = F.to_json(F.struct(lang.alias("a"), source.alias("b"))).alias("_fine"), F.to_json(F.struct(lang.alias("a"))).alias("_coarse")
+    base = df.select(_packed(own), fine, coarse, F.col(f"`{text}`").alias("_text"))
+    table = scratch.write_out(statistics(base, "_text", ["_kept", "_fine", "_coarse"]).withColumn("base_failed", failed), "quality-stats")
+    sizes = table.where("not base_failed").groupBy("_fine", "_coarse").agg(F.count("*").alias("n"))
     small = F.col("n") < LEAST_GROUP
     rest = sizes.where(small).groupBy("_coarse").agg(F.sum("n").alias("m"))
     pools = scratch.write_out(sizes.join(rest, "_coarse", "left").select("_fine", F.when(~small, F.col("_fine")).when(F.col("m") >= LEAST_GROUP, F.col("_coarse")).otherwise("*").alias("pool")), "quality-pools")
     vectors = [v.alias(f"x_{i}") for i, v in enumerate(_vector())]
     few = pools.count() <= BROADCAST_GROUPS
-    rows = _attach(named, pools, ["_fine"], few).select(*table.columns, F.when(~F.col("base_failed"), F.col("pool")).alias("pool"), *vectors)
+    rows = _attach(table, pools, ["_fine"], few).select(*table.columns, F.when(~F.col("base_failed"), F.col("pool")).alias("pool"), *vectors)
     with scratch.temporary(df.sparkSession) as kept:
         best = scratch.write_out(least_determinant(rows.where("not base_failed"), few), "mcd-best")
         kept.append(best)
     out = _distances(rows, best, few).select(*table.columns, F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+    return out.select(*_unpacked(own), *_STATISTICS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept"))
