@@ -1066,11 +1066,6 @@ def _points(spark, sf_dir) -> DataFrame:
     return raster.gather(t, ["user_id", "window_id"], ["x", "y", "v", "vx", "vy"])
 
 
-@query()
-def spectrogram_bounds(spark, sf_dir):
-    return spectral.global_bounds(spectral.matrices(_points(spark, sf_dir), spectral.log_spectrogram, "v"))
-
-
 @query()
 def raster_polyline(spark, sf_dir):
     return raster.render(_points(spark, sf_dir), lambda p: raster.polyline(raster.centred(p, 64), 64, thickness=2), ["x", "y"])
@@ -1278,6 +1273,12 @@ _spectrogram("spectrogram_speed", ["v"], "spectrum")
 _spectrogram("spectrogram_velocity", ["v", "vx", "vy"], "density")
 _spectrogram("spectrogram_acceleration", ["a", "ax", "ay"], "spectrum")
 
+
+@query(f"SELECT min(v) AS global_min, max(v) AS global_max, count(*) AS n FROM ({_spectra_sql(['v'], 'spectrum')})")
+def spectrogram_bounds(spark, sf_dir):
+    return r6(spectral.global_bounds(spectral.matrices(_points(spark, sf_dir), spectral.log_spectrogram, "v")), "global_min", "global_max")
+
+
 _SIDE = 16
 
 
