@@ -13,6 +13,10 @@ from trajspark.llm import bpe_trie, jaccard_join, line_dedup, registry, scratch,
 from trajspark.workers import share_path
 
 
+#: Keys sent to all tasks at most (under 50 bytes each); beyond, texts are shuffled to them.
+BROADCAST_KEYS = 1 << 20
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
     return weak_quality.classify(docs).where("kept").select(docs.columns)
@@ -24,11 +28,14 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All rows without words stay.
     """
     keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
-    linked = jaccard_join.link(keyed, "_key").where("_key <=> component_id")
-    first = scratch.write_out(linked.groupBy("_key").agg(F.min(F.when(F.col("n_shingles") > 0, F.lit(1)).otherwise(0)).alias("worded"), F.count("*").alias("n")).select("_key.*", (F.col("worded") * F.col("n") > 1).alias("repeated")), "kept")
+    linked = jaccard_join.link(keyed, "_key").groupBy("_key").agg(F.bool_or(F.expr("_key <=> component_id")).alias("stays"), F.max(F.col("n_shingles") > 0).alias("worded"), F.count("*").alias("n"))
+    # keys that go, and keys of several rows of which one stays; all others stay as they are
+    apart = scratch.write_out(linked.select("_key.*", "stays", (F.col("worded") & (F.col("n") > 1)).alias("several")).where("not stays or several"), "apart")
+    few = apart.count() <= BROADCAST_KEYS
     same = F.col("_key.id").eqNullSafe(F.col("id")) & (F.col("_key.hash") == F.col("hash"))
-    once = keyed.join(first.where("not repeated"), same, "left_semi").select(docs.columns)
-    again = keyed.join(first.where("repeated"), same, "left_semi")
+    sent = lambda keys: F.broadcast(keys) if few else keys
+    once = keyed.join(sent(apart), same, "left_anti").select(docs.columns)
+    again = keyed.join(sent(apart.where("stays")), same, "left_semi")
     return once.union(again.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 

@@ -40,6 +40,8 @@ from trajspark.llm import kernels, scratch
 PASSAGE_WORDS = 51
 #: Words of a sample.
 SAMPLE = 12
+#: Rows and places of a table that is sent to all tasks at most (a few ten MB); beyond, texts are shuffled to it.
+BROADCAST_ROWS, BROADCAST_PLACES = 1 << 18, 1 << 22
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -134,6 +136,12 @@ def _paragraphs(docs: DataFrame, passage: int) -> DataFrame:
     return docs.mapInArrow(emit, kinds)
 
 
+def _checked(asked: DataFrame) -> DataFrame:
+    """A written table of documents and places (a column ``at``), marked to be sent to all tasks if it is small, so that texts needn't be shuffled to it."""
+    rows, places = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    return F.broadcast(asked) if rows <= BROADCAST_ROWS and places <= BROADCAST_PLACES else asked
+
+
 def _met_again(placed: DataFrame, *place: str) -> DataFrame:
     """(digest, first): digests met at two places or more, and the first place."""
     where = F.struct(*place)
@@ -157,8 +165,8 @@ def _repeated(df: DataFrame, id_col: str, text: str, passage_words: int) -> Data
     sampled = index.select("class", F.explode(F.arrays_zip("digest", "at")).alias("s")).select("class", "s.digest", "s.at")
     flagged = scratch.write_out(_met_again(sampled, "class", "at").select("digest"), "passage-flagged")
     places = sampled.join(flagged, "digest").groupBy("class").agg(F.collect_set("at").alias("at"))
-    asked = places.join(classes, "class").select(F.col("first.id").alias("_i"), F.col("first.hash").alias("_h"), "at")
-    wanted = docs.join(asked, F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h"))).select("id", "hash", "text", "at")
+    asked = scratch.write_out(places.join(classes, "class").select(F.col("first.id").alias("_i"), F.col("first.hash").alias("_h"), "at"), "passage-asked")
+    wanted = docs.join(_checked(asked), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h"))).select("id", "hash", "text", "at")
     found = scratch.write_out(_paragraphs(wanted, passage_words), "passage-paragraphs")
     placed = found.select(F.col("id").isNull().alias("no_id"), "id", "hash", F.explode(F.arrays_zip("digest", "at")).alias("s")).select("no_id", "id", "hash", "s.digest", "s.at")
     first = scratch.write_out(_met_again(placed, "no_id", "id", "hash", "at"), "passage-first")
@@ -181,7 +189,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_wor
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kept = base.columns
     packed = base.select(F.struct(*(F.col(f"`{c}`") for c in kept if c != text)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"), F.col(f"`{text}`").alias("text"))
-    found = packed.join(gone.select(F.col("id").alias("_i"), F.col("hash").alias("_h"), "whole", "at"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h")), "left").select("row", "text", "whole", "at")
+    found = packed.join(_checked(gone.select(F.col("id").alias("_i"), F.col("hash").alias("_h"), "whole", "at")), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h")), "left").select("row", "text", "whole", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
