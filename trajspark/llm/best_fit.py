@@ -48,6 +48,8 @@ _GROUP_BITS = 22
 class WordEncoder(bpe_trie.TrieEncoder):
     """The library's model asked once for each word: faster than the walk where most words are new."""
 
+    most_words = 350_000
+
     def __init__(self, path: str):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from trajspark.llm import kernels
 
 #: Encoded words and judged token pairs kept in a task; each cache starts anew beyond it.
-CACHE_WORDS = 350_000
-CACHE_PAIRS = 350_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
 END = "</w>"
 
 
@@ -54,6 +54,8 @@ def _byte_chars() -> list[str]:
 class TrieEncoder:
     """Encodes and decodes with a tokenizer file of the ``word_bpe`` kind."""
 
+    most_words = CACHE_WORDS
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -191,7 +193,7 @@ class TrieEncoder:
                 elif part:
                     row.append(self._pieces(part))
             parts.append(row)
-        if len(self.words) > CACHE_WORDS or len(self.plain_words) > CACHE_WORDS:
+        if len(self.words) > self.most_words or len(self.plain_words) > self.most_words:
             self.words.clear()
             self.plain_words.clear()
         asked = [part for row in parts for part in row if not isinstance(part, bytes)]
