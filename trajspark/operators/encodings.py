@@ -108,6 +108,23 @@ def position_and(p: DataFrame, events: DataFrame, by: Sequence[str], low: str, h
     return channels(both, by, F.col("d"), split_stripe("x_share", "y_share"), split_stripe(low, high))
 
 
+def half_stripe(low: str, high: str, size: int) -> Column:
+    """The column event's ``high`` in the upper half of the rows, its ``low`` in the lower: rectangles in which all events have the same area."""
+    return F.when(F.col("i") < size // 2, F.col(f"j_{high}")).otherwise(F.col(f"j_{low}"))
+
+
+def position_halves(p: DataFrame, events: DataFrame, by: Sequence[str], size: int, low: str | None = None, high: str | None = None) -> DataFrame:
+    """r: d, g: half stripes of x_share and y_share, b: of ``low`` and ``high`` likewise, or d where none is given."""
+    both = with_events(p, events, by, list(dict.fromkeys(["x_share", "y_share", *([low, high] if low else [])])))
+    return channels(both, by, F.col("d"), half_stripe("x_share", "y_share", size), half_stripe(low, high, size) if low else F.col("d"))
+
+
+def position_triangles(p: DataFrame, events: DataFrame, by: Sequence[str]) -> DataFrame:
+    """r and b: d, g: stripes of x_share below and y_share above the diagonal."""
+    both = with_events(p, events, by, ["x_share", "y_share"])
+    return channels(both, by, F.col("d"), split_stripe("x_share", "y_share"), F.col("d"))
+
+
 def shares(df: DataFrame) -> DataFrame:
     """Add x_share and y_share: the place between the bounds (min_x, max_x, min_y, max_y)."""
     return df.withColumns({f"{c}_share": (F.col(c) - F.col(f"min_{c}")) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(EPS)) for c in "xy"})

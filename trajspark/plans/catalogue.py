@@ -13,7 +13,7 @@ from trajspark.functions import scalars
 from trajspark.operators import bounds, clean, distribution, ecdf, encodings, kinematics, losses, raster, recurrence, sampling, scoring, sequence, spectral, strokes
 from trajspark.plans import streams
 from trajspark.plans.tables import GAP, KEY, SIZE, SQL_EVENTS, SQL_SCORES, scores, table, trajectories
-from trajspark.sources import sessions, tensors
+from trajspark.sources import runs, sessions, tensors
 from trajspark.streaming.sessions import gap_sessions
 from trajspark.workers import with_workers
 
@@ -780,6 +780,39 @@ for _base in ("local", "diagonal"):
     _positioned(f"enc_position_velocity_{_base}", _base, "vx", "vy")
 
 
+def _half_sql(low: str, high: str) -> str:
+    return f"CASE WHEN i < $SIZE // 2 THEN {high} ELSE {low} END"
+
+
+def _position_halved(name: str, how: str, low: str | None = None, high: str | None = None) -> None:
+    """Register diagonal-scaled distances with position stripes in halves or triangles, and a further channel of two features or the distances again."""
+    b = _half_sql(f"c_{low}", f"c_{high}") if low else "d"
+    g = _half_sql("x_share", "y_share") if how == "halves" else _split_sql("x_share", "y_share")
+    of_features = " JOIN ft ON ft.user_id = st.user_id AND ft.window_id = st.window_id AND ft.pos = j" if low else ""
+
+    def run(spark, sf_dir):
+        if low:
+            t = _features(spark, sf_dir, *dict.fromkeys([low, high]))
+            t = bounds.with_bounds(t, bounds.user_bounds(trajectories(spark, sf_dir), KEY), KEY)
+        else:
+            t = _scaled(spark, sf_dir)
+        e = encodings.shares(t)
+        p = recurrence.diagonal_scaled(e, KEY)
+        return per_window_rgb(encodings.position_triangles(p, e, KEY) if how == "triangles" else encodings.position_halves(p, e, KEY, SIZE, *((f"c_{low}", f"c_{high}") if low else ())))
+
+    run.__name__ = name
+    query(
+        f"WITH $EV, {_BOUNDS}, {_CHUNK}, {_SHARES}, {_FEATURES + ', ' if low else ''}dg AS (SELECT c.user_id, window_id, pos, x / g AS x, y / g AS y FROM c JOIN (SELECT *, greatest(sqrt(power(max_x - min_x, 2) + power(max_y - min_y, 2)), 1e-8) AS g FROM b) USING (user_id)), "
+        f"{_pairs_sql('dg')}, st AS (SELECT user_id, window_id, i, j, least(d, 1.0) AS d FROM p), o AS (SELECT st.user_id, st.window_id, i, j, d AS r, {g} AS g, {b} AS b FROM st JOIN xs ON xs.user_id = st.user_id AND xs.window_id = st.window_id AND xs.pos = j{of_features})" + _RGB
+    )(run)
+
+
+_position_halved("enc_position_triangles", "triangles")
+_position_halved("enc_position_halves", "halves")
+_position_halved("enc_position_speed_halves", "halves", "v", "v")
+_position_halved("enc_position_velocity_halves", "halves", "vx", "vy")
+
+
 _PATCHES = "q AS (SELECT c.user_id, window_id, pos, CAST(least(greatest(floor((y - min_y) / greatest(max_y - min_y, 1e-8) * 4), 0), 3) * 4 + least(greatest(floor((x - min_x) / greatest(max_x - min_x, 1e-8) * 4), 0), 3) AS BIGINT) AS patch FROM c JOIN b USING (user_id))"
 _OF_PATCHES = "(greatest(l.patch, r.patch) * (greatest(l.patch, r.patch) + 1) // 2 + least(l.patch, r.patch)) / 135"
 
@@ -960,6 +993,34 @@ def protocol_five_folds(spark, sf_dir):
     return r6(scoring.fold_means(rows, ["target"], ["session"], ["event_id"], range(1, 16)), "avg_eer", "avg_auc")
 
 
+_FIVE_FOLDS = _protocol_sql(_FOUR.format("").replace("event_id % 5 AS fold", _CONTIGUOUS), "fold", range(1, 16))
+_PER_FOLD = _FIVE_FOLDS.replace("SELECT CAST(n AS BIGINT) AS n, round(avg(x)", "SELECT CAST(fold AS BIGINT) AS fold, CAST(n AS BIGINT) AS n, round(avg(x)").removesuffix("GROUP BY 1") + "GROUP BY fold, n"
+
+
+def _run_of_folds(spark, sf_dir, sizes) -> str:
+    """The folder of a run over five contiguous folds that was stopped after two and continued."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    own = sequence.folds(e, KEY, 5).select("event_id", "fold")
+    path = shared.new_path(spark, "run")
+    rows = shared.written(_four(spark, sf_dir).drop("fold").join(own, "event_id").select("fold", "target", "session", "event_id", "score", "label"), f"{path}-rows")
+    for at_most in (2, None):
+        runs.run_folds(spark, path, lambda k: rows.where(F.col("fold") == k), source=sf_dir, folds=5, sizes=sizes, order=["event_id"], at_most=at_most)
+    shared.delete(spark, f"{path}-rows")
+    return path
+
+
+@query(_PER_FOLD)
+def run_continued(spark, sf_dir):
+    return r6(runs.summary(runs.per_target(spark, _run_of_folds(spark, sf_dir, range(1, 16)))), "avg_eer", "avg_auc")
+
+
+@query(_PER_FOLD)
+def run_reevaluated(spark, sf_dir):
+    return r6(runs.summary(runs.reevaluated(spark, _run_of_folds(spark, sf_dir, [1]), range(1, 16))), "avg_eer", "avg_auc")
+
+
 _HASH = "CAST('0x' || substr(md5('42|' || CAST({0} AS VARCHAR)), 1, 15) AS BIGINT)"
 _SPLIT_SQL = f"al AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format('event_id')}, event_id) <= floor(0.8 * count(*) OVER (PARTITION BY label)) AS is_train FROM sc1)"
 _SC1 = SQL_SCORES.replace("sc AS", "sc1 AS")
