@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,10 +136,20 @@ def _paragraphs(docs: DataFrame, passage: int) -> DataFrame:
     return docs.mapInArrow(emit, kinds)
 
 
-def _checked(asked: DataFrame) -> DataFrame:
-    """A written table of documents and places (a column ``at``), marked to be sent to all tasks if it is small, so that texts needn't be shuffled to it."""
-    rows, places = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
-    return F.broadcast(asked) if rows <= BROADCAST_ROWS and places <= BROADCAST_PLACES else asked
+def _checked(asked: DataFrame, places: str) -> DataFrame:
+    """A written table of documents with a list of ``places``, marked to be sent to all tasks if it is small, so that texts needn't be shuffled to it."""
+    rows, n = asked.agg(F.count("*"), F.coalesce(F.sum(F.size(places)), F.lit(0))).first()
+    return F.broadcast(asked) if rows <= BROADCAST_ROWS and n <= BROADCAST_PLACES else asked
+
+
+def _runs(at: Column, width: int) -> list[Column]:
+    """begin and end of the runs of words that stretches of ``width`` words at the given places cover; what touches is one run."""
+    none = F.array(F.lit(None).cast("int"))
+    ahead, behind = F.concat(at, none), F.concat(none, at)
+    apart = lambda x, p: x.isNull() | p.isNull() | (x > p + width)
+    begin = F.zip_with(ahead, behind, lambda x, p: F.when(apart(x, p), x))
+    end = F.zip_with(ahead, behind, lambda x, p: F.when(apart(x, p), p + width))
+    return [F.array_compact(begin).alias("begin"), F.array_compact(end).alias("end")]
 
 
 def _met_again(placed: DataFrame, *place: str) -> DataFrame:
@@ -149,7 +159,7 @@ def _met_again(placed: DataFrame, *place: str) -> DataFrame:
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """(id, hash, whole, at): documents with repeated passages; whole: all of it; else the words at which such passages begin."""
+    """(id, hash, whole, begin, end): documents with repeated passages; whole: all of it; else the runs of words that such passages cover."""
     with scratch.temporary(df.sparkSession) as kept:
         found = scratch.write_out(_repeated(df, id_col, text, passage_words), "passage-repeated")
         kept.append(found)
@@ -166,15 +176,15 @@ def _repeated(df: DataFrame, id_col: str, text: str, passage_words: int) -> Data
     flagged = scratch.write_out(_met_again(sampled, "class", "at").select("digest"), "passage-flagged")
     places = sampled.join(flagged, "digest").groupBy("class").agg(F.collect_set("at").alias("at"))
     asked = scratch.write_out(places.join(classes, "class").select(F.col("first.id").alias("_i"), F.col("first.hash").alias("_h"), "at"), "passage-asked")
-    wanted = docs.join(_checked(asked), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h"))).select("id", "hash", "text", "at")
+    wanted = docs.join(_checked(asked, "at"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h"))).select("id", "hash", "text", "at")
     found = scratch.write_out(_paragraphs(wanted, passage_words), "passage-paragraphs")
     placed = found.select(F.col("id").isNull().alias("no_id"), "id", "hash", F.explode(F.arrays_zip("digest", "at")).alias("s")).select("no_id", "id", "hash", "s.digest", "s.at")
     first = scratch.write_out(_met_again(placed, "no_id", "id", "hash", "at"), "passage-first")
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
     again = placed.join(first, "digest").where(~same | (F.col("at") >= F.col("first.at") + passage_words))
-    starts = again.groupBy("id", "hash").agg(F.collect_set("at").alias("at"))
+    starts = again.groupBy("id", "hash").agg(F.array_sort(F.collect_set("at")).alias("at"))
     none = F.array().cast("array<int>")
-    return starts.select("id", "hash", F.lit(False).alias("whole"), "at").union(copies.select("id", "hash", F.lit(True), none))
+    return starts.select("id", "hash", F.lit(False).alias("whole"), *_runs(F.col("at"), passage_words)).union(copies.select("id", "hash", F.lit(True), none, none))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -189,14 +199,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_wor
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kept = base.columns
     packed = base.select(F.struct(*(F.col(f"`{c}`") for c in kept if c != text)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"), F.col(f"`{text}`").alias("text"))
-    found = packed.join(_checked(gone.select(F.col("id").alias("_i"), F.col("hash").alias("_h"), "whole", "at")), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h")), "left").select("row", "text", "whole", "at")
+    found = packed.join(_checked(gone.select(F.col("id").alias("_i"), F.col("hash").alias("_h"), "whole", "begin", "end"), "begin"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h")), "left").select("row", "text", "whole", "begin", "end")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch):
                 raw, offsets, _, counts, starts, ends = _words(part.column("text"))
                 edge = np.cumsum(counts)
-                whole, at, body = part.column("whole").to_pylist(), part.column("at"), part.column("text")
+                whole, begin, end, body = part.column("whole").to_pylist(), part.column("begin"), part.column("end"), part.column("text")
                 texts, number, places = [], [], []
                 for r in range(part.num_rows):
                     if whole[r] is None:
@@ -206,9 +216,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_wor
                         continue
                     low, high = edge[r] - counts[r], edge[r]
                     delta = np.zeros(counts[r] + 1, np.int64)
-                    begin = np.zeros(1, np.int64) if whole[r] else at[r].values.to_numpy().astype(np.int64)
-                    delta[begin] += 1
-                    delta[counts[r] if whole[r] else begin + passage_words] -= 1
+                    delta[0 if whole[r] else begin[r].values.to_numpy()] += 1
+                    delta[counts[r] if whole[r] else end[r].values.to_numpy()] -= 1
                     out = np.concatenate([[False], np.cumsum(delta[:-1]) > 0, [False]]).astype(np.int8)
                     a, b = np.flatnonzero(np.diff(out) == 1), np.flatnonzero(np.diff(out) == -1)
                     lead = np.concatenate([[0], np.cumsum((raw[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80)])
