@@ -62,6 +62,31 @@ def test_long_curves_are_thinned(spark, monkeypatch):
     assert np.abs(values(ecdf.looked_up(df, ecdf.counted(df, ["v"]), {"v": "v"}), "c_v") - rank_cdf(x)).max() <= 2 / 50
 
 
+@pytest.mark.parametrize("sent", [50, 1 << 18])
+def test_lookups_of_long_curves_are_exact(spark, monkeypatch, sent):
+    monkeypatch.setattr(ecdf, "POINTS", 50)
+    monkeypatch.setattr(ecdf, "SENT", sent)
+    x = sample(3)
+    df = frame(spark, x)
+    got = ecdf.looked_up(df, ecdf.counted(df, ["v", "w"]), {"v": "v", "w": "w"})
+    assert got.count() == len(x)
+    assert (values(got, "c_v") == rank_cdf(x)).all() and (values(got, "c_w") == rank_cdf(-x)).all()
+
+
+def test_joined_lookups_equal_sent_ones(spark, monkeypatch):
+    x = sample(7)
+    store = ecdf.capped(ecdf.counted(frame(spark, x), ["v", "w"], accuracy=0.3), 90.0, ["w"])
+    probe = [*np.linspace(-200, 200, 801).tolist(), *x[:50].tolist(), 1e9, -1e9, float("inf"), float("-inf"), None, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(probe)], "k long, v double").withColumns({"w": -F.col("v"), "z": F.col("v")})
+    read = lambda: [tuple(r) for r in ecdf.looked_up(df, store, {"v": "v", "w": "w", "z": "unknown"}).orderBy("k").select("k", "c_v", "c_w", "c_z").collect()]
+    sent = read()
+    monkeypatch.setattr(ecdf, "SENT", 5)
+    joined = read()
+    assert len(sent) == len(joined) == len(probe)
+    for a, b in zip(sent, joined, strict=True):
+        assert a[0] == b[0] and all((p is None) == (q is None) and (p is None or abs(p - q) < 1e-12) for p, q in zip(a[1:], b[1:], strict=True))
+
+
 def test_splits_merge_to_the_whole(spark, tmp_path):
     path, x = str(tmp_path / "store"), sample(4)
     df = frame(spark, x)

@@ -26,6 +26,8 @@ TINY = 1e-12
 _OFFSET = 1_000_000.37
 #: Width of the ranges in which running counts are taken, and points of a looked-up ECDF at most.
 _COARSE, POINTS = 0.02, 1 << 16
+#: A curve of at most so many points goes whole to the tasks that look up; longer ones are joined. Steers work, not results.
+SENT = 1 << 18
 
 
 def bucket_of(value: Column, accuracy: float | None) -> Column:
@@ -137,13 +139,59 @@ def curves(store: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {r.feature: (np.array(r.value), np.array(r.cdf)) for r in rows.collect()}
 
 
+def _between(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """(feature, value, cdf) of every value asked for, linear between the curve's points.
+
+    Neighbours are found inside ranges of like values, and beyond them from the ends of
+    the ranges, which are few; so no feature's curve meets in one task.
+    """
+    point = F.when(F.col("cdf").isNotNull(), F.struct("value", "cdf"))
+    both = points.select("feature", "value", "cdf").union(asked.select("feature", "value", F.lit(None).cast("double"))).withColumns({"_r": bucket_of(F.col("value"), _COARSE), "_p": point})
+    ranges = Window.partitionBy("feature")
+    ends = both.groupBy("feature", "_r").agg(F.min("_p").alias("first"), F.max("_p").alias("last")).select(
+        F.col("feature").alias("_feature"),
+        F.col("_r").alias("_range"),
+        F.last("last", True).over(ranges.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("first", True).over(ranges.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+    )
+    own, none = Window.partitionBy("feature", "_r"), F.col("cdf").isNull()
+    held = both.withColumn("_lo", F.last("_p", True).over(own.orderBy("value", none))).withColumn("_hi", F.last("_p", True).over(own.orderBy(F.desc("value"), F.desc(none))))
+    held = held.where(none).join(F.broadcast(ends), F.col("feature").eqNullSafe(F.col("_feature")) & (F.col("_r") == F.col("_range")))
+    lo, hi, x = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after"), F.col("value")
+    along = (hi["cdf"] - lo["cdf"]) / (hi["value"] - lo["value"]) * (x - lo["value"]) + lo["cdf"]
+    found = F.when(lo["value"] == x, lo["cdf"]).when(lo.isNotNull() & hi.isNotNull(), along).when(lo.isNotNull(), 1.0).when(hi.isNotNull(), 0.0)
+    return held.select("feature", "value", found.alias("cdf"))
+
+
+def _joined(df: DataFrame, points: DataFrame, features: dict[str, str]) -> DataFrame:
+    """``looked_up`` by joins on the values, for curves of any length."""
+    spark = df.sparkSession
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(c).cast("double").alias("value")) for c, f in features.items()))
+    asked = df.select(F.explode(each).alias("_f")).select("_f.*").where("value IS NOT NULL AND NOT isnan(value)").distinct()
+    found = shared.written(_between(points, asked), shared.new_path(spark, "looked_up"))
+    for c, f in features.items():
+        own = found.where(F.col("feature") == f).select(F.col("value").alias("_value"), F.col("cdf").alias(f"c_{c}"))
+        df = df.join(own, F.col(c).cast("double") == F.col("_value"), "left").drop("_value")
+    return df
+
+
 def looked_up(df: DataFrame, store: DataFrame, features: dict[str, str]) -> DataFrame:
     """Add, for each ``column: feature``, c_<column>: the ECDF value of the column in the feature's distribution.
 
-    Linear between the curve's points, 0 below and 1 above them; null (and NaN) stays
-    null, as does all of a feature that the store hasn't got.
+    Linear between the curve's points, all of which count, 0 below and 1 above them; null
+    (and NaN) stays null, as does all of a feature that the store hasn't got.
     """
-    known = curves(store)
+    spark = df.sparkSession
+    path = shared.new_path(spark, "curve")
+    points = shared.written(curve(store).where(F.col("feature").isin(list(set(features.values())))).select("feature", "value", "cdf"), path)
+    longest = points.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+    if longest > SENT:
+        made = _joined(df, points, features)
+        shared.delete(spark, path)
+        return made
+    rows = points.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("value", "cdf"))).alias("p")).select("feature", "p.value", "p.cdf").collect()
+    known = {r.feature: (np.array(r.value), np.array(r.cdf)) for r in rows}
+    shared.delete(spark, path)
 
     def of(feature: str):
         values, cdf = known.get(feature, (np.zeros(1), np.full(1, np.nan)))
