@@ -2,9 +2,11 @@
 
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajspark.operators import scoring
 from trajspark.sources import runs
 
 SIZES = range(1, 4)
@@ -90,3 +92,24 @@ def test_places(spark, tmp_path):
     assert runs.store_in(spark, c, ["event30", "event9"]) == f"{c}/event9"
     with pytest.raises(FileNotFoundError):
         runs.store_in(spark, a)
+
+
+def test_fusion_of_groups_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK", 5)
+    rng = np.random.default_rng(5)
+    rows = [(t, s, i, round(float(rng.random()), 2), int(rng.random() < 0.4)) for t, s, m in (("a", 1, 700), ("a", 2, 3), ("b", None, 90), (None, 4, 61)) for i in rng.permutation(m).tolist()]
+    df = spark.createDataFrame(rows, "target string, session long, idx long, score double, label long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed, path = scoring.numbered(df, ["target", "session"], ["idx"])
+        assert all(r.idx == r["_k"] for r in placed.collect()) and placed.count() == len(rows)
+        ids = spark.read.parquet(path).withColumn("r", F.shiftright("_id", 33)).groupBy("r").count().collect()
+        assert len(ids) > 2 and max(r["count"] for r in ids) < 700
+        got = {(r.target, r.n): (r.eer, r.auc, r.threshold) for r in scoring.fusion_curve(df, ["target"], ["session"], ["idx"], [1, 2, 3, 7, 12]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for n in (1, 2, 3, 7, 12):
+        plain = scoring.equal_error(scoring.fuse(df, ["target", "session"], n, ["idx"]), ["target"]).collect()
+        assert len(plain) == sum(k[1] == n for k in got)
+        for r in plain:
+            assert np.allclose(got[(r.target, n)], (r.eer, r.auc, r.threshold), atol=1e-9)

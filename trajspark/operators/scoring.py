@@ -6,12 +6,19 @@ score, which combine before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trajspark import shared
 
 TINY = 1e-6
+#: Rows of a group that are fused at a time.
+CHUNK = 720
 
 
 def fuse(df: DataFrame, by: Sequence[str], n: int, order: Sequence[str], *, narrow: bool = True) -> DataFrame:
@@ -60,21 +67,49 @@ def equal_error(df: DataFrame, by: Sequence[str] = (), *, fold: bool = True, sin
     """
     keys = list(by) or ["_all"]
     df = df if by else df.withColumn("_all", F.lit(1))
-    curve = roc(df, keys)
-    w = Window.partitionBy(*keys).orderBy("k")
-    ahead = curve.withColumns({"f2": F.lead("fpr").over(w), "t2": F.lead("tpr").over(w), "f0": F.lag("fpr").over(w), "t0": F.lag("tpr").over(w)})
-    g, g2 = 1 - F.col("fpr") - F.col("tpr"), 1 - F.col("f2") - F.col("t2")
-    crossing = F.when((g >= 0) & (g2 <= 0) & ((g > 0) | (g2 < 0)), F.struct("k", F.when(F.col("f2") == F.col("fpr"), F.col("fpr")).otherwise(F.col("fpr") + (F.col("f2") - F.col("fpr")) * g / (g - g2)).alias("e")))
+    return _equal_error(_counts(df, keys), keys, fold, single).select(*by, "eer", "auc", "threshold")
+
+
+def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, score, p, q, m): positives, negatives and rows of each distinct score."""
+    label = F.col("label").cast("long")
+    return df.groupBy(*keys, "score").agg(F.sum(label).alias("p"), F.sum(1 - label).alias("q"), F.count("*").alias("m"))
+
+
+def _equal_error(counts: DataFrame, keys: Sequence[str], fold: bool = True, single: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """``equal_error`` from counts, in one pass over them."""
+    w, whole = Window.partitionBy(*keys).orderBy(F.desc("score")), Window.partitionBy(*keys)
+    curve = counts.select(
+        *keys,
+        "p",
+        "q",
+        F.row_number().over(w).cast("long").alias("k"),
+        F.col("score").cast("double").alias("threshold"),
+        F.sum("q").over(w).alias("_fp"),
+        F.sum("p").over(w).alias("_tp"),
+        *(F.sum(c).over(whole).alias(f"_{c}") for c in "pqm"),
+    ).withColumns({"fpr": F.try_divide("_fp", "_q"), "tpr": F.try_divide("_tp", "_p")})
+    first = F.col("k") == 1  # the point before it is (0, 0)
+    before = lambda c: F.when(first, 0.0).otherwise(F.lag(c).over(w.orderBy("k")))
+    ahead = curve.withColumns({"f2": F.lead("fpr").over(w.orderBy("k")), "t2": F.lead("tpr").over(w.orderBy("k")), "f0": before("fpr"), "t0": before("tpr")})
+
+    def crossing(k: Column, f: Column, t: Column, f2: Column, t2: Column) -> Column:
+        g, g2 = 1 - f - t, 1 - f2 - t2
+        return F.when((g >= 0) & (g2 <= 0) & ((g > 0) | (g2 < 0)), F.struct(k.alias("k"), F.when(f2 == f, f).otherwise(f + (f2 - f) * g / (g - g2)).alias("e")))
+
+    points = {c: F.col(c) for c in ("f0", "t0", "fpr", "tpr", "f2", "t2")}
+    start = F.when(first, crossing(F.lit(0).cast("long"), points["f0"], points["t0"], points["fpr"], points["tpr"]))
+    own = crossing(F.col("k"), points["fpr"], points["tpr"], points["f2"], points["t2"])
     bend = (F.col("f2") - F.col("fpr")) * (F.col("tpr") - F.col("t0")) != (F.col("t2") - F.col("tpr")) * (F.col("fpr") - F.col("f0"))
-    corner = F.when(F.coalesce(bend, F.lit(True)) & (F.col("k") > 0), F.struct(F.round(F.abs(g), 12).alias("gap"), "k", "threshold"))
-    found = ahead.groupBy(*keys).agg(F.min(crossing)["e"].alias("e"), F.min(corner)["threshold"].alias("t"))
-    sizes = df.groupBy(*keys).agg(F.sum(F.col("label").cast("long")).alias("_p"), F.count("*").alias("_n"))
-    both = (F.col("_p") > 0) & (F.col("_p") < F.col("_n"))
-    out = sizes.join(found, keys).join(auc(df, keys), keys)
+    corner = F.when(F.coalesce(bend, F.lit(True)), F.struct(F.round(F.abs(1 - F.col("fpr") - F.col("tpr")), 12).alias("gap"), "k", "threshold"))
+    won = F.col("p") * (F.col("_q") - F.col("_fp") + F.col("q") / 2)
+    found = ahead.groupBy(*keys).agg(F.min(F.coalesce(start, own))["e"].alias("e"), F.min(corner)["threshold"].alias("t"), F.sum(won).alias("_won"), *(F.max(f"_{c}").alias(f"_{c}") for c in "pqm"))
+    both = (F.col("_p") > 0) & (F.col("_p") < F.col("_m"))
+    out = found.withColumn("auc", F.when(F.col("_p") * F.col("_q") > 0, F.col("_won") / (F.col("_p") * F.col("_q"))).otherwise(1.0))
     e, a = F.coalesce("e", F.lit(0.5)), F.col("auc")
     if fold:
         e, a = F.least(e, 1 - e), F.greatest(a, 1 - a)
-    return out.select(*by, F.when(both, e).otherwise(single[0]).alias("eer"), F.when(both, a).otherwise(single[1]).alias("auc"), F.when(both, F.coalesce("t", F.lit(0.5))).otherwise(0.5).alias("threshold"))
+    return out.select(*keys, F.when(both, e).otherwise(single[0]).alias("eer"), F.when(both, a).otherwise(single[1]).alias("auc"), F.when(both, F.coalesce("t", F.lit(0.5))).otherwise(0.5).alias("threshold"))
 
 
 def at_threshold(df: DataFrame, threshold: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -85,12 +120,80 @@ def at_threshold(df: DataFrame, threshold: Column, by: Sequence[str] = ()) -> Da
     return out.withColumns({"f1": 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + TINY), "accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))})
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, str]:
+    """The rows with _k, their place from 0 on in their group by ``order``, and the folder they are read from.
+
+    Rows are dealt by ranges of (by, order) and numbered inside a range; groups that go
+    over several ranges, at most two a range, continue from the ranges before. So no group
+    meets in one task.
+    """
+    spark = df.sparkSession
+    path = shared.new_path(spark, "numbered")
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id())
+    rows = shared.written(dealt, path).withColumn("_range", F.shiftright("_id", 33))
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    edges = rows.groupBy("_range").agg(F.min_by(F.struct(*by), "_id").alias("a"), F.max_by(F.struct(*by), "_id").alias("b"))
+    edges = edges.select(F.explode(F.array("a", "b")).alias("_g"), "_range").distinct().select(*(F.col("_g")[c].alias(f"_g_{c}") for c in by), F.col("_range").alias("_r"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    held = counts.join(F.broadcast(edges), [*same, F.col("_range") == F.col("_r")]).select(*(f"_g_{c}" for c in by), "_r", "_n")
+    running = Window.partitionBy(*(f"_g_{c}" for c in by)).orderBy("_r")
+    offsets = held.withColumn("_before", F.sum("_n").over(running) - F.col("_n")).where("_before > 0").drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_id")) - 1
+    out = rows.withColumn("_k", inside.cast("long")).join(F.broadcast(offsets), [*same, F.col("_range") == F.col("_r")], "left")
+    return out.withColumn("_k", F.col("_k") + F.coalesce("_before", F.lit(0))).select(*df.columns, "_k"), path
+
+
+def _blocks(chunks: DataFrame, kept: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """(kept, n, block, s, sn, l, ln, m): sums and counts of the scores and labels that a chunk has of its blocks of each size.
+
+    A chunk is (kept, rows): an array of (_k, score, label) in order, without a gap.
+    """
+    schema = T.StructType([*(chunks.schema[c] for c in kept), *(T.StructField(c, t) for c, t in (("n", T.LongType()), ("block", T.LongType()), ("s", T.DoubleType()), ("sn", T.LongType()), ("l", T.DoubleType()), ("ln", T.LongType()), ("m", T.LongType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("rows").flatten()
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), batch.column("rows").value_lengths().to_numpy(zero_copy_only=False))
+            k = flat.field("_k").to_numpy(zero_copy_only=False)
+            both = [flat.field(c) for c in ("score", "label")]
+            has = [c.is_valid().to_numpy(zero_copy_only=False) for c in both]
+            values = [np.where(h, c.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0) for c, h in zip(both, has, strict=True)]
+            for n in sizes:
+                block = k // n
+                starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
+                sums = [np.add.reduceat(c, starts) for v, h in zip(values, has, strict=True) for c in (v, h.astype(np.int64))]
+                own = [batch.column(c).take(pa.array(row[starts])) for c in kept]
+                m = np.diff(np.append(starts, len(row)))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(starts), n)), pa.array(block[starts]), *map(pa.array, sums), pa.array(m)], schema.names)
+
+    return chunks.mapInArrow(run, schema)
+
+
 def fusion_curve(df: DataFrame, by: Sequence[str], session: Sequence[str], order: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """(by, n, eer, auc, threshold) for every fusion size: rows are numbered once and dealt to all sizes."""
-    w = Window.partitionBy(*by, *session).orderBy(*order)
-    rows = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("n", F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))))
-    fused = rows.groupBy(*by, *session, "n", F.expr("_k div n").alias("block")).agg(F.avg("score").cast("float").cast("double").alias("score"), F.rint(F.avg("label")).cast("long").alias("label"), F.count("*").alias("_m"))
-    return equal_error(fused.where(F.col("_m") == F.col("n")), [*by, "n"])
+    """(by, n, eer, auc, threshold) for every fusion size.
+
+    Rows are numbered once and fused at all sizes by chunks of a group; only blocks over
+    two chunks or more meet in a further shuffle. Counts of the distinct fused scores
+    are written, all else is deleted.
+    """
+    spark = df.sparkSession
+    group = list(dict.fromkeys([*by, *session]))
+    sizes = [int(n) for n in sizes]
+    rows, path = numbered(df.select(*dict.fromkeys([*group, *order]), F.col("score").cast("double").alias("score"), F.col("label").cast("double").alias("label")), group, order)
+    chunks = rows.groupBy(*group, F.expr(f"_k div {CHUNK}").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("_k", "score", "label"))).alias("rows"))
+    # a block of any size that doesn't end with its chunk is whole only with the next chunks' parts
+    parts = _blocks(chunks.drop("_c"), group, sizes)
+    over = F.expr(f"(block * n) div {CHUNK} < (block * n + n - 1) div {CHUNK}")
+    score, label = (F.col("s") / F.col("sn")).cast("float").cast("double"), F.rint(F.col("l") / F.col("ln")).cast("long")
+    total = lambda c: F.sum(c).alias(c)
+    joined = parts.where(over).groupBy(*group, "n", "block").agg(*map(total, ("s", "sn", "l", "ln", "m")))
+    counted = [_counts(d.where("m = n").select(*by, "n", F.when(F.col("sn") > 0, score).alias("score"), F.when(F.col("ln") > 0, label).alias("label")), [*by, "n"]) for d in (parts.where(~over), joined)]
+    counts = counted[0].union(counted[1]).groupBy(*by, "n", "score").agg(*map(total, "pqm"))
+    kept = shared.written(counts, shared.new_path(spark, "fused"))
+    shared.delete(spark, path)
+    return _equal_error(kept, [*by, "n"])
 
 
 def macro(curve: DataFrame, by: Sequence[str] = ("n",)) -> DataFrame:

@@ -963,9 +963,14 @@ def _protocol_sql(source: str, fold: str, sizes) -> str:
     return f"WITH {source}, sc AS (SELECT (fold * 10 + target) * 100 + n AS tn, score, label FROM ({parts})), {tail}, each AS (SELECT tn % 100 AS n, tn // 1000 AS fold, CASE WHEN p > 0 AND p < m THEN least(coalesce(e, 0.5), 1 - coalesce(e, 0.5)) ELSE 0 END AS x, CASE WHEN p > 0 AND p < m THEN greatest(auc, 1 - auc) ELSE 1 END AS y FROM (SELECT tn, sum(label) AS p, count(*) AS m FROM sc GROUP BY 1) LEFT JOIN e USING (tn) LEFT JOIN a USING (tn)) SELECT CAST(n AS BIGINT) AS n, round(avg(x), 6) AS avg_eer, round(avg(y), 6) AS avg_auc FROM (SELECT n, fold, avg(x) AS x, avg(y) AS y FROM each GROUP BY ALL) GROUP BY 1"
 
 
-def _four(spark, sf_dir, claimed: bool = False) -> DataFrame:
-    """Scores of every event for four targets; or only for the target that it claims."""
+def _four(spark, sf_dir, claimed: bool = False, contiguous: bool = False) -> DataFrame:
+    """Scores of every event for four targets; or only for the target that it claims. contiguous: folds are ranges of a user's events."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("user_id") % 4).alias("user"), (F.col("event_id") % 4).alias("claim"), (F.col("event_id") % 5).alias("fold"))
+    if contiguous:
+        from pyspark.sql import Window
+
+        seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+        e = sequence.folds(e.drop("fold").withColumn("seq", seq), KEY, 5).drop("seq")
     rows = scoring.one_vs_rest(e, "user", range(4), "claim" if claimed else None)
     return rows.withColumn("score", F.round(F.col("value") / (F.abs("value") + 50) - 0.1 * ((F.col("user_id") + F.col("target")) % 4), 3)).withColumn("session", F.col("user_id"))
 
@@ -985,12 +990,7 @@ _CONTIGUOUS = "(row_number() OVER (PARTITION BY u, user_id ORDER BY event_id) *
 
 @query(_protocol_sql(_FOUR.format("").replace("event_id % 5 AS fold", _CONTIGUOUS), "fold", range(1, 16)))
 def protocol_five_folds(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").select("event_id", "user_id").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
-    own = sequence.folds(e, KEY, 5).select("event_id", "fold")
-    rows = _four(spark, sf_dir).drop("fold").join(own, "event_id")
-    return r6(scoring.fold_means(rows, ["target"], ["session"], ["event_id"], range(1, 16)), "avg_eer", "avg_auc")
+    return r6(scoring.fold_means(_four(spark, sf_dir, contiguous=True), ["target"], ["session"], ["event_id"], range(1, 16)), "avg_eer", "avg_auc")
 
 
 _FIVE_FOLDS = _protocol_sql(_FOUR.format("").replace("event_id % 5 AS fold", _CONTIGUOUS), "fold", range(1, 16))
@@ -999,12 +999,8 @@ _PER_FOLD = _FIVE_FOLDS.replace("SELECT CAST(n AS BIGINT) AS n, round(avg(x)", "
 
 def _run_of_folds(spark, sf_dir, sizes) -> str:
     """The folder of a run over five contiguous folds that was stopped after two and continued."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").select("event_id", "user_id").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
-    own = sequence.folds(e, KEY, 5).select("event_id", "fold")
     path = shared.new_path(spark, "run")
-    rows = shared.written(_four(spark, sf_dir).drop("fold").join(own, "event_id").select("fold", "target", "session", "event_id", "score", "label"), f"{path}-rows")
+    rows = shared.written(_four(spark, sf_dir, contiguous=True).select("fold", "target", "session", "event_id", "score", "label"), f"{path}-rows")
     for at_most in (2, None):
         runs.run_folds(spark, path, lambda k: rows.where(F.col("fold") == k), source=sf_dir, folds=5, sizes=sizes, order=["event_id"], at_most=at_most)
     shared.delete(spark, f"{path}-rows")
