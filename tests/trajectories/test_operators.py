@@ -234,3 +234,15 @@ def test_kernels_by_hand(spark):
         assert np.allclose(r[w], np.minimum(np.triu(dist[w][4:, 4:] / 100) + np.tril(dist[w][:4, :4] / 100), 1))
         f = points[w, :, 0] / 40
         assert np.allclose(g[w], np.where(np.arange(4)[:, None] < np.arange(4), f[4:], f[:4]))
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_gates_inside_rows_equal_gates_over_pairs(spark, strict):
+    rows = [("u", w, k, float((7 * k * k + 3 * w) % 11), float((5 * k + w) % 7) if (w, k) != (2, 1) else None) for w, n in ((0, 5), (1, 5), (2, 4), (3, 1)) for k in range(n)]
+    df = spark.createDataFrame([(*r, 10 * r[2]) for r in rows], "k string, window_id long, pos long, x double, y double, more long")
+    plain = recurrence.mean_gate(recurrence.pairs(df, ["k"]).withColumn("d", F.col("d") / 2), ["k"], 2.5, strict=strict)
+    own = recurrence.gated_pairs(df, ["k"], 2.5, lambda d: d / 2, strict=strict)
+    read = lambda d: sorted((r.window_id, r.i, r.j, r.i_more, r.j_more, bool(r.recurrent), -1.0 if r.d is None else round(r.d, 9)) for r in d.collect())
+    assert set(own.columns) == set(plain.columns) and read(own) == read(plain)
+    plan = recurrence.bounded_gate(df, ["k"], 0.3, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan

@@ -8,7 +8,7 @@ come from window functions over its keys. All of it runs on the events' partitio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,14 +35,43 @@ def pairs(df: DataFrame, by: Sequence[str]) -> DataFrame:
     Every further column c of the events comes along as i_c and j_c; those that
     nothing uses are never gathered.
     """
+    return _exploded(*_held(df, by), by)
+
+
+def _held(df: DataFrame, by: Sequence[str], each: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """One row a window with its columns as arrays, ``each`` being one value a window, and the names of the further columns."""
     keys = [*by, "window_id"]
-    others = [c for c in df.columns if c not in (*keys, "pos", "x", "y")]
-    held = df.groupBy(*keys).agg(*(F.collect_list(F.struct(F.col(c).alias("v"))).alias(f"_{c}") for c in ("pos", "x", "y", *others)))
-    places = F.sequence(F.lit(0), F.size("_pos") - 1)
-    out = held.withColumn("__i", F.explode(places)).withColumn("__j", F.explode(places))
+    others = [c for c in df.columns if c not in (*keys, *each, "pos", "x", "y")]
+    return df.groupBy(*keys).agg(*(F.first(c).alias(c) for c in each), *(F.collect_list(F.struct(F.col(c).alias("v"))).alias(f"_{c}") for c in ("pos", "x", "y", *others))), others
+
+
+def _distance(i: Column, j: Column) -> Column:
+    dx, dy = (F.get(F.col(f"_{c}"), i)["v"] - F.get(F.col(f"_{c}"), j)["v"] for c in "xy")
+    return F.sqrt(dx * dx + dy * dy)
+
+
+_PLACES = "sequence(0, size(_pos) - 1)"
+
+
+def _exploded(held: DataFrame, others: Sequence[str], by: Sequence[str], *more: str) -> DataFrame:
+    out = held.withColumn("__i", F.explode(F.expr(_PLACES))).withColumn("__j", F.explode(F.expr(_PLACES)))
     at = lambda c, k: F.get(F.col(f"_{c}"), F.col(k))["v"]
-    dx, dy = (at(c, "__i") - at(c, "__j") for c in "xy")
-    return out.select(*keys, at("pos", "__i").alias("i"), at("pos", "__j").alias("j"), *(at(c, k).alias(f"{n}_{c}") for c in others for n, k in (("i", "__i"), ("j", "__j"))), F.sqrt(dx * dx + dy * dy).alias("d"))
+    kept = [F.get(F.col(c), F.col(k)).alias(f"_m{k[-1]}") for c in more for k in ("__i", "__j")]
+    return out.select(*by, "window_id", at("pos", "__i").alias("i"), at("pos", "__j").alias("j"), *(at(c, k).alias(f"{n}_{c}") for c in others for n, k in (("i", "__i"), ("j", "__j"))), _distance(F.col("__i"), F.col("__j")).alias("d"), *kept, *(c for c in held.columns if c in ("_lo", "_hi")))
+
+
+def gated_pairs(df: DataFrame, by: Sequence[str], epsilon: float, scaled: Callable[[Column], Column] = lambda d: d, *, strict: bool = True, other: float | None = None, each: Sequence[str] = ()) -> DataFrame:
+    """``mean_gate`` of the pairs with d as ``scaled``, the means taken inside a window's row: pairs are never sorted.
+
+    each: columns of df (_lo, _hi) that are one value a window, for ``scaled``.
+    """
+    held, others = _held(df, by, each)
+    apart = lambda i: lambda s, j: F.coalesce(s + F.when(i != j, scaled(_distance(i, j))), s, F.when(i != j, scaled(_distance(i, j))))
+    mean = lambda i: F.try_divide(F.aggregate(F.expr(_PLACES), F.lit(None).cast("double"), apart(i)), F.size("_pos") - 1)
+    p = _exploded(held.withColumn("__means", F.transform(F.expr(_PLACES), mean)), others, by, "__means")
+    near = lambda m: (F.col(m) < epsilon) if strict else (F.col(m) <= epsilon)
+    out = p.withColumns({"recurrent": near("_mi") & near("_mj"), "d": scaled(F.col("d"))})
+    return out.withColumn("d", F.when(F.col("recurrent"), F.col("d")).otherwise(F.lit(epsilon if other is None else other))).drop("_mi", "_mj", *each)
 
 
 def clipped(df: DataFrame, by: Sequence[str], epsilon: float = 1.0) -> DataFrame:
@@ -88,26 +117,25 @@ def mean_gate(p: DataFrame, by: Sequence[str], epsilon: float, *, strict: bool =
 
 def gated(df: DataFrame, by: Sequence[str], epsilon: float) -> DataFrame:
     """Distances under a scale per axis, gated by mean distance."""
-    return mean_gate(pairs(local_scale(df, by, "axis"), by), by, epsilon)
+    return gated_pairs(local_scale(df, by, "axis"), by, epsilon)
 
 
 def gated_share(df: DataFrame, by: Sequence[str], epsilon: float) -> DataFrame:
     """As ``gated`` with d / epsilon where both points recur, 0 elsewhere and on the diagonal."""
-    p = mean_gate(pairs(local_scale(df, by, "axis"), by), by, epsilon, other=0.0)
+    p = gated_pairs(local_scale(df, by, "axis"), by, epsilon, other=0.0)
     return p.withColumn("d", F.when(F.col("i") != F.col("j"), F.col("d") / epsilon).otherwise(0.0))
 
 
 def unit_gated(df: DataFrame, by: Sequence[str], epsilon: float) -> DataFrame:
     """Distances under one scale over the root of two, gated by mean distance, up to epsilon."""
-    p = pairs(local_scale(df, by), by).withColumn("d", F.col("d") / F.sqrt(F.lit(2.0)))
-    return mean_gate(p, by, epsilon).withColumn("d", F.least("d", F.lit(epsilon)))
+    return gated_pairs(local_scale(df, by), by, epsilon, lambda d: d / F.sqrt(F.lit(2.0))).withColumn("d", F.least("d", F.lit(epsilon)))
 
 
 def global_gated(df: DataFrame, by: Sequence[str], epsilon: float, *, clip: bool = True) -> DataFrame:
     """As ``gated`` with coordinates between the extremes of all events; ``clip``: up to epsilon."""
     ends = df.agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
     scaled = df.crossJoin(F.broadcast(ends)).withColumns({c: (F.col(c) - F.col(f"_lo{c}")) / F.greatest(F.col(f"_hi{c}") - F.col(f"_lo{c}"), F.lit(EPS)) for c in "xy"})
-    p = mean_gate(pairs(scaled, by), by, epsilon)
+    p = gated_pairs(scaled.select(*df.columns), by, epsilon)
     return p.withColumn("d", F.least("d", F.lit(epsilon))) if clip else p
 
 
@@ -116,11 +144,9 @@ def bounded_gate(df: DataFrame, by: Sequence[str], epsilon: float, scope: Sequen
 
     A point recurs if its mean distance to the others is at most (``strict``: under) epsilon.
     """
-    p = pairs(df, by)
-    ends = p.where("i <> j").groupBy(*scope).agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
-    joined = p.join(ends, list(scope)) if scope else p.crossJoin(F.broadcast(ends))
-    scaled = joined.withColumn("d", (F.col("d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + EPS)).drop("_lo", "_hi")
-    return mean_gate(scaled, by, epsilon, strict=strict).withColumn("d", F.least("d", F.lit(epsilon)))
+    ends = pairs(df, by).where("i <> j").groupBy(*scope).agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    joined = df.join(ends, list(scope)) if scope else df.crossJoin(F.broadcast(ends))
+    return gated_pairs(joined, by, epsilon, lambda d: (d - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + EPS), strict=strict, each=["_lo", "_hi"]).withColumn("d", F.least("d", F.lit(epsilon)))
 
 
 def previous_difference(p: DataFrame, by: Sequence[str]) -> DataFrame:
