@@ -246,3 +246,14 @@ def test_gates_inside_rows_equal_gates_over_pairs(spark, strict):
     assert set(own.columns) == set(plain.columns) and read(own) == read(plain)
     plan = recurrence.bounded_gate(df, ["k"], 0.3, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Window [" not in plan
+
+
+def test_tasks_of_intervals_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "COVERED", 50)
+    df = spark.range(3000).selectExpr("id % 100 AS k", "id * 7 % 500 AS l", "id * 7 % 500 + id % 9 AS r")
+    got = scoring.interval_cover(df, ["k"], "l", "r")
+    assert got.rdd.getNumPartitions() == 60
+    held: dict = {}
+    for r in df.collect():
+        held.setdefault(r.k, set()).update(range(r.l, r.r + 1))
+    assert {r.k: r.covered for r in got.collect()} == {k: len(v) for k, v in held.items()}

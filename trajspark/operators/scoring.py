@@ -19,6 +19,8 @@ from trajspark import shared
 TINY = 1e-6
 #: Rows of a group that are fused at a time.
 CHUNK = 720
+#: Intervals that a task sorts, about.
+COVERED = 1 << 19
 
 
 def fuse(df: DataFrame, by: Sequence[str], n: int, order: Sequence[str], *, narrow: bool = True) -> DataFrame:
@@ -231,6 +233,7 @@ def cover_summary(covered: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def interval_cover(df: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
     """(by, covered): whole numbers inside the union of closed intervals; touching ones merge."""
+    df = shared.dealt(df.select(*by, left, right), by, COVERED)
     w = Window.partitionBy(*by).orderBy(left, right)
     before = F.max(right).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col(left) > before + 1, F.lit(True)).cast("int")

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajspark import shared
+
 KEY = ["user_id"]
 GAP = 28_800.0
+#: Events that a task has, about: their pairs are many times as many.
+EVENTS = 1 << 16
 SIZE = 8
 
 
@@ -19,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = shared.dealt(table(spark, sf_dir, "events"), KEY, EVENTS)
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ev.select(
         "user_id",

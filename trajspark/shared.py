@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """The table written to ``path`` and read back: what depends on it doesn't compute it again."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
+    """The rows dealt by their keys to so many partitions that one has about ``rows`` of them.
+
+    Partitions whose size follows from compressed bytes grow with the table before they
+    multiply; what a task sorts or explodes doesn't compress. df is counted first.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *by)
