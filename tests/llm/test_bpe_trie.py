@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -49,3 +50,12 @@ def test_query(library, spark, sf):
     for r in got:
         ids, decoded = expected(library, docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, brute.sha(ids), brute.sha(decoded))
+
+
+def test_words_that_share_prefixes_and_ends_equal_the_library():
+    parts = ["que", "ment", "zu", "ing", "a", "b", "tion", "heit", "</w>", "é", "supercali"]
+    texts = [*("".join(p) for n in (1, 2, 3) for p in itertools.product(parts, repeat=n)), "", "a aa aaa aaaa ab abc abcd", "zzzzqqqq" * 9]
+    own, library = bpe_trie.TrieEncoder(registry.WORD_BPE), Tokenizer.from_file(registry.WORD_BPE)
+    want = [b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.encode_all(texts) == want and not hasattr(own, "longest")
+    assert own.reach["ing"] >= 3 and all(n > 2 for n in own.reach.values())

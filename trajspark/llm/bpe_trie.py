@@ -2,9 +2,9 @@
 
 The last token of the encoding of a prefix determines the whole encoding: token
 ``t`` ends the encoding of prefix ``p`` exactly when ``t`` is a suffix of ``p`` and
-the pair (last token of the rest, ``t``) survives the merges on its own. Distinct
-words are inserted into a trie and a depth-first walk carries these last-token
-states, so a prefix that many words share is encoded once.
+the pair (last token of the rest, ``t``) survives the merges on its own. The trie of
+the distinct words is walked depth first, which is their sorted order, with these
+last-token states on the path: a prefix that many words share is encoded once.
 
 Defined results: null text counts as empty; an empty text has no tokens and
 decodes to ""; strings of special tokens in a text become those tokens; all
@@ -64,8 +64,14 @@ class TrieEncoder:
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ids: dict[str, int] = model["vocab"]
+        self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         self.rank = {m: i for i, m in enumerate(merges)}
-        self.longest = max(len(t.removesuffix(END)) for t in self.ids)
+        self.reach: dict[str, int] = {}  # by the last three symbols and the mark: symbols of the longest token that ends so
+        for token in self.ids:
+            body = token.removesuffix(END)
+            if len(body) > 2:
+                ends = token[len(body) - 3 :]
+                self.reach[ends] = max(self.reach.get(ends, 0), len(body))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, i in (self.ids | self.special).items():
@@ -133,42 +139,40 @@ class TrieEncoder:
                 j += 1
 
     def _walk(self, words: set[str]) -> None:
-        """Insert ``words`` (byte-level text) into a trie and encode depth first."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word[:-1]:
-                node = node.setdefault(c, {})
-            node[word[-1] + END] = word
+        """Encode ``words`` (byte-level text) in the depth-first order of their trie, which is their sorted order.
+
+        The path holds for every prefix the token that ends it and the ids up to there; a
+        word goes on from the prefix that it shares with the one before, so no node is built.
+        """
         if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
-        ids, pairs, longest = self.ids, self.pairs, self.longest
-        path, last = "", [("", 0)]  # last[i]: the token that ends the prefix of i symbols, and its start
-        stack = [(0, c, child) for c, child in root.items()]
-        while stack:
-            depth, symbol, child = stack.pop()
-            path = path[:depth] + symbol[0]
-            del last[depth + 1 :]
-            tail = END if len(symbol) > 1 else ""
-            for start in range(max(0, depth + 1 - longest), depth + 1):
-                token = path[start:] + tail
-                if token in ids:
-                    pair = (last[start][0], token)
-                    if (apart := pairs.get(pair)) is None:
-                        apart = pairs[pair] = self._stays(*pair)
-                    if apart:
-                        last.append((token, start))
-                        break
-            else:
-                raise ValueError(f"no token ends {path!r}")
-            if tail:
-                found, at = [], depth + 1
-                while at:
-                    token, at = last[at]
-                    found.append(ids[token])
-                self.words[child] = b"".join(i.to_bytes(4, "little") for i in reversed(found))
-            else:
-                stack.extend((depth + 1, c, below) for c, below in child.items())
+        ids, pairs, reach, stays, done = self.id_bytes, self.pairs, self.reach, self._stays, self.words
+        before, path = "", [("", b"")]  # path[i]: the token that ends the prefix of i symbols, and the ids of the prefix
+        for word in sorted(words):
+            end = len(word) - 1  # the last symbol is marked, so it is shared with no other word
+            depth, most = 0, min(end, len(before) - 1)
+            while depth < most and word[depth] == before[depth]:
+                depth += 1
+            del path[depth + 1 :]
+            while depth <= end:
+                depth += 1
+                first = 0
+                if depth > 2:
+                    first = depth - reach.get(word[depth - 3 : depth] if depth <= end else word[depth - 3 :] + END, 2)
+                for start in range(first if first > 0 else 0, depth):
+                    token = word[start:depth] if depth <= end else word[start:] + END
+                    if token in ids:
+                        left, known = path[start]
+                        pair = (left, token)
+                        if (apart := pairs.get(pair)) is None:
+                            apart = pairs[pair] = stays(left, token)
+                        if apart:
+                            path.append((token, known + ids[token]))
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+            done[word] = path[-1][1]
+            before = word
 
     def _pieces(self, text: str) -> tuple[dict[str, bytes], list[str]]:
         """Words of a text without special tokens, and the cache that knows them."""
