@@ -94,3 +94,29 @@ def test_query_equals_sql_and_brute_force(spark, sf):
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert {i: (t, s, n) for i, t, n, s in con.execute(f"select doc_id, text, n_removed, removed_offsets from ({registry.ORACLES['op6_line_dedup']})").fetchall()} == found
     assert sum(n for *_, n in found.values()) > 0
+
+
+def test_memory_of_a_task_is_bounded_by_small_slices():
+    """Texts of a batch are hashed half a megabyte at a time; the last pass, which cuts, hashes nothing."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from trajspark.llm import kernels
+
+    class Docs:
+        schema = T.StructType([T.StructField("id", T.LongType())])
+
+        def mapInArrow(self, emit, kinds):  # noqa: N802
+            return emit
+
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["id", "hash", "text"])
+    kernels._powers.cache_clear()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in line_dedup._index(Docs(), line_dedup.PASSAGE_WORDS)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 40 << 20

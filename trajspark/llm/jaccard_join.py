@@ -43,6 +43,8 @@ from trajspark.llm import kernels, scratch
 WIDTH, PERCENT = 5, 75
 #: Shingles that are ordered by count, at most (8 bytes each go to the driver and to all executors).
 HOT = 1 << 19
+#: Bytes of text that are worked on at a time, but for postings, which pack better by larger slices.
+SLICE = 1 << 19
 #: Shingles that are counted together in a task.
 BLOCK = 2_000_000
 #: Bytes of postings in a bucket, about.
@@ -118,7 +120,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray
         seen: set[bytes] = set()
         total = size = 0
         for batch in batches:
-            for part in kernels.slices(batch):
+            for part in kernels.slices(batch, limit=SLICE):
                 hashes, counts = sets(part.column("text"), width)
                 total += len(hashes)
                 own = keys(hashes, counts)
@@ -212,7 +214,7 @@ def _members(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch):
+            for part in kernels.slices(batch, limit=SLICE):
                 hashes, counts = sets(part.column("text"), width)
                 _, _, group = prefixes(hashes, counts, hot.value, percent)
                 empty = counts == 0
@@ -233,7 +235,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch):
+            for part in kernels.slices(batch, limit=SLICE):
                 hashes, counts = sets(part.column("text"), width)
                 sig = keys(hashes, counts)
                 keep = counts > 0
@@ -253,7 +255,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, "ta"):
+            for part in kernels.slices(batch, "ta", SLICE):
                 (x, nx), (y, ny) = sets(part.column("ta"), width), sets(part.column("tb"), width)
                 row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
                 both = np.concatenate([x, y])

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
+#: Powers that are held at least; longer slices take theirs.
+_LEAST = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,7 +126,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of the words, ASCII case folded: a polynomial in the bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = max(SLICE_BYTES, 1 << int(len(raw) - 1).bit_length())
+    size = max(_LEAST, 1 << int(len(raw) - 1).bit_length())
     up, down = _powers(size)
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
@@ -135,7 +137,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the word hashes from ``starts`` up to ``ends``: a polynomial in them."""
-    up, down = _powers(max(SLICE_BYTES, 1 << int(len(words)).bit_length()))
+    up, down = _powers(max(_LEAST, 1 << int(len(words)).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * up[: len(words)], out=total[1:])

@@ -40,6 +40,8 @@ from trajspark.llm import kernels, scratch
 PASSAGE_WORDS = 51
 #: Words of a sample.
 SAMPLE = 12
+#: Bytes of text that are worked on at a time: hashes and their sums take some fifty times as much.
+SLICE = 1 << 19
 #: Rows and places of a table that is sent to all tasks at most (a few ten MB); beyond, texts are shuffled to it.
 BROADCAST_ROWS, BROADCAST_PLACES = 1 << 18, 1 << 22
 
@@ -70,11 +72,11 @@ def samples(words: np.ndarray, counts: np.ndarray, passage: int) -> np.ndarray:
     return np.flatnonzero(_least(np.concatenate([edge, least, edge]), grams, np.maximum) == hashed)
 
 
-def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, text offsets, word hashes, words per text, word starts, word ends) of a slice."""
+def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, words per text) of a slice."""
     raw, offsets = kernels.buffers(text)
     starts, ends, counts = kernels.word_spans(raw, offsets, kernels.SPACED)
-    return raw, offsets, kernels.word_hashes(raw, starts, ends), counts, starts, ends
+    return kernels.word_hashes(raw, starts, ends), counts
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -87,8 +89,8 @@ def _index(docs: DataFrame, passage: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for part in kernels.slices(batch):
-                _, _, words, counts, _, _ = _words(part.column("text"))
+            for part in kernels.slices(batch, limit=SLICE):
+                words, counts = _words(part.column("text"))
                 edge = np.cumsum(counts)
                 with np.errstate(over="ignore"):
                     sides = [kernels.run_hashes(words ^ salt, edge - counts, edge) + counts.astype(np.uint64) for salt in (np.uint64(0), _SALT)]
@@ -116,8 +118,8 @@ def _paragraphs(docs: DataFrame, passage: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch):
-                _, _, words, counts, _, _ = _words(part.column("text"))
+            for part in kernels.slices(batch, limit=SLICE):
+                words, counts = _words(part.column("text"))
                 edge = np.cumsum(counts)
                 held = part.column("at")
                 owner = np.repeat(np.arange(len(counts)), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
@@ -203,8 +205,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_wor
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch):
-                raw, offsets, _, counts, starts, ends = _words(part.column("text"))
+            for part in kernels.slices(batch, limit=SLICE):
+                raw, offsets = kernels.buffers(part.column("text"))
+                starts, ends, counts = kernels.word_spans(raw, offsets, kernels.SPACED)
                 edge = np.cumsum(counts)
                 whole, begin, end, body = part.column("whole").to_pylist(), part.column("begin"), part.column("end"), part.column("text")
                 texts, number, places = [], [], []
