@@ -116,3 +116,37 @@ def test_unfinished_batches_are_not_read(spark, tmp_path):
     (tmp_path / "out" / "batch=1" / "_SUCCESS").unlink()
     assert sinks.read_once(spark, path, spark.range(1).schema).count() == 3
     assert sinks.read_once(spark, str(tmp_path / "none"), spark.range(1).schema).count() == 0
+
+
+def test_one_read_and_one_write_of_the_state_a_call():
+    """Each access of a state is a call to the JVM; waiting events and the fold are one value."""
+    from types import SimpleNamespace
+
+    from trajspark.streaming.ordered import CountWindows
+
+    calls, held = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*value):
+                calls.append(what)
+                if what in ("update", "put"):
+                    held[self.name] = value[0]
+                return {"get": held.get(self.name), "exists": self.name in held}.get(what)
+
+            return call
+
+    handle = SimpleNamespace(getValueState=lambda name, schema: State(name), getListState=lambda name, schema: State(name), registerTimer=lambda t: None)
+    processor = CountWindows(2, 2)
+    processor.key = "user_id"
+    processor.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    event = lambda t, i: SimpleNamespace(t=t * 1000, id=i, x=float(i), y=0.0)
+    assert list(processor.handleInputRows((1,), iter([event(9, 3), event(1, 1)]), at(0))) == []
+    assert calls == ["get", "update"]
+    out = list(processor.handleInputRows((1,), iter([event(2, 2)]), at(5)))
+    assert [(r.window_id, r.start, r.end, r.mean) for r in out] == [(0, 1000, 2000, 1.5)]
+    assert list(processor.handleExpiredTimer((1,), at(6), None)) == [] and calls == ["get", "update"] * 2 + ["get"]

@@ -3,7 +3,8 @@
 Events of a key may come in any order within the watermark's lateness. They wait in
 the state until the watermark has passed them and are then folded in order of
 (time, id), so results don't depend on how the stream is cut into batches. State is
-the waiting events (those of the lateness) and one small fold a key. Timers wake a
+the waiting events (those of the lateness) and one small fold a key, read and written
+as one value, as each access is a call to the JVM. Timers wake a
 key whose events or gaps the watermark passes while nothing new comes. Events behind
 the watermark are dropped.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EVENT = "t long, id long, x double, y double"
+_WAITING = "waiting_t array<long>, waiting_id array<long>, waiting_x array<double>, waiting_y array<double>"
 
 
 class Ordered(StatefulProcessor):
@@ -32,8 +33,7 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _EVENT)
-        self.held = handle.getValueState("held", self.STATE)
+        self.held = handle.getValueState("held", f"{self.STATE}, {_WAITING}")
         self.row = Row(self.key, *(field.split()[0] for field in self.OUTPUT.split(", ")))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -45,18 +45,19 @@ class Ordered(StatefulProcessor):
 
     def _advance(self, key, fresh: list[tuple], timer_values) -> Iterator[Row]:
         passed = timer_values.getCurrentWatermarkInMs() * 1000
-        events = sorted([*(tuple(e) for e in self.waiting.get()), *fresh])
+        held = self.held.get()
+        state, waiting = (list(held[:-4]), list(zip(*held[-4:], strict=True))) if held else (list(self.START), [])
+        before = list(state)
+        events = sorted([*waiting, *fresh])
         ready = [e for e in events if e[0] <= passed]
         rest = events[len(ready) :]
-        state = list(self.held.get()) if self.held.exists() else list(self.START)
         for event in ready:
             for row in self.fold(state, *event):
                 yield self.row(*key, *row)
         for row in self.quiet(state, passed):
             yield self.row(*key, *row)
-        if fresh or ready:
-            self.waiting.put([Row(*e) for e in rest]) if rest else self.waiting.clear()
-        self.held.update(tuple(state))
+        if fresh or ready or state != before:
+            self.held.update((*state, *(list(c) for c in zip(*rest, strict=True))) if rest else (*state, [], [], [], []))
         wake = [t for t in (rest[0][0] if rest else None, self.deadline(state, passed)) if t is not None]
         if wake:
             self.handle.registerTimer(-(-min(wake) // 1000) + 1)
