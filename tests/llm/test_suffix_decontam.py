@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
-from trajspark.llm import registry, suffix_decontam
+from trajspark.llm import kernels, registry, suffix_decontam
 
 
 def _rows(seed, n=60):
@@ -110,3 +111,22 @@ def test_query_equals_brute_force(spark, sf):
         else:
             assert (r.n_words, r.n_items, r.contaminated) == (len(doc), 0, False)
     assert sum(r.n_hit > 0 for r in got) > 0
+
+
+def test_shards_are_hashed_by_pieces(monkeypatch):
+    seen, whole = [], kernels.word_hashes
+    monkeypatch.setattr(kernels, "word_hashes", lambda raw, *spans: seen.append(len(raw)) or whole(raw, *spans))
+    texts = [f"alpha beta {i} gamma " * 1000 for i in range(100)]
+    block = suffix_decontam.Block.of(["q"], ["beta gamma"], 13)
+    seen.clear()
+    known, counts = block.known(pa.RecordBatch.from_arrays([pa.array([*texts, None, ""])], ["text"]), "text")
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= suffix_decontam.HASHED_BYTES
+    assert counts.tolist() == [4000] * 100 + [0, 0] and np.count_nonzero(known) == 200_000 and known[:4].astype(bool).tolist() == [False, True, False, True]
+
+
+def test_freed_memory_goes_back_when_a_task_ends(monkeypatch):
+    trims = []
+    monkeypatch.setattr(kernels.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(trims.append)}))
+    task = kernels.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(task) == 2 and not trims
+    assert list(task) == [3] and trims == [0]

@@ -239,6 +239,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
 
+    @kernels.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         try:

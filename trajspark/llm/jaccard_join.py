@@ -43,7 +43,7 @@ from trajspark.llm import kernels, scratch
 WIDTH, PERCENT = 5, 75
 #: Shingles that are ordered by count, at most (8 bytes each go to the driver and to all executors).
 HOT = 1 << 19
-#: Bytes of text that are worked on at a time, but for postings, which pack better by larger slices.
+#: Bytes of text that are hashed at a time; postings of several such pieces are packed together.
 SLICE = 1 << 19
 #: Shingles that are counted together in a task.
 BLOCK = 2_000_000
@@ -110,6 +110,7 @@ def prefixes(hashes: np.ndarray, counts: np.ndarray, hot: tuple[np.ndarray, np.n
 def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """The ``HOT`` most counted shingles (sorted) with their ranks, and the number of shingles of all texts."""
 
+    @kernels.trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -156,11 +157,15 @@ def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray
 def _postings(docs: DataFrame, hot, width: int, percent: int, buckets: int) -> DataFrame:
     """(token, g, n, at, df): prefix shingles that two groups or more have, their places, and how many have them."""
 
+    @kernels.trimmed
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch):
-                hashes, counts = sets(part.column("text"), width)
-                prefix, size, group = prefixes(hashes, counts, hot.value, percent)
+                each = []
+                for piece in kernels.slices(part, limit=SLICE):
+                    hashes, own = sets(piece.column("text"), width)
+                    each.append((*prefixes(hashes, own, hot.value, percent), own))
+                prefix, size, group, counts = (np.concatenate(x) for x in zip(*each, strict=True))
                 _, one = np.unique(group, return_index=True)
                 keep = np.zeros(len(group), bool)
                 keep[one] = True
@@ -212,6 +217,7 @@ def _members(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
     """(id, n, sig, g) of every row; sig and g are null for empty sets."""
     id_type = docs.schema["id"].dataType.simpleString()
 
+    @kernels.trimmed
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, limit=SLICE):
@@ -233,6 +239,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         own = wanted.select(F.substring("sig", 1, 8).alias("k")).toPandas()["k"]
         chosen = spark.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(map(bytes, own)), np.uint64)))
 
+    @kernels.trimmed
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, limit=SLICE):
@@ -253,6 +260,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     wanted = scratch.write_out(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "wanted")
     texts = scratch.write_out(_texts(docs, wanted, width), "texts")
 
+    @kernels.trimmed
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "ta", SLICE):

@@ -6,7 +6,9 @@ text is a slice of its own), so memory follows the largest text, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import lru_cache, wraps
 
 import numpy as np
@@ -57,6 +59,21 @@ def any_names(function):
     return run
 
 
+def trimmed(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function of batches that gives freed memory back to the system when its task ends: workers outlive tasks and wait for the next beside others."""
+
+    @wraps(task)
+    def run(*args) -> Iterator:
+        try:
+            yield from task(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # not the GNU C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices of ``batch`` holding about ``limit`` bytes of text."""
     text = batch.column(column)

@@ -86,6 +86,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 def _index(docs: DataFrame, passage: int) -> DataFrame:
     """(id, hash, class, n, digest, at) of texts of a passage's words or more; samples only where the task first meets the class."""
 
+    @kernels.trimmed
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -116,6 +117,7 @@ def _index(docs: DataFrame, passage: int) -> DataFrame:
 def _paragraphs(docs: DataFrame, passage: int) -> DataFrame:
     """(id, hash, digest, at): the paragraphs that hold a sample at one of the places in the column ``at``."""
 
+    @kernels.trimmed
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, limit=SLICE):
@@ -203,6 +205,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_wor
     packed = base.select(F.struct(*(F.col(f"`{c}`") for c in kept if c != text)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"), F.col(f"`{text}`").alias("text"))
     found = packed.join(_checked(gone.select(F.col("id").alias("_i"), F.col("hash").alias("_h"), "whole", "begin", "end"), "begin"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h")), "left").select("row", "text", "whole", "begin", "end")
 
+    @kernels.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, limit=SLICE):

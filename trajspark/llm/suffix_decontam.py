@@ -36,6 +36,8 @@ WINDOW = 13
 BLOCK_BYTES = 8 << 20
 #: Text of one suffix array.
 SHARD_BYTES = 2 << 20
+#: Text of a shard that is hashed at a time: hashing takes some fifty bytes for one of text.
+HASHED_BYTES = 1 << 19
 
 _STATE = "hit_spans", "items", "longest", "n_hit"
 
@@ -64,6 +66,18 @@ class Block:
         at = np.flatnonzero(np.arange(len(item)) + size <= end)
         return cls(names, vocab, words.astype(np.int64) + 1, item, end, at, size[at])
 
+    def known(self, part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The benchmark's ids of the words of a shard, 0 for others, and the number of words per text."""
+        known, counts = [], []
+        for piece in kernels.slices(part, text, HASHED_BYTES):
+            raw, offsets = kernels.buffers(piece.column(text))
+            starts, ends, n = kernels.word_spans(raw, offsets, kernels.ALNUM)
+            hashes = kernels.word_hashes(raw, starts, ends)
+            i = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1) if len(self.vocab) else None
+            known.append(np.zeros(len(hashes), np.int64) if i is None else np.where(self.vocab[i] == hashes, i + 1, 0))
+            counts.append(n)
+        return np.concatenate(known), np.concatenate(counts)
+
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix starts in the order of their first ``depth`` words or more (prefix doubling)."""
@@ -208,16 +222,11 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
     best_arrow = pa.struct([("item_id", pa.string()), ("place", pa.int64()), ("words", pa.int64())])
 
     def run(block: Block, again: bool):
+        @kernels.trimmed
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in kernels.slices(batch, text, SHARD_BYTES):
-                    raw, offsets = kernels.buffers(part.column(text))
-                    starts, ends, counts = kernels.word_spans(raw, offsets, kernels.ALNUM)
-                    hashes = kernels.word_hashes(raw, starts, ends)
-                    known = np.zeros(len(hashes), np.int64)
-                    if len(block.vocab):
-                        i = np.minimum(np.searchsorted(block.vocab, hashes), len(block.vocab) - 1)
-                        known = np.where(block.vocab[i] == hashes, i + 1, 0)
+                    known, counts = block.known(part, text)
                     n, base = part.num_rows, np.concatenate([[0], np.cumsum(counts)])
                     doc = np.repeat(np.arange(n), counts)
                     place, size, item, best_place, best_item, best_words = search(known, doc, block)

@@ -169,6 +169,7 @@ def classify(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     own = ["posterior", "score", "kept"]
     base = df.drop(*own)
 
+    @kernels.trimmed
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, text):
@@ -185,6 +186,7 @@ def classify(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     weights, bias = fit([(np.array(r.i, np.int64), np.array(r.v, np.float32)) for r in sample], np.array([posterior[r.pattern] for r in sample]))
     weights = weights.astype(np.float64)
 
+    @kernels.trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, text):
