@@ -113,3 +113,13 @@ def test_fusion_of_groups_over_many_ranges(spark, monkeypatch):
         assert len(plain) == sum(k[1] == n for k in got)
         for r in plain:
             assert np.allclose(got[(r.target, n)], (r.eer, r.auc, r.threshold), atol=1e-9)
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "RANGE", 100)
+    rows = [(t, i, (i * 7 % 11) / 10, i % 3 % 2) for t, m in ((None, 3), ("a", 700), ("b", 97)) for i in range(m)]
+    df = spark.createDataFrame(rows, "target string, idx long, score double, label long").repartition(5)
+    placed, path = scoring.numbered(df, ["target"], ["idx"])
+    assert all(r.idx == r["_k"] for r in placed.collect()) and placed.count() == 800
+    ids = spark.read.parquet(path).groupBy(F.shiftright("_id", 33)).count().collect()
+    assert len(ids) > 5 and max(r["count"] for r in ids) < 250

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,10 @@ from pyspark.sql import types as T
 from trajspark import shared
 
 TINY = 1e-6
-#: Rows of a group that are fused at a time.
-CHUNK = 720
+#: Rows that are sorted and numbered in a task, about.
+RANGE = 1 << 19
+#: Rows in order that are fused at a time, at most; blocks over the edge of two such parts meet in a shuffle.
+CHUNK = 1 << 16
 #: Intervals that a task sorts, about.
 COVERED = 1 << 19
 
@@ -125,75 +128,118 @@ def at_threshold(df: DataFrame, threshold: Column, by: Sequence[str] = ()) -> Da
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, str]:
     """The rows with _k, their place from 0 on in their group by ``order``, and the folder they are read from.
 
-    Rows are dealt by ranges of (by, order) and numbered inside a range; groups that go
-    over several ranges, at most two a range, continue from the ranges before. So no group
-    meets in one task.
+    Rows are dealt by ranges of (by, order) of about ``RANGE`` rows and numbered inside a
+    range as they are written; the group that begins a range continues from the ranges
+    before. So rows are shuffled once and no group meets in one task.
     """
     spark = df.sparkSession
     path = shared.new_path(spark, "numbered")
-    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id())
-    rows = shared.written(dealt, path).withColumn("_range", F.shiftright("_id", 33))
-    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    edges = rows.groupBy("_range").agg(F.min_by(F.struct(*by), "_id").alias("a"), F.max_by(F.struct(*by), "_id").alias("b"))
-    edges = edges.select(F.explode(F.array("a", "b")).alias("_g"), "_range").distinct().select(*(F.col("_g")[c].alias(f"_g_{c}") for c in by), F.col("_range").alias("_r"))
+    n = max(spark.sparkContext.defaultParallelism, -(-df.count() // RANGE))
+    dealt = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id())
+    rows = shared.written(_placed(dealt, by), path).withColumn("_range", F.shiftright("_id", 33))
+    # of each range its first and last group, and the rows that the last has in it
+    edges = rows.groupBy("_range").agg(F.min_by(F.struct(*by), "_id").alias("a"), F.max_by(F.struct(F.struct(*by).alias("g"), (F.col("_j") + 1).alias("n")), "_id").alias("b"))
+    ends = edges.select("_range", F.explode(F.array(F.struct(F.col("a").alias("g"), F.lit(0).cast("long").alias("n")), "b")).alias("e")).groupBy("e.g", "_range").agg(F.sum("e.n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("_range")) - F.col("n")
+    offsets = ends.withColumn("_before", before).where("_before > 0").select(*(F.col("g")[c].alias(f"_g_{c}") for c in by), F.col("_range").alias("_r"), "_before")
     same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
-    held = counts.join(F.broadcast(edges), [*same, F.col("_range") == F.col("_r")]).select(*(f"_g_{c}" for c in by), "_r", "_n")
-    running = Window.partitionBy(*(f"_g_{c}" for c in by)).orderBy("_r")
-    offsets = held.withColumn("_before", F.sum("_n").over(running) - F.col("_n")).where("_before > 0").drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_id")) - 1
-    out = rows.withColumn("_k", inside.cast("long")).join(F.broadcast(offsets), [*same, F.col("_range") == F.col("_r")], "left")
-    return out.withColumn("_k", F.col("_k") + F.coalesce("_before", F.lit(0))).select(*df.columns, "_k"), path
+    out = rows.join(F.broadcast(offsets), [*same, F.col("_range") == F.col("_r")], "left")
+    return out.withColumn("_k", F.col("_j") + F.coalesce("_before", F.lit(0))).select(*df.columns, "_k", "_id"), path
 
 
-def _blocks(chunks: DataFrame, kept: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """(kept, n, block, s, sn, l, ln, m): sums and counts of the scores and labels that a chunk has of its blocks of each size.
-
-    A chunk is (kept, rows): an array of (_k, score, label) in order, without a gap.
-    """
-    schema = T.StructType([*(chunks.schema[c] for c in kept), *(T.StructField(c, t) for c, t in (("n", T.LongType()), ("block", T.LongType()), ("s", T.DoubleType()), ("sn", T.LongType()), ("l", T.DoubleType()), ("ln", T.LongType()), ("m", T.LongType())))])
+def _placed(dealt: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows with _j, their place from 0 on in the run of rows of their group that their partition has."""
+    kept = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0
         for batch in batches:
-            flat = batch.column("rows").flatten()
-            if not len(flat):
+            if not batch.num_rows:
                 continue
-            row = np.repeat(np.arange(batch.num_rows), batch.column("rows").value_lengths().to_numpy(zero_copy_only=False))
-            k = flat.field("_k").to_numpy(zero_copy_only=False)
-            both = [flat.field(c) for c in ("score", "label")]
+            new = np.zeros(batch.num_rows - 1, bool)
+            for c in by:  # null equals null
+                x, y = batch.column(c)[1:], batch.column(c)[:-1]
+                new |= pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False) | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
+            first = [batch.column(c)[0].as_py() for c in by]
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            sizes = np.diff(np.append(starts, batch.num_rows))
+            place = np.arange(batch.num_rows) - np.repeat(starts, sizes)
+            if first == last:
+                place[: sizes[0]] += done
+            last, done = [batch.column(c)[batch.num_rows - 1].as_py() for c in by], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(place, pa.int64())], [*kept, "_j"])
+
+    return dealt.mapInArrow(run, T.StructType([*(dealt.schema[c] for c in kept), T.StructField("_j", T.LongType())]))
+
+
+def _blocks(rows: DataFrame, by: Sequence[str], rest: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """(by, rest, n, block, score, label, s, sn, l, ln, m): the blocks of each size.
+
+    rows have _k, their place in their group (by, rest), and _id, and come in runs of the
+    order of both. A block inside a batch has its fused score and label, block -1 and rest
+    null; one that goes over an edge of the batch has sums and counts of its part. Blocks
+    that a group ends before they are full are left out.
+    """
+    types = (("n", T.LongType()), ("block", T.LongType()), ("score", T.DoubleType()), ("label", T.LongType()), ("s", T.DoubleType()), ("sn", T.LongType()), ("l", T.DoubleType()), ("ln", T.LongType()), ("m", T.LongType()))
+    schema = T.StructType([*(rows.schema[c] for c in by), *(T.StructField(c, rows.schema[c].dataType) for c in rest), *(T.StructField(c, t) for c, t in types)])
+
+    chunk = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, chunk) for b in batches for i in range(0, b.num_rows, chunk)):
+            k, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_k", "_id"))
+            both = [batch.column(c) for c in ("score", "label")]
             has = [c.is_valid().to_numpy(zero_copy_only=False) for c in both]
             values = [np.where(h, c.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0) for c, h in zip(both, has, strict=True)]
+            jump = np.concatenate([np.diff(at) != 1, [True]])  # behind a row: rows between that are elsewhere
+            new = np.concatenate([[True], jump[:-1] | (np.diff(k) != 1)])
             for n in sizes:
                 block = k // n
-                starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
-                sums = [np.add.reduceat(c, starts) for v, h in zip(values, has, strict=True) for c in (v, h.astype(np.int64))]
-                own = [batch.column(c).take(pa.array(row[starts])) for c in kept]
-                m = np.diff(np.append(starts, len(row)))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(starts), n)), pa.array(block[starts]), *map(pa.array, sums), pa.array(m)], schema.names)
-
-    return chunks.mapInArrow(run, schema)
+                starts = np.flatnonzero(new | np.concatenate([[True], block[1:] != block[:-1]]))
+                m = np.diff(np.append(starts, len(k)))
+                held = (m == n) | (k[starts] % n != 0) | jump[starts + m - 1]
+                if not held.any():
+                    continue
+                s, sn, l, ln = (np.add.reduceat(c, starts)[held] for v, h in zip(values, has, strict=True) for c in (v, h.astype(np.int64)))
+                starts, m = starts[held], m[held]
+                whole = m == n
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score, label = (s / sn).astype(np.float32).astype(np.float64), np.rint(l / ln)
+                own = [batch.column(c).take(pa.array(starts)) for c in by]
+                own += [batch.column(c).take(pa.array(starts, mask=whole)) for c in rest]
+                fused = [pa.array(score, mask=~whole | (sn == 0)), pa.array(np.where(ln > 0, label, 0).astype(np.int64), mask=~whole | (ln == 0))]
+                part = [pa.array(c, mask=whole) for c in (s, sn, l, ln)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(m), n)), pa.array(np.where(whole, -1, block[starts])), *fused, *part, pa.array(m)], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def fusion_curve(df: DataFrame, by: Sequence[str], session: Sequence[str], order: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     """(by, n, eer, auc, threshold) for every fusion size.
 
-    Rows are numbered once and fused at all sizes by chunks of a group; only blocks over
-    two chunks or more meet in a further shuffle. Counts of the distinct fused scores
-    are written, all else is deleted.
+    Rows are numbered once and fused at all sizes as they are read back in order; only
+    blocks over the edge of a batch meet in a further shuffle. Counts of the distinct
+    fused scores are written, all else is deleted. Size 1 alone needs no order.
     """
     spark = df.sparkSession
     group = list(dict.fromkeys([*by, *session]))
+    rest = [c for c in group if c not in by]
     sizes = [int(n) for n in sizes]
-    rows, path = numbered(df.select(*dict.fromkeys([*group, *order]), F.col("score").cast("double").alias("score"), F.col("label").cast("double").alias("label")), group, order)
-    chunks = rows.groupBy(*group, F.expr(f"_k div {CHUNK}").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("_k", "score", "label"))).alias("rows"))
-    # a block of any size that doesn't end with its chunk is whole only with the next chunks' parts
-    parts = _blocks(chunks.drop("_c"), group, sizes)
-    over = F.expr(f"(block * n) div {CHUNK} < (block * n + n - 1) div {CHUNK}")
-    score, label = (F.col("s") / F.col("sn")).cast("float").cast("double"), F.rint(F.col("l") / F.col("ln")).cast("long")
+    values = df.select(*dict.fromkeys([*group, *order]), F.col("score").cast("double").alias("score"), F.col("label").cast("double").alias("label"))
+    if sizes == [1]:
+        kept = shared.written(_counts(values.select(*by, F.lit(1).cast("long").alias("n"), F.col("score").cast("float").cast("double").alias("score"), F.rint("label").cast("long").alias("label")), [*by, "n"]), shared.new_path(spark, "fused"))
+        return _equal_error(kept, [*by, "n"])
+    rows, path = numbered(values, group, order)
     total = lambda c: F.sum(c).alias(c)
-    joined = parts.where(over).groupBy(*group, "n", "block").agg(*map(total, ("s", "sn", "l", "ln", "m")))
-    counted = [_counts(d.where("m = n").select(*by, "n", F.when(F.col("sn") > 0, score).alias("score"), F.when(F.col("ln") > 0, label).alias("label")), [*by, "n"]) for d in (parts.where(~over), joined)]
-    counts = counted[0].union(counted[1]).groupBy(*by, "n", "score").agg(*map(total, "pqm"))
-    kept = shared.written(counts, shared.new_path(spark, "fused"))
+    one, label = F.col("block") < 0, F.col("label")
+    counted = [F.sum(label).alias("p"), F.sum(1 - label).alias("q"), F.count("*").alias("rows")]
+    parts = _blocks(rows, by, rest, sizes).groupBy(*by, *rest, "n", "block", "score").agg(*counted, *map(total, ("s", "sn", "l", "ln", "m")))
+    # what met: blocks of one place are joined, counts of equal fused scores stay as they are
+    full = parts.where(one | (F.col("m") == F.col("n")))
+    joined = F.when(F.col("ln") > 0, F.rint(F.col("l") / F.col("ln")).cast("long"))
+    score = F.when(one, F.col("score")).when(F.col("sn") > 0, (F.col("s") / F.col("sn")).cast("float").cast("double"))
+    final = full.select(*by, "n", score.alias("score"), F.when(one, F.col("p")).otherwise(joined).alias("p"), F.when(one, F.col("q")).otherwise(1 - joined).alias("q"), F.when(one, F.col("rows")).otherwise(1).alias("m"))
+    kept = shared.written(final.groupBy(*by, "n", "score").agg(*map(total, "pqm")), shared.new_path(spark, "fused"))
     shared.delete(spark, path)
     return _equal_error(kept, [*by, "n"])
 
