@@ -257,3 +257,24 @@ def test_tasks_of_intervals_stay_small(spark, monkeypatch):
     for r in df.collect():
         held.setdefault(r.k, set()).update(range(r.l, r.r + 1))
     assert {r.k: r.covered for r in got.collect()} == {k: len(v) for k, v in held.items()}
+
+
+def test_paths_drawn_together_equal_paths_drawn_apart():
+    rng = np.random.default_rng(3)
+    lengths = np.array([8, 1, 3, 8, 2])
+    xy, values = rng.random((22, 2)) * 40 - 4, rng.integers(1, 255, (17, 3)).astype(np.uint8)
+    images = raster.polylines(xy, lengths, 32, values, 2)
+    assert images.shape == (5, 32, 32, 3) and not images[1].any()
+    edge, ends = np.cumsum(lengths) - lengths, np.cumsum(np.maximum(lengths - 1, 0))
+    for p in range(5):
+        plain = np.zeros((32, 32, 3), np.uint8)
+        for i in range(lengths[p] - 1):
+            (x0, y0), (x1, y1) = xy[edge[p] + i], xy[edge[p] + i + 1]
+            for t in np.linspace(0, 1, int(2 * max(abs(x1 - x0), abs(y1 - y0))) + 2):
+                for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
+                    qx, qy = int(np.rint(x0 + (x1 - x0) * t)) + a, int(np.rint(y0 + (y1 - y0) * t)) + b
+                    if 0 <= qx < 32 and 0 <= qy < 32:
+                        plain[qy, qx] = values[ends[p] - lengths[p] + 1 + i]
+        assert np.array_equal(images[p], plain)
+        alone = raster.centred(xy[edge[p] : edge[p] + lengths[p]], 32)
+        assert np.array_equal(raster.centred_all(xy, lengths, 32)[edge[p] : edge[p] + lengths[p]], alone)

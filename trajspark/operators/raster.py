@@ -80,20 +80,47 @@ def polyline(xy: np.ndarray, side: int, values: np.ndarray | None = None, thickn
     Segments are sampled every half pixel; points of a thick line fill discs.
     """
     values = np.ones((max(0, len(xy) - 1), 1)) if values is None else values
-    image = np.zeros((side, side, values.shape[1]), np.float32)
+    return polylines(xy, np.array([len(xy)]), side, values.astype(np.float32), thickness)[0]
+
+
+def polylines(xy: np.ndarray, lengths: np.ndarray, side: int, values: np.ndarray, thickness: float = 1.0) -> np.ndarray:
+    """``polyline`` of many paths at once: images (paths, side, side, channels) of the type of ``values``.
+
+    xy: the points of all paths, ``lengths`` of each; values: a row for each segment, path after path.
+    """
+    image = np.zeros((len(lengths), side, side, values.shape[1]), values.dtype)
+    path = np.repeat(np.arange(len(lengths)), lengths)
+    first = np.flatnonzero(path[1:] == path[:-1])
+    if not len(first):
+        return image
+    start, step = xy[first], xy[first + 1] - xy[first]
+    n = (2 * np.abs(step).max(1)).astype(np.int64) + 2
+    segment = np.repeat(np.arange(len(first)), n)
+    k = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+    t = np.where(k == n[segment] - 1, 1.0, k * (1 / (n - 1))[segment])[:, None]
+    px, py = np.rint(start[segment] + step[segment] * t).astype(np.int64).T
     r = int(thickness // 2)
     disc = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r] or [(0, 0)]
-    for (x0, y0), (x1, y1), v in zip(xy[:-1], xy[1:], values, strict=False):
-        n = int(2 * max(abs(x1 - x0), abs(y1 - y0))) + 2
-        t = np.linspace(0, 1, n)
-        px, py = np.rint(x0 + (x1 - x0) * t).astype(int), np.rint(y0 + (y1 - y0) * t).astype(int)
-        for a, b in disc:
-            qx, qy = px + a, py + b
-            ok = (qx >= 0) & (qx < side) & (qy >= 0) & (qy < side)
-            image[qy[ok], qx[ok]] = v
+    # the last segment in a pixel stays; of equal pixels numpy's maximum counts every one
+    top = np.zeros(len(lengths) * side * side, np.int32)
+    base = path[first][segment] * (side * side)
+    for a, b in disc:
+        qx, qy = px + a, py + b
+        ok = (qx >= 0) & (qx < side) & (qy >= 0) & (qy < side)
+        np.maximum.at(top, (base + qy * side + qx)[ok], segment[ok].astype(np.int32) + 1)
+    drawn = np.flatnonzero(top)
+    image.reshape(-1, values.shape[1])[drawn] = values[top[drawn] - 1]
     return image
 
 
+def centred_all(xy: np.ndarray, lengths: np.ndarray, side: int, pad: float = 0.05) -> np.ndarray:
+    """``centred`` of many paths at once; none is empty."""
+    edge = np.cumsum(lengths) - lengths
+    low, high = np.minimum.reduceat(xy, edge), np.maximum.reduceat(xy, edge)
+    scale = side * (1 - 2 * pad) / np.maximum((high - low).max(1), 1e-8)
+    return (xy - np.repeat((low + high) / 2, lengths, 0)) * np.repeat(scale, lengths)[:, None] + side / 2
+
+
 def blur(image: np.ndarray, sigma: float) -> np.ndarray:
     """Separable Gaussian blur with edge values repeated."""
     r = max(1, int(3 * sigma + 0.5))
@@ -150,6 +177,27 @@ def with_png(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, schema)
 
 
+def render_png(windows: DataFrame, draw: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: Sequence[str], at_once: int = 256) -> DataFrame:
+    """Add h, w, channels and png: draw(matrix of the columns, points of each window) gives the byte images of ``at_once`` windows.
+
+    What is drawn goes into its file in the same pass, so no raw image leaves the task.
+    """
+    kept = [c for c in windows.columns if c != "points"]
+    schema = T.StructType([*(windows.schema[c] for c in kept), T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("png", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, at_once) for b in batches for i in range(0, b.num_rows, at_once)):
+            points = batch.column("points")
+            flat = points.flatten()
+            matrix = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
+            images = draw(matrix, points.value_lengths().to_numpy(zero_copy_only=False))
+            shape = images.shape[1:]
+            files = [png(i.tobytes(), *shape) for i in images]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(np.full(len(files), x), pa.int32()) for x in shape), pa.array(files, pa.binary())], schema.names)
+
+    return windows.mapInArrow(run, schema)
+
+
 def render(windows: DataFrame, draw: Callable[[np.ndarray], np.ndarray], columns: Sequence[str]) -> DataFrame:
     """Add h, w, channels and pixels: draw(matrix of the columns) for the row's points."""
     kept = [c for c in windows.columns if c != "points"]

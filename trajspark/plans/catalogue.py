@@ -1133,12 +1133,14 @@ def raster_velocity(spark, sf_dir):
     """PNG files of strokes coloured (0, vx, vy) by their ECDF values."""
     import numpy as np
 
-    def draw(m):
-        own = m[1:, 2:]
-        return raster.polyline(raster.centred(m[:, :2], 64), 64, np.concatenate([np.zeros((len(own), 1)), own], 1), 2)
+    def draw(m, lengths):
+        path = np.repeat(np.arange(len(lengths)), lengths)
+        own = m[1:, 2:][path[1:] == path[:-1]]
+        colours = np.concatenate([np.zeros((len(own), 1)), own], 1).astype(np.float32)
+        return raster.polylines(raster.centred_all(m[:, :2], lengths, 64), lengths, 64, np.clip(colours * 255, 0, 255).astype(np.uint8), 2)
 
     points = raster.gather(_features(spark, sf_dir, "vx", "vy"), ["user_id", "window_id"], ["x", "y", "c_vx", "c_vy"])
-    return raster.with_png(raster.render(points, draw, ["x", "y", "c_vx", "c_vy"]))
+    return raster.render_png(points, draw, ["x", "y", "c_vx", "c_vy"])
 
 
 _PLACES = {
