@@ -22,7 +22,7 @@ numbers of sequences follow how the input is read, their count hardly does.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +43,61 @@ FAN = 16
 SLACK = 1 / 64
 #: Underfull bins whose places are broadcast at most (24 bytes each); more are joined by shuffle.
 BROADCAST_BINS = 200_000
-#: Text of a slice: each looks its different words up in a table built of all that are known.
+#: Bytes of text in a slice: each looks its different words up in a table built of all that are known.
 SLICE_BYTES = 8 << 20
+#: Strings that take the library's whole way at once.
+ASK_AT_ONCE = 50_000
 _GROUP_BITS = 22
 
 
+class _Known:
+    """Strings and their ids, as columns; ``ask`` gives the ids and their counts of new strings."""
+
+    def __init__(self, ask: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.ask = ask
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen = pa.array([""], pa.large_string())  # splitting gives empty strings too
+        self.first, self.count, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _numbered(self, strings: pa.Array) -> np.ndarray:
+        """Places of different ``strings`` in ``seen``, where new ones are added."""
+        found = pc.index_in(strings, self.seen)
+        new = strings.filter(found.is_null())
+        at = found.fill_null(-1).to_numpy()
+        if len(new):
+            ids, count = self.ask(new)
+            at = np.where(at < 0, len(self.seen) - 1 + np.cumsum(at < 0), at)
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.flat = np.concatenate([self.flat, ids])
+            self.seen = pa.concat_arrays([self.seen, new])
+        return at
+
+    def encode(self, split: pa.ListArray) -> list[bytes]:
+        """Ids of each list of strings."""
+        strings = split.flatten().dictionary_encode()
+        at = self._numbered(strings.dictionary)[strings.indices.to_numpy()]
+        count = self.count[at]
+        ends = np.cumsum(count)
+        place = np.arange(count.sum())
+        place += np.repeat(self.first[at] - (ends - count), count)
+        ids = self.flat[place].tobytes()
+        bounds = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 class WordEncoder(bpe_trie.TrieEncoder):
     """The library's model asked once for each word: faster than the walk where most words are new.
 
-    Texts of code points below 256 without special tokens are split, and their words
-    looked up, as Arrow columns: Python sees a word when it is new, not each time it occurs.
+    Texts are split, and their words looked up, as Arrow columns: Python sees a word when it
+    is new, not each time it occurs. Texts with code points above 255 or special tokens are
+    split at white space first, which nothing that the library composes or matches goes across.
     """
 
     most_words = 350_000
-    #: Texts that aren't split as columns.
+    #: Texts (and then chunks) whose words can't be told by a pattern of Latin letters.
     OTHER = r"<\||[^\x00-\xff]"
 
     def __init__(self, path: str):
@@ -64,63 +105,47 @@ class WordEncoder(bpe_trie.TrieEncoder):
         self.model = Tokenizer.from_file(path).model
         self.marks = self.latin.pattern.partition("|")[2]  # the pattern but for runs of letters, which stand between its other matches
         self.levels = {b: c for b, c in enumerate(self.byte_chars) if b != 32}
-        self._start_anew()
-
-    def _start_anew(self) -> None:
-        self.seen = pa.array([""], pa.large_string())  # words, and where their ids are; splitting gives empty words too
-        self.first, self.count, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.by_word, self.by_chunk = _Known(self._ask_words), _Known(self._ask_chunks)
 
     def _walk(self, words: set[str]) -> None:
         ask, known = self.model.tokenize, self.words
         for word in words:
             known[word] = b"".join(t.id.to_bytes(4, "little") for t in ask(word))
 
-    def _numbered(self, words: pa.Array) -> np.ndarray:
-        """Places of different ``words`` in ``seen``, where new ones are added."""
-        found = pc.index_in(words, self.seen)
-        new = words.filter(found.is_null())
-        at = found.fill_null(-1).to_numpy()
-        if len(new):
-            ask, ids, count = self.model.tokenize, [], []
-            for word in " ".join(new.to_numpy(zero_copy_only=False)).encode("utf-8").decode("latin-1").translate(self.levels).split(" "):
-                own = [t.id for t in ask(word)]
-                ids += own
-                count.append(len(own))
-            at = np.where(at < 0, len(self.seen) - 1 + np.cumsum(at < 0), at)
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum([0, *count[:-1]])])
-            self.count = np.concatenate([self.count, count])
-            self.flat = np.concatenate([self.flat, np.array(ids, "<u4")])
-            self.seen = pa.concat_arrays([self.seen, new])
-        return at
-
-    def _encode_plain(self, texts: pa.Array) -> list[bytes]:
-        """Ids of texts of code points below 256 that hold no special token."""
-        if len(self.seen) > self.most_words:
-            self._start_anew()
-        texts = pc.replace_substring_regex(pc.utf8_lower(texts), r"[\x85\xa0]", " ")
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, self.marks, r" \0 "))
-        words = split.flatten().dictionary_encode()
-        at = self._numbered(words.dictionary)[words.indices.to_numpy()]
-        count = self.count[at]
-        ends = np.cumsum(count)
-        place = np.arange(count.sum())
-        place += np.repeat(self.first[at] - (ends - count), count)
-        ids = self.flat[place].tobytes()
-        bounds = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy()]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    def _ask_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ask, ids, count = self.model.tokenize, [], []
+        for word in " ".join(words.to_numpy(zero_copy_only=False)).encode("utf-8").decode("latin-1").translate(self.levels).split(" "):
+            own = [t.id for t in ask(word)]
+            ids += own
+            count.append(len(own))
+        return np.array(ids, "<u4"), np.array(count, np.int64)
+
+    def _ask_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        def whole(rest: pa.Array) -> list[bytes]:
+            return [x for i in range(0, len(rest), ASK_AT_ONCE) for x in self.encode_all(rest[i : i + ASK_AT_ONCE].to_pylist())]
+
+        ids = self._encoded(chunks, whole)
+        return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+
+    def _encoded(self, texts: pa.Array, otherwise: Callable[[pa.Array], list[bytes]]) -> list[bytes]:
+        """Ids of ``texts``, by their words or ``otherwise``."""
+        other = pc.match_substring_regex(texts, self.OTHER)
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts.filter(pc.invert(other))), r"[\x85\xa0]", " ")
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, self.marks, r" \0 "))
+        ids = iter(self.by_word.encode(words)), iter(otherwise(texts.filter(other)))
+        return [next(ids[x]) for x in other.to_pylist()]
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
         """Ids as ``encode_all`` has them, of a column of texts."""
-        texts = texts.cast(pa.large_string())
-        other = pc.match_substring_regex(texts, self.OTHER).fill_null(True)
-        plain = iter(self._encode_plain(texts.filter(pc.invert(other))))
-        parts = kernels.slices(pa.record_batch([texts.filter(other)], ["text"]))
-        rest = (ids for part in parts for ids in self.encode_all(part.column("text").to_pylist()))
-        return [next(rest if x else plain) for x in other.to_pylist()]
+        for known in (self.by_word, self.by_chunk):
+            if len(known.seen) > self.most_words:
+                known.clear()
+        return self._encoded(texts.cast(pa.large_string()).fill_null(""), lambda rest: self.by_chunk.encode(pc.ascii_split_whitespace(rest)))
 
     def forget(self) -> None:
         super().forget()
-        self._start_anew()
+        self.by_word.clear()
+        self.by_chunk.clear()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
